@@ -49,36 +49,44 @@ def _with_bucket(df: DataFrame, by: Sequence[str], value: str, tie: str | None,
 
 
 def _sum_before(df: DataFrame, by: Sequence[str], bucket: Sequence[str], order: Sequence[Column],
-                weights: Mapping[str, Column]) -> DataFrame:
+                weights: Mapping[str, Column], following: Sequence[str]) -> DataFrame:
     """Sum of each weight over all earlier rows of the group, given a monotone bucket."""
     keyed = df
     for name, weight in weights.items():
         keyed = keyed.withColumn(f"_w_{name}", weight)
+    ahead = F.struct(*[F.col(c) for c in following]) if following else F.lit(None)
     totals = keyed.groupBy(*by, *bucket).agg(
-        *[F.sum(f"_w_{name}").alias(f"_t_{name}") for name in weights])
-    earlier = Window.partitionBy(*by).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+        *[F.sum(f"_w_{name}").alias(f"_t_{name}") for name in weights],
+        *([F.min_by(ahead, order[0]).alias("_first")] if following else []))
+    across = Window.partitionBy(*by).orderBy(*bucket)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, *bucket, *[
         F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}")
-        for name in weights])
-    inside = (Window.partitionBy(*by, *bucket).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1))
+        for name in weights], *([F.lead("_first").over(across).alias("_ahead")] if following else []))
+    here = Window.partitionBy(*by, *bucket).orderBy(*order)
+    inside = here.rowsBetween(Window.unboundedPreceding, -1)
     joined = keyed.join(totals, [*by, *bucket])
-    for name in weights:
-        joined = joined.withColumn(name, F.col(f"_o_{name}") + F.coalesce(
-            F.sum(f"_w_{name}").over(inside), F.lit(0)))
-    return joined.drop(*bucket, *[f"_w_{n}" for n in weights], *[f"_o_{n}" for n in weights])
+    columns = [F.col(c) for c in df.columns if c not in bucket]
+    columns += [(F.col(f"_o_{name}") + F.coalesce(F.sum(f"_w_{name}").over(inside), F.lit(0))).alias(name)
+                for name in weights]
+    if following:
+        columns.append(F.coalesce(F.lead(ahead).over(here), F.col("_ahead")).alias("following"))
+    return joined.select(*columns)
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, Column], *,
-                tie: str | None = None, buckets: int | None = None) -> DataFrame:
+                tie: str | None = None, following: Sequence[str] = (),
+                buckets: int | None = None) -> DataFrame:
     """Add, per weight, its sum over the rows of the group that come strictly before.
 
     Order is by ``value`` and then by ``tie`` (a number in [0, 1)).  Without a tie
-    column the values must be distinct inside a group.
+    column the values must be distinct inside a group.  ``following`` names columns
+    whose values in the next row are added as one struct, null in the last row.
     """
     n = buckets or default_buckets(df.sparkSession)
     order = [F.col(value)] + ([F.col(tie)] if tie else [])
-    return _sum_before(_with_bucket(df, by, value, tie, n), by, ["_vb", "_hb"], order, weights)
+    return _sum_before(_with_bucket(df, by, value, tie, n), by, ["_vb", "_hb"], order, weights,
+                       following)
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, *, weight: str | None = None,
@@ -141,14 +149,14 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
         (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     if weight:
         counts = counts.filter(F.col("_c") > 0)
-    placed = prefix_sums(counts, by, value, {"_b": F.col("_c")}, buckets=buckets)
+    placed = prefix_sums(counts, by, value, {"_pre": F.col("_c")}, buckets=buckets)
     sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     joined = placed.join(sizes, list(by))
     aggs = []
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("_n") - 1)
         for side, k in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            hit = (F.col("_b") <= k) & (k < F.col("_b") + F.col("_c"))
+            hit = (F.col("_pre") <= k) & (k < F.col("_pre") + F.col("_c"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}_{name}"))
     picked = joined.groupBy(*by).agg(F.first("_n").alias("_n"), *aggs)
     out = []
@@ -157,3 +165,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (spot - F.floor(spot))).alias(name))
     return picked.select(*by, *out)
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate (exactly one row) to every row."""
+    return df.withColumn("_k", F.lit(0)).join(
+        F.broadcast(one_row.withColumn("_k", F.lit(0))), "_k").drop("_k")

@@ -78,9 +78,9 @@ def _distribution_sql() -> str:
         v = f"({m})::DOUBLE"
         parts.append(
             f"SELECT '{m}' AS measure, split, label, count({m}) AS count, count(*)-count({m}) AS missing_or_nonfinite, "
-            f"round(avg({v}),6)+0.0 AS mean, round(stddev_pop({v}),6)+0.0 AS std, round(min({v}),6)+0.0 AS min, "
-            f"round(quantile_cont({v},0.25),6)+0.0 AS p25, round(quantile_cont({v},0.5),6)+0.0 AS median, "
-            f"round(quantile_cont({v},0.75),6)+0.0 AS p75, round(max({v}),6)+0.0 AS max FROM measured GROUP BY ALL")
+            f"round(avg({v}),6)+0.0 AS mean, round(stddev_pop({v}),6)+0.0 AS std, round(min({v}),11)+0.0 AS min, "
+            f"round(quantile_cont({v},0.25),11)+0.0 AS p25, round(quantile_cont({v},0.5),11)+0.0 AS median, "
+            f"round(quantile_cont({v},0.75),11)+0.0 AS p75, round(max({v}),11)+0.0 AS max FROM measured GROUP BY ALL")
     return " UNION ALL ".join(parts)
 
 
@@ -94,7 +94,7 @@ def rounded(df, *columns, digits=6):
 @query("audit_distributions", _distribution_sql(), "measured")
 def _(spark, sf):
     d = audit.distributions(V.measured(spark, sf), V.MEASURES)
-    return rounded(d, "mean", "std", "min", "p25", "median", "p75", "max")
+    return rounded(rounded(d, "mean", "std"), "min", "p25", "median", "p75", "max", digits=11)
 
 
 _SUMMARY_SQL = """

@@ -279,3 +279,27 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
         .when(bad == 4, F.concat(F.lit("C:/"), base)).otherwise(base).alias("name"),
         F.length("html").cast("bigint").alias("size"),
         (draw("r", "page_id", 31) != 0).alias("is_regular"))
+
+
+def master(spark: SparkSession, sf: str) -> DataFrame:
+    """Master table: scores, decisions at the EER threshold, quadrants, band features (H9).
+
+    It is written to the shared folder once: every statistic reads it several times.
+    """
+    from corpuslens.operators.metrics import with_decisions
+    from corpuslens.session import freeze
+    return freeze(with_decisions(featured(spark, sf), DETECTORS).drop("samples"))
+
+
+def scored_long(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuslens.operators.metrics import scores_long
+    return scores_long(scored(spark, sf), DETECTORS, "ground_truth", "sample_id")
+
+
+def relevance(spark: SparkSession, sf: str, salt: int = 2) -> DataFrame:
+    """Signals with input-times-weight relevance of the linear scorer and its logit."""
+    w = F.array(*[F.lit(x) for x in weight_values(salt)])
+    return signals(spark, sf).select(
+        "sample_id", "ground_truth", "samples",
+        F.zip_with("samples", w, lambda a, b: a * b).alias("relevance"),
+        linear_logit(F.col("samples"), salt).alias("logit"))
