@@ -8,6 +8,7 @@ from corpuslens.operators import audit, reconcile, rules
 from corpuslens.plans import views as V
 from corpuslens.plans.oracle_views import h
 from corpuslens.plans.registry import query
+from corpuslens.session import freeze
 
 P = V.FIELD
 
@@ -93,7 +94,9 @@ def rounded(df, *columns, digits=6):
 
 @query("audit_distributions", _distribution_sql(), "measured")
 def _(spark, sf):
-    d = audit.distributions(V.measured(spark, sf), V.MEASURES)
+    # Written once: moments, cut points and order statistics all read it.
+    m = freeze(V.measured(spark, sf).select("split", "label", *V.MEASURES))
+    d = audit.distributions(m, V.MEASURES)
     return rounded(rounded(d, "mean", "std"), "min", "p25", "median", "p75", "max", digits=11)
 
 

@@ -2,13 +2,142 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.operators import metrics
+from corpuslens.functions import dsp, signal
+from corpuslens.operators import (audit, compare, effects, metrics, models, profiling, reconcile, rules, sampling,
+                                  stats)
+from corpuslens.operators.order import attach_row
+from corpuslens.profiles import Profile
+from corpuslens.schemas import MANIFEST_COLUMNS
+from corpuslens.session import freeze
+from corpuslens.sources import sinks
 
 
+# --- corpus preparation -----------------------------------------------------------------------
+
+def validate_protocols(left: DataFrame, right: DataFrame, profile: Profile) -> dict[str, DataFrame]:
+    """Correspondence report with fingerprints, its problems, and expected counts."""
+    reduced = reconcile.reduce_to(right, left)
+    pairs = reconcile.paired(left, reduced, profile)
+    report = reconcile.correspondence(pairs)
+    for side, df in (("left", left), ("right", reduced), ("left_full", left), ("right_full", right)):
+        prints = reconcile.table_fingerprint(df, ["split"], [c for c in df.columns if c != "split"]).select(
+            "split", F.col("fingerprint").alias(f"{side}_fingerprint"))
+        report = report.join(prints, "split", "left")
+    matched = pairs.filter("label_matched").select("split", F.col("left_label").alias("label"))
+    counts = rules.count_differences(matched, profile.expected(left.sparkSession), ["split", "label"])
+    return {"report": report, "problems": reconcile.correspondence_problems(pairs), "counts": counts}
+
+
+def build_manifest(left: DataFrame, right: DataFrame, files: DataFrame, profile: Profile) -> dict[str, DataFrame]:
+    """Raw manifest with evidence, paths and file hashes, and its violations.
+
+    ``files`` holds ``path`` and ``sha256``; a source without a file is a violation.
+    """
+    rows = reconcile.with_evidence(left.drop("codec"), right)
+    pristine = F.col("label") == "pristine"
+    root = F.when(pristine, profile.pristine_root).otherwise(profile.generated_root)
+    path = F.concat_ws("/", root, F.col("split"), F.concat(F.col("utt_id"), F.when(pristine, ".flac").otherwise(".wav")))
+    hashed = rows.withColumn("source_path", path).join(
+        files.select(F.col("path").alias("source_path"), F.col("sha256").alias("sha256_source")), "source_path", "left")
+    out = hashed.withColumn("sha256_source", F.coalesce("sha256_source", F.lit(""))).withColumn(
+        "processed_path", F.lit("")).withColumn("sha256_processed", F.lit("")).withColumn(
+        "metadata_source", F.lit(profile.metadata_source)).select(*MANIFEST_COLUMNS)
+    return {"manifest": out, "problems": rules.manifest_rules(out, profile)}
+
+
+def enrich(manifest: DataFrame, signals: DataFrame, key: str, target_rate: int) -> DataFrame:
+    """Source and processed measures of every signal.
+
+    ``signals`` has the key, ``sample_rate`` and ``samples`` (frames x channels).
+    """
+    s = signals.withColumn("_mono", signal.mono(F.col("samples")))
+    s = s.withColumn("_out", signal.clip_unit(dsp.resample(F.col("_mono"), F.col("sample_rate"), target_rate)))
+    flat = F.flatten("samples")
+    measures = s.select(
+        key, F.col("sample_rate").cast("bigint").alias("source_sample_rate"),
+        F.size(F.get("samples", F.lit(0))).cast("bigint").alias("source_channels"),
+        F.size("samples").cast("bigint").alias("source_frames"),
+        (F.size("samples") / F.col("sample_rate")).alias("source_duration_seconds"),
+        signal.peak(flat).alias("source_peak"), signal.rms(flat).alias("source_rms"),
+        F.lit(target_rate).cast("bigint").alias("processed_sample_rate"),
+        F.lit(1).cast("bigint").alias("processed_channels"),
+        F.size("_out").cast("bigint").alias("processed_frames"),
+        (F.size("_out") / F.lit(float(target_rate))).alias("processed_duration_seconds"),
+        signal.peak(F.col("_out")).alias("processed_peak"), signal.rms(F.col("_out")).alias("processed_rms"))
+    return manifest.join(measures, key)
+
+
+def verify_processed(declared: DataFrame, measured: DataFrame, key: str = "utt_id") -> DataFrame:
+    """Differences between declared and recomputed measures, nothing written (I4)."""
+    integers = [f"{p}_{n}" for p in ("source", "processed") for n in ("sample_rate", "channels", "frames")]
+    floats = [f"{p}_{n}" for p in ("source", "processed") for n in ("duration_seconds", "peak", "rms")]
+    return rules.measure_differences(declared, measured, key, integers, floats)
+
+
+def audited(df: DataFrame, samples: str = "samples", rate: str = "sample_rate", prefix: str = "source") -> DataFrame:
+    """Silence ratio, level, noise proxy and their unavailable reasons."""
+    x = F.col(samples)
+    level = signal.rms(x)
+    snr, reason = signal.snr_parts(x, F.col(rate))
+    return df.withColumn(f"{prefix}_peak", signal.peak(x)).withColumn(f"{prefix}_rms", level).withColumn(
+        f"{prefix}_silence_ratio", signal.silence_ratio(x)).withColumn(
+        f"{prefix}_rms_dbfs", signal.dbfs(F.col(f"{prefix}_rms"))).withColumn(
+        f"{prefix}_rms_dbfs_unavailable_reason", signal.dbfs_reason(F.col(f"{prefix}_rms"))).withColumn(
+        f"{prefix}_estimated_snr_db", snr).withColumn(f"{prefix}_estimated_snr_db_unavailable_reason", reason)
+
+
+def audit_and_publish(df: DataFrame, measures: Sequence[str], profile: Profile, root: str) -> dict[str, str]:
+    """Audit tables of one enriched frame, written once and published as one set."""
+    frame = freeze(df)
+    tables = {"audit_rows": frame, "counts": audit.grouping_counts(frame),
+              "cross_split_speakers": audit.cross_split_speakers(frame, profile),
+              "duplicate_hashes": audit.members_of_repeated(frame, "sha256_source", "utt_id", "split"),
+              "missing_values": audit.missing_values(frame),
+              "distributions": audit.distributions(frame, measures),
+              "cross_split_groups": audit.cross_split_groups(frame, profile),
+              "duplicate_groups": audit.duplicate_groups(frame, "utt_id", "split")}
+    return sinks.publish_set(tables, root)
+
+
+def two_source_metadata(pristine: DataFrame, generated: DataFrame, names: Mapping[str, str],
+                        pristine_fields: Mapping[str, Sequence[str]],
+                        generated_fields: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """Profiles and summary of a pristine and a generated source.
+
+    The field maps have the classes ``categorical``, ``length`` and ``votes``.
+    """
+    out = {}
+    parts = []
+    for role, df, fields in (("pristine", pristine, pristine_fields), ("generated", generated, generated_fields)):
+        out[f"{role}_manifest"] = df
+        out[f"{role}_profile"] = profiling.field_profiles(
+            df, sorted(df.columns), length_fields=fields.get("length", ()), vote_fields=fields.get("votes", ()))
+        path = "audio_path" if "audio_path" in df.columns else None
+        parts.append(profiling.source_profile(df, names[role], fields.get("categorical", ()),
+                                              fields.get("votes", ()), path).withColumn("role", F.lit(role)))
+    out["summary"] = rules.union_all(parts)
+    return out
+
+
+def provenance(evidence: DataFrame, schemas: Mapping[str, Sequence[str]], origins: Mapping[str, str],
+               exclusions: Mapping[str, str]) -> DataFrame:
+    """Inputs, schema positions, field origins and exclusions as one long table."""
+    spark = evidence.sparkSession
+    rows = [("schema", table, str(i), column) for table, cols in schemas.items() for i, column in enumerate(cols)]
+    rows += [("origin", field, "", words) for field, words in origins.items()]
+    rows += [("exclusion", name, "", why) for name, why in exclusions.items()]
+    fixed = spark.createDataFrame(rows, "block string, name string, detail string, value string")
+    inputs = evidence.select(F.lit("input").alias("block"), F.col("key").alias("name"),
+                             F.col("size_bytes").cast("string").alias("detail"), F.col("sha256").alias("value"))
+    return fixed.unionByName(inputs)
+
+
+# --- detector analysis ------------------------------------------------------------------------
+
 def performance(master: DataFrame, tags: Sequence[str], label: str = "ground_truth") -> DataFrame:
     """EER, MCC and accuracy per detector from the stored decisions."""
     long = metrics.scores_long(master, tags, label)
@@ -20,3 +149,141 @@ def performance(master: DataFrame, tags: Sequence[str], label: str = "ground_tru
     scores = c.select("detector", metrics.matthews(*four).alias("mcc"),
                       ((F.col("tp") + F.col("tn")) / sum(four[1:], four[0])).alias("accuracy"))
     return eer.join(scores, "detector")
+
+
+def collect_samples(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """Balanced sample with its shuffled position and provenance columns kept (I16)."""
+    return sampling.balanced(df, label, [key], n, seed)
+
+
+def association_stage(master: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Correlations with p and q for the detectors that are present."""
+    return stats.association(master, rules.present_detectors(master.columns), features)
+
+
+def confirmatory_stage(master: DataFrame, correlations: DataFrame, features: Sequence[str], top_n: int) -> DataFrame:
+    """Group tests on the most associated features only."""
+    tags = rules.present_detectors(master.columns)
+    top = F.broadcast(stats.top_features(correlations, top_n).select("feature"))
+    values = stats.quadrant_values(master, tags, features).join(top, "feature", "left_semi")
+    return stats.confirmatory(values)
+
+
+def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str, effects.Scorer],
+                    features: Sequence[str], rate: int, edges: Sequence[float], win: int, hop: int, *,
+                    per_quadrant: int = 150, n_boot: int = 1000, k: int | None = None,
+                    seed: int = 42) -> dict[str, DataFrame]:
+    """Occlusion table, agreement of the two profiles and the convergence test.
+
+    ``master`` has no samples; ``signals`` has ``sample_id`` and ``samples``.
+    """
+    n = len(edges) - 1
+    k = k or max(1, n // 3)
+    tags = list(scorers)
+    split = sampling.halves(master, ["sample_id"], seed)
+    rank_half, test_half = split.filter(F.col("half") == 0), split.filter(F.col("half") == 1)
+    whole = stats.band_strength(stats.within_class_correlation(master, tags, features), tags, n)
+    half = stats.band_strength(stats.within_class_correlation(rank_half, tags, features), tags, n)
+    tables, tests = [], []
+    for tag, scorer in scorers.items():
+        quad = f"quadrant_{tag}"
+        picked = sampling.up_to(master, [quad], ["sample_id"], per_quadrant, seed).select("sample_id")
+        clips = signals.join(picked, "sample_id").select("sample_id", "samples")
+        drops = freeze(effects.band_drops(clips, scorer, rate, edges, win, hop).drop("samples"))
+        tables.append(effects.occlusion_table(drops, tag, edges, ["sample_id"], n_boot=n_boot, seed=seed))
+        held = sampling.up_to(test_half, [quad], ["sample_id"], per_quadrant, seed).select("sample_id")
+        test_clips = signals.join(held, "sample_id").select("sample_id", "samples")
+        test_drops = effects.band_drops(test_clips, scorer, rate, edges, win, hop).drop("samples")
+        effect = freeze(effects.oriented_effects(test_drops, half, tag, k, n).withColumn("detector", F.lit(tag)))
+        tests.append(stats.paired_test(effect.select("detector", "sample_id", "top_effect", "bottom_effect"),
+                                       ["detector"], "top_effect", "bottom_effect", ["sample_id"],
+                                       n_boot=n_boot, seed=seed))
+    occlusion = freeze(rules.union_all(tables))
+    named = sampling.top_and_bottom(half, k)
+
+    def listed(rank: str) -> Column:
+        hit = F.when(F.col(rank) <= k, F.struct(F.col(rank).alias("r"), F.col("band").cast("string").alias("b")))
+        return F.array_join(F.transform(F.array_sort(F.array_compact(F.collect_list(hit))), lambda s: s["b"]), ";")
+
+    bands = named.groupBy("detector").agg(listed("top_rank").alias("top_bands"), listed("bottom_rank").alias("bottom_bands"))
+    convergence = rules.union_all(tests).join(bands, "detector").withColumn("k_bands", F.lit(k))
+    return {"occlusion": occlusion, "agreement": effects.profile_agreement(occlusion, whole),
+            "convergence": convergence}
+
+
+def faithfulness_rows(clips: DataFrame, scorer: effects.Scorer, rate: int, edges: Sequence[float], win: int,
+                      hop: int, ks: Sequence[int], draws: int, seed: int = 0) -> DataFrame:
+    """Rows (clip, class, condition, k, p_pred, p_orig) of the keep/delete study.
+
+    ``clips`` has sample_id, ground_truth, samples, relevance and logit.
+    """
+    n = len(edges) - 1
+    freqs = _rfft(win, rate)
+    tf = dsp.time_frequency_relevance(F.col("samples"), F.col("relevance"), rate, win, hop)
+    by_bin = F.aggregate(
+        F.slice(F.col("_tf.r_tf"), F.lit(2), F.size(F.col("_tf.r_tf"))), F.get(F.col("_tf.r_tf"), F.lit(0)),
+        lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
+    c = clips.withColumn("_tf", tf).withColumn("_bins", by_bin)
+    c = c.withColumn("predicted", F.col("logit") > 0).withColumn(
+        "ranking", sampling.ranked_bands(effects.band_sums(F.col("_bins"), freqs, edges, "last_closed"), F.col("logit") > 0))
+    p = scorer(F.col("samples"))
+    c = c.withColumn("p_orig", F.when(F.col("predicted"), p).otherwise(1.0 - p)).withColumn(
+        "true_class", stats.class_name(F.col("ground_truth"))).select(
+        "sample_id", "true_class", "samples", "predicted", "ranking", "p_orig")
+    grid = effects.intervention_grid(c, ks, draws, n, "sample_id", seed=seed)
+    return effects.intervention_scores(grid, scorer, rate, edges, win, hop,
+                                       ["sample_id", "true_class", "p_orig"])
+
+
+def _rfft(win: int, rate: int) -> list[float]:
+    return [i * rate / win for i in range(win // 2 + 1)]
+
+
+def clip_export(clips: DataFrame, scorer: effects.Scorer, rate: int, edges: Sequence[float], win: int, hop: int,
+                k: int, seed: int = 0) -> DataFrame:
+    """Variant x kept bands x probability of chosen clips.
+
+    ``clips`` has sample_id, true_class, samples, predicted and ranking.
+    """
+    n = len(edges) - 1
+    every = F.array(*[F.lit(i) for i in range(n)])
+    top = F.slice("ranking", 1, k)
+    rand = sampling.random_bands(n, F.lit(k), F.lit(str(seed)), "sample_id")
+    variants = F.array(*[F.struct(F.lit(name).alias("variant"), bands.alias("kept")) for name, bands in (
+        ("original", every), (f"keep_top{k}", top), (f"delete_top{k}", sampling.complement(n, top)),
+        (f"keep_rand{k}", rand), (f"delete_rand{k}", sampling.complement(n, rand)))])
+    rows = clips.withColumn("_v", F.explode(variants)).select("*", "_v.*")
+    y = rows.withColumn("_y", dsp.keep_bands(F.col("samples"), F.col("kept"), rate, edges, win, hop))
+    heard = F.when(F.col("variant") == "original", F.col("samples")).otherwise(F.col("_y"))
+    p = scorer(heard)
+    label = F.when(F.col("variant") == "original", "all").otherwise(signal.kept_bands_label(F.col("kept"), list(edges)))
+    return y.select("sample_id", "true_class", stats.class_name(F.col("predicted").cast("int")).alias("pred"), "variant",
+                    F.round(F.when(F.col("predicted"), p).otherwise(1.0 - p), 4).alias("p_pred"),
+                    label.alias("kept_bands_khz"))
+
+
+def population_relevance(clips: DataFrame, by: Sequence[str], rate: int, win: int, hop: int,
+                         excluded: Sequence[str] = ()) -> DataFrame:
+    """Population time-frequency table of several models, some left out."""
+    kept = clips.filter(~F.col(by[0]).isin(*excluded)) if excluded else clips
+    tf = dsp.time_frequency_relevance(F.col("samples"), F.col("relevance"), rate, win, hop)
+    return effects.population_map(kept.select(*by, tf.alias("_tf")).select(*by, F.col("_tf.r_tf").alias("r_tf")), by)
+
+
+def compare_runs(performance_rows: DataFrame, relevance: DataFrame, scores: DataFrame, runs: Sequence[str], *,
+                 excluded: Sequence[str] = (), k: int = 5) -> dict[str, DataFrame]:
+    """Comparison table, band and clip agreement, top bands across runs."""
+    kept = [r for r in runs if r not in excluded]
+    rel = relevance.filter(F.col("run").isin(*kept))
+    return {"comparison": compare.comparison_table(performance_rows.filter(F.col("run").isin(*kept)), "run"),
+            "band_agreement": compare.rank_agreement(rel, kept, "run", "band", "relevance", 3),
+            "clip_agreement": compare.rank_agreement(scores, kept, "run", "sample_id", "p_spoof", 50),
+            "top_bands": compare.top_bands(rel, "run", "band_center_hz", "relevance", k)}
+
+
+def same_clips(chosen: DataFrame, scores: DataFrame, runs: Sequence[str], label: str = "ground_truth") -> DataFrame:
+    """Clip x run: score, decision and hit or miss."""
+    rows = scores.join(chosen.select("sample_id"), "sample_id", "left_semi").filter(F.col("run").isin(*runs))
+    pred = (F.col("p_spoof") > 0.5).cast("int")
+    return rows.select("sample_id", "run", F.col(label), "p_spoof", pred.alias("pred"),
+                       F.when(pred == F.col(label), "hit").otherwise("miss").alias("outcome"))

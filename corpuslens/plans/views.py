@@ -114,8 +114,9 @@ def keys_strip(c: Column) -> Column:
     return F.replace(c, F.lit("-"), F.lit(""))
 
 
-def _dropped(text: str, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(F.col(text), chars, ""))
+def _only(text: str, chars: str) -> Column:
+    """How many characters of the class ``chars`` the whole text holds."""
+    return F.length(F.regexp_replace(F.col(text), f"[^{chars}]+", ""))
 
 
 MEASURES = ["source_sample_rate", "source_channels", "source_frames", "source_duration_seconds",
@@ -127,7 +128,7 @@ def measured(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest with measures of the whole text standing in for signal measures."""
     m = manifest(spark, sf, "doc_id", "text")
     n = F.length("text")
-    lines = _dropped("text", "\n")
+    lines = F.size(F.split("text", "\n")) - 1
     words = F.size(F.split(F.trim(F.col("text")), " "))
     return (m
             .withColumn("source_sample_rate", F.when(F.col("label") == "generated", 22050)
@@ -137,13 +138,12 @@ def measured(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("source_frames", n.cast("bigint"))
             .withColumn("source_duration_seconds",
                         F.round(F.col("source_frames") / F.col("source_sample_rate"), 9))
-            .withColumn("source_peak", F.round(_dropped("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n, 9))
-            .withColumn("source_rms", F.round(_dropped("text", "0123456789") / n, 9))
-            .withColumn("source_silence_ratio", F.round(_dropped("text", " \n") / n, 9))
-            .withColumn("source_rms_dbfs", F.when(
-                F.col("source_rms") > 0, F.round(F.lit(20.0) * F.log10("source_rms"), 9)))
-            .withColumn("source_estimated_snr_db", F.when(
-                lines > 0, F.round(F.lit(10.0) * F.log10(words / lines), 9)))
+            .withColumn("source_peak", F.round(_only("text", "A-Z") / n, 9))
+            .withColumn("source_rms", F.round(_only("text", "0-9") / n, 9))
+            .withColumn("source_silence_ratio", F.round(_only("text", " \n") / n, 9))
+            .withColumn("source_rms_dbfs", F.round(F.lit(20.0) * F.log10(F.nullif("source_rms", F.lit(0.0))), 9))
+            .withColumn("source_estimated_snr_db",
+                        F.round(F.lit(10.0) * F.log10(words / F.nullif(lines, F.lit(0))), 9))
             .drop("text"))
 
 
