@@ -15,6 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+def kernel_udf(schema: str):
+    """Scalar Pandas UDF that the optimizer leaves in a projection of its own.
+
+    A deterministic UDF would be inlined into every expression that reads its result; the mark
+    keeps one evaluation per row.  The kernels themselves are pure.
+    """
+    def wrap(fn):
+        return F.pandas_udf(fn, schema).asNondeterministic()
+    return wrap
+
+
 def by_length(series: pd.Series, kernel: Callable[[np.ndarray], np.ndarray]) -> list:
     """Apply a matrix kernel to the rows of each length and restore the order."""
     out: list = [None] * len(series)
@@ -57,7 +68,7 @@ def _framed_power(x: np.ndarray, frame: int, hop: int) -> np.ndarray:
 
 def power_spectrum(samples: Column, frame: int, hop: int) -> Column:
     """Frames x bins of power."""
-    @F.pandas_udf("array<array<double>>")
+    @kernel_udf("array<array<double>>")
     def run(x: pd.Series) -> pd.Series:
         return pd.Series(by_length(x, lambda m: _framed_power(m, frame, hop)))
     return run(samples)
@@ -68,7 +79,7 @@ def log_band_energy(samples: Column, rate: int, edges: Sequence[float], frame: i
     """Mean and population deviation over frames of the log energy of each band."""
     masks = band_masks(np.fft.rfftfreq(frame, 1.0 / rate), edges, "half_open").astype(np.float64)
 
-    @F.pandas_udf("array<double>")
+    @kernel_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         def kernel(m: np.ndarray) -> np.ndarray:
             logs = np.log(_framed_power(m, frame, hop) @ masks.T + eps)
@@ -91,7 +102,7 @@ def _relevance_spectrum(x: np.ndarray, r: np.ndarray, eps: float) -> np.ndarray:
 
 def frequency_relevance(samples: Column, relevance: Column, eps: float = 1e-9) -> Column:
     """Relevance per frequency bin of whole signals."""
-    @F.pandas_udf("array<double>")
+    @kernel_udf("array<double>")
     def run(x: pd.Series, r: pd.Series) -> pd.Series:
         both = pd.Series([None if a is None or b is None else np.stack([a, b]).T.ravel()
                           for a, b in zip(x, r)])
@@ -120,7 +131,7 @@ def time_frequency_relevance(samples: Column, relevance: Column, rate: int, win:
     schema = ("times array<double>, freqs array<double>, r_tf array<array<double>>, "
               "s_tf array<array<double>>")
 
-    @F.pandas_udf(schema)
+    @kernel_udf(schema)
     def run(x: pd.Series, r: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b in zip(x, r):
@@ -148,7 +159,7 @@ def keep_bands(samples: Column, kept: Column, rate: int, edges: Sequence[float],
     """
     owner = band_masks(np.fft.rfftfreq(win, 1.0 / rate), edges, "clipped")
 
-    @F.pandas_udf("array<double>")
+    @kernel_udf("array<double>")
     def run(x: pd.Series, bands: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(x, bands):
@@ -195,18 +206,57 @@ def _resample_one(x: np.ndarray, up: int, down: int) -> np.ndarray:
                     0.0).sum(axis=1)
 
 
+def _to_rate(x: np.ndarray, source: int, target: int) -> np.ndarray:
+    g = math.gcd(source, target)
+    return x if source == target else _resample_one(x, target // g, source // g)
+
+
+def standardise(channels: Column, source_rate: Column, target_rate: int) -> Column:
+    """Channel average, target rate, values clipped to [-1, 1].
+
+    ``channels`` holds frames of channel values.
+    """
+    @kernel_udf("array<double>")
+    def run(x: pd.Series, rates: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else np.clip(_to_rate(
+            np.stack(a).astype(np.float64).mean(axis=1), int(r), target_rate), -1.0, 1.0).tolist()
+            for a, r in zip(x, rates)])
+    return run(channels, source_rate)
+
+
+def prepare(channels: Column, source_rate: Column, target_rate: int, length: int,
+            mode: str = "layer_norm") -> Column:
+    """Channel average, target rate, fixed length and normalisation in one Arrow pass."""
+    if mode not in ("layer_norm", "peak"):
+        raise ValueError(f"unknown normalisation {mode!r}; use 'layer_norm' or 'peak'")
+
+    @kernel_udf("array<double>")
+    def run(x: pd.Series, rates: pd.Series) -> pd.Series:
+        out = []
+        for a, r in zip(x, rates):
+            if a is None:
+                out.append(None)
+                continue
+            y = np.resize(_to_rate(np.stack(a).astype(np.float64).mean(axis=1), int(r), target_rate), length)
+            top = np.abs(y).max()
+            if mode == "layer_norm":
+                y = (y - y.mean()) / np.sqrt(y.var() + 1e-5)
+            elif top > 0:
+                y = y / top
+            out.append(y.tolist())
+        return pd.Series(out)
+    return run(channels, source_rate)
+
+
 def resample(samples: Column, source_rate: Column, target_rate: int) -> Column:
     """Signal at ``target_rate``; its length is ceil(n * target / source)."""
-    @F.pandas_udf("array<double>")
+    @kernel_udf("array<double>")
     def run(x: pd.Series, rates: pd.Series) -> pd.Series:
         out = []
         for a, rate in zip(x, rates):
             if a is None or rate is None:
                 out.append(None)
                 continue
-            g = math.gcd(int(rate), target_rate)
-            up, down = target_rate // g, int(rate) // g
-            v = np.asarray(a, dtype=np.float64)
-            out.append((v if up == down else _resample_one(v, up, down)).tolist())
+            out.append(_to_rate(np.asarray(a, dtype=np.float64), int(rate), target_rate).tolist())
         return pd.Series(out)
     return run(samples, source_rate)

@@ -3,10 +3,29 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """Evaluate ``values`` once per row and hand them to ``body`` as fields of one variable.
+
+    Inside a lambda an outer expression would be evaluated again for every element, which
+    turns a linear pass over a signal into a quadratic one.
+    """
+    bound = F.array(F.struct(*[c.alias(n) for n, c in values.items()]))
+    return F.get(F.transform(bound, body), F.lit(0))
+
+
+def against(x: Column, scalar: Column, fn: Callable[[Column, Column], Column]) -> Column:
+    """``fn(value, scalar)`` for every element; the scalar is evaluated once per row.
+
+    No lambda reads a variable of an outer one, so the result may feed a Python kernel.
+    """
+    return F.zip_with(x, F.array_repeat(scalar, F.size(x)), fn)
+
+
 # --- grids (driver-side constants) -----------------------------------------------------------
 
 def mel_edges(n_bands: int = 8, f_min: float = 20.0, f_max: float = 7900.0) -> list[float]:
@@ -71,13 +90,10 @@ def mean_square(x: Column) -> Column:
 def mono(channels: Column) -> Column:
     """Average over channels of frames given as arrays of channel values (G1).
 
-    Every frame is scaled by its own peak first, so large values do not overflow.
+    Each value is divided before it is added, so large values do not overflow.
     """
-    def one(frame: Column) -> Column:
-        peak = F.array_max(F.transform(frame, lambda v: F.abs(v)))
-        mean = F.aggregate(frame, F.lit(0.0), lambda s, v: s + v / peak) / F.size(frame)
-        return F.when(peak == 0, F.lit(0.0)).otherwise(peak * mean)
-    return F.transform(channels, one)
+    return F.transform(channels, lambda frame: F.aggregate(
+        frame, F.lit(0.0), lambda s, v: s + v / F.size(frame)))
 
 
 def clip_unit(x: Column) -> Column:
@@ -94,26 +110,27 @@ def fix_length(x: Column, n: int) -> Column:
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
     """Zero mean and unit population variance."""
     mean = average(x)
-    var = mean_square(x) - mean * mean
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + F.lit(eps)))
+    spread = F.sqrt(mean_square(x) - mean * mean + F.lit(eps))
+    return against(against(x, mean, lambda v, m: v - m), spread, lambda v, s: v / s)
 
 
 def peak_norm(x: Column) -> Column:
-    top = peak(x)
-    return F.when(top > 0, F.transform(x, lambda v: v / top)).otherwise(x)
+    scaled = against(x, F.nullif(peak(x), F.lit(0.0)), lambda v, p: v / p)
+    return F.when(peak(x) > 0, scaled).otherwise(x)
 
 
 def frames(x: Column, width: int, hop: int) -> Column:
     """Complete frames of ``width`` samples every ``hop`` samples."""
-    starts = F.sequence(F.lit(0), F.size(x) - width, F.lit(hop))
-    return F.when(F.size(x) >= width, F.transform(starts, lambda s: F.slice(x, s + 1, width))).otherwise(
-        F.array().cast("array<array<double>>"))
+    starts = F.when(F.size(x) >= width, F.sequence(F.lit(0), F.size(x) - width, F.lit(hop))).otherwise(
+        F.array().cast("array<int>"))
+    return let(lambda r: F.transform(r["at"], lambda s: F.slice(r["x"], s + 1, width)), x=x, at=starts)
 
 
 def tiles(x: Column, width: Column) -> Column:
     """Consecutive frames, the short tail kept."""
     starts = F.sequence(F.lit(0), F.size(x) - 1, width)
-    return F.transform(starts, lambda s: F.slice(x, s + 1, width))
+    return let(lambda r: F.transform(r["at"], lambda s: F.slice(r["x"], s + 1, r["w"])),
+               x=x, at=starts, w=width)
 
 
 # --- measures ---------------------------------------------------------------------------------
@@ -125,8 +142,8 @@ def peak(x: Column) -> Column:
 def rms(x: Column) -> Column:
     """Overflow-safe root mean square: scaled by the peak first."""
     top = peak(x)
-    scaled = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v / top) * (v / top)) / F.size(x)
-    return F.when(top == 0, F.lit(0.0)).otherwise(top * F.sqrt(scaled))
+    scaled = against(x, F.nullif(top, F.lit(0.0)), lambda v, p: v / p)
+    return F.when(top == 0, F.lit(0.0)).otherwise(top * F.sqrt(mean_square(scaled)))
 
 
 def silence_ratio(x: Column, threshold: float = 1e-4) -> Column:
@@ -149,16 +166,20 @@ def snr_parts(x: Column, rate: Column) -> tuple[Column, Column]:
     """(estimate, reason): total RMS over the first decile of positive 20 ms frame RMS."""
     levels = F.transform(tiles(x, frame_width(rate)), lambda f: F.sqrt(mean_square(f)))
     positive = F.array_sort(F.filter(levels, lambda v: v > 0))
-    n = F.size(positive)
-    spot = F.lit(0.1) * (n - 1)
-    lo = F.get(positive, F.floor(spot).cast("int"))
-    hi = F.get(positive, F.ceil(spot).cast("int"))
-    noise = lo + (hi - lo) * (spot - F.floor(spot))
-    level = F.sqrt(mean_square(x))
-    reason = (F.when(level == 0, "decoded signal RMS is zero")
-              .when(n < 2, "insufficient non-silent 20 ms frames for noise-floor proxy")
-              .when(noise <= 0, "estimated noise-floor proxy is zero"))
-    return F.when(reason.isNull(), F.lit(20.0) * F.log10(level / noise)), reason
+
+    def judge(r: Column) -> Column:
+        n = F.size(r["v"])
+        spot = F.lit(0.1) * (n - 1)
+        lo, hi = F.get(r["v"], F.floor(spot).cast("int")), F.get(r["v"], F.ceil(spot).cast("int"))
+        noise = lo + (hi - lo) * (spot - F.floor(spot))
+        reason = (F.when(r["level"] == 0, "decoded signal RMS is zero")
+                  .when(n < 2, "insufficient non-silent 20 ms frames for noise-floor proxy")
+                  .when(noise <= 0, "estimated noise-floor proxy is zero"))
+        return F.struct(reason.alias("reason"), F.when(
+            reason.isNull(), F.lit(20.0) * F.log10(r["level"] / noise)).alias("snr"))
+
+    found = let(judge, v=positive, level=F.sqrt(mean_square(x)))
+    return found["snr"], found["reason"]
 
 
 # --- degradations -----------------------------------------------------------------------------
@@ -166,7 +187,7 @@ def snr_parts(x: Column, rate: Column) -> tuple[Column, Column]:
 def add_noise(x: Column, snr_db: float, draws: Column) -> Column:
     """White noise at a target signal-to-noise ratio from standard normal draws."""
     sigma = F.sqrt(mean_square(x) / F.lit(10.0 ** (snr_db / 10.0)))
-    return F.zip_with(x, draws, lambda v, z: v + sigma * z)
+    return F.zip_with(x, against(draws, sigma, lambda z, s: z * s), lambda v, n: v + n)
 
 
 def mu_law(x: Column, mu: int = 255) -> Column:
@@ -182,7 +203,8 @@ def mu_law(x: Column, mu: int = 255) -> Column:
 
 def zero_span(x: Column, start: Column, width: int) -> Column:
     """The signal with samples ``start .. start + width`` set to zero."""
-    return F.transform(x, lambda v, i: F.when((i >= start) & (i < start + width), 0.0).otherwise(v))
+    tail = F.slice(x, start + width + 1, F.greatest(F.size(x) - start - width, F.lit(0)))
+    return F.concat(F.slice(x, F.lit(1), start), F.array_repeat(F.lit(0.0), width), tail)
 
 
 # --- relevance maps ---------------------------------------------------------------------------

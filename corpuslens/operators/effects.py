@@ -177,7 +177,8 @@ def relevance_table(df: DataFrame, bands: str, edges: Sequence[float], key: Sequ
 def salience_share(magnitudes: Column) -> Column:
     """Distribution of absolute relevance over bins of one clip; zeros stay zeros."""
     whole = signal.total(magnitudes)
-    return F.when(whole > 0, F.transform(magnitudes, lambda v: v / whole)).otherwise(magnitudes)
+    share = signal.against(magnitudes, F.nullif(whole, F.lit(0.0)), lambda v, t: v / t)
+    return F.when(whole > 0, share).otherwise(magnitudes)
 
 
 def completeness(df: DataFrame, relevance_sum: str, logit_without_bias: str) -> DataFrame:

@@ -54,8 +54,7 @@ def enrich(manifest: DataFrame, signals: DataFrame, key: str, target_rate: int)
 
     ``signals`` has the key, ``sample_rate`` and ``samples`` (frames x channels).
     """
-    s = signals.withColumn("_mono", signal.mono(F.col("samples")))
-    s = s.withColumn("_out", signal.clip_unit(dsp.resample(F.col("_mono"), F.col("sample_rate"), target_rate)))
+    s = signals.withColumn("_out", dsp.standardise(F.col("samples"), F.col("sample_rate"), target_rate))
     flat = F.flatten("samples")
     measures = s.select(
         key, F.col("sample_rate").cast("bigint").alias("source_sample_rate"),

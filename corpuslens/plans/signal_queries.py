@@ -73,10 +73,8 @@ def _(spark, sf):
        "(SELECT sample_id, list_transform(range(0,100), lambda i: samples[(i%64)+1]) AS y0 FROM signals)"), "signals")
 def _(spark, sf):
     # Mono, resampled to the same rate, fixed length, normalised: the whole preparation chain.
-    s = V.signals(spark, sf).withColumn("m", signal.mono(F.transform(X, lambda v: F.array(v, v))))
-    s = s.withColumn("r", dsp.resample(F.col("m"), F.col("sample_rate"), RATE))
-    s = s.withColumn("f", signal.fix_length(F.col("r"), 100))
-    return _digest(s.withColumn("y", signal.layer_norm(F.col("f"))), "y")
+    two = V.signals(spark, sf).withColumn("c", F.transform(X, lambda v: F.array(v, v)))
+    return _digest(two.withColumn("y", dsp.prepare(F.col("c"), F.col("sample_rate"), RATE, 100)), "y")
 
 
 @query("signal_frames", """
