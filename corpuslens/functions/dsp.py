@@ -26,18 +26,27 @@ def kernel_udf(schema: str):
     return wrap
 
 
-def by_length(series: pd.Series, kernel: Callable[[np.ndarray], np.ndarray]) -> list:
-    """Apply a matrix kernel to the rows of each length and restore the order."""
+CHUNK_VALUES = 1 << 21  # samples one matrix may hold, so that a batch of long signals stays small
+
+
+def by_length(series: pd.Series, kernel: Callable[..., np.ndarray], *aligned: np.ndarray) -> list:
+    """Apply a matrix kernel to rows of equal length, in bounded chunks, and restore the order.
+
+    ``aligned`` arrays have one entry per row and are cut like the rows.
+    """
     out: list = [None] * len(series)
     values = series.tolist()
     groups: dict[int, list[int]] = {}
     for i, v in enumerate(values):
         if v is not None:
             groups.setdefault(len(v), []).append(i)
-    for rows in groups.values():
-        result = kernel(np.array([values[i] for i in rows], dtype=np.float64))
-        for i, r in zip(rows, result):
-            out[i] = r.tolist()
+    for length, rows in groups.items():
+        step = max(1, CHUNK_VALUES // max(1, length))
+        for start in range(0, len(rows), step):
+            part = rows[start:start + step]
+            matrix = np.array([values[i] for i in part], dtype=np.float64)
+            for i, r in zip(part, kernel(matrix, *[a[part] for a in aligned])):
+                out[i] = r.tolist()
     return out
 
 
@@ -159,25 +168,25 @@ def keep_bands(samples: Column, kept: Column, rate: int, edges: Sequence[float],
     """
     owner = band_masks(np.fft.rfftfreq(win, 1.0 / rate), edges, "clipped")
 
+    def kernel(m: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        n, pad = m.shape[1], win // 2
+        starts, window, cover = _window_plan(n, win, hop)
+        padded = np.pad(m, ((0, 0), (pad, pad)))
+        view = np.lib.stride_tricks.sliding_window_view(padded, win, axis=1)[:, ::hop][:, :len(starts)]
+        parts = np.fft.irfft(np.fft.rfft(view * window, axis=-1) * masks[:, None, :], n=win, axis=-1)
+        y = np.zeros_like(padded)
+        for i, s in enumerate(starts):
+            y[:, s:s + win] += parts[:, i]
+        return (y / cover)[:, pad:pad + n]
+
     @kernel_udf("array<double>")
     def run(x: pd.Series, bands: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, bands):
-            if a is None or b is None:
-                out.append(None)
-                continue
-            mask = np.zeros(owner.shape[1])
-            for i in b:
-                mask[owner[int(i)]] = 1.0
-            n, pad = len(a), win // 2
-            starts, window, cover = _window_plan(n, win, hop)
-            padded = np.pad(np.asarray(a, dtype=np.float64), pad)
-            at = starts[:, None] + np.arange(win)
-            parts = np.fft.irfft(np.fft.rfft(padded[at] * window, axis=-1) * mask, n=win, axis=-1)
-            y = np.zeros(len(padded))
-            np.add.at(y, at, parts)
-            out.append((y / cover)[pad:pad + n].tolist())
-        return pd.Series(out)
+        masks = np.zeros((len(x), owner.shape[1]))
+        for row, b in enumerate(bands):
+            for i in () if b is None else b:
+                masks[row, owner[int(i)]] = 1.0
+        usable = pd.Series([a if b is not None else None for a, b in zip(x, bands)], dtype=object)
+        return pd.Series(by_length(usable, kernel, masks))
     return run(samples, kept)
 
 

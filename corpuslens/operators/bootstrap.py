@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions.keys import key_uniform, md5_key, poisson_weight
 from corpuslens.operators.order import attach_row, exact_quantiles
+from corpuslens.session import spread
 
 
 def with_weights(df: DataFrame, key: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Add ``_weights``, one integer per replicate, drawn once per row before it is unpivoted."""
-    return df.withColumn("_weights", F.transform(
+    return spread(df, *key).withColumn("_weights", F.transform(
         F.sequence(F.lit(0), F.lit(n_boot - 1)),
         lambda b: poisson_weight(key_uniform(md5_key(F.lit(str(seed)), b, *key)))))
 
@@ -31,7 +32,7 @@ def replicates(df: DataFrame, key: Sequence[str], n_boot: int, seed: int) -> Dat
         rows = df.select(*[c for c in df.columns if c != "_weights"],
                          F.posexplode("_weights").alias("_b", "_w"))
     else:
-        rows = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn(
+        rows = spread(df, *key).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn(
             "_w", poisson_weight(key_uniform(md5_key(F.lit(str(seed)), "_b", *key))))
     return rows.filter(F.col("_w") > 0)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.functions import dsp, signal
 from corpuslens.operators import bootstrap, sampling, stats
 from corpuslens.operators.order import attach_row
+from corpuslens.session import spread
 
 Scorer = Callable[[Column], Column]
 
@@ -46,7 +47,8 @@ def _np(freqs: Sequence[float]):
 # --- band removal -----------------------------------------------------------------------------
 
 def band_drops(df: DataFrame, scorer: Scorer, rate: int, edges: Sequence[float], win: int, hop: int,
-               samples: str = "samples", bands: Sequence[int] | None = None) -> DataFrame:
+               samples: str = "samples", bands: Sequence[int] | None = None,
+               key: str = "sample_id") -> DataFrame:
     """Add ``drop_<band>``: score of the whole signal minus score without that band (C11).
 
     The clip x band product is a set of columns of one projection: the kernels share one
@@ -54,7 +56,7 @@ def band_drops(df: DataFrame, scorer: Scorer, rate: int, edges: Sequence[float],
     """
     chosen = range(len(edges) - 1) if bands is None else bands
     base = scorer(F.col(samples))
-    masked = df.withColumn("_base", base)
+    masked = spread(df, key).withColumn("_base", base)
     for b in chosen:
         without = dsp.drop_bands(F.col(samples), F.array(F.lit(b)), rate, edges, win, hop)
         masked = masked.withColumn(f"_without_{b}", without)

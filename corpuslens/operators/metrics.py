@@ -27,14 +27,13 @@ def roc_points(df: DataFrame, by: Sequence[str], score: str, label: str,
     counts = score_counts(df, by, score, label).withColumn("_order", -F.col("score"))
     placed = prefix_sums(counts, by, "_order", {"_tp": F.col("pos"), "_fp": F.col("neg")},
                          following=["pos", "neg"], buckets=buckets)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     nxt = F.col("following")
     keep = ((F.col("_tp") + F.col("_fp") == 0) | nxt.isNull()
             | (nxt["pos"] != F.col("pos")) | (nxt["neg"] != F.col("neg")))
-    return placed.filter(keep).join(totals, list(by)).select(
+    return placed.filter(keep).select(
         *by, F.col("score").alias("threshold"),
-        ((F.col("_fp") + F.col("neg")) / F.col("_n")).alias("fpr"),
-        (F.lit(1.0) - (F.col("_tp") + F.col("pos")) / F.col("_p")).alias("fnr"))
+        ((F.col("_fp") + F.col("neg")) / F.col("_fp_total")).alias("fpr"),
+        (F.lit(1.0) - (F.col("_tp") + F.col("pos")) / F.col("_tp_total")).alias("fnr"))
 
 
 def equal_error_rate(df: DataFrame, by: Sequence[str], score: str, label: str,

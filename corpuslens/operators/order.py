@@ -60,15 +60,19 @@ def _sum_before(df: DataFrame, by: Sequence[str], bucket: Sequence[str], order:
         *([F.min_by(ahead, order[0]).alias("_first")] if following else []))
     across = Window.partitionBy(*by).orderBy(*bucket)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, *bucket, *[
-        F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}")
-        for name in weights], *([F.lead("_first").over(across).alias("_ahead")] if following else []))
+    whole = Window.partitionBy(*by)
+    totals = totals.select(
+        *by, *bucket,
+        *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in weights],
+        *[F.sum(f"_t_{name}").over(whole).alias(f"{name}_total") for name in weights],
+        *([F.lead("_first").over(across).alias("_ahead")] if following else []))
     here = Window.partitionBy(*by, *bucket).orderBy(*order)
     inside = here.rowsBetween(Window.unboundedPreceding, -1)
     joined = keyed.join(totals, [*by, *bucket])
     columns = [F.col(c) for c in df.columns if c not in bucket]
     columns += [(F.col(f"_o_{name}") + F.coalesce(F.sum(f"_w_{name}").over(inside), F.lit(0))).alias(name)
                 for name in weights]
+    columns += [F.col(f"{name}_total") for name in weights]
     if following:
         columns.append(F.coalesce(F.lead(ahead).over(here), F.col("_ahead")).alias("following"))
     return joined.select(*columns)
@@ -77,7 +81,8 @@ def _sum_before(df: DataFrame, by: Sequence[str], bucket: Sequence[str], order:
 def prefix_sums(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, Column], *,
                 tie: str | None = None, following: Sequence[str] = (),
                 buckets: int | None = None) -> DataFrame:
-    """Add, per weight, its sum over the rows of the group that come strictly before.
+    """Add, per weight, its sum over the rows of the group that come strictly before, and
+    as ``<weight>_total`` its sum over the whole group.
 
     Order is by ``value`` and then by ``tie`` (a number in [0, 1)).  Without a tie
     column the values must be distinct inside a group.  ``following`` names columns
@@ -96,7 +101,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, *, weight: str |
         (F.sum(weight) if weight else F.count(F.lit(1))).alias("ties"))
     ranked = prefix_sums(counts, by, value, {"_before": F.col("ties")}, buckets=buckets)
     rank = F.col("_before") + (F.col("ties") + 1) / F.lit(2.0)
-    return ranked.withColumn("rank", rank).drop("_before")
+    return ranked.withColumn("rank", rank).drop("_before", "_before_total")
 
 
 def with_average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, *,
@@ -139,7 +144,7 @@ def ordinal_ranks(df: DataFrame, by: Sequence[str], value: str, key: Sequence[st
     """1-based ordinal rank by value, ties settled by the hash of ``key``."""
     keyed = df.withColumn("_tie", key_number(md5_key(*key)).cast("double") / F.lit(4294967296.0))
     placed = prefix_sums(keyed, by, value, {"_before": F.lit(1)}, tie="_tie", buckets=buckets)
-    return placed.withColumn(out, F.col("_before") + 1).drop("_before", "_tie")
+    return placed.withColumn(out, F.col("_before") + 1).drop("_before", "_before_total", "_tie")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], *,
@@ -150,15 +155,13 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     if weight:
         counts = counts.filter(F.col("_c") > 0)
     placed = prefix_sums(counts, by, value, {"_pre": F.col("_c")}, buckets=buckets)
-    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    joined = placed.join(sizes, list(by))
     aggs = []
     for name, p in probs.items():
-        spot = F.lit(float(p)) * (F.col("_n") - 1)
+        spot = F.lit(float(p)) * (F.col("_pre_total") - 1)
         for side, k in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
             hit = (F.col("_pre") <= k) & (k < F.col("_pre") + F.col("_c"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}_{name}"))
-    picked = joined.groupBy(*by).agg(F.first("_n").alias("_n"), *aggs)
+    picked = placed.groupBy(*by).agg(F.max("_pre_total").alias("_n"), *aggs)
     out = []
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("_n") - 1)

@@ -12,7 +12,7 @@ from corpuslens.operators import (audit, compare, effects, metrics, models, prof
 from corpuslens.operators.order import attach_row
 from corpuslens.profiles import Profile
 from corpuslens.schemas import MANIFEST_COLUMNS
-from corpuslens.session import freeze
+from corpuslens.session import freeze, spread
 from corpuslens.sources import sinks
 
 
@@ -222,7 +222,7 @@ def faithfulness_rows(clips: DataFrame, scorer: effects.Scorer, rate: int, edges
     by_bin = F.aggregate(
         F.slice(F.col("_tf.r_tf"), F.lit(2), F.size(F.col("_tf.r_tf"))), F.get(F.col("_tf.r_tf"), F.lit(0)),
         lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
-    c = clips.withColumn("_tf", tf).withColumn("_bins", by_bin)
+    c = spread(clips, "sample_id").withColumn("_tf", tf).withColumn("_bins", by_bin)
     c = c.withColumn("predicted", F.col("logit") > 0).withColumn(
         "ranking", sampling.ranked_bands(effects.band_sums(F.col("_bins"), freqs, edges, "last_closed"), F.col("logit") > 0))
     p = scorer(F.col("samples"))

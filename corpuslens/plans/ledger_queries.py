@@ -118,7 +118,7 @@ def _archive(spark, sf):
     members = c.select(F.concat_ws("/", "split", F.lit("wav"), "speaker", F.concat(name, F.lit(".wav"))).alias("name"),
                        F.length("text").cast("bigint").alias("size"), F.lit(True).alias("is_regular"))
     speakers = c.select("speaker", "conv_id").distinct().select(F.concat(
-        F.when(V.draw("sp", "conv_id", 40) == 0, F.concat("speaker", F.lit("?"))).otherwise(F.col("speaker")),
+        F.when(V.draw("sp", "conv_id", 10) == 0, F.concat("speaker", F.lit("?"))).otherwise(F.col("speaker")),
         F.lit("\tB\tfemale\tnorth")).alias("value"))
     labels = c.select(F.when(V.draw("lb", "utt", 5) == 0, F.concat(F.lit("# "), F.col("utt")))
                       .otherwise(F.concat(F.col("utt"), F.lit("|p"), F.col("turn").cast("string"))).alias("value"))
@@ -143,13 +143,13 @@ def _(spark, sf):
 @query("archive_manifest", f"""
 SELECT cu AS utt_id, split, split||'/wav/'||substr(cu,1,7)||'/'||cu||'.wav' AS archive_member_path, substr(cu,1,7) AS speaker_id, 'female' AS gender, 'B' AS age, 'north' AS accent,
  rtrim(replace(text,chr(10),' '),' ') AS transcription, CASE WHEN {h('lb','cu')}%5=0 THEN '' ELSE 'p'||turn END AS pinyin, CASE WHEN {h('lb','cu')}%5=0 THEN 'no' ELSE 'yes' END AS prosody_available,
- 'content.txt' AS metadata_source_file, (conv_id*1000+turn)::VARCHAR AS metadata_source_row FROM arch_pairs WHERE cu IS NOT NULL AND mu IS NOT NULL AND {h('sp','conv_id')}%40<>0""", "arch_pairs")
+ 'content.txt' AS metadata_source_file, (conv_id*1000+turn)::VARCHAR AS metadata_source_row FROM arch_pairs WHERE cu IS NOT NULL AND mu IS NOT NULL AND {h('sp','conv_id')}%10<>0""", "arch_pairs")
 def _(spark, sf):
     return protocols.read_archive_manifest(*_archive(spark, sf))["manifest"]
 
 
 @query("archive_problems", f"""
-SELECT 'unknown_speaker' AS rule, cu AS key, substr(cu,1,7) AS detail FROM arch_pairs WHERE cu IS NOT NULL AND mu IS NOT NULL AND {h('sp','conv_id')}%40=0""", "arch_pairs")
+SELECT 'unknown_speaker' AS rule, cu AS key, substr(cu,1,7) AS detail FROM arch_pairs WHERE cu IS NOT NULL AND mu IS NOT NULL AND {h('sp','conv_id')}%10=0""", "arch_pairs")
 def _(spark, sf):
     return protocols.read_archive_manifest(*_archive(spark, sf))["problems"]
 
@@ -538,3 +538,31 @@ def _(spark, sf):
 def _(spark, sf):
     model, held, _ = _surrogate(spark, sf)
     return models.permutation_importance(model, held, V.BAND_COLUMNS, "p_spoof_ad", "sample_id")
+
+
+# --- streams ----------------------------------------------------------------------------------
+
+QUOTA = 40
+
+
+@query("stream_class_quota", f"SELECT label, least(count(*), {QUOTA}) AS n FROM embeddings GROUP BY label")
+def _(spark, sf):
+    from corpuslens.streaming.quota import first_per_class
+    still = V.table(spark, sf, "embeddings").select("vec_id", "label")
+    stream = (spark.readStream.schema(V.table(spark, sf, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet")
+              .parquet(sf).select(*still.columns))
+    out = scratch_path(spark, "quota")
+    done = (first_per_class(stream, "label", QUOTA).writeStream.outputMode("append").format("parquet").option("path", out)
+            .option("checkpointLocation", scratch_path(spark, "quota-state")).trigger(availableNow=True).start())
+    done.awaitTermination()
+    return spark.read.schema(still.schema).parquet(out).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_ledger_upsert", "SELECT utt_id, split, archive_name, member_size FROM ledger", "ledger")
+def _(spark, sf):
+    from corpuslens.streaming.ledger_stream import read_versioned, upsert_stream
+    source, root = scratch_path(spark, "ledger-in"), scratch_path(spark, "ledger-out")
+    V.ledger(spark, sf).write.parquet(source)
+    stream = spark.readStream.schema(schemas.LEDGER).parquet(source)
+    upsert_stream(stream, root, scratch_path(spark, "ledger-state")).awaitTermination()
+    return read_versioned(spark, root).select("utt_id", "split", "archive_name", "member_size")

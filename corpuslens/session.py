@@ -59,3 +59,14 @@ def freeze(df: DataFrame) -> DataFrame:
 def default_buckets(spark: SparkSession) -> int:
     """Range buckets for distributed ranks: follows the cluster's shuffle width."""
     return max(4, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows evenly over all task slots before work that costs far more than a shuffle.
+
+    Resampling and re-scoring multiply every row by hundreds; a file read as one split, or a
+    few large files among small ones, would keep that work in a few tasks.
+    """
+    spark = df.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(slots, *keys)
