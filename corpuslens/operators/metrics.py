@@ -18,9 +18,8 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> Da
         F.sum(1 - F.col(label).cast("long")).alias("neg"))
 
 
-def roc_points(df: DataFrame, by: Sequence[str], score: str, label: str,
-               buckets: int | None = None) -> DataFrame:
-    """Operating points by falling threshold, collinear inner points left out.
+def _points(df: DataFrame, by: Sequence[str], score: str, label: str, buckets: int | None) -> DataFrame:
+    """Operating points with their counts, collinear inner points left out.
 
     A point is collinear when the next threshold adds exactly the counts that this one added.
     """
@@ -30,28 +29,41 @@ def roc_points(df: DataFrame, by: Sequence[str], score: str, label: str,
     nxt = F.col("following")
     keep = ((F.col("_tp") + F.col("_fp") == 0) | nxt.isNull()
             | (nxt["pos"] != F.col("pos")) | (nxt["neg"] != F.col("neg")))
-    return placed.filter(keep).select(
-        *by, F.col("score").alias("threshold"),
-        ((F.col("_fp") + F.col("neg")) / F.col("_fp_total")).alias("fpr"),
-        (F.lit(1.0) - (F.col("_tp") + F.col("pos")) / F.col("_tp_total")).alias("fnr"))
+    rows = placed.filter(keep).select(
+        *by, F.col("score").alias("threshold"), (F.col("_tp") + F.col("pos")).alias("tp"),
+        (F.col("_fp") + F.col("neg")).alias("fp"), F.col("_tp_total").alias("p"), F.col("_fp_total").alias("n"))
+    return rows.withColumn("fpr", F.col("fp") / F.col("n")).withColumn(
+        "fnr", F.lit(1.0) - F.col("tp") / F.col("p"))
 
 
-def equal_error_rate(df: DataFrame, by: Sequence[str], score: str, label: str,
-                     buckets: int | None = None) -> DataFrame:
-    """First point of least |fnr - fpr|, starting from the empty point at infinity."""
-    points = roc_points(df, by, score, label, buckets)
+def roc_points(df: DataFrame, by: Sequence[str], score: str, label: str,
+               buckets: int | None = None) -> DataFrame:
+    """Operating points by falling threshold."""
+    return _points(df, by, score, label, buckets).select(*by, "threshold", "fpr", "fnr")
+
+
+def _best_point(df: DataFrame, by: Sequence[str], score: str, label: str, buckets: int | None) -> DataFrame:
+    """First point of least |fnr - fpr| per group, starting from the empty point at infinity."""
     inf = F.lit(float("inf"))
+    zero = F.lit(0).cast("bigint")
+
+    def candidate(gap: Column, order: Column, *values: Column) -> Column:
+        names = ("fpr", "fnr", "threshold", "tp", "fp")
+        return F.struct(gap.alias("gap"), order.alias("order"), *[v.alias(n) for v, n in zip(values, names)])
 
-    def candidate(gap: Column, order: Column, fpr: Column, fnr: Column, threshold: Column) -> Column:
-        return F.struct(gap.alias("gap"), order.alias("order"), fpr.alias("fpr"), fnr.alias("fnr"),
-                        threshold.alias("threshold"))
+    here = candidate(F.abs(F.col("fnr") - F.col("fpr")), -F.col("threshold"), F.col("fpr"), F.col("fnr"),
+                     F.col("threshold"), F.col("tp"), F.col("fp"))
+    start = candidate(F.lit(1.0), -inf, F.lit(0.0), F.lit(1.0), inf, zero, zero)
+    best = _points(df, by, score, label, buckets).groupBy(*by).agg(
+        F.least(F.min(here), start).alias("b"), F.max("p").alias("p"), F.max("n").alias("n"))
+    return best.select(*by, ((F.col("b.fpr") + F.col("b.fnr")) / 2).alias("eer"), "b.threshold", "b.tp", "b.fp",
+                       "p", "n")
 
-    here = candidate(F.abs(F.col("fnr") - F.col("fpr")), -F.col("threshold"), F.col("fpr"),
-                     F.col("fnr"), F.col("threshold"))
-    start = candidate(F.lit(1.0), -inf, F.lit(0.0), F.lit(1.0), inf)
-    best = points.groupBy(*by).agg(F.least(F.min(here), start).alias("b"))
-    return best.select(*by, ((F.col("b.fpr") + F.col("b.fnr")) / 2).alias("eer"),
-                       F.col("b.threshold").alias("threshold"))
+
+def equal_error_rate(df: DataFrame, by: Sequence[str], score: str, label: str,
+                     buckets: int | None = None) -> DataFrame:
+    """EER and the threshold that reaches it."""
+    return _best_point(df, by, score, label, buckets).select(*by, "eer", "threshold")
 
 
 def det_points(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
@@ -81,22 +93,16 @@ def _accuracy(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
 
 def evaluate(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """EER in percent with MCC and accuracy at its threshold and at one half."""
-    eer = equal_error_rate(df, by, score, label)
-    t, s = F.col(label) == 1, F.col(score)
-    joined = df.join(eer, list(by))
-    aggs = []
-    for tag, pred in (("eer", s >= F.col("threshold")), ("half", s >= 0.5)):
-        aggs += [F.count_if(t & pred).alias(f"_tp_{tag}"), F.count_if(~t & ~pred).alias(f"_tn_{tag}"),
-                 F.count_if(~t & pred).alias(f"_fp_{tag}"), F.count_if(t & ~pred).alias(f"_fn_{tag}")]
-    counts = joined.groupBy(*by, "eer", "threshold").agg(*aggs)
-
-    def four(tag: str):
-        return [F.col(f"_{c}_{tag}") for c in ("tp", "tn", "fp", "fn")]
-
-    return counts.select(
+    # The point itself holds the counts at its threshold, so the rows are not met again.
+    best = _best_point(df, by, score, label, None)
+    half = confusion(df, by, label, F.col(score) >= 0.5).select(
+        *by, *[F.col(c).alias(f"_{c}") for c in ("tp", "tn", "fp", "fn")])
+    at_eer = [F.col("tp"), F.col("n") - F.col("fp"), F.col("fp"), F.col("p") - F.col("tp")]
+    at_half = [F.col(f"_{c}") for c in ("tp", "tn", "fp", "fn")]
+    return best.join(half, list(by)).select(
         *by, (F.col("eer") * 100.0).alias("eer"), F.col("threshold").alias("eer_threshold"),
-        matthews(*four("eer")).alias("mcc_eer"), _accuracy(*four("eer")).alias("acc_eer"),
-        matthews(*four("half")).alias("mcc_half"), _accuracy(*four("half")).alias("acc_half"))
+        matthews(*at_eer).alias("mcc_eer"), _accuracy(*at_eer).alias("acc_eer"),
+        matthews(*at_half).alias("mcc_half"), _accuracy(*at_half).alias("acc_half"))
 
 
 def confusion_grid(df: DataFrame, by: Sequence[str], label: str, pred: Column) -> DataFrame:
