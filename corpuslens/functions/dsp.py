@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from corpuslens.functions import signal
+
 
 def kernel_udf(schema: str):
     """Scalar Pandas UDF that the optimizer leaves in a projection of its own.
@@ -269,3 +271,9 @@ def resample(samples: Column, source_rate: Column, target_rate: int) -> Column:
             out.append(_to_rate(np.asarray(a, dtype=np.float64), int(rate), target_rate).tolist())
         return pd.Series(out)
     return run(samples, source_rate)
+
+
+def telephony(samples: Column, rate: int, narrow: int = 8000) -> Column:
+    """Narrow band, eight-bit mu-law and back to the original rate."""
+    thin = resample(samples, F.lit(rate), narrow)
+    return resample(signal.mu_law(thin), F.lit(narrow), rate)

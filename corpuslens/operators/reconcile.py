@@ -10,6 +10,15 @@ from corpuslens.functions import keys, text
 from corpuslens.profiles import Profile
 
 
+def one_per_key(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per key, the least of its copies.
+
+    Repeated keys are violations of their own; collapsing them map-side keeps a join one to
+    one, so a key with very many copies never multiplies.  The later join reuses the shuffle.
+    """
+    return df.groupBy(*key).agg(F.min(F.struct(*columns)).alias("_row")).select(*key, "_row.*")
+
+
 def reduce_to(right: DataFrame, left: DataFrame, key: str = "utt_id") -> DataFrame:
     """Rows of the right side whose key the left side knows."""
     return right.join(left.select(key), key, "left_semi")
@@ -18,10 +27,12 @@ def reduce_to(right: DataFrame, left: DataFrame, key: str = "utt_id") -> DataFra
 def paired(left: DataFrame, right: DataFrame, profile: Profile,
            fields: Sequence[str] = ("spk_id", "gender"), key: str = "utt_id") -> DataFrame:
     """Full outer join of two protocols with a list of differing fields per shared id."""
-    l = left.select(F.col(key), F.col("split").alias("_ls"), F.col("label").alias("left_label"),
-                    *[F.col(f).alias(f"_l_{f}") for f in fields])
-    r = right.select(F.col(key), F.col("split").alias("_rs"), F.col("key").alias("right_label"),
-                     *[F.col(f).alias(f"_r_{f}") for f in fields])
+    l = one_per_key(left, [key], ["split", "label", *fields]).select(
+        F.col(key), F.col("split").alias("_ls"), F.col("label").alias("left_label"),
+        *[F.col(f).alias(f"_l_{f}") for f in fields])
+    r = one_per_key(right, [key], ["split", "key", *fields]).select(
+        F.col(key), F.col("split").alias("_rs"), F.col("key").alias("right_label"),
+        *[F.col(f).alias(f"_r_{f}") for f in fields])
     both = l.join(r, key, "full_outer")
     shared = F.col("_ls").isNotNull() & F.col("_rs").isNotNull()
     agrees = profile.equivalent_label(F.col("left_label")) == F.col("right_label")
@@ -81,7 +92,8 @@ def overlap_evidence(pairs: DataFrame, profile: Profile) -> DataFrame:
 
 def with_evidence(left: DataFrame, right: DataFrame, key: str = "utt_id") -> DataFrame:
     """Optional codec and group of the other publisher, empty when absent."""
-    r = right.select(F.col(key), F.col("codec").alias("_codec"), F.col("tmp").alias("_tmp"))
+    r = one_per_key(right, [key], ["codec", "tmp"]).select(
+        F.col(key), F.col("codec").alias("_codec"), F.col("tmp").alias("_tmp"))
     return left.join(r, key, "left").withColumn(
         "protocol_codec", text.strip_dashes(F.col("_codec"))).withColumn(
         "source_group_id", text.strip_dashes(F.col("_tmp"))).drop("_codec", "_tmp")
@@ -89,9 +101,9 @@ def with_evidence(left: DataFrame, right: DataFrame, key: str = "utt_id") -> Dat
 
 def two_sided(content: DataFrame, members: DataFrame) -> DataFrame:
     """Content lines against signal members, one row per id with side flags (C4)."""
-    c = content.select("split", "utt_id", "line_no", "transcription").withColumn("_c", F.lit(True))
-    m = members.select("split", "utt_id", F.col("name").alias("archive_member_path")).withColumn(
-        "_m", F.lit(True))
+    c = one_per_key(content, ["split", "utt_id"], ["line_no", "transcription"]).withColumn("_c", F.lit(True))
+    m = one_per_key(members, ["split", "utt_id"], ["name"]).select(
+        "split", "utt_id", F.col("name").alias("archive_member_path"), F.lit(True).alias("_m"))
     return c.join(m, ["split", "utt_id"], "full_outer").withColumn(
         "side", F.when(F.col("_m").isNull(), "content_only").when(F.col("_c").isNull(), "member_only")
         .otherwise("both")).drop("_c", "_m")
@@ -119,8 +131,8 @@ def archive_manifest(pairs: DataFrame, speakers: DataFrame, labels: DataFrame,
     """Manifest of matched ids with speaker and label lookups, and unknown speakers."""
     matched = pairs.filter(F.col("side") == "both").withColumn(
         "speaker_id", F.substring("utt_id", 1, 7))
-    s = speakers.select("speaker_id", "gender", "age", "accent", F.lit(True).alias("_known"))
-    tagged = labels.select("utt_id", "pinyin", F.lit(True).alias("_tagged"))
+    s = one_per_key(speakers, ["speaker_id"], ["gender", "age", "accent"]).withColumn("_known", F.lit(True))
+    tagged = one_per_key(labels, ["utt_id"], ["pinyin"]).withColumn("_tagged", F.lit(True))
     full = matched.join(s, "speaker_id", "left").join(tagged, "utt_id", "left")
     unknown = full.filter(F.col("_known").isNull()).select(
         F.lit("unknown_speaker").alias("rule"), F.col("utt_id").alias("key"),
@@ -137,19 +149,23 @@ def archive_manifest(pairs: DataFrame, speakers: DataFrame, labels: DataFrame,
 def valid_extractions(targets: DataFrame, ledger: DataFrame, archives: DataFrame,
                       inventory: DataFrame) -> DataFrame:
     """Targets whose ledger row, archive checksum and content hash all hold."""
-    l = ledger.select("utt_id", "split", "archive_name", "archive_md5", "sha256_extracted")
-    a = archives.select("archive_name", F.lower("checksum").alias("_official"))
-    i = inventory.select("utt_id", F.col("sha256").alias("_actual"))
-    return (targets.join(l, ["utt_id", "split"]).join(a, "archive_name").join(i, "utt_id")
-            .filter((F.lower("archive_md5") == F.col("_official"))
-                    & (F.col("sha256_extracted") == F.col("_actual")))
-            .select("utt_id", "split"))
+    l = ledger.select("utt_id", "split", "archive_name", F.lower("archive_md5").alias("_md5"),
+                      F.col("sha256_extracted").alias("_sha"))
+    a = archives.select("archive_name", F.lower("checksum").alias("_md5"))
+    i = inventory.select("utt_id", F.col("sha256").alias("_sha"))
+    held = l.join(a, ["archive_name", "_md5"], "left_semi").join(i, ["utt_id", "_sha"], "left_semi")
+    return targets.select("utt_id", "split").join(held, ["utt_id", "split"], "left_semi")
+
+
+def ledger_order(ledger: DataFrame) -> DataFrame:
+    """Split, then id."""
+    return ledger.orderBy("split", "utt_id")
 
 
 def outstanding(targets: DataFrame, valid: DataFrame, inventoried: DataFrame) -> DataFrame:
     """Per split: targets, valid, still to do, and never seen in any inventory."""
     flagged = (targets.select("utt_id", "split")
-               .join(valid.select("utt_id", F.lit(True).alias("_v")), "utt_id", "left")
+               .join(valid.select("utt_id", F.lit(True).alias("_v")).distinct(), "utt_id", "left")
                .join(inventoried.select("utt_id", F.lit(True).alias("_i")).distinct(), "utt_id", "left"))
     return flagged.groupBy("split").agg(
         F.count(F.lit(1)).alias("targets"), F.count("_v").alias("valid"),

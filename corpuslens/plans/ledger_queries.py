@@ -181,7 +181,7 @@ def _(spark, sf):
 @query("ledger_roundtrip", "SELECT utt_id, split, archive_name, archive_md5, member_name, member_size, sha256_extracted FROM ledger", "ledger")
 def _(spark, sf):
     path = scratch_path(spark, "ledger")
-    V.ledger(spark, sf).orderBy("split", "utt_id").write.parquet(path)
+    reconcile.ledger_order(V.ledger(spark, sf)).write.parquet(path)
     return sinks.read_ledger(spark, path)[0]
 
 
@@ -540,6 +540,66 @@ def _(spark, sf):
     return models.permutation_importance(model, held, V.BAND_COLUMNS, "p_spoof_ad", "sample_id")
 
 
+# --- whole stages -----------------------------------------------------------------------------
+
+@query("protocol_validation", f"""
+WITH c AS (SELECT p.*, CASE WHEN r.utt_id IS NULL THEN 0 ELSE 1 END AS seen, r.key FROM protocol p LEFT JOIN counterpart r ON p.utt_id=r.utt_id),
+ m AS (SELECT split, label, count(*) AS actual FROM c WHERE (label='pristine' AND key='bonafide') OR (label='generated' AND key='spoof') GROUP BY ALL)
+SELECT coalesce(m.split,e.split) AS split, coalesce(m.label,e.label) AS label, coalesce(actual,0) AS actual, coalesce(expected,0) AS expected, coalesce(actual,0)-coalesce(expected,0) AS difference
+FROM m FULL JOIN (SELECT * FROM (VALUES """ + ",".join(f"('{s}','{l}',{n}::BIGINT)" for (s, l), n in P.expected_counts.items()) + """) v(split,label,expected)) e ON m.split=e.split AND m.label=e.label""",
+       "protocol", "counterpart")
+def _(spark, sf):
+    return jobs.validate_protocols(V.protocol(spark, sf), V.counterpart(spark, sf), P)["counts"]
+
+
+@query("published_audit_counts", """
+SELECT concat_ws('_', CASE WHEN grouping(split)=0 THEN 'split' END, CASE WHEN grouping(label)=0 THEN 'label' END,
+    CASE WHEN grouping(spk_id)=0 THEN 'speaker' END, CASE WHEN grouping(attack_id)=0 THEN 'attack' END) AS counted, count(*) AS count
+FROM manifest GROUP BY CUBE (split, label, spk_id, attack_id) HAVING grouping(split)+grouping(label)+grouping(spk_id)+grouping(attack_id) < 4""", "manifest")
+def _(spark, sf):
+    root = scratch_path(spark, "audit")
+    jobs.audit_and_publish(V.measured(spark, sf), V.MEASURES, P, root)
+    return spark.read.parquet(f"{root}/counts").select("counted", "count")
+
+
+@query("confirmatory_stage", f"""
+WITH top AS (SELECT feature FROM (SELECT feature, max(abs(rho)) AS s FROM correlations GROUP BY feature) ORDER BY s DESC, feature LIMIT 3),
+ q AS (SELECT r.* FROM quadrant_rows r JOIN top USING (feature))
+SELECT detector, feature, {_r('(m1-m2)/sqrt(v1/n1+v2/n2)','statistic')} FROM (SELECT detector, feature,
+ count(value) FILTER (WHERE quadrant='TN') n1, avg(value) FILTER (WHERE quadrant='TN') m1, var_samp(value) FILTER (WHERE quadrant='TN') v1,
+ count(value) FILTER (WHERE quadrant='FP') n2, avg(value) FILTER (WHERE quadrant='FP') m2, var_samp(value) FILTER (WHERE quadrant='FP') v2 FROM q GROUP BY ALL)""",
+       "correlations", "quadrant_rows")
+def _(spark, sf):
+    m = V.master(spark, sf)
+    c = stats.within_class_correlation(m, rules.present_detectors(m.columns), V.BAND_COLUMNS)
+    t = jobs.confirmatory_stage(m, c, V.BAND_COLUMNS, 3).filter(F.col("test") == "welch_TN_vs_FP")
+    return rounded(t.select("detector", "feature", "statistic"), "statistic")
+
+
+@query("collected_samples", """
+SELECT sample_id, ground_truth FROM (SELECT *, row_number() OVER (PARTITION BY ground_truth ORDER BY md5('42:'||sample_id)) AS rn FROM signals) WHERE rn<=150""", "signals")
+def _(spark, sf):
+    return jobs.collect_samples(V.signals(spark, sf), "ground_truth", "sample_id", 150).select("sample_id", "ground_truth")
+
+
+@query("telephony_scores")
+def _(spark, sf):
+    from corpuslens.functions import dsp
+    s = V.signals(spark, sf).withColumn("y", dsp.telephony(F.col("samples"), V.SIGNAL_RATE, 32))
+    return s.select("sample_id", V.scorer(2)(F.col("y")).alias("score"))
+
+
+@query("run_comparison_tables")
+def _(spark, sf):
+    from corpuslens.operators import metrics
+    from corpuslens.plans.signal_queries import _run_relevance
+    scores = freeze(V.run_scores(spark, sf))
+    e = metrics.evaluate(scores, ["run"], "p_spoof", "ground_truth").select(
+        "run", F.lit("ad").alias("detector"), (F.col("eer") / 100).alias("eer"), F.col("mcc_eer").alias("mcc"), F.col("acc_eer").alias("accuracy"))
+    out = jobs.compare_runs(e, _run_relevance(spark, sf), scores, V.RUNS, excluded=["enc_c"])
+    return out["clip_agreement"].withColumn("kind", F.lit("clips")).unionByName(out["band_agreement"].withColumn("kind", F.lit("bands")))
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 QUOTA = 40
