@@ -32,19 +32,21 @@ def grouping_counts(df: DataFrame) -> DataFrame:
 def structured_counts(df: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:
     """Counts of several dimension tuples in long form, nulls kept as a group.
 
-    A tuple with a column the table lacks gives no rows.
+    A tuple with a column the table lacks gives no rows.  All tuples share one pass.
     """
-    out = None
-    for dims in groups:
-        if any(d not in df.columns for d in dims):
-            continue
-        value = F.concat_ws("|", *[F.coalesce(F.col(d).cast("string"), F.lit("<null>")) for d in dims])
-        part = df.groupBy(*dims).count().select(
-            F.lit("_".join(dims)).alias("counted"), value.alias("value"), "count")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    wanted = [list(dims) for dims in groups if all(d in df.columns for d in dims)]
+    if not wanted:
         return df.sparkSession.createDataFrame([], "counted string, value string, count long")
-    return out
+    columns = list(dict.fromkeys(d for dims in wanted for d in dims))
+    counts = df.groupingSets(wanted, *columns).agg(F.grouping_id(*columns).alias("_g"), F.count(F.lit(1)).alias("count"))
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for dims in wanted:
+        bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in dims)
+        here = F.col("_g") == bits
+        name = F.when(here, "_".join(dims)).otherwise(name)
+        value = F.when(here, F.concat_ws("|", *[
+            F.coalesce(F.col(d).cast("string"), F.lit("<null>")) for d in dims])).otherwise(value)
+    return counts.select(name.alias("counted"), value.alias("value"), "count")
 
 
 def group_counts(df: DataFrame, column: str = "source_group_id") -> DataFrame:

@@ -16,6 +16,7 @@ from corpuslens.functions.signal import sigmoid
 from corpuslens.operators import metrics, rules, sampling
 from corpuslens.operators.order import average_ranks, hash_positions
 from corpuslens.operators.rules import union_all
+from corpuslens.session import freeze
 
 # The six technical features, in order.
 TECHNICAL_FEATURES = ["source_duration_seconds", "source_rms", "source_peak", "source_silence_ratio",
@@ -137,7 +138,8 @@ def build_head(name: str = "logistic") -> Head:
 def out_of_fold(df: DataFrame, embedding: str, label: str, key: str, *, head: str = "logistic",
                 k: int = 5, seed: int = 42) -> DataFrame:
     """Every row scored once by a head that never saw it (H3)."""
-    folds = sampling.stratified_folds(df, label, [key], k, seed)
+    # Every fold and every pass of the optimiser reads the folds: write them once.
+    folds = freeze(sampling.stratified_folds(df, label, [key], k, seed).select(key, label, embedding, "fold"))
     parts = []
     for fold in range(k):
         fitted = build_head(head).fit(folds.filter(F.col("fold") != fold), embedding, label, seed)

@@ -16,21 +16,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.functions.keys import key_number, md5_key
 from corpuslens.session import default_buckets, freeze
 
-MAX_BROADCAST_GROUPS = 4096
+MAX_BROADCAST_CUTS = 1_000_000
 
 
 def _cut_points(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> tuple[DataFrame, bool]:
     """Per group, distinct approximate quantiles.  Their values only steer balance.
 
-    Few groups: the cut points come to the driver (bounded by groups x buckets)
-    and become literal data.  Many groups: they are frozen in the shared folder.
+    Few groups: the cut points come to the driver (at most ``MAX_BROADCAST_CUTS``
+    numbers) and become literal data.  Many groups: they are frozen in the shared folder.
     Either way both users of the cut points see the same numbers.
     """
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.groupBy(*by).agg(
         F.array_sort(F.array_distinct(F.percentile_approx(value, probs, buckets * 20))).alias("_cuts"))
-    head = edges.limit(MAX_BROADCAST_GROUPS + 1).collect()
-    if len(head) > MAX_BROADCAST_GROUPS:
+    most = MAX_BROADCAST_CUTS // buckets
+    head = edges.limit(most + 1).collect()
+    if len(head) > most:
         return freeze(edges), False
     return df.sparkSession.createDataFrame(head, edges.schema), True
 

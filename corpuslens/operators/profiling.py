@@ -61,8 +61,10 @@ def field_profiles(df: DataFrame, fields: Sequence[str], *, length_fields: Seque
     if approximate:
         distinct = cells.groupBy("field").agg(F.approx_count_distinct("value").alias("distinct_count"))
     else:
-        # A missing cell counts as one value of its own.
-        distinct = cells.distinct().groupBy("field").agg(F.count(F.lit(1)).alias("distinct_count"))
+        # A missing cell counts as one value of its own.  Long values travel as their digest.
+        short = F.when(F.length("value") <= 64, F.concat(F.lit("v"), F.col("value"))).otherwise(
+            F.concat(F.lit("h"), F.sha2("value", 256)))
+        distinct = cells.select("field", short.alias("_v")).distinct().groupBy("field").agg(F.count(F.lit(1)).alias("distinct_count"))
     out = base.join(distinct, "field").withColumn("nullable", F.col("missing_count") > 0)
     kind = F.when(is_len, "length").when(is_vote, "numeric").otherwise("categorical")
     out = out.withColumn("block", kind).withColumn(

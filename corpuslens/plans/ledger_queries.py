@@ -440,7 +440,7 @@ def _(spark, sf):
                            {"split": "hash of the id"}, {"eval": "ids of the two publishers differ"})
 
 
-@query("published_set")
+@query("published_set", "SELECT spk_id, utt_id, gender, codec, attack_id, label, native, language, dataset, split, 'kept' AS second_publication FROM protocol", "protocol")
 def _(spark, sf):
     root = scratch_path(spark, "published")
     p = V.protocol(spark, sf)
@@ -589,7 +589,11 @@ def _(spark, sf):
     return s.select("sample_id", V.scorer(2)(F.col("y")).alias("score"))
 
 
-@query("run_comparison_tables")
+@query("run_comparison_tables", f"""
+WITH r AS (SELECT run, sample_id, row_number() OVER (PARTITION BY run ORDER BY p_spoof, md5(sample_id::VARCHAR)) AS rk FROM run_scores),
+ b AS (SELECT run, band, row_number() OVER (PARTITION BY run ORDER BY relevance) AS rk FROM run_relevance)
+SELECT x.run AS run_a, y.run AS run_b, {_r('corr(x.rk,y.rk)','spearman')}, count(*) AS n, 'clips' AS kind FROM r x JOIN r y ON x.sample_id=y.sample_id AND x.run='enc_a' AND y.run='enc_b' GROUP BY ALL
+UNION ALL SELECT x.run, y.run, {_r('corr(x.rk,y.rk)','spearman')}, count(*), 'bands' FROM b x JOIN b y ON x.band=y.band AND x.run='enc_a' AND y.run='enc_b' GROUP BY ALL""", "run_scores", "run_relevance")
 def _(spark, sf):
     from corpuslens.operators import metrics
     from corpuslens.plans.signal_queries import _run_relevance
@@ -597,7 +601,8 @@ def _(spark, sf):
     e = metrics.evaluate(scores, ["run"], "p_spoof", "ground_truth").select(
         "run", F.lit("ad").alias("detector"), (F.col("eer") / 100).alias("eer"), F.col("mcc_eer").alias("mcc"), F.col("acc_eer").alias("accuracy"))
     out = jobs.compare_runs(e, _run_relevance(spark, sf), scores, V.RUNS, excluded=["enc_c"])
-    return out["clip_agreement"].withColumn("kind", F.lit("clips")).unionByName(out["band_agreement"].withColumn("kind", F.lit("bands")))
+    both = out["clip_agreement"].withColumn("kind", F.lit("clips")).unionByName(out["band_agreement"].withColumn("kind", F.lit("bands")))
+    return rounded(both, "spearman")
 
 
 # --- streams ----------------------------------------------------------------------------------

@@ -243,7 +243,21 @@ def _(spark, sf):
     return _digest(V.signals(spark, sf).withColumn("y", dsp.resample(X, F.col("sample_rate"), 48)), "y")
 
 
-@query("signal_enriched")
+_SRC = "list_concat(samples, list_transform(samples, lambda v: v*0.5))"
+_OUT = "list_transform(samples, lambda v: greatest(-1.0, least(1.0, v*0.75)))"
+
+
+@query("signal_enriched", f"""
+SELECT sample_id, 64::BIGINT AS source_sample_rate, 2::BIGINT AS source_channels, 64::BIGINT AS source_frames, 1.0::DOUBLE AS source_duration_seconds, {_r('list_max(list_transform(x, lambda v: abs(v)))','source_peak')},
+ {_r('sqrt(list_sum(list_transform(x, lambda v: v*v))/128)','source_rms')}, 64::BIGINT AS processed_sample_rate, 1::BIGINT AS processed_channels, 64::BIGINT AS processed_frames, 1.0::DOUBLE AS processed_duration_seconds,
+ {_r('list_max(list_transform(y, lambda v: abs(v)))','processed_peak')}, {_r('sqrt(list_sum(list_transform(y, lambda v: v*v))/64)','processed_rms')} FROM (SELECT sample_id, {_SRC} AS x, {_OUT} AS y FROM signals)""", "signals")
+def _(spark, sf):
+    s = V.signals(spark, sf).withColumn("samples", F.transform(X, lambda v: F.array(v, v * 0.5)))
+    e = jobs.enrich(V.signals(spark, sf).select("sample_id"), s, "sample_id", RATE)
+    return rounded(e, "source_peak", "source_rms", "processed_peak", "processed_rms")
+
+
+@query("signal_enriched_resampled")
 def _(spark, sf):
     s = V.signals(spark, sf).withColumn("samples", F.transform(X, lambda v: F.array(v, v * 0.5)))
     return jobs.enrich(V.signals(spark, sf).select("sample_id"), s, "sample_id", 48)
@@ -337,9 +351,35 @@ def _stage(spark, sf):
                                 V.BAND_COLUMNS, RATE, EDGES, WIN, HOP, n_boot=BOOT)
 
 
-@query("convergence_intervention")
-def _(spark, sf):
-    return _stage(spark, sf)["convergence"]
+VIEWS["halved"] = (("master",), """
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:'||sample_id)) <= (SELECT count(*)//2 FROM master) THEN 0 ELSE 1 END AS half FROM master""")
+VIEWS["half_strengths"] = (("halved",), f"""
+  SELECT detector, band, max(abs(rho)) AS strength, arg_max(rho, abs(rho)) AS signed FROM (
+   SELECT *, regexp_extract(feature,'band([0-9]+)_',1)::INTEGER - 1 AS band FROM ({S.correlations('(SELECT * FROM halved WHERE half=0)')})) GROUP BY ALL""")
+VIEWS["effects"] = (("half_strengths", "band_drops"), """
+  WITH r AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY strength DESC, band DESC) AS t, row_number() OVER (PARTITION BY detector ORDER BY strength, band) AS b FROM half_strengths),
+   p AS (SELECT 'zs' AS detector, sample_id, row_number() OVER (PARTITION BY quadrant_zs ORDER BY md5('42:'||sample_id)) AS rn FROM halved WHERE half=1
+     UNION ALL SELECT 'ad', sample_id, row_number() OVER (PARTITION BY quadrant_ad ORDER BY md5('42:'||sample_id)) FROM halved WHERE half=1),
+   d AS (SELECT 'zs' AS detector, sample_id, band, drop_zs AS d FROM band_drops UNION ALL SELECT 'ad', sample_id, band, drop_ad FROM band_drops)
+  SELECT p.detector, p.sample_id, sum(d*sign(signed)) FILTER (WHERE t=1) AS top, sum(d*sign(signed)) FILTER (WHERE b=1) AS bottom,
+    any_value(r.band) FILTER (WHERE t=1) AS top_band, any_value(r.band) FILTER (WHERE b=1) AS bottom_band
+  FROM p JOIN d ON p.detector=d.detector AND p.sample_id=d.sample_id JOIN r ON r.detector=d.detector AND r.band=d.band WHERE rn<=150 GROUP BY p.detector, p.sample_id""")
+
+
+@query("convergence_intervention", f"""
+WITH x AS (SELECT *, top-bottom AS diff FROM effects),
+ k AS (SELECT *, {S.average_rank('detector','abs(diff)')} AS rk FROM x WHERE diff<>0),
+ tie AS (SELECT detector, sum(c*c*c-c) AS tie FROM (SELECT detector, count(*)::DOUBLE AS c FROM k GROUP BY detector, abs(diff)) GROUP BY detector),
+ w AS (SELECT k.detector, count(*) AS n, coalesce(sum(rk) FILTER (WHERE diff>0),0) AS up, coalesce(sum(rk) FILTER (WHERE diff<0),0) AS dn, any_value(tie) AS tie FROM k JOIN tie USING (detector) GROUP BY k.detector),
+ z AS (SELECT detector, (least(up,dn)-n*(n+1)/4.0)/sqrt((n*(n+1)*(2*n+1)-tie/2)/24) AS z FROM w),
+ m AS (SELECT detector, b, quantile_cont(diff,0.5) AS med FROM (SELECT detector, diff, b, unnest(range(0, wt)) AS _ FROM (SELECT detector, diff, b, {S.boot_weight(42,'sample_id')} AS wt FROM x, range(0,{BOOT}) t(b))) GROUP BY ALL),
+ c AS (SELECT detector, quantile_cont(med,0.025) AS lo, quantile_cont(med,0.975) AS hi FROM m GROUP BY ALL)
+SELECT detector, 1 AS k_bands, any_value(top_band)::VARCHAR AS top_bands, any_value(bottom_band)::VARCHAR AS bottom_bands, count(*) AS n_pairs, {_r('median(diff)','median_diff')}, {_r('any_value(lo)','ci_low')},
+ {_r('any_value(hi)','ci_high')}, {_r('avg(diff)/stddev_samp(diff)','cohen_dz')}, {_r(S.normal_two_sided('any_value(z)'),'wilcoxon_p')}, {_r('avg(top)','mean_drop_top')}, {_r('avg(bottom)','mean_drop_bottom')}
+FROM x JOIN c USING (detector) JOIN z USING (detector) GROUP BY detector""", "effects")
+def _(spark, sf):
+    return rounded(_stage(spark, sf)["convergence"], "median_diff", "ci_low", "ci_high", "cohen_dz", "wilcoxon_p",
+                   "mean_drop_top", "mean_drop_bottom")
 
 
 # --- relevance --------------------------------------------------------------------------------
@@ -508,7 +548,21 @@ def _(spark, sf):
                                        F.array_join(sampling.complement(NB, k), ",").alias("complement"))
 
 
-@query("clip_export_manifest")
+_KHZ = "printf('%.2f',e.lo/1000)||'-'||printf('%.2f',e.hi/1000)"
+
+
+@query("clip_export_manifest", f"""
+WITH c AS (SELECT sample_id, CASE WHEN ground_truth=1 THEN 'spoof' ELSE 'bonafide' END AS true_class, samples FROM (SELECT *, row_number() OVER (PARTITION BY quadrant ORDER BY CASE WHEN p_spoof_ad>0.5 THEN -p_spoof_ad ELSE p_spoof_ad END, sample_id) AS rn
+   FROM (SELECT *, {S.quadrant('p_spoof_ad > 0.5')} AS quadrant FROM scored)) WHERE rn<=2),
+ b AS (SELECT c.sample_id, c.true_class, r.band, r.spoof, l.l2, {dot('c.samples', 2)} AS logit, {_KHZ} AS khz,
+   row_number() OVER (PARTITION BY c.sample_id ORDER BY CASE WHEN r.spoof THEN -r.r ELSE r.r END, r.band) AS top, row_number() OVER (PARTITION BY c.sample_id ORDER BY md5('0:'||c.sample_id||':'||r.band)) AS rnd
+   FROM c JOIN relevance_bands r ON r.sample_id=c.sample_id JOIN band_logits l ON l.sample_id=c.sample_id AND l.band=r.band JOIN edges e ON e.band=r.band),
+ v AS (SELECT *, 'keep_top2' AS variant, top<=2 AS kept FROM b UNION ALL SELECT *, 'delete_top2', top>2 FROM b UNION ALL SELECT *, 'keep_rand2', rnd<=2 FROM b UNION ALL SELECT *, 'delete_rand2', rnd>2 FROM b
+   UNION ALL SELECT *, 'original', true FROM b),
+ g AS (SELECT sample_id, true_class, spoof, variant, CASE WHEN variant='original' THEN any_value(logit) ELSE sum(l2) FILTER (WHERE kept) END AS z,
+   CASE WHEN variant='original' THEN 'all' ELSE string_agg(khz, '; ' ORDER BY band) FILTER (WHERE kept) END AS kept_bands_khz FROM v GROUP BY sample_id, true_class, spoof, variant)
+SELECT sample_id, true_class, CASE WHEN spoof THEN 'spoof' ELSE 'bonafide' END AS pred, variant, kept_bands_khz, round(CASE WHEN spoof THEN round(1/(1+exp(-z)),9) ELSE 1-round(1/(1+exp(-z)),9) END,4) AS p_pred FROM g""",
+       "scored", "relevance_bands", "band_logits", "edges")
 def _(spark, sf):
     r = _relevance_bands(spark, sf).withColumn("predicted", F.col("logit") > 0)
     best = sampling.confident_per_quadrant(V.scored(spark, sf), "ground_truth", "p_spoof_ad", "sample_id", 2).select(
