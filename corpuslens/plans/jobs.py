@@ -179,11 +179,12 @@ def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str,
     n = len(edges) - 1
     k = k or max(1, n // 3)
     tags = list(scorers)
-    split = sampling.halves(master, ["sample_id"], seed)
+    split = freeze(sampling.halves(master, ["sample_id"], seed))
     rank_half, test_half = split.filter(F.col("half") == 0), split.filter(F.col("half") == 1)
-    whole = stats.band_strength(stats.within_class_correlation(master, tags, features), tags, n)
-    half = stats.band_strength(stats.within_class_correlation(rank_half, tags, features), tags, n)
-    tables, tests = [], []
+    # Small tables that several branches read: the ranking behind them runs once.
+    whole = freeze(stats.band_strength(stats.within_class_correlation(master, tags, features), tags, n))
+    half = freeze(stats.band_strength(stats.within_class_correlation(rank_half, tags, features), tags, n))
+    tables, found = [], []
     for tag, scorer in scorers.items():
         quad = f"quadrant_{tag}"
         picked = sampling.up_to(master, [quad], ["sample_id"], per_quadrant, seed).select("sample_id")
@@ -193,11 +194,11 @@ def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str,
         held = sampling.up_to(test_half, [quad], ["sample_id"], per_quadrant, seed).select("sample_id")
         test_clips = signals.join(held, "sample_id").select("sample_id", "samples")
         test_drops = effects.band_drops(test_clips, scorer, rate, edges, win, hop).drop("samples")
-        effect = freeze(effects.oriented_effects(test_drops, half, tag, k, n).withColumn("detector", F.lit(tag)))
-        tests.append(stats.paired_test(effect.select("detector", "sample_id", "top_effect", "bottom_effect"),
-                                       ["detector"], "top_effect", "bottom_effect", ["sample_id"],
-                                       n_boot=n_boot, seed=seed))
-    occlusion = freeze(rules.union_all(tables))
+        found.append(effects.oriented_effects(test_drops, half, tag, k, n).select(
+            F.lit(tag).alias("detector"), "sample_id", "top_effect", "bottom_effect"))
+    tested = stats.paired_test(freeze(rules.union_all(found)), ["detector"], "top_effect", "bottom_effect",
+                               ["sample_id"], n_boot=n_boot, seed=seed)
+    occlusion = rules.union_all(tables)
     named = sampling.top_and_bottom(half, k)
 
     def listed(rank: str) -> Column:
@@ -205,7 +206,7 @@ def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str,
         return F.array_join(F.transform(F.array_sort(F.array_compact(F.collect_list(hit))), lambda s: s["b"]), ";")
 
     bands = named.groupBy("detector").agg(listed("top_rank").alias("top_bands"), listed("bottom_rank").alias("bottom_bands"))
-    convergence = rules.union_all(tests).join(bands, "detector").withColumn("k_bands", F.lit(k))
+    convergence = tested.join(bands, "detector").withColumn("k_bands", F.lit(k))
     return {"occlusion": occlusion, "agreement": effects.profile_agreement(occlusion, whole),
             "convergence": convergence}
 

@@ -329,7 +329,7 @@ SELECT detector, {_r('rho','rho_causal_vs_assoc')}, n AS n_bands FROM c"""
 @query("profile_agreement", _AGREE, "band_drops", "strengths")
 def _(spark, sf):
     m = V.master(spark, sf)
-    strength = stats.band_strength(stats.within_class_correlation(m, V.DETECTORS, V.BAND_COLUMNS), V.DETECTORS, NB)
+    strength = freeze(stats.band_strength(stats.within_class_correlation(m, V.DETECTORS, V.BAND_COLUMNS), V.DETECTORS, NB))
     occ = effects.occlusion_table(_drops(spark, sf, "zs"), "zs", EDGES, ["sample_id"], n_boot=2).unionByName(
         effects.occlusion_table(_drops(spark, sf), "ad", EDGES, ["sample_id"], n_boot=2))
     return rounded(effects.profile_agreement(occ, strength).drop("p_value"), "rho_causal_vs_assoc")
@@ -340,7 +340,7 @@ WITH r AS (SELECT *, row_number() OVER (ORDER BY strength DESC, band DESC) AS t,
 SELECT sample_id, {_r('sum(drop_ad*sign(signed)) FILTER (WHERE t<=2)/2','top_effect')}, {_r('sum(drop_ad*sign(signed)) FILTER (WHERE b<=2)/2','bottom_effect')}
 FROM band_drops d JOIN r ON d.band=r.band GROUP BY sample_id""", "band_drops", "strengths")
 def _(spark, sf):
-    strength = stats.band_strength(stats.within_class_correlation(V.master(spark, sf), V.DETECTORS, V.BAND_COLUMNS), V.DETECTORS, NB)
+    strength = freeze(stats.band_strength(stats.within_class_correlation(V.master(spark, sf), V.DETECTORS, V.BAND_COLUMNS), V.DETECTORS, NB))
     e = effects.oriented_effects(_drops(spark, sf), strength, "ad", 2, NB)
     return rounded(e.select("sample_id", "top_effect", "bottom_effect"), "top_effect", "bottom_effect")
 
