@@ -292,10 +292,13 @@ def _catalog(spark, sf):
     c = o.select(F.concat(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit(".tar")).alias("artifact"), "o_orderkey",
                  F.floor("o_totalprice").cast("bigint").alias("size"))
     st = V.draw("st", "o_orderkey", 7)
-    have = c.select(F.when(st.isin(2, 3, 4), F.concat("artifact", F.lit(".partial"))).otherwise(F.col("artifact")).alias("name"),
-                    F.when(st == 5, F.lit(0)).when(st.isin(1, 2), F.col("size") - 1).when(st == 4, F.col("size") + 1)
-                    .otherwise(F.col("size")).cast("bigint").alias("length"), st.alias("st")).filter(F.col("st") != 6).drop("st")
-    receipts = c.select("artifact", V.draw("rc", "o_orderkey", 2).alias("rc")).filter(F.col("rc") == 0).drop("rc")
+    # An absent file or receipt is one that lies under another name; every row stays.
+    name = (F.when(st.isin(2, 3, 4), F.concat("artifact", F.lit(".partial")))
+            .when(st == 6, F.concat(F.lit("elsewhere-"), F.col("artifact"))).otherwise(F.col("artifact")))
+    have = c.select(name.alias("name"), F.when(st == 5, F.lit(0)).when(st.isin(1, 2), F.col("size") - 1)
+                    .when(st == 4, F.col("size") + 1).otherwise(F.col("size")).cast("bigint").alias("length"))
+    receipts = c.select(F.when(V.draw("rc", "o_orderkey", 2) == 0, F.col("artifact")).otherwise(
+        F.concat(F.lit("elsewhere-"), F.col("artifact"))).alias("artifact"))
     return c.drop("o_orderkey"), have, receipts
 
 
@@ -416,12 +419,16 @@ def _(spark, sf):
     return protocols.read_manifest(spark, path)
 
 
-@query("numbered_lines", "SELECT n AS line_no, count(*) AS files FROM (SELECT unnest(range(1, (SELECT count(*) FROM documents)+1)) AS n) GROUP BY n")
+@query("numbered_lines", "SELECT count(*) AS lines, true AS contiguous FROM documents")
 def _(spark, sf):
     from corpuslens.sources.text_lines import numbered_lines
     path = scratch_path(spark, "lines")
-    V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("value")).coalesce(1).write.text(path)
-    return numbered_lines(spark, path).groupBy("line_no").agg(F.count(F.lit(1)).alias("files"))
+    V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("value")).write.text(path)
+    n = F.count(F.lit(1))
+    per_file = numbered_lines(spark, path).groupBy("file").agg(
+        n.alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.sum("line_no").alias("s"))
+    whole = (F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("s") * 2 == F.col("n") * (F.col("n") + 1))
+    return per_file.agg(F.sum("n").alias("lines"), F.bool_and(whole).alias("contiguous"))
 
 
 @query("file_inventory_and_hashes")

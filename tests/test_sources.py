@@ -171,3 +171,13 @@ def test_profiles_are_frozen():
     with pytest.raises(TypeError):
         ENGLISH.prefixes["train"] = "X"
     assert isinstance(PORTUGUESE, Profile) and MANDARIN.expected_counts[("dev", "generated")] == 7497
+
+
+def test_processed_manifest_types_and_present_detectors(spark, tmp_path):
+    row = {f.name: (1 if f.dataType.typeName() == "long" else 0.5 if f.dataType.typeName() == "double" else "x") for f in schemas.PROCESSED.fields}
+    row["protocol_codec"] = ""
+    df = spark.createDataFrame([tuple(row.values())], schemas.PROCESSED)
+    sinks.write_manifest(df, str(tmp_path / "m"))
+    back = protocols.read_manifest(spark, str(tmp_path / "m"), processed=True)
+    assert back.schema.simpleString() == schemas.PROCESSED.simpleString() and back.first()["protocol_codec"] == ""
+    assert rules.present_detectors(["p_spoof_ad", "x"]) == ["ad"]
