@@ -78,3 +78,11 @@ def score_lookup(chosen: DataFrame, scores: DataFrame, runs: Sequence[str], key:
     wide = scores.join(chosen.select(key), key, "left_semi").groupBy(key).pivot(
         "run", list(runs)).agg(F.first(score))
     return chosen.join(wide, key, "left")
+
+
+def in_label_order(df: DataFrame, run: str, order: Sequence[str]) -> DataFrame:
+    """Runs in a given order, unknown ones last."""
+    place = F.lit(len(order))
+    for i, name in reversed(list(enumerate(order))):
+        place = F.when(F.col(run) == name, i).otherwise(place)
+    return df.orderBy(place, run)

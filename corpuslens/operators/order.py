@@ -9,6 +9,7 @@ rows must stay apart, a hot value is split further by a hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -38,15 +39,23 @@ def _cut_points(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> t
 
 def _with_bucket(df: DataFrame, by: Sequence[str], value: str, tie: str | None, buckets: int) -> DataFrame:
     edges, small = _cut_points(df, by, value, buckets)
+    # Every step-th cut point first, then the few between two of them: about 2 * sqrt(buckets)
+    # comparisons per row.
+    step = max(2, math.isqrt(buckets))
+    edges = edges.withColumn("_coarse_cuts", F.filter("_cuts", lambda e, i: i % step == 0))
     out = df.join(F.broadcast(edges) if small else edges, list(by), "left")
-    cuts, v = F.col("_cuts"), F.col(value)
-    on_cut = F.array_contains(cuts, v)
-    below = F.size(F.filter(cuts, lambda e: e < v))
-    out = out.withColumn("_vb", below * 2 + F.when(on_cut, 1).otherwise(0))
+    v = F.col(value)
+    out = out.withColumn("_cut_block", F.size(F.filter("_coarse_cuts", lambda e: e < v)))
+    between = F.slice("_cuts", (F.greatest(F.col("_cut_block"), F.lit(1)) - 1) * step + 2, F.lit(step - 1))
+    below = F.when(F.col("_cut_block") == 0, 0).otherwise(
+        (F.col("_cut_block") - 1) * step + 1 + F.size(F.filter(between, lambda e: e < v)))
+    out = out.withColumn("_cuts_below", below)
+    on_cut = F.coalesce(F.get("_cuts", F.col("_cuts_below")) == v, F.lit(False))
+    out = out.withColumn("_vb", F.col("_cuts_below") * 2 + F.when(on_cut, 1).otherwise(0))
     if tie is None:
-        return out.withColumn("_hb", F.lit(0)).drop("_cuts")
+        return out.withColumn("_hb", F.lit(0)).drop("_cuts", "_coarse_cuts", "_cut_block", "_cuts_below")
     split = F.when(on_cut, F.pmod(F.floor(F.col(tie) * buckets), F.lit(buckets))).otherwise(0)
-    return out.withColumn("_hb", split.cast("int")).drop("_cuts")
+    return out.withColumn("_hb", split.cast("int")).drop("_cuts", "_coarse_cuts", "_cut_block", "_cuts_below")
 
 
 def _sum_before(df: DataFrame, by: Sequence[str], bucket: Sequence[str], order: Sequence[Column],

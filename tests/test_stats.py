@@ -110,3 +110,9 @@ def test_sampling_is_repeatable(spark):
     df = spark.range(200).withColumn("y", (F.col("id") % 2).cast("int"))
     one = {r["id"] for r in sampling.up_to(df, ["y"], ["id"], 5).collect()}
     assert one == {r["id"] for r in sampling.up_to(df.repartition(5), ["y"], ["id"], 5).collect()} and len(one) == 10
+
+
+def test_label_order_puts_unknown_runs_last(spark):
+    from corpuslens.operators.compare import in_label_order
+    df = spark.createDataFrame([("x",), ("b",), ("a",)], "run string")
+    assert [r["run"] for r in in_label_order(df, "run", ["b", "a"]).collect()] == ["b", "a", "x"]
