@@ -35,22 +35,23 @@ def _signals(spark, sf, expr):
     return _digest(V.signals(spark, sf).withColumn("y", expr), "y")
 
 
-X = F.col("samples")
+def _x():
+    return F.col("samples")
 
 
 @query("signal_mono", _digest_sql("list_transform(samples, lambda v: (v + v*-0.5)/2)"), "signals")
 def _(spark, sf):
-    return _signals(spark, sf, signal.mono(F.transform(X, lambda v: F.array(v, v * -0.5))))
+    return _signals(spark, sf, signal.mono(F.transform(_x(), lambda v: F.array(v, v * -0.5))))
 
 
 @query("signal_clip", _digest_sql("list_transform(samples, lambda v: greatest(-1.0, least(1.0, v*8)))"), "signals")
 def _(spark, sf):
-    return _signals(spark, sf, signal.clip_unit(F.transform(X, lambda v: v * 8)))
+    return _signals(spark, sf, signal.clip_unit(F.transform(_x(), lambda v: v * 8)))
 
 
 @query("signal_fixed_length", _digest_sql("list_transform(range(0,150), lambda i: samples[(i%64)+1])"), "signals")
 def _(spark, sf):
-    return _signals(spark, sf, signal.fix_length(X, 150))
+    return _signals(spark, sf, signal.fix_length(_x(), 150))
 
 
 _MEAN, _MS = "(list_sum(samples)/64)", "(list_sum(list_transform(samples, lambda v: v*v))/64)"
@@ -58,7 +59,7 @@ _MEAN, _MS = "(list_sum(samples)/64)", "(list_sum(list_transform(samples, lambda
 
 @query("signal_layer_norm", _digest_sql(f"list_transform(samples, lambda v: (v-{_MEAN})/sqrt({_MS.replace('lambda v: v*v', 'lambda u: u*u')}-{_MEAN}*{_MEAN}+1e-5))"), "signals")
 def _(spark, sf):
-    return _signals(spark, sf, signal.layer_norm(X))
+    return _signals(spark, sf, signal.layer_norm(_x()))
 
 
 _PEAK = "list_max(list_transform(samples, lambda u: abs(u)))"
@@ -66,27 +67,27 @@ _PEAK = "list_max(list_transform(samples, lambda u: abs(u)))"
 
 @query("signal_peak_norm", _digest_sql(f"list_transform(samples, lambda v: v/{_PEAK})"), "signals")
 def _(spark, sf):
-    return _signals(spark, sf, signal.peak_norm(X))
+    return _signals(spark, sf, signal.peak_norm(_x()))
 
 
 @query("signal_prepared", _digest_sql("list_transform(y0, lambda v: (v-list_sum(y0)/100)/sqrt(list_sum(list_transform(y0, lambda u: u*u))/100-pow(list_sum(y0)/100,2)+1e-5))",
        "(SELECT sample_id, list_transform(range(0,100), lambda i: samples[(i%64)+1]) AS y0 FROM signals)"), "signals")
 def _(spark, sf):
     # Mono, resampled to the same rate, fixed length, normalised: the whole preparation chain.
-    two = V.signals(spark, sf).withColumn("c", F.transform(X, lambda v: F.array(v, v)))
+    two = V.signals(spark, sf).withColumn("c", F.transform(_x(), lambda v: F.array(v, v)))
     return _digest(two.withColumn("y", dsp.prepare(F.col("c"), F.col("sample_rate"), RATE, 100)), "y")
 
 
 @query("signal_frames", """
 SELECT sample_id, m::INTEGER AS m, round(list_sum(samples[m*8+1:m*8+16]),6)+0.0 AS total FROM signals, range(0,7) r(m)""", "signals")
 def _(spark, sf):
-    f = V.signals(spark, sf).select("sample_id", F.posexplode(signal.frames(X, WIN, HOP)).alias("m", "frame"))
+    f = V.signals(spark, sf).select("sample_id", F.posexplode(signal.frames(_x(), WIN, HOP)).alias("m", "frame"))
     return rounded(f.select("sample_id", "m", signal.total(F.col("frame")).alias("total")), "total")
 
 
 @query("signal_power_spectrum", "SELECT sample_id, m::INTEGER AS m, k::INTEGER AS k, round(power,6)+0.0 AS power FROM frame_power", "frame_power")
 def _(spark, sf):
-    s = V.signals(spark, sf).select("sample_id", F.posexplode(dsp.power_spectrum(X, WIN, HOP)).alias("m", "row"))
+    s = V.signals(spark, sf).select("sample_id", F.posexplode(dsp.power_spectrum(_x(), WIN, HOP)).alias("m", "row"))
     return rounded(s.select("sample_id", "m", F.posexplode("row").alias("k", "power")), "power")
 
 
@@ -95,7 +96,7 @@ SELECT p.sample_id, a.band AS half_open, b.band AS last_closed, greatest(0, leas
   round(sum(p.power),6)+0.0 AS power FROM frame_power p LEFT JOIN edges a ON p.hz>=a.lo AND p.hz<a.hi
  LEFT JOIN edges b ON p.hz>=b.lo AND (p.hz<b.hi OR (b.band=3 AND p.hz=b.hi)) GROUP BY ALL""", "frame_power", "edges")
 def _(spark, sf):
-    s = V.signals(spark, sf).select("sample_id", F.explode(dsp.power_spectrum(X, WIN, HOP)).alias("row"))
+    s = V.signals(spark, sf).select("sample_id", F.explode(dsp.power_spectrum(_x(), WIN, HOP)).alias("row"))
     s = s.select("sample_id", F.posexplode("row").alias("k", "power")).withColumn("hz", F.col("k") * (RATE / WIN))
     bands = [effects.assign_band(F.col("hz"), EDGES, r).alias(r) for r in ("half_open", "last_closed", "clipped")]
     return rounded(s.groupBy("sample_id", *bands).agg(F.sum("power").alias("power")), "power")
@@ -116,19 +117,19 @@ def _(spark, sf):
 
 @query("frequency_relevance", "SELECT sample_id, k::INTEGER AS k, round(r,6)+0.0 AS relevance FROM freq_relevance", "freq_relevance")
 def _(spark, sf):
-    r = V.relevance(spark, sf).select("sample_id", F.posexplode(dsp.frequency_relevance(X, F.col("relevance"))).alias("k", "relevance"))
+    r = V.relevance(spark, sf).select("sample_id", F.posexplode(dsp.frequency_relevance(_x(), F.col("relevance"))).alias("k", "relevance"))
     return rounded(r, "relevance")
 
 
 @query("relevance_conservation", "SELECT sample_id, 0.0::DOUBLE AS error FROM signals", "signals")
 def _(spark, sf):
-    r = V.relevance(spark, sf).withColumn("rf", dsp.frequency_relevance(X, F.col("relevance")))
+    r = V.relevance(spark, sf).withColumn("rf", dsp.frequency_relevance(_x(), F.col("relevance")))
     return rounded(r.select("sample_id", signal.conservation_error(F.col("relevance"), F.col("rf")).alias("error")), "error")
 
 
 def _maps(spark, sf):
     r = V.relevance(spark, sf)
-    return r.withColumn("_tf", dsp.time_frequency_relevance(X, F.col("relevance"), RATE, WIN, HOP)).select(
+    return r.withColumn("_tf", dsp.time_frequency_relevance(_x(), F.col("relevance"), RATE, WIN, HOP)).select(
         "sample_id", "ground_truth", "logit", F.col("_tf.r_tf").alias("r_tf"), F.col("_tf.s_tf").alias("s_tf"))
 
 
@@ -151,7 +152,7 @@ def _(spark, sf):
 
 @query("band_keep", "SELECT sample_id, round(sum(l2) FILTER (WHERE band IN (0,2)),6)+0.0 AS logit FROM band_logits GROUP BY ALL", "band_logits")
 def _(spark, sf):
-    s = V.signals(spark, sf).withColumn("y", dsp.keep_bands(X, F.array(F.lit(0), F.lit(2)), RATE, EDGES, WIN, HOP))
+    s = V.signals(spark, sf).withColumn("y", dsp.keep_bands(_x(), F.array(F.lit(0), F.lit(2)), RATE, EDGES, WIN, HOP))
     return rounded(s.select("sample_id", V.linear_logit(F.col("y"), 2).alias("logit")), "logit")
 
 
@@ -197,12 +198,12 @@ def _draws():
 
 @query("signal_noise", _digest_sql(_NOISE), "signals")
 def _(spark, sf):
-    return _signals(spark, sf, signal.add_noise(X, 10.0, _draws()))
+    return _signals(spark, sf, signal.add_noise(_x(), 10.0, _draws()))
 
 
 @query("signal_mu_law", _digest_sql(_LAW), "signals")
 def _(spark, sf):
-    return _signals(spark, sf, signal.mu_law(X))
+    return _signals(spark, sf, signal.mu_law(_x()))
 
 
 _COND = f"""degraded AS (SELECT sample_id, ground_truth, condition, round(1/(1+exp(-{dot('y', 2)})),9) AS score FROM (
@@ -232,7 +233,7 @@ SELECT s.sample_id, {_r(_PEAK,'source_peak')}, {_r(f'sqrt({_MS})','source_rms')}
  {_r(f'20*log10(sqrt({_MS}))','source_rms_dbfs')}, NULL::VARCHAR AS source_rms_dbfs_unavailable_reason, {_r(f'20*log10(sqrt({_MS})/noise)','source_estimated_snr_db')}, NULL::VARCHAR AS source_estimated_snr_db_unavailable_reason
 FROM signals s JOIN q ON s.sample_id=q.sample_id""", "signals")
 def _(spark, sf):
-    s = V.signals(spark, sf).withColumn("rate", F.lit(400)).withColumn("silence_ratio", signal.silence_ratio(X, 0.01))
+    s = V.signals(spark, sf).withColumn("rate", F.lit(400)).withColumn("silence_ratio", signal.silence_ratio(_x(), 0.01))
     a = jobs.audited(s, "samples", "rate")
     return rounded(a.drop("samples", "rate", "source_silence_ratio", "class_id", "ground_truth", "sample_rate"),
                    "source_peak", "source_rms", "silence_ratio", "source_rms_dbfs", "source_estimated_snr_db")
@@ -240,7 +241,7 @@ def _(spark, sf):
 
 @query("signal_resampled")
 def _(spark, sf):
-    return _digest(V.signals(spark, sf).withColumn("y", dsp.resample(X, F.col("sample_rate"), 48)), "y")
+    return _digest(V.signals(spark, sf).withColumn("y", dsp.resample(_x(), F.col("sample_rate"), 48)), "y")
 
 
 _SRC = "list_concat(samples, list_transform(samples, lambda v: v*0.5))"
@@ -252,14 +253,14 @@ SELECT sample_id, 64::BIGINT AS source_sample_rate, 2::BIGINT AS source_channels
  {_r('sqrt(list_sum(list_transform(x, lambda v: v*v))/128)','source_rms')}, 64::BIGINT AS processed_sample_rate, 1::BIGINT AS processed_channels, 64::BIGINT AS processed_frames, 1.0::DOUBLE AS processed_duration_seconds,
  {_r('list_max(list_transform(y, lambda v: abs(v)))','processed_peak')}, {_r('sqrt(list_sum(list_transform(y, lambda v: v*v))/64)','processed_rms')} FROM (SELECT sample_id, {_SRC} AS x, {_OUT} AS y FROM signals)""", "signals")
 def _(spark, sf):
-    s = V.signals(spark, sf).withColumn("samples", F.transform(X, lambda v: F.array(v, v * 0.5)))
+    s = V.signals(spark, sf).withColumn("samples", F.transform(_x(), lambda v: F.array(v, v * 0.5)))
     e = jobs.enrich(V.signals(spark, sf).select("sample_id"), s, "sample_id", RATE)
     return rounded(e, "source_peak", "source_rms", "processed_peak", "processed_rms")
 
 
 @query("signal_enriched_resampled")
 def _(spark, sf):
-    s = V.signals(spark, sf).withColumn("samples", F.transform(X, lambda v: F.array(v, v * 0.5)))
+    s = V.signals(spark, sf).withColumn("samples", F.transform(_x(), lambda v: F.array(v, v * 0.5)))
     return jobs.enrich(V.signals(spark, sf).select("sample_id"), s, "sample_id", 48)
 
 
@@ -267,7 +268,7 @@ def _(spark, sf):
 SELECT 'source_peak_differs' AS rule, sample_id::VARCHAR AS key FROM signals WHERE {h('vp','sample_id')}%30=0
 UNION ALL SELECT 'processed_frames_differs', sample_id::VARCHAR FROM signals WHERE {h('vp','sample_id')}%30=1""", "signals")
 def _(spark, sf):
-    s = V.signals(spark, sf).withColumn("samples", F.transform(X, lambda v: F.array(v, v * 0.5)))
+    s = V.signals(spark, sf).withColumn("samples", F.transform(_x(), lambda v: F.array(v, v * 0.5)))
     m = freeze(jobs.enrich(V.signals(spark, sf).select("sample_id"), s, "sample_id", 48))
     d = V.draw("vp", "sample_id", 30)
     told = m.withColumn("source_peak", F.when(d == 0, F.col("source_peak") * 1.001).otherwise(F.col("source_peak"))).withColumn(
@@ -390,7 +391,7 @@ VIEWS["relevance_bands"] = (("freq_relevance", "edges", "signals"), f"""
 
 
 def _relevance_bands(spark, sf):
-    r = V.relevance(spark, sf).withColumn("rf", dsp.frequency_relevance(X, F.col("relevance")))
+    r = V.relevance(spark, sf).withColumn("rf", dsp.frequency_relevance(_x(), F.col("relevance")))
     freqs = [i * RATE / 64 for i in range(33)]
     return freeze(r.select("sample_id", "logit", "relevance", "rf", stats.class_name((F.col("logit") > 0).cast("int")).alias("pred_class"),
                            effects.band_sums(F.col("rf"), freqs, EDGES, "last_closed").alias("bands")))
@@ -586,7 +587,7 @@ def _run_relevance(spark, sf):
     out = None
     for n, run in enumerate(V.RUNS):
         r = V.relevance(spark, sf, 3 + n)
-        bands = effects.band_sums(dsp.frequency_relevance(X, F.col("relevance")), freqs, EDGES, "last_closed")
+        bands = effects.band_sums(dsp.frequency_relevance(_x(), F.col("relevance")), freqs, EDGES, "last_closed")
         part = r.select(F.posexplode(bands).alias("band", "r")).groupBy("band").agg(F.avg("r").alias("relevance")).select(
             F.lit(run).alias("run"), "band", "relevance")
         out = part if out is None else out.unionByName(part)
