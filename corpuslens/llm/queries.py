@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import packing, quality_rules
+from corpuslens.llm import html_text, packing, quality_rules, secret_ledger
 from corpuslens.llm.common import read_table
 
 
@@ -15,14 +15,28 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("findings", lambda x: x["kind"].isin(*secret_ledger.BASE_KINDS))
+    return found.select("doc_id", *map(count, secret_ledger.BASE_KINDS), F.sha2(secret_ledger.joined(base), 256).alias("base_sha256"),
+                        secret_ledger.joined(F.col("findings")).alias("spans"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_ledger": op4_secret_ledger,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op9_html_text": op9_html_text,
 }
 ORACLES: dict[str, str] = {}
