@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import html_text, packing, quality_rules, secret_ledger
+from corpuslens.llm import html_text, packing, quality_model, quality_rules, rotated_codes, secret_ledger
 from corpuslens.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -23,6 +27,10 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_ledger.joined(F.col("findings")).alias("spans"))
 
 
+def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -34,7 +42,9 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_model": op2_quality_model,
     "op4_secret_ledger": op4_secret_ledger,
+    "op5_rotated_codes": op5_rotated_codes,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op9_html_text": op9_html_text,
