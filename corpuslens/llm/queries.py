@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import html_text, packing, quality_model, quality_rules, rotated_codes, secret_ledger
+from corpuslens.llm import html_text, line_chunks, mixing, packing, quality_model, quality_rules, rotated_codes, secret_ledger, toxicity
 from corpuslens.llm.common import read_table
 
 
@@ -19,6 +19,12 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.place(read_table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+    return placed.select("doc_id", "source", F.col("__cl_block_no").alias("block"), F.col("__cl_release").alias("release"),
+                         F.col("__cl_deadline").alias("deadline"), F.col("__cl_slot").alias("slot"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -37,16 +43,29 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("__cl_removed").alias("n_removed"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.predict(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.withColumn("toxic", (F.col("p_toxic") >= toxicity.TOXIC).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_model": op2_quality_model,
+    "op3_pfair_mix": op3_pfair_mix,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_rotated_codes": op5_rotated_codes,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_line_chunks": op8_line_chunks,
     "op9_html_text": op9_html_text,
+    "op10_toxicity_chain": op10_toxicity_chain,
 }
 ORACLES: dict[str, str] = {}
