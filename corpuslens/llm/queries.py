@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import html_text, line_chunks, mixing, packing, quality_model, quality_rules, rotated_codes, secret_ledger, toxicity
+from corpuslens.llm import html_text, jaccard_join, line_chunks, mixing, packing, quality_model, quality_rules, rotated_codes, secret_ledger, toxicity
 from corpuslens.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_model": op2_quality_model,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_secret_ledger": op4_secret_ledger,
