@@ -1,21 +1,47 @@
-"""A corpus pipeline of five stages over ``documents``, each applying one operator of ``corpuslens.llm``."""
+"""A corpus pipeline of five stages over ``documents``, each applying one operator of ``corpuslens.llm``.
+
+Quality rules drop documents, line chunks drop repeated passages, the Jaccard join keeps one
+document of each class of near copies, Pfair scheduling orders the sources, and packing cuts the
+ordered corpus into token windows.  Every stage works on all rows that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import packing
+from corpuslens.llm import jaccard_join, line_chunks, mixing, packing, quality_rules
 from corpuslens.llm.common import read_table, written
 
 
+def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the cutoffs certified on the labelled ones."""
+    return quality_rules.filtered(docs, read_table(spark, sf_dir, "labels"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without chunks of lines that occur earlier; those left without words go."""
+    return line_chunks.cleaned(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one with the least id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents stored in the order of their slots; reading by file and row follows the mix."""
+    return mixing.mixed(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of the mixed corpus, cut in reading order; where each piece lies and its ids."""
+    """Where each piece of the mixed corpus lies in the token windows, with its ids."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [("quality rules", judged), ("line dedup", without_repeats), ("jaccard join", without_near_copies),
+          ("mixing", mixed), ("packing", packed)]
 
-#: SQL cannot express token ids or the schedule; tests/llm compares with a brute-force version.
+#: SQL cannot express shingle joins over hashes, the schedule or token ids; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 

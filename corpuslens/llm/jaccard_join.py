@@ -55,8 +55,9 @@ class Shingler:
         """The sorted, distinct shingle hashes of a whole text."""
         known = self.known
         words = text.split()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if len(known) > self.most:
             known.clear()

@@ -158,20 +158,21 @@ def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", key: str
         for name, value in rule_values().items()])).alias("r"))
     counted = rows.groupBy(stratum, "r.rule", "r.step").agg(
         F.count_if("__cl_good").alias("good"), F.count_if(~F.col("__cl_good")).alias("bad"))
-    spread = counted.groupBy(stratum, "rule").agg(
+    spread = common.written(counted.groupBy(stratum, "rule").agg(
         F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"),
-        F.collect_list(F.struct("step", "good", "bad")).alias("steps"))
+        F.collect_list(F.struct("step", "good", "bad")).alias("steps")), "counts")
+    strata = spread.select(stratum).distinct().limit(MAX_STRATA + 1).count()
+    if strata > MAX_STRATA:
+        raise ValueError(f"{stratum} has more than {MAX_STRATA} values")
+    level = delta / max(1, strata * sum(map(len, GRID.values())))
     grid = F.create_map(*[x for name, cuts in GRID.items() for x in (
         F.lit(name), F.array(*[F.struct(F.lit(i + 1).alias("above"), F.lit(c).alias("cutoff")) for i, c in enumerate(cuts)]))])
     over = lambda part: F.aggregate("steps", F.lit(0).cast("long"), lambda a, s: a + F.when(
         s["step"] >= F.col("g.above"), s[part]).otherwise(0))
     tried = spread.withColumn("g", F.explode(grid[F.col("rule")])).select(
         stratum, "rule", "n_good", "n_bad", "g.cutoff", over("good").alias("good"), over("bad").alias("bad"))
-    strata = spread.select(F.count_distinct(F.struct(stratum)).alias("__cl_strata"))
-    hypotheses = F.col("__cl_strata") * sum(map(len, GRID.values()))
-    allowed = spread.groupBy(stratum).agg(F.max("n_good").alias("__cl_n")).crossJoin(F.broadcast(strata)).select(
-        F.col(stratum).alias("__cl_stratum"), most_rejections(
-            F.col("__cl_n"), risk / len(GRID), F.lit(delta) / hypotheses).alias("allowed"))
+    allowed = spread.groupBy(stratum).agg(F.max("n_good").alias("__cl_n")).select(
+        F.col(stratum).alias("__cl_stratum"), most_rejections(F.col("__cl_n"), risk / len(GRID), level).alias("allowed"))
     certified = F.col("good") <= F.col("allowed")
     gain = (F.col("bad") - F.col("good")) / (F.col("n_bad") + F.col("n_good"))
     best = F.max(F.when(certified & (gain > 0), F.struct(
@@ -186,8 +187,7 @@ def with_verdict(stats: DataFrame, chosen: DataFrame, stratum: str = "lang") ->
     """Add ``base_failed`` and ``kept``.  ``chosen`` holds a few rows for each stratum."""
     by_stratum = chosen.where("cutoff is not null").groupBy(F.col(stratum).alias("__cl_stratum")).agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cl_cutoffs"))
-    if by_stratum.limit(MAX_STRATA + 1).count() > MAX_STRATA:
-        raise ValueError(f"{stratum} has more than {MAX_STRATA} values")
+    # At most MAX_STRATA rows, as counted for the cutoffs.
     out = stats.join(F.broadcast(by_stratum), F.col(stratum).eqNullSafe(F.col("__cl_stratum")), "left")
     over = F.lit(False)
     for name, value in rule_values().items():
@@ -210,4 +210,5 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = common.written(cutoffs(common.written(marked, "statistics"), labels), "cutoffs")
     whole = docs.select(F.struct(*docs.columns).alias("__cl_row"), F.col("lang").alias("lang"), F.col("text").alias("text"))
     judged = with_verdict(statistics(whole, keep=["__cl_row", "lang"]), chosen)
-    return judged.where("kept").select("__cl_row.*")
+    # Inside a lambda the condition stays whole; its parts, pushed down, would compute the statistics again.
+    return judged.where(F.exists(F.array("kept"), lambda x: x)).select("__cl_row.*")
