@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuslens.session import scratch_path
 
@@ -42,19 +44,43 @@ def with_row_key(df: DataFrame) -> DataFrame:
         return with_row_key(written(df, "rows"))
 
 
-def _running(batches: Iterator[pd.DataFrame], keys: list[str], mass: str) -> Iterator[pd.DataFrame]:
+def _mapped(batches: Iterator[pa.RecordBatch], source: str, make: Callable, types: list[pa.DataType],
+            names: list[str], step: int) -> Iterator[pa.RecordBatch]:
+    use = make()
+    for batch in batches:
+        at = batch.schema.get_field_index(source)
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            made = use(part.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [c for i, c in enumerate(part.columns) if i != at]
+                + [pa.array(v, t) for v, t in zip(made, types, strict=True)], names=names)
+
+
+def with_python(df: DataFrame, source: str, make: Callable, fields: str, step: int = 500) -> DataFrame:
+    """Replace the column ``source`` by ``fields``: ``make()`` gives, once a task, a function from a list of
+    its values to a list of columns.  All other columns pass through as Arrow data, untouched."""
+    new = T.StructType.fromDDL(fields)
+    rest = [f for f in df.schema if f.name != source]
+    schema = T.StructType([*rest, *new])
+    work = functools.partial(_mapped, source=source, make=make, types=[to_arrow_type(f.dataType) for f in new],
+                             names=schema.names, step=step)
+    return df.mapInArrow(work, schema)
+
+
+def _running(batches: Iterator[pa.RecordBatch], keys: list[str], mass: str) -> Iterator[pa.RecordBatch]:
     held: dict = {}
     for batch in batches:
-        if not len(batch):
+        if not batch.num_rows:
             continue
-        by = [batch[k] for k in keys]
-        upto = batch[mass].groupby(by, dropna=False).cumsum()
+        rows = batch.select([*keys, mass]).to_pandas()
+        by = [rows[k] for k in keys]
+        upto = rows[mass].groupby(by).cumsum()
         labels = list(zip(*by, strict=True))
-        base = [held.get(k, 0) for k in labels]
-        batch["__cl_before"] = upto - batch[mass] + pd.Series(base, index=batch.index, dtype="int64")
-        for k, v in zip(labels, batch["__cl_before"] + batch[mass], strict=True):
+        before = upto.to_numpy(np.int64) - rows[mass].to_numpy(np.int64) + np.array([held.get(k, 0) for k in labels], np.int64)
+        for k, v in zip(labels, (before + rows[mass].to_numpy(np.int64)).tolist(), strict=True):
             held[k] = v
-        yield batch
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, "__cl_before"])
 
 
 def with_offsets(df: DataFrame, mass: str, out: str, by: Sequence[str] = ()) -> DataFrame:
@@ -68,9 +94,8 @@ def with_offsets(df: DataFrame, mass: str, out: str, by: Sequence[str] = ()) ->
     """
     keys = [FILE, BLOCK, *by]
     schema = T.StructType([*df.schema.fields, T.StructField("__cl_before", T.LongType())])
-    first = written(df.mapInPandas(functools.partial(_running, keys=keys, mass=mass), schema), "running")
+    first = written(df.mapInArrow(functools.partial(_running, keys=keys, mass=mass), schema), "running")
     totals = first.groupBy(*keys).agg(F.sum(mass).alias("__cl_total"))
-    from pyspark.sql import Window
     over = Window.partitionBy(*by).orderBy(FILE, BLOCK) if by else Window.orderBy(FILE, BLOCK)
     base = totals.select(*keys, (F.sum("__cl_total").over(over) - F.col("__cl_total")).alias("__cl_base"))
     return (first.join(shared_small(base), keys)

@@ -21,10 +21,8 @@ from __future__ import annotations
 
 import html as markup
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -166,25 +164,19 @@ def suffix_names(blocks: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]
     return names.view(np.int64), np.array([i for _, i in words], np.int32)
 
 
-def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start in range(0, len(batch), 500):
-            rows = batch.iloc[start:start + 500].copy()
-            pages = [blocks_of(x) for x in rows.pop("__cl_html")]
-            names, owners = zip(*[suffix_names(p) for p in pages], strict=True)
-            rows["texts"] = [[t for t, _ in p] for p in pages]
-            rows["kinds"] = [[k for _, k in p] for p in pages]
-            rows["names"], rows["owners"] = list(names), list(owners)
-            yield rows
+def _streams(sources: list[str]) -> list[list]:
+    pages = [blocks_of(x) for x in sources]
+    named = [suffix_names(p) for p in pages]
+    return [[[t for t, _ in p] for p in pages], [[k for _, k in p] for p in pages],
+            [n for n, _ in named], [o for _, o in named]]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of every page: blocks joined by an empty line."""
     keyed = common.with_row_key(pages).select(
         "page_id", "url", *common.ROW_KEY, common.whole_text("html").alias("__cl_html"))
-    kinds = dict(keyed.dtypes)
-    streams = common.written(keyed.mapInPandas(
-        _streams, f"page_id {kinds['page_id']}, url {kinds['url']}, {common.FILE} string, {common.ROW} long, "
+    streams = common.written(common.with_python(
+        keyed, "__cl_html", lambda: _streams,
         "texts array<string>, kinds array<int>, names array<bigint>, owners array<int>"), "streams")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), "^[^:/?#]+://([^/?#:]*)", 1)).alias("host")
     page = F.xxhash64("page_id", "url").alias("page")

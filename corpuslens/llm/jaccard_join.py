@@ -88,17 +88,15 @@ def picks(tokens: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray,
     return np.concatenate(slots).astype(np.int32), np.concatenate(found).view(np.int64)
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _describer():
     shingler = Shingler()
-    for batch in batches:
-        for start in range(0, len(batch), 500):
-            rows = batch.iloc[start:start + 500].copy()
-            sets = [shingler.set_of(t) for t in rows.pop("__cl_text")]
-            rows["set_id"] = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            rows["n"] = [len(s) for s in sets]
-            slots, tokens = zip(*[picks(s) for s in sets], strict=True)
-            rows["slots"], rows["tokens"] = list(slots), list(tokens)
-            yield rows
+
+    def describe(texts: list[str]) -> list[list]:
+        sets = [shingler.set_of(t) for t in texts]
+        picked = [picks(s) for s in sets]
+        return [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], list(map(len, sets)),
+                [slots for slots, _ in picked], [tokens for _, tokens in picked]]
+    return describe
 
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,10 +248,8 @@ def buckets(classes: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """Every row's doc_id with ``class_id``, ``n_links`` (other rows at least as similar as the threshold) and row key."""
     keyed = common.with_row_key(docs).select("doc_id", *common.ROW_KEY, common.whole_text().alias("__cl_text"))
-    kind = dict(keyed.dtypes)["doc_id"]
-    rows = common.written(keyed.mapInPandas(
-        _describe, f"doc_id {kind}, {common.FILE} string, {common.ROW} long, set_id binary, n int, "
-        "slots array<int>, tokens array<bigint>"), "sets")
+    rows = common.written(common.with_python(
+        keyed, "__cl_text", _describer, "set_id binary, n int, slots array<int>, tokens array<bigint>"), "sets")
     said = rows.where("n > 0")
     classes = common.written(said.groupBy("set_id").agg(
         F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min(F.struct(*common.ROW_KEY)).alias("at"),

@@ -16,10 +16,8 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.llm import common
@@ -100,15 +98,13 @@ class TextEncoder:
         return np.array(ids, "<u4").tobytes()
 
 
-def _tokenise(batches: Iterator[pd.DataFrame], path: str, end: bytes) -> Iterator[pd.DataFrame]:
+def _tokeniser(path: str, end: bytes):
     encode = TextEncoder(path).encode
-    for batch in batches:
-        for start in range(0, len(batch), 1000):
-            rows = batch.iloc[start:start + 1000].copy()
-            ids = [encode(t) + end for t in rows.pop("__cl_text")]
-            rows["__cl_n"] = [len(x) // 4 for x in ids]
-            rows["__cl_ids"] = ids
-            yield rows
+
+    def tokenise(texts: list[str]) -> list[list]:
+        ids = [encode(t) + end for t in texts]
+        return [[len(x) // 4 for x in ids], ids]
+    return tokenise
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -119,12 +115,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     """
     path = tokenizer or tokenizer_path()
     keyed = common.with_row_key(docs)
-    narrow = keyed.select(F.col("doc_id"), common.FILE, common.BLOCK, common.ROW, common.whole_text().alias("__cl_text"))
-    kind = dict(narrow.dtypes)["doc_id"]
-    schema = (f"doc_id {kind}, {common.FILE} string, {common.BLOCK} long, {common.ROW} long, "
-              "__cl_n long, __cl_ids binary")
-    tokens = narrow.mapInPandas(
-        functools.partial(_tokenise, path=path, end=end_id.to_bytes(4, "little")), schema)
+    narrow = keyed.select("doc_id", common.FILE, common.BLOCK, common.ROW, common.whole_text().alias("__cl_text"))
+    tokens = common.with_python(narrow, "__cl_text", functools.partial(
+        _tokeniser, path=path, end=end_id.to_bytes(4, "little")), "__cl_n long, __cl_ids binary", 1000)
     placed = common.with_offsets(tokens, "__cl_n", "__cl_at")
     at, n, w = F.col("__cl_at"), F.col("__cl_n"), F.lit(window)
     cut = placed.withColumn("sequence_id", F.explode(F.sequence(

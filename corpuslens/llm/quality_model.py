@@ -17,10 +17,8 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.llm import common
@@ -58,14 +56,6 @@ def statistics(text: str) -> list[float]:
         1 - int(lengths.sum()) / chars, sum(map(str.istitle, words)) / n]
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start in range(0, len(batch), 500):
-            rows = batch.iloc[start:start + 500].copy()
-            rows["x"] = [statistics(t) for t in rows.pop("__cl_text")]
-            yield rows
-
-
 class Trees:
     """Boosted trees in flat arrays: node -> feature, threshold, left child (right is next), value."""
 
@@ -146,12 +136,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     return model
 
 
-def _score(batches: Iterator[pd.DataFrame], model: Trees) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start in range(0, len(batch), 4096):
-            rows = batch.iloc[start:start + 4096].copy()
-            rows["score"] = model.score(np.array(rows.pop("x").tolist(), float).reshape(-1, len(FEATURES)))
-            yield rows
+def _scorer(model: Trees):
+    return lambda rows: [model.score(np.array(rows, float).reshape(-1, len(FEATURES)))]
 
 
 def held_out(key: Column) -> Column:
@@ -161,13 +147,13 @@ def held_out(key: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", common.whole_text().alias("__cl_text"))
-    measured = common.written(texts.mapInPandas(_measure, f"doc_id {kind}, x array<double>"), "statistics")
+    measured = common.written(common.with_python(
+        texts, "__cl_text", lambda: lambda ts: [[statistics(t) for t in ts]], "x array<double>"), "statistics")
     known = labels.where("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     learnt = known.where(~held_out(F.col("doc_id"))).join(measured, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"))
     sample = learnt.orderBy("h", "x").limit(most).select("x", "y").toPandas()
     model = fit(np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float))
-    scored = measured.mapInPandas(functools.partial(_score, model=model), f"doc_id {kind}, score double")
+    scored = common.with_python(measured, "x", functools.partial(_scorer, model), "score double", 4096)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= GOOD).cast("int").alias("predicted"))

@@ -61,21 +61,21 @@ def estimate(queries: np.ndarray, bits: np.ndarray, scalar: np.ndarray) -> tuple
 
 
 def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (vec_id, own key, vector) to blocks with codes; a task's rows of a dimension share blocks."""
+    """Rows (vec_id, own key, vector, null flag) to blocks with codes; a task's rows of a dimension share blocks."""
     held: dict[int, list] = {}
 
     def block(dim: int, rows: list) -> pd.DataFrame:
         vectors = np.array([r[2] for r in rows], np.float64)
         units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         bits, scalar = encode(units)
-        ids = np.array([-1 if pd.isna(r[0]) else r[0] for r in rows], np.int64)
-        null = np.array([pd.isna(r[0]) for r in rows])
+        ids = np.array([r[0] for r in rows], np.int64)
+        null = np.array([r[3] for r in rows], bool)
         return pd.DataFrame({"dim": [dim], "ids": [ids.tobytes()], "null_ids": [null.tobytes()],
                              "own": [np.array([r[1] for r in rows], np.int64).tobytes()],
                              "vectors": [vectors.tobytes()], "bits": [bits.tobytes()], "scalar": [scalar.tobytes()]})
 
     for batch in batches:
-        for row in zip(batch["vec_id"], batch["own"], batch["vector"], strict=True):
+        for row in zip(batch["vec_id"], batch["own"], batch["vector"], batch["null_id"], strict=True):
             rows = held.setdefault(len(row[2]), [])
             rows.append(row)
             if len(rows) == BLOCK:
@@ -135,16 +135,17 @@ def search(vectors: DataFrame, is_query, wanted: int = NEAREST) -> DataFrame:
     """
     keyed = common.with_row_key(vectors)
     good = keyed.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(
-        "vec_id", F.xxhash64(*common.ROW_KEY).alias("own"), F.transform(
+        F.coalesce("vec_id", F.lit(-1)).cast("long").alias("vec_id"), F.col("vec_id").isNull().alias("null_id"),
+        F.xxhash64(*common.ROW_KEY).alias("own"), F.transform(
             "embedding", lambda x: x.cast("double")).alias("vector"))
     good = good.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
                       & F.exists("vector", lambda x: x != 0))
     # Whole blocks are wanted: rows are dealt to as many tasks as there are blocks.
     rows = common.written(good, "vectors")
-    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query & ~F.col("null_id"))).first()
     blocks = common.written(rows.repartition(max(1, -(-n // BLOCK))).mapInPandas(_pack_blocks, BLOCK_SCHEMA), "blocks")
     parts = max(1, -(-n_queries // QUERY_BLOCK))
-    query_blocks = rows.where(is_query).repartition(parts).mapInPandas(_pack_blocks, BLOCK_SCHEMA).select(
+    query_blocks = rows.where(is_query & ~F.col("null_id")).repartition(parts).mapInPandas(_pack_blocks, BLOCK_SCHEMA).select(
         "dim", F.col("ids").alias("q_ids"), F.col("own").alias("q_own"), F.col("vectors").alias("q_vectors"))
     query_blocks = common.written(query_blocks, "queries")
     tasks = blocks.join(query_blocks, "dim").repartition(

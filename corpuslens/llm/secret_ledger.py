@@ -12,7 +12,7 @@ unseen and leaves those of earlier versions in the ledger.
 
 Edge cases: a null text is an empty blob without findings; repeated rows each get the findings of
 their blob; null ids stay null; an empty table gives an empty result and ledger entry; other
-columns are not used.  Spans are half-open, in code points, of the whole match.
+columns stay (``blob`` and ``findings`` are replaced).  Spans are half-open, in code points, of the whole match.
 """
 
 from __future__ import annotations

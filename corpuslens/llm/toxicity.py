@@ -21,10 +21,9 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.llm import common
@@ -48,19 +47,9 @@ def _words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def _to_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start in range(0, len(batch), 200):
-            rows = batch.iloc[start:start + 200].copy()
-            rows["words"] = [sorted(_words(t)) for t in rows.pop("__cl_text")]
-            yield rows
-
-
-def _to_places(batches: Iterator[pd.DataFrame], words: list[str]) -> Iterator[pd.DataFrame]:
+def _placer(words: list[str]):
     place = {w: i for i, w in enumerate(words)}
-    for batch in batches:
-        batch["words"] = [[place[w] for w in ws if w in place] for ws in batch["words"]]
-        yield batch
+    return lambda rows: [[[place[w] for w in ws if w in place] for ws in rows]]
 
 
 def vocabulary(rows: DataFrame, names: list[str], most: int = MAX_WORDS) -> list[str]:
@@ -112,6 +101,8 @@ def fit_logistic(x: Sparse, y: np.ndarray) -> np.ndarray:
         return w
     ridge = np.full(len(w), RIDGE)
     ridge[-1] = 1e-6
+    sign = 2 * y - 1
+    loss = lambda w: np.logaddexp(0, -sign * x.times(w)).sum() + 0.5 * (ridge * w * w).sum()
     for _ in range(STEPS):
         p = _sigmoid(x.times(w))
         grad = x.back(p - y) + ridge * w
@@ -126,6 +117,11 @@ def fit_logistic(x: Sparse, y: np.ndarray) -> np.ndarray:
             step, r = step + a * d, r - a * hd
             new = float(r @ r)
             d, size = r + new / size * d, new
+        before = loss(w)
+        for _ in range(20):
+            if loss(w + step) <= before:
+                break
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-4:
             break
@@ -148,20 +144,19 @@ def fit_chain(row: np.ndarray, word: np.ndarray, labels: np.ndarray, folds: np.n
     return chain
 
 
-def _score(batches: Iterator[pd.DataFrame], words: list[str], chain: list[np.ndarray], names: list[str]) -> Iterator[pd.DataFrame]:
+def _scorer(words: list[str], chain: list[np.ndarray]):
     place = {w: i for i, w in enumerate(words)}
     table = np.array([w[:len(words)] for w in chain])
     tails = [w[len(words):] for w in chain]
-    for batch in batches:
-        out = np.zeros((len(batch), len(chain)))
-        for i, text in enumerate(batch.pop("__cl_text")):
-            found = [place[w] for w in _words(text) & place.keys()]
-            raw = table[:, found].sum(axis=1)
+
+    def score(texts: list[str]) -> list:
+        out = np.zeros((len(texts), len(chain)))
+        for i, text in enumerate(texts):
+            raw = table[:, [place[w] for w in _words(text) if w in place]].sum(axis=1)
             for c, tail in enumerate(tails):
                 out[i, c] = _sigmoid(raw[c] + out[i, :c] @ tail[:-1] + tail[-1])
-        for c, name in enumerate(names):
-            batch[name] = out[:, c]
-        yield batch
+        return list(out.T)
+    return score
 
 
 def predict(docs: DataFrame, labels: DataFrame, chain: Mapping[str, Column] | None = None,
@@ -169,22 +164,19 @@ def predict(docs: DataFrame, labels: DataFrame, chain: Mapping[str, Column] | No
     """doc_id and a probability ``p_<category>`` for each category of the chain, for every document."""
     chain = chain or categories()
     names = list(chain)
-    kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", common.whole_text().alias("__cl_text"))
     known = labels.select("doc_id", *[c.alias(n) for n, c in chain.items()]).where(" and ".join(
         f"{n} is not null" for n in names)).groupBy("doc_id").agg(*[(F.avg(n) >= 0.5).cast("int").alias(n) for n in names])
-    # Labels are narrow and texts are wide: the words of each text are taken before the two meet.
-    marked = texts.join(known.select("doc_id"), "doc_id", "left_semi").mapInPandas(
-        _to_words, f"doc_id {kind}, words array<string>")
+    marked = common.with_python(texts.join(known.select("doc_id"), "doc_id", "left_semi"), "__cl_text",
+                                lambda: lambda ts: [[sorted(_words(t)) for t in ts]], "words array<string>")
     rows = common.written(marked.join(known, "doc_id"), "labelled")
     words = vocabulary(rows, names)
-    chosen = rows.select(F.xxhash64("doc_id").alias("h"), *names, "words").mapInPandas(
-        functools.partial(_to_places, words=words), f"h long, {', '.join(f'{n} int' for n in names)}, words array<int>")
+    chosen = common.with_python(rows.select(F.xxhash64("doc_id").alias("h"), *names, F.col("words").alias("__cl_words")),
+                                "__cl_words", functools.partial(_placer, words), "words array<int>")
     sample = chosen.orderBy("h").limit(most).toPandas()
     found = sample["words"].tolist()
     models = fit_chain(np.repeat(np.arange(len(found)), list(map(len, found))).astype(np.int64),
                        np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64), sample[names].to_numpy(float).reshape(-1, len(names)),
                        (sample["h"] % FOLDS).to_numpy(), len(words))
-    columns = [f"p_{n}" for n in names]
-    return texts.mapInPandas(functools.partial(_score, words=words, chain=models, names=columns),
-                             ", ".join([f"doc_id {kind}", *[f"{c} double" for c in columns]]))
+    return common.with_python(texts, "__cl_text", functools.partial(_scorer, words, models),
+                              ", ".join(f"p_{n} double" for n in names))
