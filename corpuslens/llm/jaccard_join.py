@@ -284,9 +284,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the first of each class: least doc_id, then reading order; texts without words all stay."""
     classed = common.written(join(docs), "classed")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *common.ROW_KEY)
-    first = classed.where("n_links > 0").groupBy("class_id").agg(F.min(place).alias("first"))
-    gone = classed.where("n_links > 0").join(
-        first, F.col("doc_id").isNotNull() & classed["class_id"].eqNullSafe(first["class_id"])).where(
-        ~place.eqNullSafe(F.col("first"))).select(*common.ROW_KEY)
+    linked = classed.where("n_links > 0 and class_id is not null")
+    first = linked.groupBy(F.col("class_id").alias("__cl_class")).agg(F.min(place).alias("__cl_first"))
+    gone = linked.join(first, F.col("class_id") == F.col("__cl_class")).where(
+        ~place.eqNullSafe(F.col("__cl_first"))).select(*common.ROW_KEY)
     keyed = common.with_row_key(docs)
     return keyed.join(gone, common.ROW_KEY, "left_anti").select(*docs.columns)

@@ -99,7 +99,7 @@ def scan(versions: DataFrame, text: str = "text", ledger: str | None = None) ->
     known = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
     # A scan that was cut off while it appended may have left a blob twice; findings are the same.
     findings = known.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
-    paths = versions.withColumn("blob", F.sha2(common.whole_text(text).cast("binary"), 256))
+    paths = versions.drop("blob", "findings").withColumn("blob", F.sha2(common.whole_text(text).cast("binary"), 256))
     return paths.join(findings, "blob", "left").withColumn(
         "findings", F.coalesce("findings", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
 
