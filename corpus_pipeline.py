@@ -51,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "_"))
+            docs = written(docs, name.replace(" ", "_"), texts=True)
     return docs

@@ -20,11 +20,12 @@ ROW_KEY = [FILE, ROW]
 BLANKS = "[\\x20\\x09-\\x0D]"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: cheap to read again, and
-    no lost executor makes it run a second time."""
+    no lost executor makes it run a second time.  Tables with texts are compressed harder; for
+    the many narrow ones that would cost each executor native memory and save little."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd" if texts else "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,7 +42,7 @@ def with_row_key(df: DataFrame) -> DataFrame:
     except AnalysisException:
         if not df.columns:
             raise
-        return with_row_key(written(df, "rows"))
+        return with_row_key(written(df, "rows", texts=True))
 
 
 def _mapped(batches: Iterator[pa.RecordBatch], source: str, make: Callable, types: list[pa.DataType],
@@ -94,7 +95,7 @@ def with_offsets(df: DataFrame, mass: str, out: str, by: Sequence[str] = ()) ->
     """
     keys = [FILE, BLOCK, *by]
     schema = T.StructType([*df.schema.fields, T.StructField("__cl_before", T.LongType())])
-    first = written(df.mapInArrow(functools.partial(_running, keys=keys, mass=mass), schema), "running")
+    first = written(df.mapInArrow(functools.partial(_running, keys=keys, mass=mass), schema), "running", texts=True)
     totals = first.groupBy(*keys).agg(F.sum(mass).alias("__cl_total"))
     over = Window.partitionBy(*by).orderBy(FILE, BLOCK) if by else Window.orderBy(FILE, BLOCK)
     base = totals.select(*keys, (F.sum("__cl_total").over(over) - F.col("__cl_total")).alias("__cl_base"))

@@ -177,7 +177,7 @@ def extract(pages: DataFrame) -> DataFrame:
         "page_id", "url", *common.ROW_KEY, common.whole_text("html").alias("__cl_html"))
     streams = common.written(common.with_python(
         keyed, "__cl_html", lambda: _streams,
-        "texts array<string>, kinds array<int>, names array<bigint>, owners array<int>"), "streams")
+        "texts array<string>, kinds array<int>, names array<bigint>, owners array<int>"), "streams", texts=True)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), "^[^:/?#]+://([^/?#:]*)", 1)).alias("host")
     page = F.xxhash64("page_id", "url").alias("page")
     marked = F.exists("kinds", lambda k: k == MAIN)

@@ -48,7 +48,7 @@ _SLICE = 16_384
 class Shingler:
     """Sets of shingle hashes, remembering the hashes of words."""
 
-    def __init__(self, words: int = WORDS, most: int = 300_000):
+    def __init__(self, words: int = WORDS, most: int = 100_000):
         self.words, self.most, self.known = words, most, {}
 
     def set_of(self, text: str) -> np.ndarray:
@@ -136,8 +136,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> n
     shared = np.repeat(sizes > 1, sizes)
     token, owner = token[shared], owner[shared]
     total = int(token[-1]) + 1 if len(token) else 0
-    out = np.zeros((m, n), np.float64)
-    width = max(256, 8_000_000 // len(sets))
+    out = np.zeros((m, n), np.float32)
+    width = max(256, 2_000_000 // len(sets))
     cuts = np.searchsorted(token, np.arange(0, total + width, width))
     for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
         has = np.zeros((len(sets), min(width, total - k * width)), np.float32)
@@ -145,7 +145,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> n
         out += has[:m] @ (has if right is None else has[m:]).T
     if right is None:
         np.fill_diagonal(out, [len(s) for s in left])
-    return np.rint(out).astype(np.int64)
+    return np.rint(out).astype(np.int32)
 
 
 def _shared_before(left: list[np.ndarray], right: list[np.ndarray], bucket: int) -> np.ndarray:

@@ -76,7 +76,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents with repeated chunks removed, and ``__cl_removed``: (first, n_lines) of the removed chunks."""
     keyed = common.with_row_key(docs)
-    flagged = common.written(keyed.join(repeats(keyed), common.ROW_KEY, "left"), "flagged")
+    flagged = common.written(keyed.join(repeats(keyed), common.ROW_KEY, "left"), "flagged", texts=True)
     none = F.array().cast("array<struct<first:int,n_lines:int>>")
     alone = flagged.where("__cl_repeats is null").drop("__cl_repeats").withColumn("__cl_removed", none)
     some = flagged.where("__cl_repeats is not null")
