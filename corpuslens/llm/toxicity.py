@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslens.llm import common
 
 #: Words of the vocabulary, and labelled rows that the models are fitted on, at most.
-MAX_WORDS, MAX_TRAIN_ROWS = 2_000, 60_000
-#: Documents that must contain a word.
+MAX_WORDS, MAX_TRAIN_ROWS = 1_000, 20_000
+#: Documents that must contain a word; folds of the chain; Newton steps and turns of each solution.
 LEAST_DOCUMENTS = 3
-FOLDS, STEPS, RIDGE = 5, 12, 0.1
-TOXIC = 0.3
+FOLDS, STEPS, TURNS, RIDGE = 3, 8, 15, 0.1
+TOXIC = 0.2
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -109,7 +109,7 @@ def fit_logistic(x: Sparse, y: np.ndarray) -> np.ndarray:
         h = np.maximum(p * (1 - p), 1e-6)
         step, r = np.zeros(len(w)), -grad
         d, size = r.copy(), float(r @ r)
-        for _ in range(40):
+        for _ in range(TURNS):
             if size < 1e-8:
                 break
             hd = x.back(h * x.times(d)) + ridge * d
