@@ -78,11 +78,11 @@ def total(x: Column) -> Column:
 
 
 def average(x: Column) -> Column:
-    return total(x) / F.size(x)
+    return F.try_divide(total(x), F.size(x))
 
 
 def mean_square(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v) / F.size(x)
+    return F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v), F.size(x))
 
 
 # --- shaping ----------------------------------------------------------------------------------
@@ -147,7 +147,7 @@ def rms(x: Column) -> Column:
 
 
 def silence_ratio(x: Column, threshold: float = 1e-4) -> Column:
-    return F.size(F.filter(x, lambda v: F.abs(v) <= threshold)) / F.size(x)
+    return F.try_divide(F.size(F.filter(x, lambda v: F.abs(v) <= threshold)), F.size(x))
 
 
 def dbfs(level: Column) -> Column:

@@ -32,8 +32,8 @@ def _points(df: DataFrame, by: Sequence[str], score: str, label: str, buckets: i
     rows = placed.filter(keep).select(
         *by, F.col("score").alias("threshold"), (F.col("_tp") + F.col("pos")).alias("tp"),
         (F.col("_fp") + F.col("neg")).alias("fp"), F.col("_tp_total").alias("p"), F.col("_fp_total").alias("n"))
-    return rows.withColumn("fpr", F.col("fp") / F.col("n")).withColumn(
-        "fnr", F.lit(1.0) - F.col("tp") / F.col("p"))
+    return rows.withColumn("fpr", F.try_divide("fp", "n")).withColumn(
+        "fnr", F.lit(1.0) - F.try_divide("tp", "p"))
 
 
 def roc_points(df: DataFrame, by: Sequence[str], score: str, label: str,
@@ -135,8 +135,8 @@ def threshold_rates(df: DataFrame, by: Sequence[str], score: str, label: str,
     everything = Window.partitionBy(*by)
     out = full.select(
         *by, "_at",
-        (F.sum("pos").over(below) / F.sum("pos").over(everything)).alias("fnr"),
-        (F.lit(1.0) - F.sum("neg").over(below) / F.sum("neg").over(everything)).alias("fpr"))
+        F.try_divide(F.sum("pos").over(below), F.sum("pos").over(everything)).alias("fnr"),
+        (F.lit(1.0) - F.try_divide(F.sum("neg").over(below), F.sum("neg").over(everything))).alias("fpr"))
     return out.filter(F.col("_at") > 0).select(
         *by, (F.col("_at") - 1).alias("step"), F.get(cuts, F.col("_at") - 1).alias("threshold"),
         "fpr", "fnr")
@@ -150,7 +150,7 @@ def area_under_curve(df: DataFrame, by: Sequence[str], score: str, label: str) -
     sums = placed.groupBy(*by).agg(F.sum(rank * F.col("pos")).alias("_r"),
                                    F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     p, n = F.col("_p").cast("double"), F.col("_n").cast("double")
-    return sums.select(*by, ((F.col("_r") - p * (p + 1) / 2) / (p * n)).alias("roc_auc"))
+    return sums.select(*by, F.try_divide(F.col("_r") - p * (p + 1) / 2, p * n).alias("roc_auc"))
 
 
 def classification(df: DataFrame, by: Sequence[str], score: str, label: str,
@@ -159,7 +159,7 @@ def classification(df: DataFrame, by: Sequence[str], score: str, label: str,
     c = confusion(df, by, label, F.col(score) >= threshold)
     tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
     scores = c.select(
-        *by, ((tp / (tp + fn) + tn / (tn + fp)) / 2).alias("balanced_accuracy"),
+        *by, ((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced_accuracy"),
         F.when(2 * tp + fp + fn == 0, 0.0).otherwise(2 * tp / (2 * tp + fp + fn)).alias("f1"))
     return scores.join(area_under_curve(df, by, score, label), list(by))
 

@@ -20,6 +20,13 @@ from corpuslens.session import default_buckets, freeze
 MAX_BROADCAST_CUTS = 1_000_000
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner", share: bool = False) -> DataFrame:
+    """Join on the group columns, a null being a group like any other."""
+    own = right.select(*[F.col(c).alias(f"_of_{c}") for c in by], *[c for c in right.columns if c not in by])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return left.join(F.broadcast(own) if share else own, same or None, how).drop(*[f"_of_{c}" for c in by])
+
+
 def _cut_points(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> tuple[DataFrame, bool]:
     """Per group, distinct approximate quantiles.  Their values only steer balance.
 
@@ -43,7 +50,7 @@ def _with_bucket(df: DataFrame, by: Sequence[str], value: str, tie: str | None,
     # comparisons per row.
     step = max(2, math.isqrt(buckets))
     edges = edges.withColumn("_coarse_cuts", F.filter("_cuts", lambda e, i: i % step == 0))
-    out = df.join(F.broadcast(edges) if small else edges, list(by), "left")
+    out = join_groups(df, edges, by, "left", share=small)
     v = F.col(value)
     out = out.withColumn("_cut_block", F.size(F.filter("_coarse_cuts", lambda e: e < v)))
     between = F.slice("_cuts", (F.greatest(F.col("_cut_block"), F.lit(1)) - 1) * step + 2, F.lit(step - 1))
@@ -78,7 +85,7 @@ def _sum_before(df: DataFrame, by: Sequence[str], bucket: Sequence[str], order:
         *([F.lead("_first").over(across).alias("_ahead")] if following else []))
     here = Window.partitionBy(*by, *bucket).orderBy(*order)
     inside = here.rowsBetween(Window.unboundedPreceding, -1)
-    joined = keyed.join(totals, [*by, *bucket])
+    joined = join_groups(keyed, totals, [*by, *bucket])
     columns = [F.col(c) for c in df.columns if c not in bucket]
     columns += [(F.col(f"_o_{name}") + F.coalesce(F.sum(f"_w_{name}").over(inside), F.lit(0))).alias(name)
                 for name in weights]
@@ -123,7 +130,7 @@ def with_average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, *,
     """
     ranks = average_ranks(df, by, value, buckets=buckets).select(
         *by, value, F.col("rank").alias(out))
-    return df.join(ranks, [*by, value])
+    return join_groups(df, ranks, [*by, value])
 
 
 def hash_positions(df: DataFrame, by: Sequence[str], key: Column, out: str, *,
@@ -142,7 +149,7 @@ def hash_positions(df: DataFrame, by: Sequence[str], key: Column, out: str, *,
     if limit is not None:
         totals = totals.filter(F.col("_o") < limit)
     inside = Window.partitionBy(*by, "_slice").orderBy("_key")
-    placed = keyed.join(totals, [*by, "_slice"]).withColumn(
+    placed = join_groups(keyed, totals, [*by, "_slice"]).withColumn(
         out, F.col("_o") + F.row_number().over(inside))
     if limit is not None:
         placed = placed.filter(F.col(out) <= limit)

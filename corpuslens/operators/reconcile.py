@@ -20,20 +20,23 @@ def one_per_key(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> Da
 
 
 def reduce_to(right: DataFrame, left: DataFrame, key: str = "utt_id") -> DataFrame:
-    """Rows of the right side whose key the left side knows."""
-    return right.join(left.select(key), key, "left_semi")
+    """Rows of the right side whose key the left side knows in the same split."""
+    return right.join(left.select("split", key), ["split", key], "left_semi")
 
 
 def paired(left: DataFrame, right: DataFrame, profile: Profile,
            fields: Sequence[str] = ("spk_id", "gender"), key: str = "utt_id") -> DataFrame:
-    """Full outer join of two protocols with a list of differing fields per shared id."""
-    l = one_per_key(left, [key], ["split", "label", *fields]).select(
-        F.col(key), F.col("split").alias("_ls"), F.col("label").alias("left_label"),
+    """Full outer join of two protocols, split by split, with a list of differing fields per shared id.
+
+    An id that changes its split is missing in one and extra in the other.
+    """
+    l = one_per_key(left, ["split", key], ["label", *fields]).select(
+        F.col(key), F.col("split"), F.col("split").alias("_ls"), F.col("label").alias("left_label"),
         *[F.col(f).alias(f"_l_{f}") for f in fields])
-    r = one_per_key(right, [key], ["split", "key", *fields]).select(
-        F.col(key), F.col("split").alias("_rs"), F.col("key").alias("right_label"),
+    r = one_per_key(right, ["split", key], ["key", *fields]).select(
+        F.col(key), F.col("split"), F.col("split").alias("_rs"), F.col("key").alias("right_label"),
         *[F.col(f).alias(f"_r_{f}") for f in fields])
-    both = l.join(r, key, "full_outer")
+    both = l.join(r, ["split", key], "full_outer")
     shared = F.col("_ls").isNotNull() & F.col("_rs").isNotNull()
     agrees = profile.equivalent_label(F.col("left_label")) == F.col("right_label")
 
@@ -44,7 +47,7 @@ def paired(left: DataFrame, right: DataFrame, profile: Profile,
              for f in fields]
     found.append(F.when(shared & ~agrees, entry("label", "left_label", "right_label")))
     return both.select(
-        key, F.coalesce("_ls", "_rs").alias("split"), "left_label", "right_label",
+        key, "split", "left_label", "right_label",
         F.col("_rs").isNull().alias("is_missing"), F.col("_ls").isNull().alias("is_extra"),
         (shared & agrees).alias("label_matched"),
         F.array_compact(F.array(*found)).alias("mismatches"))

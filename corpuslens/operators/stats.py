@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions import signal, tails
 from corpuslens.operators import bootstrap
-from corpuslens.operators.order import average_ranks, exact_quantiles, with_average_rank
+from corpuslens.operators.order import average_ranks, exact_quantiles, join_groups, with_average_rank
 
 CLASS_NAME = {0: "bonafide", 1: "spoof"}
 
@@ -135,8 +135,8 @@ def welch(df: DataFrame, by: Sequence[str], side: str, left: str, right: str, va
     """Unequal-variance t statistic and its degrees of freedom; more than one row per side."""
     g = _two_groups(df, by, side, left, right, value).filter((F.col("nl") > 1) & (F.col("nr") > 1))
     a, b = F.col("vl") / F.col("nl"), F.col("vr") / F.col("nr")
-    return g.select(*by, ((F.col("ml") - F.col("mr")) / F.sqrt(a + b)).alias("statistic"),
-                    ((a + b) * (a + b) / (a * a / (F.col("nl") - 1) + b * b / (F.col("nr") - 1))).alias("df"))
+    return g.select(*by, F.try_divide(F.col("ml") - F.col("mr"), F.sqrt(a + b)).alias("statistic"),
+                    F.try_divide((a + b) * (a + b), a * a / (F.col("nl") - 1) + b * b / (F.col("nr") - 1)).alias("df"))
 
 
 def brown_forsythe(df: DataFrame, by: Sequence[str], side: str, left: str, right: str,
@@ -144,14 +144,14 @@ def brown_forsythe(df: DataFrame, by: Sequence[str], side: str, left: str, right
     """Spread test around medians; more than two rows per side."""
     two = df.filter(F.col(side).isin(left, right))
     centres = exact_quantiles(two, [*by, side], value, {"_c": 0.5})
-    spread = two.join(centres, [*by, side]).withColumn("_z", F.abs(F.col(value) - F.col("_c")))
+    spread = join_groups(two, centres, [*by, side]).withColumn("_z", F.abs(F.col(value) - F.col("_c")))
     g = _two_groups(spread, by, side, left, right, "_z").filter((F.col("nl") > 2) & (F.col("nr") > 2))
     nl, nr, ml, mr = (F.col(c) for c in ("nl", "nr", "ml", "mr"))
     grand = (nl * ml + nr * mr) / (nl + nr)
     between = nl * (ml - grand) * (ml - grand) + nr * (mr - grand) * (mr - grand)
     within = (nl - 1) * F.col("vl") + (nr - 1) * F.col("vr")
     df2 = nl + nr - 2
-    return g.select(*by, (df2 * between / within).alias("statistic"), df2.cast("double").alias("df"))
+    return g.select(*by, F.try_divide(df2 * between, within).alias("statistic"), df2.cast("double").alias("df"))
 
 
 def confirmatory(values: DataFrame) -> DataFrame:
@@ -204,11 +204,11 @@ def signed_rank(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     sums = ranks.join(sides.drop("ties"), [*by, "_abs"]).groupBy(*by).agg(
         F.sum(t).alias("_n"), F.sum(F.col("rank") * F.col("_up")).alias("w_plus"),
         F.sum(F.col("rank") * (t - F.col("_up"))).alias("w_minus"),
-        F.sum((t * t * t - t).cast("double")).alias("_tie"))
+        F.sum(t.cast("double") * t * t - t).alias("_tie"))
     n = F.col("_n").cast("double")
     low = F.least("w_plus", "w_minus")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_tie") / 2) / 24)
-    z = (low - n * (n + 1) / 4) / se
+    z = F.try_divide(low - n * (n + 1) / 4, se)
     out = rows.join(sums, list(by), "left")
     exact_ok = (F.col("_all") <= 50) & (F.col("_tie") == 0) & (F.col("_n") == F.col("_all"))
     return out.select(*by, "w_plus", "w_minus", F.col("_n").alias("n_nonzero"), F.coalesce(

@@ -385,7 +385,7 @@ def _(spark, sf):
 _PAIRS = """pairs AS (SELECT coalesce(l.split,r.split) AS split, coalesce(l.utt_id,r.utt_id) AS utt_id, l.utt_id AS lid, r.utt_id AS rid,
   l.label, r.key, l.spk_id AS ls, r.spk_id AS rs, l.gender AS lg, r.gender AS rg,
   (l.label='pristine' AND r.key='bonafide') OR (l.label='generated' AND r.key='spoof') AS ok
-  FROM protocol l FULL JOIN counterpart r ON l.utt_id=r.utt_id)"""
+  FROM protocol l FULL JOIN counterpart r ON l.utt_id=r.utt_id AND l.split=r.split)"""
 
 
 def _pairs(spark, sf):
@@ -423,7 +423,7 @@ def _(spark, sf):
     return reconcile.overlap_evidence(_pairs(spark, sf), P)
 
 
-@query("counterpart_semi_join", "SELECT * FROM counterpart WHERE utt_id IN (SELECT utt_id FROM protocol)", "protocol", "counterpart")
+@query("counterpart_semi_join", "SELECT * FROM counterpart WHERE (split, utt_id) IN (SELECT (split, utt_id) FROM protocol)", "protocol", "counterpart")
 def _(spark, sf):
     return reconcile.reduce_to(V.counterpart(spark, sf), V.protocol(spark, sf))
 

@@ -170,14 +170,21 @@ def confirmatory_stage(master: DataFrame, correlations: DataFrame, features: Seq
 
 def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str, effects.Scorer],
                     features: Sequence[str], rate: int, edges: Sequence[float], win: int, hop: int, *,
-                    per_quadrant: int = 150, n_boot: int = 1000, k: int | None = None,
+                    per_quadrant: int | None = None, n_boot: int = 1000, k: int | None = None,
                     seed: int = 42) -> dict[str, DataFrame]:
     """Occlusion table, agreement of the two profiles and the convergence test.
 
-    ``master`` has no samples; ``signals`` has ``sample_id`` and ``samples``.
+    ``master`` has no samples; ``signals`` has ``sample_id`` and ``samples``.  All clips are measured;
+    ``per_quadrant`` draws a sample instead.
     """
     n = len(edges) - 1
     k = k or max(1, n // 3)
+
+    def chosen(rows: DataFrame, quad: str) -> DataFrame:
+        rows = rows.filter(F.col(quad).isNotNull())
+        drawn = rows if per_quadrant is None else sampling.up_to(rows, [quad], ["sample_id"], per_quadrant, seed)
+        return drawn.select("sample_id")
+
     tags = list(scorers)
     split = freeze(sampling.halves(master, ["sample_id"], seed))
     rank_half, test_half = split.filter(F.col("half") == 0), split.filter(F.col("half") == 1)
@@ -187,11 +194,11 @@ def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str,
     tables, found = [], []
     for tag, scorer in scorers.items():
         quad = f"quadrant_{tag}"
-        picked = sampling.up_to(master, [quad], ["sample_id"], per_quadrant, seed).select("sample_id")
+        picked = chosen(master, quad)
         clips = signals.join(picked, "sample_id").select("sample_id", "samples")
         drops = freeze(effects.band_drops(clips, scorer, rate, edges, win, hop).drop("samples"))
         tables.append(effects.occlusion_table(drops, tag, edges, ["sample_id"], n_boot=n_boot, seed=seed))
-        held = sampling.up_to(test_half, [quad], ["sample_id"], per_quadrant, seed).select("sample_id")
+        held = chosen(test_half, quad)
         test_clips = signals.join(held, "sample_id").select("sample_id", "samples")
         test_drops = effects.band_drops(test_clips, scorer, rate, edges, win, hop).drop("samples")
         found.append(effects.oriented_effects(test_drops, half, tag, k, n).select(

@@ -364,7 +364,7 @@ VIEWS["effects"] = (("half_strengths", "band_drops"), """
    d AS (SELECT 'zs' AS detector, sample_id, band, drop_zs AS d FROM band_drops UNION ALL SELECT 'ad', sample_id, band, drop_ad FROM band_drops)
   SELECT p.detector, p.sample_id, sum(d*sign(signed)) FILTER (WHERE t=1) AS top, sum(d*sign(signed)) FILTER (WHERE b=1) AS bottom,
     any_value(r.band) FILTER (WHERE t=1) AS top_band, any_value(r.band) FILTER (WHERE b=1) AS bottom_band
-  FROM p JOIN d ON p.detector=d.detector AND p.sample_id=d.sample_id JOIN r ON r.detector=d.detector AND r.band=d.band WHERE rn<=150 GROUP BY p.detector, p.sample_id""")
+  FROM p JOIN d ON p.detector=d.detector AND p.sample_id=d.sample_id JOIN r ON r.detector=d.detector AND r.band=d.band GROUP BY p.detector, p.sample_id""")
 
 
 @query("convergence_intervention", f"""

@@ -28,12 +28,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) is a temporary
-    folder created and registered.
+    Only in local mode, and only where the session leaves it unset (tests on one machine), is a
+    temporary folder created and registered; a cluster has to name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured is None and current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
     if current is None:
         spark.sparkContext.setCheckpointDir(configured)
@@ -58,7 +60,7 @@ def freeze(df: DataFrame) -> DataFrame:
 
 def default_buckets(spark: SparkSession) -> int:
     """Range buckets for distributed ranks: follows the cluster's shuffle width."""
-    return max(4, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
