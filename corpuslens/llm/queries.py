@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.llm import html_text, jaccard_join, line_chunks, mixing, packing, quality_model, quality_rules, rotated_codes, secret_ledger, toxicity
 from corpuslens.llm.common import read_table
+from corpuslens.llm.oracles import ORACLES  # noqa: F401
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_toxicity_chain": op10_toxicity_chain,
 }
-ORACLES: dict[str, str] = {}
+

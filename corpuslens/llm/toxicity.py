@@ -167,9 +167,10 @@ def predict(docs: DataFrame, labels: DataFrame, chain: Mapping[str, Column] | No
     texts = docs.select("doc_id", common.whole_text().alias("__cl_text"))
     known = labels.select("doc_id", *[c.alias(n) for n, c in chain.items()]).where(" and ".join(
         f"{n} is not null" for n in names)).groupBy("doc_id").agg(*[(F.avg(n) >= 0.5).cast("int").alias(n) for n in names])
-    marked = common.with_python(texts.join(known.select("doc_id"), "doc_id", "left_semi"), "__cl_text",
-                                lambda: lambda ts: [[sorted(_words(t)) for t in ts]], "words array<string>")
-    rows = common.written(marked.join(known, "doc_id"), "labelled")
+    # Few labels are broadcast, so that no text is shuffled; many meet the texts by a shuffle.
+    rows = common.written(common.with_python(
+        texts.join(common.shared_small(known), "doc_id"), "__cl_text",
+        lambda: lambda ts: [[sorted(_words(t)) for t in ts]], "words array<string>"), "labelled", texts=True)
     words = vocabulary(rows, names)
     chosen = common.with_python(rows.select(F.xxhash64("doc_id").alias("h"), *names, F.col("words").alias("__cl_words")),
                                 "__cl_words", functools.partial(_placer, words), "words array<int>")
