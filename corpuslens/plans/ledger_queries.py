@@ -632,9 +632,9 @@ def _(spark, sf):
 
 @query("stream_ledger_upsert", "SELECT utt_id, split, archive_name, member_size FROM ledger", "ledger")
 def _(spark, sf):
-    from corpuslens.streaming.ledger_stream import read_versioned, upsert_stream
+    from corpuslens.streaming.ledger_stream import read_ledger, upsert_stream
     source, root = scratch_path(spark, "ledger-in"), scratch_path(spark, "ledger-out")
     V.ledger(spark, sf).write.parquet(source)
     stream = spark.readStream.schema(schemas.LEDGER).parquet(source)
     upsert_stream(stream, root, scratch_path(spark, "ledger-state")).awaitTermination()
-    return read_versioned(spark, root).select("utt_id", "split", "archive_name", "member_size")
+    return read_ledger(spark, root).select("utt_id", "split", "archive_name", "member_size")

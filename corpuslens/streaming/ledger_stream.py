@@ -2,48 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from corpuslens.operators.reconcile import upsert
 from corpuslens.operators.rules import assert_clean, duplicate_keys
 from corpuslens.schemas import LEDGER, LEDGER_COLUMNS
 from corpuslens.sources.sinks import exists
 
+_APPLIED = T.StructType([*LEDGER.fields, T.StructField("applied", T.LongType()), T.StructField("run", T.StringType()),
+                         T.StructField("batch", T.LongType())])
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """Newest committed version of a versioned ledger."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path)
-             if s.getPath().getName().startswith("v=")
-             and exists(spark, f"{root}/{s.getPath().getName()}/_SUCCESS")]
-    return max(found, default=None)
 
+def _updates(spark: SparkSession, root: str) -> DataFrame:
+    """All applied updates; Spark's partition columns tell the query and the batch that wrote them."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], _APPLIED)
+    return spark.read.schema(_APPLIED).parquet(root)
 
-def read_versioned(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
-    version = current_version(spark, root)
-    if below is not None and version is not None and version >= below:
-        version = below - 1 if exists(spark, f"{root}/v={below - 1}/_SUCCESS") else None
-    if version is None:
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.parquet(f"{root}/v={version}")
 
+def read_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """The newest row of every utt_id; equal ids meet map-side before the shuffle."""
+    row = F.struct(*LEDGER_COLUMNS)
+    return _updates(spark, root).groupBy("utt_id").agg(F.max_by(row, "applied").alias("row")).select("row.*")
 
-def apply_batch(updates: DataFrame, batch_id: int, root: str) -> None:
-    """One micro-batch: repeated ids are refused, then the next version is written.
 
-    A batch that runs again overwrites its own version, so replays change nothing.
+def apply_batch(updates: DataFrame, batch_id: int, root: str, run: str) -> None:
+    """One micro-batch: repeated ids are refused, then its rows are written as a partition of their own.
+
+    ``run`` names the streaming query, so a query that starts anew with a fresh checkpoint adds to
+    what others wrote.  A batch that runs again replaces its own partition and nothing else.
     """
+    spark = updates.sparkSession
     updates = updates.select(*LEDGER_COLUMNS)
     assert_clean(duplicate_keys(updates, ["utt_id"], "duplicate_update"))
-    merged = upsert(read_versioned(updates.sparkSession, root, below=batch_id), updates)
-    merged.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+    others = _updates(spark, root).where(~((F.col("run") == run) & (F.col("batch") == batch_id)))
+    newest = others.agg(F.max("applied")).first()[0]
+    updates.withColumn("applied", F.lit(0 if newest is None else newest + 1).cast("long")).write.mode(
+        "overwrite").parquet(f"{root}/run={run}/batch={batch_id}")
 
 
 def upsert_stream(stream: DataFrame, root: str, checkpoint: str):
-    """Start the stream; each batch becomes a new version of the ledger."""
-    return (stream.writeStream.foreachBatch(lambda df, i: apply_batch(df, i, root))
+    """Start the stream; each batch becomes a partition of the ledger's updates."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        apply_batch(batch, batch_id, root, query)
+    return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from corpuslens import schemas
 from corpuslens.operators import models, rules
 from corpuslens.operators.rules import RuleViolation
-from corpuslens.streaming.ledger_stream import apply_batch, current_version, read_versioned
+from corpuslens.streaming.ledger_stream import apply_batch, read_ledger, upsert_stream
 from corpuslens.streaming.quota import first_per_class
 
 
@@ -23,16 +23,26 @@ def ledger(spark, rows):
     return spark.createDataFrame([(k, "train", "a.tar", "md5", "m", n, "sha") for k, n in rows], schemas.LEDGER)
 
 
-def test_ledger_versions_replay_and_refuse(spark, tmp_path):
+def test_ledger_replays_and_refuses(spark, tmp_path):
     root = str(tmp_path / "ledger")
-    apply_batch(ledger(spark, [("a", 1), ("b", 1)]), 0, root)
-    apply_batch(ledger(spark, [("b", 2), ("c", 2)]), 1, root)
-    apply_batch(ledger(spark, [("b", 2), ("c", 2)]), 1, root)
-    assert current_version(spark, root) == 1
-    assert sorted((r["utt_id"], r["member_size"]) for r in read_versioned(spark, root).collect()) == [("a", 1), ("b", 2), ("c", 2)]
+    state = lambda: sorted((r["utt_id"], r["member_size"]) for r in read_ledger(spark, root).collect())
+    apply_batch(ledger(spark, [("a", 1), ("b", 1)]), 0, root, "q")
+    apply_batch(ledger(spark, [("b", 2), ("c", 2)]), 1, root, "q")
+    apply_batch(ledger(spark, [("b", 2), ("c", 2)]), 1, root, "q")
+    assert state() == [("a", 1), ("b", 2), ("c", 2)]
     with pytest.raises(RuleViolation, match="duplicate_update"):
-        apply_batch(ledger(spark, [("z", 1), ("z", 2)]), 2, root)
-    assert current_version(spark, root) == 1
+        apply_batch(ledger(spark, [("z", 1), ("z", 2)]), 2, root, "q")
+    assert state() == [("a", 1), ("b", 2), ("c", 2)]
+
+
+def test_ledger_keeps_rows_after_a_restart_with_a_fresh_checkpoint(spark, tmp_path):
+    root = str(tmp_path / "ledger")
+    for k, rows in enumerate([[("a", 1), ("b", 1)], [("b", 2), ("c", 2)], [("d", 3)]]):
+        ledger(spark, rows).write.parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema(schemas.LEDGER).parquet(str(tmp_path / f"in{k}"))
+        upsert_stream(stream, root, str(tmp_path / f"state{k}")).awaitTermination()
+    found = sorted((r["utt_id"], r["member_size"]) for r in read_ledger(spark, root).collect())
+    assert found == [("a", 1), ("b", 2), ("c", 2), ("d", 3)]
 
 
 @pytest.fixture(scope="module")
