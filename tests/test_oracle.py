@@ -33,6 +33,7 @@ def test_query_equals_sql(spark, con, sf, name):
 def test_contract(spark):
     assert set(oracle_sql()) <= set(queries())
     corpus_part = {n for n in queries() if re.match(r"op[0-9]|pipeline", n)}
-    assert bool(corpus_part) == (find_spec("corpuslens.llm") is not None and find_spec("corpus_pipeline") is not None)
+    part = find_spec("corpuslens.llm")
+    assert bool(corpus_part) == (part is not None and part.origin is not None and find_spec("corpus_pipeline") is not None)
     df = entry(spark)
     assert df.columns == ["counted", "split", "label", "speaker", "attack", "count"] and df.count() > 0
