@@ -3,16 +3,18 @@
 Every text is the set of its five-word shingles.  Copies (equal sets) are collapsed to one class
 with a weight.  In each run every set picks tokens with chance 1 / (threshold * size), by a hash
 common to all sets, so that two similar sets pick a common token more than once on average; sets
-that pick the same token form a bucket.  Buckets of more than ``DIRECT`` sets are split again by
-freshly picked tokens, up to ``DEPTH`` times; the others, and what is still large in the end, are
-compared by brute force, large ones block against block in separate tasks.  ``RUNS`` runs bring
-the chance to miss a pair at the threshold below 1e-5 without a split and 2 % after two of them.
-
-Buckets with the same members in several runs are compared once, and a pair that shares several
-buckets counts in the first of them only.  Brute force returns no pairs but, for each set, the
-weight of its links, and the links of a spanning forest, so that its output grows with the members
-and not with their square; classes are the connected components of the forests.  Similarities are
-exact, from whole sets of 64-bit shingle hashes; no bucket is capped.
+that pick the same token form a bucket.  Buckets of more than ``DIRECT`` sets are split again, up
+to ``DEPTH`` depths, by freshly picked tokens of ``SPLITS`` runs; one that hardly shrinks is not
+replaced by its parts.  It, all smaller ones, and what is still large in the end, are compared by
+brute force, large ones block against block in separate tasks.  The chance to miss a pair at the
+threshold is below 1e-5 at every depth.
+
+Buckets with the same members are compared once; those still to be split stay one for each run,
+since their repeats find the pairs.  A pair that shares several buckets counts in the first of
+them only.  Brute force returns no pairs but, for each set, the weight of its links, and the links
+of a spanning forest, so that its output grows with the members and not with their square; classes
+are the connected components of the forests.  Similarities are exact, from whole sets of 64-bit
+shingle hashes; no bucket is capped.
 
 Edge cases: a text of fewer than five words is one shingle; a null, empty or blank text has no
 shingles, no links and a class of its own; repeated rows are copies; the class id is the least
@@ -36,6 +38,8 @@ from corpuslens.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 RUNS, DEPTH = 14, 3
+#: Runs whose picks split a large bucket, and the share of its sets that a part of it must not exceed.
+SPLITS, SHRUNK = 4, 0.5
 #: Sets of a bucket that is compared rather than split, and of a block of a large bucket.
 DIRECT, BLOCK = 4096, 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -217,32 +221,48 @@ def _compare_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["a", "b", "links"])
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with two members or more, one bucket for each set of members, with its size."""
+def _sizes(rows: DataFrame, *others: str) -> DataFrame:
+    """Buckets with two members or more: key, count, run and two hashes of the members."""
     marks = [F.bit_xor(F.xxhash64(F.lit(i), "set_id")).alias(f"mark{i}") for i in (1, 2)]
-    sizes = rows.groupBy("key").agg(F.count("*").alias("count"), *marks).where(F.col("count") > 1)
-    single = sizes.groupBy("count", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "count")
-    return rows.join(single, "key")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("count"), *marks, *[F.first(c).alias(c) for c in ("run", *others)])
+    return sizes.where(F.col("count") > 1)
+
+
+def _single(sizes: DataFrame, last: bool = False) -> DataFrame:
+    """(key, count, twin) of one bucket of those with equal members; of those still to be split, whose repeats give the
+    recall, of one for each run, with equal ``twin``."""
+    split = F.lit(False) if last else F.col("count") > DIRECT
+    single = sizes.groupBy("count", "mark1", "mark2", F.when(split, F.col("run")).alias("of")).agg(F.min("key").alias("key"))
+    return single.select("key", "count", F.when(F.col("of").isNotNull(), F.xxhash64("count", "mark1", "mark2")).alias("twin"))
 
 
 def buckets(classes: DataFrame) -> DataFrame:
     """(key, count, set_id) of all buckets to compare.  ``classes`` has set_id, slots and tokens."""
-    picked = lambda run, depth: F.expr(
-        f"transform(filter(arrays_zip(slots, tokens), x -> x.slots = {run} * {DEPTH} + {depth}), x -> x.tokens)")
     first = classes.select("set_id", F.explode(F.filter(
         F.arrays_zip("slots", "tokens"), lambda x: x["slots"] % DEPTH == 0)).alias("p")).select(
-        "set_id", F.floor(F.col("p.slots") / DEPTH).cast("int").alias("run"), F.xxhash64("p.slots", "p.tokens").alias("key"))
-    level, out = first.distinct(), []
-    for depth in range(1, DEPTH + 1):
-        level = common.written(_counted(level), "buckets")
-        large = F.col("count") > DIRECT
-        out.append(level.where(~large) if depth < DEPTH else level)
-        if depth == DEPTH or level.where(large).isEmpty():
+        "set_id", F.floor(F.col("p.slots") / DEPTH).cast("int").alias("run"),
+        F.xxhash64("p.slots", "p.tokens").alias("key")).distinct()
+    level = common.written(first.join(_single(_sizes(first)), "key"), "buckets")
+    out = [level.where("twin is null")]
+    for depth in range(1, DEPTH):
+        parents = level.where("twin is not null")
+        if parents.isEmpty():
             break
-        split = level.where(large).drop("count").join(classes.select("set_id", "slots", "tokens"), "set_id")
-        level = split.select("set_id", "run", "key", F.explode(picked("run", depth)).alias("token")).select(
-            "set_id", "run", F.xxhash64("key", "token").alias("key")).distinct()
-    return functools.reduce(DataFrame.unionByName, out).select("key", "count", "set_id")
+        picked = F.expr(f"filter(arrays_zip(slots, tokens), x -> x.slots % {DEPTH} = {depth} and "
+                        f"pmod(x.slots div {DEPTH} - run, {RUNS}) < {SPLITS})")
+        split = parents.select("set_id", "run", F.col("key").alias("parent"), F.col("count").alias("whole")).join(
+            classes.select("set_id", "slots", "tokens"), "set_id").select(
+            "set_id", "run", "parent", "whole", F.explode(picked).alias("p")).select(
+            "set_id", "run", "parent", "whole", F.xxhash64("parent", "p.slots", "p.tokens").alias("key")).distinct()
+        below = common.written(_sizes(split, "parent", "whole"), "sizes")
+        # Those that keep most of their members would only be multiplied by more splits.
+        dense = below.where(F.col("count") > SHRUNK * F.col("whole")).select(F.col("parent").alias("key")).distinct()
+        ready = parents.select("key", "twin").distinct().join(dense, "key").groupBy("twin").agg(F.min("key").alias("key"))
+        out.append(parents.join(ready.select("key"), "key", "left_semi"))
+        open_ones = below.join(dense.select(F.col("key").alias("parent")), "parent", "left_anti")
+        level = common.written(split.select("set_id", "run", "key").join(_single(open_ones, depth + 1 == DEPTH), "key"), "buckets")
+        out.append(level.where("twin is null"))
+    return functools.reduce(DataFrame.unionByName, [x.select("key", "count", "set_id") for x in out])
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -275,9 +295,19 @@ def join(docs: DataFrame) -> DataFrame:
                          F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *common.ROW_KEY)
 
 
-def expected_miss(depth: int, runs: int = RUNS) -> float:
-    """The chance that no run finds a pair just at the threshold after so many splits."""
-    return (1 - (1 - math.exp(-1)) ** depth) ** runs
+def expected_miss(depth: int, runs: int = RUNS, splits: int = SPLITS) -> float:
+    """The chance that no run finds a pair just at the threshold at so many depths."""
+    drawn = np.arange(2**runs)[:, None] >> np.arange(runs) & 1
+    chance = (1 - math.exp(-1)) ** drawn.sum(axis=1) * math.exp(-1) ** (runs - drawn.sum(axis=1))
+    split = np.max([np.roll(drawn, -k, axis=1) for k in range(splits)], axis=0) @ (1 << np.arange(runs))
+    found, at = np.unique(split, return_inverse=True)
+    weight = np.bincount(at, chance)
+    alive, odds = np.array([2**runs - 1]), np.ones(1)
+    for _ in range(depth - 1):
+        alive, odds = np.bitwise_and.outer(alive, found).ravel(), np.outer(odds, weight).ravel()
+        alive, at = np.unique(alive, return_inverse=True)
+        odds = np.bincount(at, odds)
+    return float(odds @ np.exp(-np.bitwise_count(alive).astype(float)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
