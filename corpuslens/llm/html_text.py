@@ -1,15 +1,17 @@
-"""Main text of web pages: markup marks what is certain, repeats across a host's pages mark the rest.
+"""Main text of web pages: repeats across a host's pages judge the blocks, with markup as one signal.
 
 Each page becomes a stream of blocks.  Blocks inside elements that are furniture by their name,
 role or class (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) never
-count; blocks inside ``article`` or ``main`` always do, because an article that a host publishes
-twice is no furniture.  Between these two lie pages without such an element.  For them the words
-outside articles of all pages of a host are the token streams: a suffix of a stream is named by
-its next ``DEPTH`` words, suffixes with equal names on distinct pages are repeated substrings of
-that length or more (the neighbours in a suffix array whose common prefix is as long), and blocks
-mostly covered by such substrings are removed; unique runs stay.  Names are grouped by a
-map-side combined aggregation instead of sorting a host's suffixes, so that a host with a third of
-all pages is no task of its own.
+count.  All others stay unless they repeat over the pages of their host, whether or not the page
+has an article.  The words outside articles of all pages of a host are the token streams: a suffix
+of a stream is named by its next ``DEPTH`` words, suffixes with equal names on distinct pages are
+repeated substrings of that length or more (the neighbours in a suffix array whose common prefix
+is as long), and blocks outside articles that are mostly covered by substrings on more than a
+tenth of the host's pages are removed; other runs stay.  Blocks inside ``article`` or ``main`` are
+kept by their markup unless the whole block stands in the articles of more than half of the host's
+pages, three at least: an article that a host publishes twice is no furniture.  Names are grouped
+by a map-side combined aggregation instead of sorting a host's suffixes, so that a host with a
+third of all pages is no task of its own.
 
 Edge cases: null or empty html gives the empty text; a null url is a host of its own; repeated
 rows give repeated results and, being one page's copies, do not make each other furniture if they
@@ -32,6 +34,8 @@ from corpuslens.llm import common
 DEPTH = 8
 #: Share of a block's words that repeats must cover.
 COVERED = 0.5
+#: Least pages of a host, and the share of its pages to be exceeded, that make a repeat furniture outside and inside articles.
+OUTSIDE, INSIDE = (2, 0.1), (3, 0.5)
 
 #: Elements whose content is never shown as text, and furniture by name.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "noscript", "template", "iframe"}
@@ -164,11 +168,22 @@ def suffix_names(blocks: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]
     return names.view(np.int64), np.array([i for _, i in words], np.int32)
 
 
+def marks_of(blocks: list[tuple[str, int]]) -> list[int | None]:
+    """For each block inside articles a name of its text."""
+    return [xxhash.xxh64_intdigest(t) - 2**63 if k == MAIN else None for t, k in blocks]
+
+
 def _streams(sources: list[str]) -> list[list]:
     pages = [blocks_of(x) for x in sources]
     named = [suffix_names(p) for p in pages]
     return [[[t for t, _ in p] for p in pages], [[k for _, k in p] for p in pages],
-            [n for n, _ in named], [o for _, o in named]]
+            [n for n, _ in named], [o for _, o in named], [marks_of(p) for p in pages]]
+
+
+def _repeated(names: DataFrame, hosts: DataFrame, least: int, share: float) -> DataFrame:
+    """(host, name) of the names on so many pages of their host and on more than this share of them."""
+    found = names.where("name is not null").distinct().groupBy("host", "name").count().where(F.col("count") >= least)
+    return found.join(hosts, "host").where(F.col("count") > share * F.col("pages")).select("host", "name")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -177,25 +192,28 @@ def extract(pages: DataFrame) -> DataFrame:
         "page_id", "url", *common.ROW_KEY, common.whole_text("html").alias("__cl_html"))
     streams = common.written(common.with_python(
         keyed, "__cl_html", lambda: _streams,
-        "texts array<string>, kinds array<int>, names array<bigint>, owners array<int>"), "streams", texts=True)
+        "texts array<string>, kinds array<int>, names array<bigint>, owners array<int>, marks array<bigint>"), "streams", texts=True)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), "^[^:/?#]+://([^/?#:]*)", 1)).alias("host")
     page = F.xxhash64("page_id", "url").alias("page")
-    marked = F.exists("kinds", lambda k: k == MAIN)
-    done = streams.where(marked).withColumn("use", F.transform("kinds", lambda k: k == MAIN))
+    hosts = common.shared_small(streams.select(host, page).distinct().groupBy("host").agg(F.count("*").alias("pages")))
 
-    suffixes = streams.select(host, page, F.explode("names").alias("name"))
-    repeated = suffixes.groupBy("host", "name").agg(F.min("page").alias("a"), F.max("page").alias("b")).where(
-        "a <> b").select("host", "name")
-    open_pages = streams.where(~marked)
+    furniture = _repeated(streams.select(host, page, F.explode("names").alias("name")), hosts, *OUTSIDE)
+    open_pages = streams.where(F.exists("kinds", lambda k: k == OTHER))
     spots = open_pages.select(host, *common.ROW_KEY, F.posexplode("names").alias("at", "name"))
-    covered = spots.join(repeated, ["host", "name"]).groupBy(*common.ROW_KEY).agg(F.collect_list("at").alias("starts"))
-    judged = open_pages.join(covered, common.ROW_KEY, "left").withColumn(
+    covered = spots.join(furniture, ["host", "name"]).groupBy(*common.ROW_KEY).agg(F.collect_list("at").alias("starts"))
+    hit = open_pages.select(*common.ROW_KEY, "kinds", "owners").join(covered, common.ROW_KEY).withColumn(
         "hit", F.array_distinct(F.flatten(F.transform(
-            F.coalesce("starts", F.array().cast("array<int>")),
-            lambda s: F.sequence(s, F.least(s + DEPTH - 1, F.size("owners") - 1))))))
-    judged = judged.withColumn("hit", F.transform("hit", lambda i: F.get("owners", i))).withColumn(
-        "use", F.transform("kinds", lambda k, i: (k == OTHER) & (
-            F.size(F.filter("hit", lambda o: o == i)) <= COVERED * F.size(F.filter("owners", lambda o: o == i)))))
-    both = done.unionByName(judged.select(*done.columns))
+            "starts", lambda s: F.sequence(s, F.least(s + DEPTH - 1, F.size("owners") - 1))))))
+    hit = hit.withColumn("hit", F.transform("hit", lambda i: F.get("owners", i))).select(
+        *common.ROW_KEY, "hit", "owners", F.posexplode("kinds").alias("block", "kind")).where(F.col("kind") == OTHER)
+    size = lambda words: F.size(F.filter(words, lambda o: o == F.col("block")))
+    outside = hit.where(size("hit") > COVERED * size("owners")).select(*common.ROW_KEY, "block")
+
+    blocks = streams.select(host, page, *common.ROW_KEY, F.posexplode("marks").alias("block", "name"))
+    inside = blocks.join(_repeated(blocks.select("host", "page", "name"), hosts, *INSIDE), ["host", "name"])
+    gone = common.shared_small(outside.unionByName(inside.select(*common.ROW_KEY, "block")).groupBy(*common.ROW_KEY).agg(
+        F.collect_set("block").alias("gone")))
+    use = F.transform("kinds", lambda k, i: (k != ASIDE) & ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    judged = streams.join(gone, common.ROW_KEY, "left").withColumn("use", use)
     text = F.array_join(F.transform(F.filter(F.arrays_zip("texts", "use"), lambda x: x["use"]), lambda x: x["texts"]), "\n\n")
-    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

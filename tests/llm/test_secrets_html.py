@@ -69,6 +69,18 @@ def test_articles_stay_and_repeats_of_a_host_go(spark):
     assert html_text.extract(pages(spark, rows).where("false")).count() == 0
 
 
+def test_repeats_count_by_the_pages_of_the_host(spark):
+    """An unmarked teaser article costs no text, two pages of many are no furniture, and a notice in most articles is."""
+    quote, notice = "These are the words that two of the pages quote from a third", "Share this story with all of your friends today"
+    site = "You are reading the daily page of our small town for free"
+    rows = [(i, f"http://c.example/{i}", f"<div>{site}</div><div>Main words of page number {i} stand in a plain division {i}</div>"
+             + (f"<div>{quote}</div>" if i < 2 else "") + f"<article><p>Teaser {i}</p><p>{notice}</p></article>") for i in range(30)]
+    text = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    for i in range(30):
+        want = [f"Main words of page number {i} stand in a plain division {i}", *([quote] if i < 2 else []), f"Teaser {i}"]
+        assert text[i] == "\n\n".join(want)
+
+
 def test_articles_of_the_given_pages(spark, sf):
     import html
     table = spark.read.parquet(f"{sf}/pages.parquet")
