@@ -5,11 +5,11 @@ weight w releases its block k at slot floor(k / w) and wants it served by slot c
 each slot serves the released block with the earliest deadline.  So at every slot each source has
 been served its weight times the number of slots, less than one block off.
 
-Weights are rounded to slots of a period, and the schedule of one period repeats.  It has
-``SLOTS_PER_SOURCE`` slots for each source, is computed once and joined to the documents: nothing
-is scheduled row by row, and no source is gathered in a task.  A document belongs to the block in
-which it starts.  No document is dropped: after a source runs out its slots stay empty, and the
-others keep their proportions to each other.
+Release and deadline are computed from the exact weights, in whole numbers, so that nothing adds
+up over time.  The schedule has a row for each block that exists and is joined to the documents:
+one pass holds a row for each source and emits the blocks; no document is scheduled by itself.
+A document belongs to the block in which it starts.  No document is dropped: after a source runs
+out its slots stay empty, and the others keep their proportions to each other.
 
 Edge cases: a null source is a source of its own; a null or empty text counts one character, so
 that every document has a place; repeated rows take their own places; weights of absent sources
@@ -20,19 +20,19 @@ empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping, Sequence
+import itertools
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.llm import common
 
 BLOCK_CHARS = 65_536
-SLOTS_PER_SOURCE = 64
 #: Without given weights a source weighs its characters to this power.
 TEMPERATURE = 0.5
-#: More sources than this are an error: the period is held by the driver.
-MAX_SOURCES = 20_000
 
 
 def in_slots(weights: Mapping[str, float], slots: int) -> dict[str, int]:
@@ -51,22 +51,50 @@ def windows(k: int, share: int, period: int) -> tuple[int, int]:
     return k * period // share, -(-(k + 1) * period // share)
 
 
-def schedule(shares: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of one period by earliest deadline."""
+def served(shares: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of so many blocks of each source by earliest deadline.  Slots of a source
+    that has run out, and all where nothing is released, stay empty."""
     period = sum(shares.values())
-    waiting = [(windows(0, n, period)[0], s, 0) for s, n in shares.items()]
+    waiting = [(0, s, 0) for s, n in blocks.items() if n > 0]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (windows(k, shares[s], period)[1], s, k, release))
         deadline, s, k, release = heapq.heappop(ready)
-        out.append((s, k, release, deadline, slot))
-        if k + 1 < shares[s]:
+        yield s, k, release, deadline, slot
+        if k + 1 < blocks[s]:
             heapq.heappush(waiting, (windows(k + 1, shares[s], period)[0], s, k + 1))
-    return out
+        slot += 1
+
+
+def schedule(shares: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of one period by earliest deadline."""
+    return list(served(shares, shares))
+
+
+def exact(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    common_part = math.lcm(1, *{x.denominator for x in parts.values()})
+    return {s: int(x * common_part) for s, x in parts.items()}
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block, from one row for each source."""
+    weights, blocks = {}, {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            weights[r["__cl_source"]], blocks[r["__cl_source"]] = r["weight"], r["blocks"]
+    rows = served(exact(weights), blocks)
+    names = ["__cl_source", "__cl_block_no", "__cl_release", "__cl_deadline", "__cl_slot"]
+    while part := list(itertools.islice(rows, 50_000)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(zip(*part, strict=True))], names=names)
 
 
 def deviation(counts: Mapping[str, int], shares: Mapping[str, int], slots: int) -> Fraction:
@@ -85,28 +113,17 @@ def place(docs: DataFrame, targets: Mapping[str | None, float] | None = None, bl
     keyed = keyed.select(*(docs.columns if keep is None else keep), common.FILE, common.BLOCK, common.ROW,
                          "__cl_source", "__cl_chars")
     placed = common.with_offsets(keyed, "__cl_chars", "__cl_start", ["__cl_source"])
-    found = placed.groupBy("__cl_source").agg(F.sum("__cl_chars").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"{source} has more than {MAX_SOURCES} values")
+    numbered = placed.withColumn("__cl_block_no", F.floor(F.col("__cl_start") / F.lit(block_chars)))
+    found = numbered.groupBy("__cl_source").agg(F.sum("__cl_chars").alias("n"), (F.max("__cl_block_no") + 1).alias("blocks"))
     if targets is None:
-        weights = {r[0]: float(r[1]) ** TEMPERATURE for r in found}
+        weighed = found.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
     else:
-        named = {"null" if s is None else f"={s}": w for s, w in targets.items()}
-        weights = {r[0]: named[r[0]] for r in found if named.get(r[0], 0) > 0}
-    shares = in_slots(weights, SLOTS_PER_SOURCE * len(weights)) if weights else {}
-    period = max(1, sum(shares.values()))
-    rows = [(s, k, release, deadline, slot, shares[s]) for s, k, release, deadline, slot in schedule(shares)]
-    table = docs.sparkSession.createDataFrame(
-        rows, "__cl_source string, __cl_k long, __cl_r long, __cl_d long, __cl_s long, __cl_share long")
-    share = docs.sparkSession.createDataFrame(list(shares.items()), "__cl_source string, __cl_share long")
-    # At most SLOTS_PER_SOURCE * MAX_SOURCES rows.
-    numbered = placed.join(F.broadcast(share), "__cl_source", "left").withColumn(
-        "__cl_block_no", F.floor(F.col("__cl_start") / F.lit(block_chars)))
-    numbered = numbered.withColumn("__cl_k", F.col("__cl_block_no") % F.col("__cl_share"))
-    turn = F.floor(F.col("__cl_block_no") / F.col("__cl_share")) * period
-    return numbered.join(F.broadcast(table.drop("__cl_share")), ["__cl_source", "__cl_k"], "left").withColumns({
-        "__cl_release": turn + F.col("__cl_r"), "__cl_deadline": turn + F.col("__cl_d"),
-        "__cl_slot": turn + F.col("__cl_s")})
+        named = [("null" if s is None else f"={s}", float(w)) for s, w in targets.items() if w > 0]
+        weighed = found.join(docs.sparkSession.createDataFrame(named, "__cl_source string, weight double"), "__cl_source")
+    # One row for each source goes in, one for each block comes out, in one pass over time.
+    table = common.shared_small(weighed.select("__cl_source", "weight", "blocks").repartition(1).mapInArrow(
+        _slots, "__cl_source string, __cl_block_no long, __cl_release long, __cl_deadline long, __cl_slot long"))
+    return numbered.join(table, ["__cl_source", "__cl_block_no"], "left")
 
 
 def mixed(docs: DataFrame, targets: Mapping[str | None, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -164,6 +164,18 @@ def deviation_of_period(served, shares):
     return max(abs(served[s] - Fraction(2 * n)) for s, n in shares.items())
 
 
+def test_mix_follows_the_given_targets_over_many_periods(spark):
+    """Within a block of the weights themselves, small ones too, however long the mix is."""
+    targets = {"big": 0.7363, "mid": 0.2617, "small": 0.0020}
+    docs = documents(spark, [(i, "x" * 10, "en", s) for s, n in (("big", 2900), ("mid", 1040), ("small", 8)) for i in range(n)])
+    slots = sorted((r["__cl_slot"], r.source) for r in mixing.place(docs, targets, block_chars=10).collect())
+    total, count = sum(map(Fraction, targets.values())), Counter()
+    assert len({t for t, _ in slots}) == len(slots) == 3948
+    for t, s in slots[:3900]:
+        count[s] += 1
+        assert all(abs(count[x] - Fraction(w) / total * (t + 1)) < 1 for x, w in targets.items())
+
+
 def test_mix_places_every_document(spark):
     rng = random.Random(4)
     rows = [(i, "x" * rng.randint(0, 300), "en", rng.choice(["big"] * 6 + ["b", "c", None])) for i in range(600)]
