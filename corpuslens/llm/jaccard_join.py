@@ -267,7 +267,12 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """Every row's doc_id with ``class_id``, ``n_links`` (other rows at least as similar as the threshold) and row key."""
-    keyed = common.with_row_key(docs).select("doc_id", *common.ROW_KEY, common.whole_text().alias("__cl_text"))
+    return _classed(common.with_row_key(docs)).drop("root")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """:func:`join` of documents with row keys, with ``root``, one value for each class, null without shingles."""
+    keyed = docs.select("doc_id", *common.ROW_KEY, common.whole_text().alias("__cl_text"))
     rows = common.written(common.with_python(
         keyed, "__cl_text", _describer, "set_id binary, n int, slots array<int>, tokens array<bigint>"), "sets")
     said = rows.where("n > 0")
@@ -288,11 +293,11 @@ def join(docs: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "set_id"))
     ids = placed.groupBy("root").agg(F.min("least").alias("class_id"))
     result = placed.join(ids, "root").select(
-        "set_id", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        "set_id", "root", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     joined = rows.select("doc_id", *common.ROW_KEY, "set_id", "n").join(result, "set_id", "left")
     alone = F.col("n") == 0
     return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *common.ROW_KEY)
+                         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *common.ROW_KEY, "root")
 
 
 def expected_miss(depth: int, runs: int = RUNS, splits: int = SPLITS) -> float:
@@ -312,11 +317,10 @@ def expected_miss(depth: int, runs: int = RUNS, splits: int = SPLITS) -> float:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the first of each class: least doc_id, then reading order; texts without words all stay."""
-    classed = common.written(join(docs), "classed")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *common.ROW_KEY)
-    linked = classed.where("n_links > 0 and class_id is not null")
-    first = linked.groupBy(F.col("class_id").alias("__cl_class")).agg(F.min(place).alias("__cl_first"))
-    gone = linked.join(first, F.col("class_id") == F.col("__cl_class")).where(
-        ~place.eqNullSafe(F.col("__cl_first"))).select(*common.ROW_KEY)
     keyed = common.with_row_key(docs)
+    classed = common.written(_classed(keyed), "classed")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *common.ROW_KEY)
+    linked = classed.where("n_links > 0")
+    first = linked.groupBy("root").agg(F.min(place).alias("__cl_first"))
+    gone = linked.join(first, "root").where(~place.eqNullSafe(F.col("__cl_first"))).select(*common.ROW_KEY)
     return keyed.join(gone, common.ROW_KEY, "left_anti").select(*docs.columns)

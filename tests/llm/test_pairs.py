@@ -90,6 +90,13 @@ def test_one_of_each(spark):
     assert jaccard_join.join(docs.where("false")).count() == 0 and jaccard_join.one_of_each(docs.where("false")).count() == 0
 
 
+def test_one_of_each_keeps_classes_with_equal_ids_apart(spark, tmp_path):
+    a, b, c = prose(41, 30), prose(42, 30), prose(43, 30)
+    documents(spark, [(5, a), (8, a), (5, b), (9, b), (None, c), (None, c)]).write.parquet(f"{tmp_path}/documents")
+    kept = jaccard_join.one_of_each(spark.read.parquet(f"{tmp_path}/documents")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, a), (5, b), (None, c)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (3, 2)]
     got = {r.a: r.b for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
