@@ -59,4 +59,55 @@ over AS (SELECT DISTINCT l.doc_id FROM long l JOIN chosen c ON l.rule = c.rule A
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.doc_id IS NULL AS kept
 FROM judged j LEFT JOIN over o ON j.doc_id = o.doc_id"""
 
-ORACLES = {"op6_quality_rules": QUALITY_RULES, "op8_line_chunks": LINE_CHUNKS}
+HARD_NEGATIVES = """
+WITH rows AS (SELECT row_number() OVER () AS own, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.own, a.vec_id AS anchor_id, b.own AS other, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.own <> b.own AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w::INTEGER AS rank, n.vec_id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.own = n.own AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.own, p.other ORDER BY n.score DESC, n.vec_id NULLS LAST)
+QUALIFY row_number() OVER w <= 5"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text")
+    return f"sha256({' || '.join(map(_field, fields))})"
+
+
+#: The checksum of an id's digits, a bit at a time: each byte enters before its eight shifts.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda acc, x: xor(xor(acc, x) >> 1, 3988292384 * (xor(acc, x) & 1))))"""
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE told AS (SELECT *, CASE WHEN {_CRC} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS said FROM documents),
+leaves AS (SELECT doc_id, lang, leaf, claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("said")} AS claimed FROM told)),
+tree AS (SELECT lang, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, i // 2),
+tops AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM tree WHERE n = 1),
+over_tree AS (SELECT 0 AS level, i, h, count(*) OVER () AS n FROM tops
+  UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM over_tree WHERE n > 1 GROUP BY level, i // 2),
+root AS (SELECT h AS root FROM over_tree WHERE n = 1),
+above AS (SELECT t.lang, t.h AS subroot, list(struct_pack(right_of := (t.i >> o.level) % 2 = 1, s := s.h) ORDER BY o.level) FILTER (o.level IS NOT NULL) AS up
+  FROM tops t LEFT JOIN over_tree o ON o.n > 1 AND o.i = t.i >> o.level
+  LEFT JOIN over_tree s ON s.level = o.level AND s.i = xor(o.i, 1) GROUP BY t.lang, t.h),
+own AS (SELECT l.lang, l.i, list(struct_pack(right_of := (l.i >> o.level) % 2 = 1, s := s.h) ORDER BY o.level) FILTER (o.level IS NOT NULL) AS up
+  FROM leaves l LEFT JOIN tree o ON o.lang IS NOT DISTINCT FROM l.lang AND o.n > 1 AND o.i = l.i >> o.level
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = o.level AND s.i = xor(o.i, 1) GROUP BY l.lang, l.i),
+proofs AS (SELECT doc_id, leaf, claimed, subroot, list_concat(coalesce(o.up, []), coalesce(a.up, [])) AS up FROM leaves l
+  JOIN own o ON o.i = l.i AND o.lang IS NOT DISTINCT FROM l.lang JOIN above a ON a.lang IS NOT DISTINCT FROM l.lang),
+folds AS (SELECT *, list_reduce(list_prepend(claimed, list_transform(up, lambda x: CASE WHEN x.s IS NULL THEN 'n' WHEN x.right_of THEN 'l' || x.s ELSE 'r' || x.s END)),
+  lambda acc, x: sha256(CASE WHEN x[1] = 'n' THEN acc WHEN x[1] = 'l' THEN x[2:] || acc ELSE acc || x[2:] END)) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_filter(list_transform(up, lambda x: x.s), lambda s: s IS NOT NULL), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM folds, root"""
+
+ORACLES = {"op6_quality_rules": QUALITY_RULES, "op8_line_chunks": LINE_CHUNKS, "op11_hard_negatives": HARD_NEGATIVES,
+           "op12_merkle_manifest": MERKLE_MANIFEST}

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import html_text, jaccard_join, line_chunks, mixing, packing, quality_model, quality_rules, rotated_codes, secret_ledger, toxicity
+from corpuslens.llm import (hard_negatives, html_text, jaccard_join, line_chunks, merkle_manifest, mixing, packing, quality_model, quality_rules,
+                            rotated_codes, secret_ledger, simhash_index, toxicity)
 from corpuslens.llm.common import read_table
 from corpuslens.llm.oracles import ORACLES  # noqa: F401
 
@@ -62,6 +63,25 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", (F.col("p_toxic") >= toxicity.TOXIC).cast("int"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0,
+                               F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.col("n_chars").cast("decimal(38,0)")
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, said + 1).otherwise(said)
+    proofs = merkle_manifest.manifest(read_table(spark, sf_dir, "documents"), claimed)
+    top = merkle_manifest.folded(F.col("claimed"), F.col("digits"), F.col("siblings"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(F.flatten("siblings"), ""), 256).alias("proof_sha256"),
+                         top.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_index.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_model": op2_quality_model,
@@ -73,5 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_chunks": op8_line_chunks,
     "op9_html_text": op9_html_text,
     "op10_toxicity_chain": op10_toxicity_chain,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_simhash_index": op13_simhash_index,
 }
 
