@@ -99,37 +99,74 @@ def log_band_energy(samples: Column, rate: int, edges: Sequence[float], frame: i
     return run(samples)
 
 
-def _relevance_spectrum(x: np.ndarray, r: np.ndarray, eps: float) -> np.ndarray:
-    """Move relevance from samples to bins; the sum over bins equals the sum over samples."""
+def _fold(n: int) -> np.ndarray:
+    """How often each bin of a real transform of length ``n`` stands for one of the whole transform."""
+    k = np.arange(n // 2 + 1)
+    return 2.0 - (k == 0) - (2 * k == n)
+
+
+def _real_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.real * b.real + a.imag * b.imag
+
+
+def _spectral_relevance(x: np.ndarray, relevance: np.ndarray, eps: float) -> np.ndarray:
+    """Relevance of bins by the identity sum(x * g) = sum(fold * Re(X conj G)) / n, with g the relevance of a
+    unit of each sample; samples of no more than ``eps`` carry none."""
+    unit = np.divide(relevance, x, out=np.zeros_like(x), where=np.abs(x) > eps)
     n = x.shape[-1]
-    ratio = np.where(np.abs(x) > eps, r / np.where(np.abs(x) > eps, x, 1.0), 0.0)
-    cross = np.fft.rfft(x, axis=-1) * np.conj(np.fft.rfft(ratio, axis=-1))
-    weight = np.full(cross.shape[-1], 2.0)
-    weight[0] = 1.0
-    if n % 2 == 0:
-        weight[-1] = 1.0
-    return cross.real * weight / n
+    return _real_product(np.fft.rfft(x), np.fft.rfft(unit)) * (_fold(n) / n)
+
+
+def _side_by_side(x: pd.Series, y: pd.Series, least: int = 0) -> pd.Series:
+    """Both signals of a row as one array; null where one lacks, is too short or their lengths differ."""
+    return pd.Series([None if a is None or b is None or len(a) != len(b) or len(a) < least else np.concatenate([a, b])
+                      for a, b in zip(x, y, strict=True)], dtype=object)
 
 
 def frequency_relevance(samples: Column, relevance: Column, eps: float = 1e-9) -> Column:
     """Relevance per frequency bin of whole signals."""
     @kernel_udf("array<double>")
     def run(x: pd.Series, r: pd.Series) -> pd.Series:
-        both = pd.Series([None if a is None or b is None else np.stack([a, b]).T.ravel()
-                          for a, b in zip(x, r)])
-        return pd.Series(by_length(both, lambda m: _relevance_spectrum(m[:, 0::2], m[:, 1::2], eps)))
+        return pd.Series(by_length(_side_by_side(x, r), lambda m: _spectral_relevance(*np.hsplit(m, 2), eps)))
     return run(samples, relevance)
 
 
-def _window_plan(n: int, win: int, hop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frame starts, symmetric Hann window and its overlap sum for a signal padded by win//2."""
-    padded = n + 2 * (win // 2)
-    window = np.hanning(win)
-    starts = np.arange(0, padded - win + 1, hop)
-    cover = np.zeros(padded)
-    for s in starts:
-        cover[s:s + win] += window
-    return starts, window, np.where(cover > 0, cover, 1.0)
+class Frames:
+    """Windowed frames of signals of one length, which are framed as a stack and added up by one scatter.
+
+    A signal has half a window of zeros on both sides.  ``share`` undoes the overlap of the windows: the
+    comb of frame starts convolved with the window tells how much of it covers each sample.
+    """
+
+    def __init__(self, n: int, win: int, hop: int) -> None:
+        self.n, self.win, self.hop, self.side = n, win, hop, win // 2
+        self.length = n + 2 * self.side
+        self.starts = np.arange(0, self.length - win + 1, hop)
+        self.window = np.hanning(win)
+        comb = np.zeros(max(1, self.length - win + 1))
+        comb[self.starts] = 1.0
+        cover = np.convolve(comb, self.window)[:self.length]
+        self.share = np.divide(1.0, cover, out=np.ones_like(cover), where=cover > 0)
+
+    def padded(self, x: np.ndarray) -> np.ndarray:
+        return np.pad(x, ((0, 0), (self.side, self.side)))
+
+    def cut(self, padded: np.ndarray) -> np.ndarray:
+        """Rows x frames x window of rows that are padded; a view."""
+        if not len(self.starts):
+            return np.zeros((len(padded), 0, self.win))
+        return np.lib.stride_tricks.sliding_window_view(padded, self.win, axis=1)[:, ::self.hop]
+
+    def spectra(self, x: np.ndarray) -> np.ndarray:
+        return np.fft.rfft(self.cut(self.padded(x)) * self.window)
+
+    def joined(self, spectra: np.ndarray) -> np.ndarray:
+        """Signals from the spectra of their frames."""
+        parts = np.fft.irfft(spectra, n=self.win)
+        place = (self.starts[:, None] + np.arange(self.win)).ravel()
+        at = np.arange(len(parts))[:, None] * self.length + place
+        whole = np.bincount(at.ravel(), parts.ravel(), minlength=len(parts) * self.length).reshape(len(parts), self.length)
+        return (whole * self.share)[:, self.side:self.side + self.n]
 
 
 def time_frequency_relevance(samples: Column, relevance: Column, rate: int, win: int, hop: int,
@@ -142,53 +179,80 @@ def time_frequency_relevance(samples: Column, relevance: Column, rate: int, win:
     schema = ("times array<double>, freqs array<double>, r_tf array<array<double>>, "
               "s_tf array<array<double>>")
 
+    def kernel(m: np.ndarray) -> np.ndarray:
+        x, r = np.hsplit(m, 2)
+        frames = Frames(x.shape[1], win, hop)
+        heard = frames.cut(frames.padded(x)) * frames.window
+        said = frames.cut(frames.padded(r) * frames.share) * frames.window
+        return np.stack([_spectral_relevance(heard, said, eps), np.abs(np.fft.rfft(heard))], axis=1)
+
+    freqs = np.fft.rfftfreq(win, 1.0 / rate)
+
     @kernel_udf(schema)
     def run(x: pd.Series, r: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(x, r):
-            if a is None or b is None or len(a) < win:
-                rows.append((None, None, None, None))
-                continue
-            pad = win // 2
-            starts, window, cover = _window_plan(len(a), win, hop)
-            at = starts[:, None] + np.arange(win)
-            xs = np.pad(np.asarray(a, dtype=np.float64), pad)[at] * window
-            rs = np.pad(np.asarray(b, dtype=np.float64), pad)[at] * window / cover[at]
-            rows.append((((starts + win / 2.0 - pad) / rate).tolist(),
-                         np.fft.rfftfreq(win, 1.0 / rate).tolist(),
-                         _relevance_spectrum(xs, rs, eps).tolist(),
-                         np.abs(np.fft.rfft(xs, axis=-1)).tolist()))
-        return pd.DataFrame(rows, columns=["times", "freqs", "r_tf", "s_tf"])
+        maps = by_length(_side_by_side(x, r, win), kernel)
+        centres = [None if m is None else (np.arange(len(m[0])) * hop + (win / 2.0 - win // 2)) / rate for m in maps]
+        return pd.DataFrame({"times": centres, "freqs": [None if m is None else freqs for m in maps],
+                             "r_tf": [m and m[0] for m in maps], "s_tf": [m and m[1] for m in maps]})
     return run(samples, relevance)
 
 
+def _owners(rate: int, edges: Sequence[float], win: int) -> np.ndarray:
+    """(bands, bins): every bin belongs to one band."""
+    return band_masks(np.fft.rfftfreq(win, 1.0 / rate), edges, "clipped")
+
+
+def band_parts(samples: Column, rate: int, edges: Sequence[float], win: int, hop: int) -> Column:
+    """Bands x samples: what each band adds to the signal; one analysis, and a synthesis for each band."""
+    owners = _owners(rate, edges, win)
+
+    def kernel(m: np.ndarray) -> np.ndarray:
+        frames = Frames(m.shape[1], win, hop)
+        spectra = frames.spectra(m)
+        return np.stack([frames.joined(spectra * o) for o in owners], axis=1)
+
+    @kernel_udf("array<array<double>>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(by_length(x, kernel))
+    return run(samples)
+
+
+def band_projections(samples: Column, weights: Sequence[float], rate: int, edges: Sequence[float], win: int, hop: int) -> Column:
+    """For each band the inner product of fixed weights with what the band adds to the signal.
+
+    By the same identity as for relevance these are sums over the frames' bins, so a signal is analysed
+    once and nothing is synthesised.  Signals of another length than the weights give null.
+    """
+    owners, w = _owners(rate, edges, win).astype(np.float64), np.asarray(weights, np.float64)
+
+    def kernel(m: np.ndarray) -> np.ndarray:
+        frames = Frames(m.shape[1], win, hop)
+        seen = np.fft.rfft(frames.cut(frames.padded(w[None, :]) * frames.share))
+        return _real_product(frames.spectra(m), seen).sum(axis=1) * (_fold(win) / win) @ owners.T
+
+    @kernel_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(by_length(pd.Series([a if a is not None and len(a) == len(w) else None for a in x], dtype=object), kernel))
+    return run(samples)
+
+
 def keep_bands(samples: Column, kept: Column, rate: int, edges: Sequence[float], win: int,
                hop: int) -> Column:
     """The signal with only the bands listed in ``kept``.
 
     Keeping all bands gives the signal back; keeping none gives zeros.
     """
-    owner = band_masks(np.fft.rfftfreq(win, 1.0 / rate), edges, "clipped")
-
-    def kernel(m: np.ndarray, masks: np.ndarray) -> np.ndarray:
-        n, pad = m.shape[1], win // 2
-        starts, window, cover = _window_plan(n, win, hop)
-        padded = np.pad(m, ((0, 0), (pad, pad)))
-        view = np.lib.stride_tricks.sliding_window_view(padded, win, axis=1)[:, ::hop][:, :len(starts)]
-        parts = np.fft.irfft(np.fft.rfft(view * window, axis=-1) * masks[:, None, :], n=win, axis=-1)
-        y = np.zeros_like(padded)
-        for i, s in enumerate(starts):
-            y[:, s:s + win] += parts[:, i]
-        return (y / cover)[:, pad:pad + n]
+    owners = _owners(rate, edges, win)
+
+    def kernel(m: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        frames = Frames(m.shape[1], win, hop)
+        return frames.joined(frames.spectra(m) * (chosen @ owners)[:, None, :])
 
     @kernel_udf("array<double>")
     def run(x: pd.Series, bands: pd.Series) -> pd.Series:
-        masks = np.zeros((len(x), owner.shape[1]))
-        for row, b in enumerate(bands):
-            for i in () if b is None else b:
-                masks[row, owner[int(i)]] = 1.0
-        usable = pd.Series([a if b is not None else None for a, b in zip(x, bands)], dtype=object)
-        return pd.Series(by_length(usable, kernel, masks))
+        chosen = np.array([np.isin(np.arange(len(owners)), [] if b is None else list(b)) for b in bands]).reshape(len(x), len(owners))
+        usable = pd.Series([a if b is not None else None for a, b in zip(x, bands, strict=True)], dtype=object)
+        return pd.Series(by_length(usable, kernel, chosen.astype(np.float64)))
     return run(samples, kept)
 
 
@@ -199,27 +263,47 @@ def drop_bands(samples: Column, dropped: Column, rate: int, edges: Sequence[floa
     return keep_bands(samples, F.array_except(everything, dropped), rate, edges, win, hop)
 
 
-def _resample_one(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Rational resampling with a Kaiser low-pass (beta 5, ten zero crossings per side)."""
+def _to_rate(m: np.ndarray, source: int, target: int) -> np.ndarray:
+    """Rows at another rate: rational resampling with a Kaiser low-pass (beta 5, ten zero crossings per side).
+
+    The taps of one phase after the other are added for all rows and places at once.
+    """
+    if source == target:
+        return m
+    g = math.gcd(source, target)
+    up, down = target // g, source // g
     widest = max(up, down)
     half = 10 * widest
-    m = np.arange(-half, half + 1)
-    taps = np.sinc(m / widest) / widest * np.kaiser(2 * half + 1, 5.0)
+    spots = np.arange(-half, half + 1)
+    taps = np.sinc(spots / widest) / widest * np.kaiser(2 * half + 1, 5.0)
     taps = up * taps / taps.sum()
-    n_out = -(-len(x) * up // down)
-    centre = np.arange(n_out) * down + half
-    per_phase = -(-len(taps) // up)
-    step = np.arange(per_phase)
-    source = centre[:, None] // up - step
-    tap = centre[:, None] % up + step * up
-    ok = (source >= 0) & (source < len(x)) & (tap < len(taps))
-    return np.where(ok, x[np.clip(source, 0, len(x) - 1)] * taps[np.clip(tap, 0, len(taps) - 1)],
-                    0.0).sum(axis=1)
-
-
-def _to_rate(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    g = math.gcd(source, target)
-    return x if source == target else _resample_one(x, target // g, source // g)
+    n = m.shape[1]
+    centre = np.arange(-(-n * up // down)) * down + half
+    out = np.zeros((len(m), len(centre)))
+    for step in range(-(-len(taps) // up)):
+        source_at, tap = centre // up - step, centre % up + step * up
+        ok = np.flatnonzero((source_at >= 0) & (source_at < n) & (tap < len(taps)))
+        out[:, ok] += m[:, source_at[ok]] * taps[tap[ok]]
+    return out
+
+
+def _by_rate(samples: Column, source_rate: Column, kernel: Callable[[np.ndarray, int], np.ndarray]) -> Column:
+    """Apply a kernel to rows of one rate and length together."""
+    @kernel_udf("array<double>")
+    def run(x: pd.Series, rates: pd.Series) -> pd.Series:
+        out: list = [None] * len(x)
+        for rate in rates.dropna().unique():
+            rows = np.flatnonzero((rates == rate).to_numpy())
+            made = by_length(x.iloc[rows].reset_index(drop=True), lambda m, r=int(rate): kernel(m, r))
+            for i, y in zip(rows, made, strict=True):
+                out[i] = y
+        return pd.Series(out, dtype=object)
+    return run(samples, source_rate)
+
+
+def resample(samples: Column, source_rate: Column, target_rate: int) -> Column:
+    """Signal at ``target_rate``; its length is ceil(n * target / source)."""
+    return _by_rate(samples, source_rate, lambda m, rate: _to_rate(m, rate, target_rate))
 
 
 def standardise(channels: Column, source_rate: Column, target_rate: int) -> Column:
@@ -227,50 +311,30 @@ def standardise(channels: Column, source_rate: Column, target_rate: int) -> Colu
 
     ``channels`` holds frames of channel values.
     """
-    @kernel_udf("array<double>")
-    def run(x: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else np.clip(_to_rate(
-            np.stack(a).astype(np.float64).mean(axis=1), int(r), target_rate), -1.0, 1.0).tolist()
-            for a, r in zip(x, rates)])
-    return run(channels, source_rate)
+    return _by_rate(signal.mono(channels), source_rate, lambda m, rate: np.clip(_to_rate(m, rate, target_rate), -1.0, 1.0))
+
+
+def _layer_norm(m: np.ndarray) -> np.ndarray:
+    return (m - m.mean(axis=1, keepdims=True)) / np.sqrt(m.var(axis=1, keepdims=True) + 1e-5)
+
+
+def _peak_norm(m: np.ndarray) -> np.ndarray:
+    top = np.abs(m).max(axis=1, keepdims=True)
+    return m / np.where(top > 0, top, 1.0)
 
 
 def prepare(channels: Column, source_rate: Column, target_rate: int, length: int,
             mode: str = "layer_norm") -> Column:
-    """Channel average, target rate, fixed length and normalisation in one Arrow pass."""
-    if mode not in ("layer_norm", "peak"):
+    """Channel average, target rate, fixed length and normalisation in one Arrow pass (G6); empty signals give null."""
+    norms = {"layer_norm": _layer_norm, "peak": _peak_norm}
+    if mode not in norms:
         raise ValueError(f"unknown normalisation {mode!r}; use 'layer_norm' or 'peak'")
 
-    @kernel_udf("array<double>")
-    def run(x: pd.Series, rates: pd.Series) -> pd.Series:
-        out = []
-        for a, r in zip(x, rates):
-            if a is None:
-                out.append(None)
-                continue
-            y = np.resize(_to_rate(np.stack(a).astype(np.float64).mean(axis=1), int(r), target_rate), length)
-            top = np.abs(y).max()
-            if mode == "layer_norm":
-                y = (y - y.mean()) / np.sqrt(y.var() + 1e-5)
-            elif top > 0:
-                y = y / top
-            out.append(y.tolist())
-        return pd.Series(out)
-    return run(channels, source_rate)
-
-
-def resample(samples: Column, source_rate: Column, target_rate: int) -> Column:
-    """Signal at ``target_rate``; its length is ceil(n * target / source)."""
-    @kernel_udf("array<double>")
-    def run(x: pd.Series, rates: pd.Series) -> pd.Series:
-        out = []
-        for a, rate in zip(x, rates):
-            if a is None or rate is None:
-                out.append(None)
-                continue
-            out.append(_to_rate(np.asarray(a, dtype=np.float64), int(rate), target_rate).tolist())
-        return pd.Series(out)
-    return run(samples, source_rate)
+    def kernel(m: np.ndarray, rate: int) -> np.ndarray:
+        y = _to_rate(m, rate, target_rate)
+        return norms[mode](y[:, np.arange(length) % y.shape[1]])
+    mono = signal.mono(channels)
+    return _by_rate(F.when(F.size(channels) > 0, mono), source_rate, kernel)
 
 
 def telephony(samples: Column, rate: int, narrow: int = 8000) -> Column:

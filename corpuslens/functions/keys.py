@@ -19,9 +19,14 @@ def md5_key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
 
 
+def hex_number(digits: Column) -> Column:
+    """Hex digits as a bigint."""
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
 def key_number(key: Column) -> Column:
     """First eight hex digits of a key as a bigint in [0, 2**32)."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
+    return hex_number(F.substring(key, 1, 8))
 
 
 def key_uniform(key: Column) -> Column:
@@ -47,10 +52,11 @@ def poisson_cdf(steps: int = 12) -> list[float]:
 
 def poisson_weight(uniform: Column) -> Column:
     """Poisson(1) draw by inverse distribution: how often a row enters a resample."""
-    weight = F.lit(0)
-    for p in poisson_cdf():
-        weight = weight + F.when(uniform >= F.lit(p), 1).otherwise(0)
-    return weight
+    steps = poisson_cdf()
+    weight = F.when(uniform < F.lit(steps[0]), 0)
+    for k, p in enumerate(steps[1:], 1):
+        weight = weight.when(uniform < F.lit(p), k)
+    return weight.otherwise(len(steps))
 
 
 def row_digest(columns: list[str]) -> Column:

@@ -93,7 +93,7 @@ def mono(channels: Column) -> Column:
     Each value is divided before it is added, so large values do not overflow.
     """
     return F.transform(channels, lambda frame: F.aggregate(
-        frame, F.lit(0.0), lambda s, v: s + v / F.size(frame)))
+        against(frame, F.size(frame), lambda v, n: v / n), F.lit(0.0), lambda s, v: s + v))
 
 
 def clip_unit(x: Column) -> Column:

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.operators.order import exact_quantiles
+from corpuslens.operators.order import exact_quantiles, join_groups
 from corpuslens.operators.rules import is_finite
 from corpuslens.profiles import Profile
 
@@ -121,7 +121,7 @@ def distributions(df: DataFrame, measures: Sequence[str], by: Sequence[str] = ("
         F.max(v).alias("max"))
     quartiles = exact_quantiles(long.withColumn("value", v), keys, "value",
                                 {"p25": 0.25, "median": 0.5, "p75": 0.75}, buckets=buckets)
-    return moments.join(quartiles, keys, "left")
+    return join_groups(moments, quartiles, keys, "left")
 
 
 def audit_summary(df: DataFrame, profile: Profile, hash_column: str = "sha256_source") -> DataFrame:

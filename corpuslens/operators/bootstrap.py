@@ -1,26 +1,36 @@
 """Bootstrap intervals (D35, D36) with Poisson weights.
 
-Each row enters replicate ``b`` as often as a Poisson(1) draw from the hash of
-(seed, b, row key).  Replicates are expanded inside the row and aggregated map-side,
-so only ``groups x replicates`` rows are shuffled; no row is ever looked up by index.
+Each row enters replicate ``b`` as often as a Poisson(1) draw from its hash: one md5 of
+(seed, b div 4, row key) gives the draws of four replicates.  Replicates are expanded inside the row
+and summed map-side, so only ``groups x replicates`` rows are shuffled, for medians times a few
+dozen value ranges; no row is ever looked up by index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslens.functions.keys import key_uniform, md5_key, poisson_weight
-from corpuslens.operators.order import attach_row, exact_quantiles
-from corpuslens.session import spread
+from corpuslens.functions.keys import hex_number, md5_key, poisson_weight
+from corpuslens.operators.order import join_groups
+from corpuslens.session import freeze, spread
+
+#: Replicates whose draws one hash gives.
+DRAWS = 4
+_SPAN = 4294967296.0
+
+
+def _draws(digest: Column) -> list[Column]:
+    """The uniform draws that a hash gives, in [0, 1)."""
+    return [hex_number(F.substring(digest, 1 + 8 * i, 8)) / F.lit(_SPAN) for i in range(DRAWS)]
 
 
 def with_weights(df: DataFrame, key: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Add ``_weights``, one integer per replicate, drawn once per row before it is unpivoted."""
-    return spread(df, *key).withColumn("_weights", F.transform(
-        F.sequence(F.lit(0), F.lit(n_boot - 1)),
-        lambda b: poisson_weight(key_uniform(md5_key(F.lit(str(seed)), b, *key)))))
+    digests = F.transform(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS)), lambda q: md5_key(F.lit(str(seed)), q, *key))
+    draws = F.flatten(F.transform(digests, lambda h: F.array(*_draws(h))))
+    return spread(df, *key).withColumn("_weights", F.transform(F.slice(draws, 1, n_boot), poisson_weight))
 
 
 def replicates(df: DataFrame, key: Sequence[str], n_boot: int, seed: int) -> DataFrame:
@@ -32,8 +42,11 @@ def replicates(df: DataFrame, key: Sequence[str], n_boot: int, seed: int) -> Dat
         rows = df.select(*[c for c in df.columns if c != "_weights"],
                          F.posexplode("_weights").alias("_b", "_w"))
     else:
-        rows = spread(df, *key).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn(
-            "_w", poisson_weight(key_uniform(md5_key(F.lit(str(seed)), "_b", *key))))
+        hashed = spread(df, *key).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS)))).withColumn(
+            "_h", md5_key(F.lit(str(seed)), "_q", *key))
+        rows = hashed.select(*df.columns, "_q", F.posexplode(F.array(*_draws(F.col("_h")))).alias("_i", "_u"))
+        rows = rows.select(*df.columns, (F.col("_q") * DRAWS + F.col("_i")).alias("_b"), poisson_weight(F.col("_u")).alias("_w"))
+        rows = rows.filter(F.col("_b") < n_boot)
     return rows.filter(F.col("_w") > 0)
 
 
@@ -55,7 +68,7 @@ def mean_ci(df: DataFrame, by: Sequence[str], values: Sequence[str], key: Sequen
         *[(F.sum(F.col(v) * F.col("_w")) / F.sum("_w")).alias(f"_r_{i}") for i, v in enumerate(values)])
     bounds = reps.groupBy(*by).agg(*[
         F.percentile(f"_r_{i}", _bounds(alpha)).alias(f"_q_{i}") for i in range(len(values))])
-    joined = base.join(bounds, list(by), "left") if by else attach_row(base, bounds)
+    joined = join_groups(base, bounds, by, "left")
     few = F.col("n") < 2
     cells = F.array(*[F.struct(
         F.lit(v).alias(name), F.col(f"_m_{i}").alias("mean"),
@@ -65,14 +78,49 @@ def mean_ci(df: DataFrame, by: Sequence[str], values: Sequence[str], key: Sequen
     return joined.select(*by, "n", F.explode(cells).alias("c")).select(*by, "c.*", "n")
 
 
+#: Quantiles that part the values into ranges, closest around the median, where its replicates lie.
+_STEPS = [m * 10.0 ** -e for e in range(1, 6) for m in (5, 2, 1) if m * 10.0 ** -e < 0.5]
+RANGES = sorted([0.5 - s for s in _STEPS] + [0.5] + [0.5 + s for s in _STEPS])
+ACCURACY = 100_000
+
+
 def median_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], *,
               n_boot: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Percentile interval of the median: exact weighted medians per replicate."""
-    reps = replicates(df.select(*by, *key, value), key, n_boot, seed)
-    medians = exact_quantiles(reps, [*by, "_b"], value, {"_median": 0.5}, weight="_w", buckets=4)
-    q = F.percentile("_median", _bounds(alpha))
-    return medians.groupBy(*by).agg(q.alias("_q")).select(
-        *by, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+    """Percentile interval of the median: exact weighted medians per replicate.
+
+    First the weights of each replicate are summed per value range, map-side, which tells the range
+    that holds its median.  Only the rows of such ranges are drawn again, for those replicates alone,
+    and sorted within range and replicate.  The ranges narrow towards the median, so for n rows these
+    are about the square root of n rows for each replicate; where the cut points lie changes no result.
+    Null values are left out.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(F.struct(*by).alias("_g") if by else F.lit(0).alias("_g"), *key, F.col(value).alias("_v"))
+    cuts = rows.groupBy("_g").agg(F.array_sort(F.array_distinct(F.percentile_approx(
+        "_v", F.array(*[F.lit(q) for q in RANGES]), ACCURACY))).alias("_cuts"))
+    # Frozen: a second run of the approximation must not move the cut points between the two passes.
+    ranged = rows.join(freeze(cuts), "_g").withColumn("_at", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+    masses = replicates(ranged.select("_g", "_at", *key), key, n_boot, seed).groupBy("_g", "_b", "_at").agg(F.sum("_w").alias("_m"))
+    upto = Window.partitionBy("_g", "_b").orderBy("_at")
+    masses = masses.select("_g", "_b", "_at", (F.sum("_m").over(upto) - F.col("_m")).alias("_before"), F.col("_m"),
+                           F.sum("_m").over(Window.partitionBy("_g", "_b")).alias("_all"))
+    # The median is the mean of two places, equal for an odd mass; each lies in one range.
+    sides = F.explode(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)))
+    wanted = masses.select("_g", "_b", "_at", "_before", "_m", sides.alias("_place")).filter(
+        (F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_m")))
+    asked = freeze(wanted.groupBy("_g", "_at").agg(F.collect_set(F.struct("_b", (F.col("_place") - F.col("_before")).alias("place"))).alias("_asked")))
+    drawn = ranged.join(asked, ["_g", "_at"]).select("_g", "_at", *key, "_v", F.explode("_asked").alias("_a"))
+    drawn = drawn.select("_g", "_at", "_v", F.col("_a._b").alias("_b"), F.col("_a.place").alias("_place"), *key)
+    digest = md5_key(F.lit(str(seed)), F.floor(F.col("_b") / DRAWS), *key)
+    drawn = drawn.withColumn("_h", digest).withColumn("_u", F.get(F.array(*_draws(F.col("_h"))), F.col("_b") % DRAWS))
+    counted = drawn.withColumn("_w", poisson_weight(F.col("_u"))).filter(F.col("_w") > 0).groupBy(
+        "_g", "_b", "_at", "_place", "_v").agg(F.sum("_w").alias("_w"))
+    inside = Window.partitionBy("_g", "_b", "_at", "_place").orderBy("_v")
+    found = counted.withColumn("_end", F.sum("_w").over(inside)).filter(
+        (F.col("_place") < F.col("_end")) & (F.col("_place") >= F.col("_end") - F.col("_w")))
+    # A replicate of odd mass asks for one place only, as a set holds it once.
+    medians = found.groupBy("_g", "_b").agg(F.avg("_v").alias("_median"))
+    bounds = medians.groupBy("_g").agg(F.percentile("_median", _bounds(alpha)).alias("_q"))
+    return bounds.select(*[F.col(f"_g.`{c}`").alias(c) for c in by], F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 
 
 def pooled_effect(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions import dsp, signal
 from corpuslens.operators import bootstrap, sampling, stats
 from corpuslens.operators.order import attach_row
-from corpuslens.session import spread
 
 Scorer = Callable[[Column], Column]
 
@@ -46,33 +46,63 @@ def _np(freqs: Sequence[float]):
 
 # --- band removal -----------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class LinearScorer:
+    """A detector with one weight for each sample: ``link`` turns the weighted sum into a score.
+
+    What removing or keeping bands does to it follows from each band's share of the sum, so it needs
+    no altered signals; any other function from samples to scores works too, on signals that are made.
+    """
+
+    weights: tuple[float, ...]
+    link: Callable[[Column], Column]
+
+    def __call__(self, samples: Column) -> Column:
+        w = F.array(*[F.lit(x) for x in self.weights])
+        return self.link(signal.total(F.zip_with(samples, w, lambda a, b: a * b)))
+
+    def shares(self, samples: Column, rate: int, edges: Sequence[float], win: int, hop: int) -> Column:
+        return dsp.band_projections(samples, self.weights, rate, edges, win, hop)
+
+
+def _sum_of(parts: Column, bands: Column) -> Column:
+    """Sum of the numbers of some bands."""
+    return F.aggregate(F.zip_with(parts, F.sequence(F.lit(0), F.size(parts) - 1), lambda v, b: F.when(F.array_contains(bands, b), v).otherwise(0.0)),
+                       F.lit(0.0), lambda s, v: s + v)
+
+
 def band_drops(df: DataFrame, scorer: Scorer, rate: int, edges: Sequence[float], win: int, hop: int,
-               samples: str = "samples", bands: Sequence[int] | None = None,
-               key: str = "sample_id") -> DataFrame:
+               samples: str = "samples", bands: Sequence[int] | None = None) -> DataFrame:
     """Add ``drop_<band>``: score of the whole signal minus score without that band (C11).
 
-    The clip x band product is a set of columns of one projection: the kernels share one
-    Arrow pass and no row is repeated.
+    A clip is transformed once, whatever the number of bands: removing one takes its part from the sum
+    of all parts.  The clip x band product is a set of columns of one row; samples are not shuffled.
     """
     chosen = range(len(edges) - 1) if bands is None else bands
-    base = scorer(F.col(samples))
-    masked = spread(df, key).withColumn("_base", base)
-    for b in chosen:
-        without = dsp.drop_bands(F.col(samples), F.array(F.lit(b)), rate, edges, win, hop)
-        masked = masked.withColumn(f"_without_{b}", without)
-    kept = [c for c in df.columns]
-    return masked.select(*kept, *[
-        (F.col("_base") - scorer(F.col(f"_without_{b}"))).alias(f"drop_{b}") for b in chosen])
+    rows = df.withColumn("_base", scorer(F.col(samples)))
+    if isinstance(scorer, LinearScorer):
+        rows = rows.withColumn("_parts", scorer.shares(F.col(samples), rate, edges, win, hop)).withColumn("_all", signal.total(F.col("_parts")))
+        without = [scorer.link(F.col("_all") - F.get("_parts", F.lit(b))) for b in chosen]
+    else:
+        add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+        rows = rows.withColumn("_parts", dsp.band_parts(F.col(samples), rate, edges, win, hop)).withColumn("_all", F.aggregate(
+            F.slice("_parts", F.lit(2), F.size("_parts")), F.get("_parts", F.lit(0)), add))
+        without = [scorer(F.zip_with("_all", F.get("_parts", F.lit(b)), lambda p, q: p - q)) for b in chosen]
+    return rows.select(*df.columns, *[(F.col("_base") - s).alias(f"drop_{b}") for b, s in zip(chosen, without, strict=True)])
 
 
 def group_drop(df: DataFrame, scorer: Scorer, bands: Column, rate: int, edges: Sequence[float],
                win: int, hop: int, samples: str = "samples") -> DataFrame:
     """Add ``group_drop``: several bands removed together; an empty group gives zero."""
-    without = dsp.drop_bands(F.col(samples), F.col("_bands"), rate, edges, win, hop)
-    out = df.withColumn("_bands", bands).withColumn("_without", without)
-    drop = scorer(F.col(samples)) - scorer(F.col("_without"))
-    return out.withColumn("group_drop", F.when(F.size("_bands") == 0, F.lit(0.0)).otherwise(drop)
-                          ).drop("_bands", "_without")
+    out = df.withColumn("_bands", bands)
+    if isinstance(scorer, LinearScorer):
+        out = out.withColumn("_without", scorer.shares(F.col(samples), rate, edges, win, hop))
+        rest = scorer.link(signal.total(F.col("_without")) - _sum_of(F.col("_without"), F.col("_bands")))
+    else:
+        out = out.withColumn("_without", dsp.drop_bands(F.col(samples), F.col("_bands"), rate, edges, win, hop))
+        rest = scorer(F.col("_without"))
+    return out.withColumn("group_drop", F.when(F.size("_bands") == 0, F.lit(0.0)).otherwise(scorer(F.col(samples)) - rest)).drop(
+        "_bands", "_without")
 
 
 def occlusion_table(drops: DataFrame, detector: str, edges: Sequence[float], key: Sequence[str], *,
@@ -260,13 +290,18 @@ def intervention_grid(df: DataFrame, ks: Sequence[int], draws: int, n_bands: int
 
 
 def intervention_scores(grid: DataFrame, scorer: Scorer, rate: int, edges: Sequence[float], win: int,
-                        hop: int, by: Sequence[str], samples: str = "samples") -> DataFrame:
+                        hop: int, by: Sequence[str], samples: str = "samples", shares: str = "shares") -> DataFrame:
     """Probability of the predicted class per (clip, condition, k), random draws averaged.
 
-    ``predicted`` (boolean) orients the probability; ``by`` names the clip columns kept.
+    ``predicted`` (boolean) orients the probability; ``by`` names the clip columns kept.  For a linear scorer
+    the rows hold each band's ``shares`` of the sum instead of samples, so a cell of the grid costs a few numbers.
     """
-    y = grid.withColumn("_y", dsp.keep_bands(F.col(samples), F.col("kept"), rate, edges, win, hop))
-    p = scorer(F.col("_y"))
+    if isinstance(scorer, LinearScorer):
+        p = scorer.link(_sum_of(F.col(shares), F.col("kept")))
+        y = grid
+    else:
+        y = grid.withColumn("_y", dsp.keep_bands(F.col(samples), F.col("kept"), rate, edges, win, hop))
+        p = scorer(F.col("_y"))
     oriented = y.withColumn("_p", F.when(F.col("predicted"), p).otherwise(1.0 - p))
     return oriented.groupBy(*by, "condition", "k").agg(F.avg("_p").alias("p_pred"))
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions import tails
-from corpuslens.operators.order import attach_row, prefix_sums
+from corpuslens.operators.order import attach_row, join_groups, prefix_sums
 
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
@@ -99,7 +99,7 @@ def evaluate(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFr
         *by, *[F.col(c).alias(f"_{c}") for c in ("tp", "tn", "fp", "fn")])
     at_eer = [F.col("tp"), F.col("n") - F.col("fp"), F.col("fp"), F.col("p") - F.col("tp")]
     at_half = [F.col(f"_{c}") for c in ("tp", "tn", "fp", "fn")]
-    return best.join(half, list(by)).select(
+    return join_groups(best, half, by).select(
         *by, (F.col("eer") * 100.0).alias("eer"), F.col("threshold").alias("eer_threshold"),
         matthews(*at_eer).alias("mcc_eer"), _accuracy(*at_eer).alias("acc_eer"),
         matthews(*at_half).alias("mcc_half"), _accuracy(*at_half).alias("acc_half"))
@@ -117,20 +117,36 @@ def logit_grid(steps: int = 801, reach: float = 8.0) -> list[float]:
     return [1.0 / (1.0 + math.exp(-(-reach + 2.0 * reach * i / (steps - 1)))) for i in range(steps)]
 
 
-def threshold_rates(df: DataFrame, by: Sequence[str], score: str, label: str,
-                    grid: Sequence[float]) -> DataFrame:
-    """Error rates at fixed thresholds.
+def thresholds_reached(score: Column, steps: int = 801, reach: float = 8.0) -> Column:
+    """How many thresholds of :func:`logit_grid` are at or below a score, without comparing it to each.
 
-    Every score is reduced to the number of thresholds at or below it, so the rates are
-    cumulative sums over at most ``len(grid) + 1`` counted rows per group, not a range join.
+    The scaled logit names the place, and the thresholds on both sides of it settle rounding.  A NaN
+    reaches all thresholds, as it is the largest number in Spark's order.
     """
-    cuts = F.array(*[F.lit(float(t)) for t in grid])
-    counts = score_counts(df, by, score, label)
-    steps = counts.withColumn("_at", F.size(F.filter(cuts, lambda t: t <= F.col("score"))))
-    per_step = steps.groupBy(*by, "_at").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    spots = F.explode(F.sequence(F.lit(0), F.lit(len(grid))))
+    cuts = F.array(*[F.lit(t) for t in logit_grid(steps, reach)])
+    place = (F.log(score / (F.lit(1.0) - score)) + F.lit(reach)) * F.lit((steps - 1) / (2.0 * reach)) + 1
+    near = F.when(score <= 0, 0.0).when(score < 1, F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(steps))).otherwise(float(steps)).cast("int")
+
+    def settled(k: Column) -> Column:
+        down = F.when((k > 0) & (F.get(cuts, k - 1) > score), 1).otherwise(0)
+        up = F.when((k < steps) & (F.get(cuts, k) <= score), 1).otherwise(0)
+        return k - down + up
+    return F.get(F.transform(F.array(near), settled), F.lit(0))
+
+
+def threshold_rates(df: DataFrame, by: Sequence[str], score: str, label: str, steps: int = 801, reach: float = 8.0) -> DataFrame:
+    """Error rates at thresholds equally spaced in logits.
+
+    Every row is reduced to the number of thresholds at or below its score and counted map-side, so the
+    rates are cumulative sums over at most ``steps + 1`` rows per group.  Null scores are left out.
+    """
+    cuts = F.array(*[F.lit(t) for t in logit_grid(steps, reach)])
+    positive = F.col(label).cast("long")
+    placed = df.where(F.col(score).isNotNull()).select(*by, thresholds_reached(F.col(score).cast("double"), steps, reach).alias("_at"), positive.alias("_pos"))
+    per_step = placed.groupBy(*by, "_at").agg(F.sum("_pos").alias("pos"), F.sum(1 - F.col("_pos")).alias("neg"))
+    spots = F.explode(F.sequence(F.lit(0), F.lit(steps)))
     frame = per_step.select(*by).distinct().select(*by, spots.alias("_at"))
-    full = frame.join(per_step, [*by, "_at"], "left").na.fill(0, ["pos", "neg"])
+    full = join_groups(frame, per_step, [*by, "_at"], "left").na.fill(0, ["pos", "neg"])
     below = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
     out = full.select(
@@ -161,7 +177,7 @@ def classification(df: DataFrame, by: Sequence[str], score: str, label: str,
     scores = c.select(
         *by, ((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced_accuracy"),
         F.when(2 * tp + fp + fn == 0, 0.0).otherwise(2 * tp / (2 * tp + fp + fn)).alias("f1"))
-    return scores.join(area_under_curve(df, by, score, label), list(by))
+    return join_groups(scores, area_under_curve(df, by, score, label), by)
 
 
 def with_decisions(master: DataFrame, tags: Sequence[str], label: str = "ground_truth") -> DataFrame:

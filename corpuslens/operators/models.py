@@ -1,9 +1,13 @@
-"""Light models on features and embeddings with Spark ML (H1-H8)."""
+"""Light models on features and embeddings (H1-H8)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import functools
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -70,40 +74,153 @@ def technical_baseline(df: DataFrame, features: Sequence[str] = TECHNICAL_FEATUR
 
 # --- heads on embeddings ----------------------------------------------------------------------
 
-class Head:
-    """Standardisation plus a classifier; ``fit`` returns a function that scores a DataFrame."""
-
-    def __init__(self, name: str, build: Callable[[int, int, int], object]):
-        self.name, self.build = name, build
+def linear_score(embedding: Column, weights: Sequence[float], bias: float) -> Column:
+    """Probability from folded weights: a column expression, no model object."""
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    z = F.aggregate(F.zip_with(embedding, w, lambda e, v: e.cast("double") * v), F.lit(0.0), lambda a, b: a + b)
+    return sigmoid(z + F.lit(bias))
 
-    def fit(self, df: DataFrame, embedding: str, label: str, seed: int = 42) -> "FittedHead":
-        dim = len(df.select(embedding).first()[0])
-        wide = df.select(F.col(label).cast("double").alias("_y"), *[
-            F.get(embedding, F.lit(i)).cast("double").alias(f"e{i}") for i in range(dim)])
-        scale = scaling(wide, [f"e{i}" for i in range(dim)])
-        mean = [scale[f"e{i}"][0] for i in range(dim)]
-        spread = [scale[f"e{i}"][1] for i in range(dim)]
-        train = df.select(F.col(label).cast("double").alias("_y"),
-                          _standardised(embedding, mean, spread).alias("features"))
-        model = self.build(dim, train.count(), seed).fit(train)
-        return FittedHead(model, embedding, mean, spread)
 
+@dataclass(frozen=True)
+class Linear:
+    """A logistic head as one weight vector and bias on the raw embedding, with the scale it was fitted on."""
 
-class FittedHead:
-    def __init__(self, model, embedding: str, mean: list[float], spread: list[float]):
-        self.model, self.embedding, self.mean, self.spread = model, embedding, mean, spread
+    weights: np.ndarray
+    bias: float
+    mean: np.ndarray
+    spread: np.ndarray
 
-    def score(self, df: DataFrame, out: str = "p_spoof") -> DataFrame:
+    def score(self, df: DataFrame, embedding: str, out: str = "p_spoof") -> DataFrame:
         """Probability of the positive class."""
-        rows = df.withColumn("features", _standardised(self.embedding, self.mean, self.spread))
-        return self.model.transform(rows).withColumn(out, vector_to_array("probability")[1]).drop(
-            "features", "rawPrediction", "probability", "prediction")
+        return df.withColumn(out, linear_score(F.col(embedding), self.weights, self.bias))
+
+
+def _task_sums(batches: Iterator[pd.DataFrame], make: Callable[[np.ndarray, np.ndarray, np.ndarray], dict]) -> Iterator[pd.DataFrame]:
+    """One row for each key that ``make(x, y, folds)`` gives, summed over a task's batches."""
+    held: dict = {}
+    for batch in batches:
+        if len(batch):
+            x = np.stack(batch["x"].to_numpy()).astype(np.float64)
+            for key, values in make(x, batch["y"].to_numpy(np.float64), batch["fold"].to_numpy()).items():
+                held[key] = values if key not in held else held[key] + values
+    for (model, part), values in held.items():
+        yield pd.DataFrame({"model": [model], "part": [part], "values": [values]})
+
+
+def _added(rows: DataFrame, make) -> dict[tuple[int, int], np.ndarray]:
+    """Sums over all rows: tasks add up their own, then the vectors of a key meet.
 
-    def linear(self) -> tuple[list[float], float]:
-        """The head as one weight vector and bias on the raw embedding (G29); logistic heads only."""
-        coef = [float(v) for v in self.model.coefficients.toArray()]
-        w = [c / s for c, s in zip(coef, self.spread)]
-        return w, float(self.model.intercept) - sum(a * m for a, m in zip(w, self.mean))
+    What reaches the driver grows with folds and dimensions, never with rows.
+    """
+    schema = "model int, part int, values array<double>"
+    partial = rows.mapInPandas(functools.partial(_task_sums, make=make), schema)
+    total = partial.groupBy("model", "part").applyInPandas(
+        lambda g: pd.DataFrame({"model": g["model"][:1], "part": g["part"][:1], "values": [np.sum(np.stack(g["values"].to_numpy()), axis=0)]}), schema)
+    return {(r["model"], r["part"]): np.array(r["values"]) for r in total.collect()}
+
+
+def _moments(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> dict:
+    """Count, sums and sums of squares of each fold's own rows."""
+    return {(int(f), 0): np.concatenate([[m.sum()], x[m].sum(axis=0), (x[m] ** 2).sum(axis=0)])
+            for f in np.unique(folds) for m in [folds == f]}
+
+
+def _curvature(x: np.ndarray, y: np.ndarray, folds: np.ndarray, shift: np.ndarray, scale: np.ndarray,
+               heads: Mapping[int, np.ndarray]) -> dict:
+    """For each head, over the rows outside its fold: rows of the curvature matrix with the gradient, and the loss."""
+    z = np.hstack([(x - shift) / scale, np.ones((len(x), 1))])
+    out = {}
+    for f, w in heads.items():
+        rows, truth = z[folds != f], y[folds != f]
+        s = rows @ w
+        p = 1.0 / (1.0 + np.exp(-s))
+        block = np.hstack([(rows * (p * (1 - p))[:, None]).T @ rows, (rows.T @ (p - truth))[:, None]])
+        out |= {(f, i): block[i] for i in range(len(block))}
+        out[f, -1] = np.array([np.logaddexp(0.0, s).sum() - s @ truth])
+    return out
+
+
+def fit_logistic(df: DataFrame, embedding: str, label: str, fold: str | None = None, k: int = 1, *,
+                 tolerance: float = 1e-9, max_steps: int = 100) -> dict[int, Linear]:
+    """Logistic heads of all folds at once, each fitted on the rows outside its fold (H2, H3).
+
+    Standardised by the mean and deviation of its training rows, with half the squared weights as
+    penalty (C = 1) and a free intercept, solved by Newton's method.  One pass over the rows serves a
+    step of every head.  Without ``fold`` there is one head, number 0, on all rows.  Rows with a null
+    embedding or label are left out.
+    """
+    own = F.lit(-1) if fold is None else F.col(fold).cast("int")
+    rows = df.select(F.col(embedding).alias("x"), F.col(label).cast("double").alias("y"), own.alias("fold")).filter(
+        F.col("x").isNotNull() & F.col("y").isNotNull())
+    sums = {f: v for (f, _), v in _added(rows, _moments).items()}
+    if not sums:
+        raise ValueError("no rows to fit a head on")
+    whole = sum(sums.values())
+    dim = (len(whole) - 1) // 2
+    every = np.zeros_like(whole)
+
+    def scale_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = v[1:dim + 1] / v[0]
+        spread = np.sqrt(np.maximum(0.0, v[dim + 1:] / v[0] - mean ** 2))
+        # Deviations below rounding are those of a constant, which scales by one.
+        return mean, np.where(spread > 1e-9 * np.maximum(1.0, np.abs(mean)), spread, 1.0)
+
+    shift, scale = scale_of(whole)
+    own_scale = {f: scale_of(whole - sums.get(f, every)) for f in range(k)}
+    # A head's own standardised weights, and the same as weights on rows standardised by the whole.
+    weights = {f: np.zeros(dim + 1) for f in range(k)}
+
+    def on_rows(f: int, w: np.ndarray) -> np.ndarray:
+        mean, spread = own_scale[f]
+        return np.append(w[:dim] * scale / spread, w[dim] + w[:dim] @ ((shift - mean) / spread))
+
+    best, step, done = dict.fromkeys(range(k), np.inf), {f: np.zeros(dim + 1) for f in range(k)}, set()
+    for _ in range(max_steps):
+        heads = {f: on_rows(f, weights[f] + step[f]) for f in range(k) if f not in done}
+        found = _added(rows, functools.partial(_curvature, shift=shift, scale=scale, heads=heads))
+        for f in heads:
+            w = weights[f] + step[f]
+            loss = found[f, -1][0] + 0.5 * w[:dim] @ w[:dim]
+            if loss > best[f] + 1e-12 * abs(best[f]):
+                step[f] = step[f] / 2
+                continue
+            weights[f], best[f] = w, loss
+            block = np.stack([found[f, i] for i in range(dim + 1)])
+            mean, spread = own_scale[f]
+            # From the rows' standardisation to the head's own: an affine map of each row.
+            turn = np.diag(np.append(scale / spread, 1.0))
+            turn[:dim, dim] = (shift - mean) / spread
+            ridge = np.append(np.ones(dim), 0.0)
+            gradient = turn @ block[:, -1] + ridge * w
+            step[f] = -np.linalg.solve(turn @ block[:, :-1] @ turn.T + np.diag(ridge + 1e-12), gradient)
+            if np.abs(step[f]).max() <= tolerance:
+                done.add(f)
+        if len(done) == k:
+            break
+    out = {}
+    for f, w in weights.items():
+        mean, spread = own_scale[f]
+        raw = w[:dim] / spread
+        out[f] = Linear(raw, float(w[dim] - raw @ mean), mean, spread)
+    return out
+
+
+def _fit_layered(df: DataFrame, embedding: str, label: str, seed: int = 42):
+    """A head with one hidden layer of 256 units on standardised embeddings; a function that scores rows."""
+    rows = df.select(F.col(embedding).alias("x"), F.col(label).cast("double").alias("y"), F.lit(-1).alias("fold"))
+    v = next(iter(_added(rows, _moments).values()))
+    dim = (len(v) - 1) // 2
+    mean = v[1:dim + 1] / v[0]
+    spread = np.sqrt(np.maximum(0.0, v[dim + 1:] / v[0] - mean ** 2))
+    spread = np.where(spread > 0, spread, 1.0)
+
+    def features(df: DataFrame) -> DataFrame:
+        return df.withColumn("features", _standardised(embedding, mean, spread))
+
+    model = MultilayerPerceptronClassifier(featuresCol="features", labelCol="_y", layers=[dim, 256, 2], seed=seed, maxIter=400).fit(
+        features(df.withColumn("_y", F.col(label).cast("double"))))
+    return lambda df: model.transform(features(df)).withColumn("p_spoof", vector_to_array("probability")[1]).drop(
+        "features", "rawPrediction", "probability", "prediction")
 
 
 def _standardised(embedding: str, mean: Sequence[float], spread: Sequence[float]) -> Column:
@@ -112,23 +229,29 @@ def _standardised(embedding: str, mean: Sequence[float], spread: Sequence[float]
     return array_to_vector(F.zip_with(centred, s, lambda e, b: e / b))
 
 
-def linear_score(embedding: Column, weights: Sequence[float], bias: float) -> Column:
-    """Probability from folded weights: a column expression, no model object."""
-    w = F.array(*[F.lit(float(v)) for v in weights])
-    z = F.aggregate(F.zip_with(embedding, w, lambda e, v: e.cast("double") * v), F.lit(0.0), lambda a, b: a + b)
-    return sigmoid(z + F.lit(bias))
+def _logistic_by_fold(df: DataFrame, embedding: str, label: str, k: int, seed: int) -> DataFrame:
+    """Rows with ``fold`` scored by the head that did not see their fold; without folds by one head."""
+    fitted = fit_logistic(df, embedding, label, "fold", k)
+    # The head of a row's fold: its weights are one array of a literal table.
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in [*fitted[f].weights, fitted[f].bias]]) for f in range(k)])
+    dim = len(fitted[0].weights)
+    rows = df.withColumn("_w", F.get(table, F.col("fold")))
+    z = F.aggregate(F.zip_with(F.col(embedding), F.slice("_w", 1, dim), lambda e, v: e.cast("double") * v), F.lit(0.0), lambda a, b: a + b)
+    return rows.withColumn("p_spoof", sigmoid(z + F.get("_w", F.lit(dim)))).drop("_w")
+
 
+def _layered_by_fold(df: DataFrame, embedding: str, label: str, k: int, seed: int) -> DataFrame:
+    return union_all([_fit_layered(df.filter(F.col("fold") != f), embedding, label, seed)(df.filter(F.col("fold") == f)) for f in range(k)])
 
-# Name -> head (J3).  The logistic penalty is C = 1; the layered head has 256 hidden units.
-HEADS: dict[str, Head] = {
-    "logistic": Head("logistic", lambda dim, n, seed: LogisticRegression(
-        featuresCol="features", labelCol="_y", regParam=1.0 / n, standardization=False, maxIter=2000)),
-    "mlp": Head("mlp", lambda dim, n, seed: MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="_y", layers=[dim, 256, 2], seed=seed, maxIter=100)),
+
+# Name -> (fit on rows and return a function that scores rows, score rows by fold).
+HEADS: dict[str, tuple[Callable, Callable]] = {
+    "logistic": (lambda df, e, y, seed: lambda rows: fit_logistic(df, e, y)[0].score(rows, e), _logistic_by_fold),
+    "mlp": (_fit_layered, _layered_by_fold),
 }
 
 
-def build_head(name: str = "logistic") -> Head:
+def build_head(name: str = "logistic") -> tuple[Callable, Callable]:
     """Head by name; an unknown name lists the choices."""
     if name not in HEADS:
         raise ValueError(f"unknown head {name!r}; available: {sorted(HEADS)}")
@@ -138,13 +261,10 @@ def build_head(name: str = "logistic") -> Head:
 def out_of_fold(df: DataFrame, embedding: str, label: str, key: str, *, head: str = "logistic",
                 k: int = 5, seed: int = 42) -> DataFrame:
     """Every row scored once by a head that never saw it (H3)."""
-    # Every fold and every pass of the optimiser reads the folds: write them once.
+    by_fold = build_head(head)[1]
+    # Every pass of the optimiser reads the folds: write them once.
     folds = freeze(sampling.stratified_folds(df, label, [key], k, seed).select(key, label, embedding, "fold"))
-    parts = []
-    for fold in range(k):
-        fitted = build_head(head).fit(folds.filter(F.col("fold") != fold), embedding, label, seed)
-        parts.append(fitted.score(folds.filter(F.col("fold") == fold)).select(key, label, "fold", "p_spoof"))
-    return union_all(parts)
+    return by_fold(folds, embedding, label, k, seed).select(key, label, "fold", "p_spoof")
 
 
 def adapt(train: DataFrame, test: DataFrame, embedding: str, label: str, key: str, *, head: str = "logistic",
@@ -154,7 +274,7 @@ def adapt(train: DataFrame, test: DataFrame, embedding: str, label: str, key: st
         scores = out_of_fold(train, embedding, label, key, head=head, k=k).drop("fold")
         base = train
     else:
-        scores = build_head(head).fit(train, embedding, label).score(test).select(key, label, "p_spoof")
+        scores = build_head(head)[0](train, embedding, label, 42)(test).select(key, label, "p_spoof")
         base = test
     one = scores.withColumn("_all", F.lit(0))
     eer = metrics.equal_error_rate(one, ["_all"], "p_spoof", label).select("_all", F.col("eer").alias("eer_ad"))
@@ -176,7 +296,7 @@ def compare_heads(df: DataFrame, embedding: str, label: str, key: str, heads: Se
 # --- surrogate --------------------------------------------------------------------------------
 
 def fit_surrogate(df: DataFrame, features: Sequence[str], score: str, key: str, *, seed: int = 42,
-                  trees: int = 50) -> tuple[PipelineModel, DataFrame, DataFrame]:
+                  trees: int = 400) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Forest that mimics a score; held-out R2 and rank correlation (H7)."""
     parts = sampling.holdout(df, [key], 0.3, seed)
     forest = Pipeline(stages=[

@@ -20,14 +20,29 @@ from corpuslens.session import default_buckets, freeze
 MAX_BROADCAST_CUTS = 1_000_000
 
 
-def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner", share: bool = False) -> DataFrame:
-    """Join on the group columns, a null being a group like any other."""
-    own = right.select(*[F.col(c).alias(f"_of_{c}") for c in by], *[c for c in right.columns if c not in by])
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-    return left.join(F.broadcast(own) if share else own, same or None, how).drop(*[f"_of_{c}" for c in by])
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the group columns, a null being a group like any other.
+
+    The columns go into one struct, which is never null itself and whose null fields are equal, so the
+    join is a plain equality on one key.
+    """
+    if not by:
+        return left.join(F.broadcast(right), how=how)
+    own = right.select(F.struct(*by).alias("_joined"), *[c for c in right.columns if c not in by])
+    return left.withColumn("_joined", F.struct(*by)).join(own, "_joined", how).drop("_joined")
+
+
+def _as_group(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The group columns as one non-null key ``_g``: nulls are groups, and every exchange hashes the same column."""
+    key = F.struct(*by) if by else F.lit(0)
+    return df.withColumn("_g", key).drop(*by)
 
 
-def _cut_points(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> tuple[DataFrame, bool]:
+def _group_columns(by: Sequence[str]) -> list[Column]:
+    return [F.col(f"_g.`{c}`").alias(c) for c in by]
+
+
+def _cut_points(df: DataFrame, value: str, buckets: int) -> tuple[DataFrame, bool]:
     """Per group, distinct approximate quantiles.  Their values only steer balance.
 
     Few groups: the cut points come to the driver (at most ``MAX_BROADCAST_CUTS``
@@ -35,7 +50,7 @@ def _cut_points(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> t
     Either way both users of the cut points see the same numbers.
     """
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = df.groupBy(*by).agg(
+    edges = df.groupBy("_g").agg(
         F.array_sort(F.array_distinct(F.percentile_approx(value, probs, buckets * 20))).alias("_cuts"))
     most = MAX_BROADCAST_CUTS // buckets
     head = edges.limit(most + 1).collect()
@@ -44,13 +59,13 @@ def _cut_points(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> t
     return df.sparkSession.createDataFrame(head, edges.schema), True
 
 
-def _with_bucket(df: DataFrame, by: Sequence[str], value: str, tie: str | None, buckets: int) -> DataFrame:
-    edges, small = _cut_points(df, by, value, buckets)
+def _with_bucket(df: DataFrame, value: str, tie: str | None, buckets: int) -> DataFrame:
+    edges, small = _cut_points(df, value, buckets)
     # Every step-th cut point first, then the few between two of them: about 2 * sqrt(buckets)
     # comparisons per row.
     step = max(2, math.isqrt(buckets))
     edges = edges.withColumn("_coarse_cuts", F.filter("_cuts", lambda e, i: i % step == 0))
-    out = join_groups(df, edges, by, "left", share=small)
+    out = df.join(F.broadcast(edges) if small else edges, "_g", "left")
     v = F.col(value)
     out = out.withColumn("_cut_block", F.size(F.filter("_coarse_cuts", lambda e: e < v)))
     between = F.slice("_cuts", (F.greatest(F.col("_cut_block"), F.lit(1)) - 1) * step + 2, F.lit(step - 1))
@@ -65,34 +80,33 @@ def _with_bucket(df: DataFrame, by: Sequence[str], value: str, tie: str | None,
     return out.withColumn("_hb", split.cast("int")).drop("_cuts", "_coarse_cuts", "_cut_block", "_cuts_below")
 
 
-def _sum_before(df: DataFrame, by: Sequence[str], bucket: Sequence[str], order: Sequence[Column],
-                weights: Mapping[str, Column], following: Sequence[str]) -> DataFrame:
-    """Sum of each weight over all earlier rows of the group, given a monotone bucket."""
+def _sum_before(df: DataFrame, bucket: Sequence[str], order: Sequence[Column], weights: Mapping[str, Column],
+                following: Sequence[str], by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Sum of each weight over all earlier rows of the group ``_g``, given a monotone bucket."""
     keyed = df
     for name, weight in weights.items():
         keyed = keyed.withColumn(f"_w_{name}", weight)
     ahead = F.struct(*[F.col(c) for c in following]) if following else F.lit(None)
-    totals = keyed.groupBy(*by, *bucket).agg(
+    totals = keyed.groupBy("_g", *bucket).agg(
         *[F.sum(f"_w_{name}").alias(f"_t_{name}") for name in weights],
         *([F.min_by(ahead, order[0]).alias("_first")] if following else []))
-    across = Window.partitionBy(*by).orderBy(*bucket)
+    across = Window.partitionBy("_g").orderBy(*bucket)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    whole = Window.partitionBy("_g")
     totals = totals.select(
-        *by, *bucket,
+        "_g", *bucket,
         *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in weights],
         *[F.sum(f"_t_{name}").over(whole).alias(f"{name}_total") for name in weights],
         *([F.lead("_first").over(across).alias("_ahead")] if following else []))
-    here = Window.partitionBy(*by, *bucket).orderBy(*order)
+    here = Window.partitionBy("_g", *bucket).orderBy(*order)
     inside = here.rowsBetween(Window.unboundedPreceding, -1)
-    joined = join_groups(keyed, totals, [*by, *bucket])
-    columns = [F.col(c) for c in df.columns if c not in bucket]
-    columns += [(F.col(f"_o_{name}") + F.coalesce(F.sum(f"_w_{name}").over(inside), F.lit(0))).alias(name)
-                for name in weights]
-    columns += [F.col(f"{name}_total") for name in weights]
+    joined = keyed.join(totals, ["_g", *bucket])
+    out = [*_group_columns(by), *[F.col(c) for c in columns if c not in by]]
+    out += [(F.col(f"_o_{name}") + F.coalesce(F.sum(f"_w_{name}").over(inside), F.lit(0))).alias(name) for name in weights]
+    out += [F.col(f"{name}_total") for name in weights]
     if following:
-        columns.append(F.coalesce(F.lead(ahead).over(here), F.col("_ahead")).alias("following"))
-    return joined.select(*columns)
+        out.append(F.coalesce(F.lead(ahead).over(here), F.col("_ahead")).alias("following"))
+    return joined.select(*out)
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, Column], *,
@@ -107,8 +121,8 @@ def prefix_sums(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[s
     """
     n = buckets or default_buckets(df.sparkSession)
     order = [F.col(value)] + ([F.col(tie)] if tie else [])
-    return _sum_before(_with_bucket(df, by, value, tie, n), by, ["_vb", "_hb"], order, weights,
-                       following)
+    grouped = _with_bucket(_as_group(df, by), value, tie, n)
+    return _sum_before(grouped, ["_vb", "_hb"], order, weights, following, by, df.columns)
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, *, weight: str | None = None,
@@ -142,18 +156,17 @@ def hash_positions(df: DataFrame, by: Sequence[str], key: Column, out: str, *,
     """
     n = buckets or default_buckets(df.sparkSession)
     slice_of = F.floor(key_number(F.col("_key")) * F.lit(n) / F.lit(4294967296)).cast("int")
-    keyed = df.withColumn("_key", key).withColumn("_slice", slice_of)
-    totals = keyed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = _as_group(df.withColumn("_key", key).withColumn("_slice", slice_of), by)
+    totals = keyed.groupBy("_g", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_o", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     if limit is not None:
         totals = totals.filter(F.col("_o") < limit)
-    inside = Window.partitionBy(*by, "_slice").orderBy("_key")
-    placed = join_groups(keyed, totals, [*by, "_slice"]).withColumn(
-        out, F.col("_o") + F.row_number().over(inside))
-    if limit is not None:
-        placed = placed.filter(F.col(out) <= limit)
-    return placed.drop("_key", "_slice", "_o")
+    inside = Window.partitionBy("_g", "_slice").orderBy("_key")
+    place = (F.col("_o") + F.row_number().over(inside)).alias(out)
+    placed = keyed.join(totals, ["_g", "_slice"]).select(*_group_columns(by), *[c for c in df.columns if c not in by], place)
+    placed = placed.select(*df.columns, out)
+    return placed if limit is None else placed.filter(F.col(out) <= limit)
 
 
 def ordinal_ranks(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], out: str, *,

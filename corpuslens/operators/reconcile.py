@@ -149,14 +149,25 @@ def archive_manifest(pairs: DataFrame, speakers: DataFrame, labels: DataFrame,
     return out, unknown
 
 
+def held_extractions(ledger: DataFrame, archives: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(utt_id, split) of ledger rows whose archive checksum holds and whose content hash is in the inventory.
+
+    Both tables meet by id and hash in one aggregate, whose map side collapses copies, so an id with very
+    many rows is neither multiplied nor gathered.
+    """
+    a = archives.select("archive_name", F.lower("checksum").alias("_md5"))
+    fresh = ledger.withColumn("_md5", F.lower("archive_md5")).join(a, ["archive_name", "_md5"], "left_semi")
+    sides = fresh.select("utt_id", F.col("sha256_extracted").alias("_sha"), "split", F.lit(False).alias("_stored")).unionByName(
+        inventory.select("utt_id", F.col("sha256").alias("_sha"), F.lit(None).cast("string").alias("split"), F.lit(True).alias("_stored")))
+    met = sides.filter(F.col("utt_id").isNotNull() & F.col("_sha").isNotNull()).groupBy("utt_id", "_sha").agg(
+        F.bool_or("_stored").alias("_stored"), F.collect_set("split").alias("_splits"))
+    return met.filter("_stored").select("utt_id", F.explode("_splits").alias("split"))
+
+
 def valid_extractions(targets: DataFrame, ledger: DataFrame, archives: DataFrame,
                       inventory: DataFrame) -> DataFrame:
     """Targets whose ledger row, archive checksum and content hash all hold."""
-    l = ledger.select("utt_id", "split", "archive_name", F.lower("archive_md5").alias("_md5"),
-                      F.col("sha256_extracted").alias("_sha"))
-    a = archives.select("archive_name", F.lower("checksum").alias("_md5"))
-    i = inventory.select("utt_id", F.col("sha256").alias("_sha"))
-    held = l.join(a, ["archive_name", "_md5"], "left_semi").join(i, ["utt_id", "_sha"], "left_semi")
+    held = held_extractions(ledger, archives, inventory)
     return targets.select("utt_id", "split").join(held, ["utt_id", "split"], "left_semi")
 
 
@@ -166,14 +177,27 @@ def ledger_order(ledger: DataFrame) -> DataFrame:
 
 
 def outstanding(targets: DataFrame, valid: DataFrame, inventoried: DataFrame) -> DataFrame:
-    """Per split: targets, valid, still to do, and never seen in any inventory."""
-    flagged = (targets.select("utt_id", "split")
-               .join(valid.select("utt_id", F.lit(True).alias("_v")).distinct(), "utt_id", "left")
-               .join(inventoried.select("utt_id", F.lit(True).alias("_i")).distinct(), "utt_id", "left"))
-    return flagged.groupBy("split").agg(
-        F.count(F.lit(1)).alias("targets"), F.count("_v").alias("valid"),
-        F.count_if(F.col("_v").isNull()).alias("outstanding"),
-        F.count_if(F.col("_i").isNull()).alias("never_inventoried"))
+    """Per split: targets, valid, still to do, and never seen in any inventory.
+
+    The three tables are marks on ids: one aggregate by id and split, and one by id over the few rows that
+    are left, in place of joins.  Targets with a null id are never valid and never inventoried.
+    """
+    def marks(df: DataFrame, split, n, v, i) -> DataFrame:
+        return df.select("utt_id", split.alias("split"), n.alias("_n"), F.lit(v).alias("_v"), F.lit(i).alias("_i"))
+    nowhere, one, none = F.lit(None).cast("string"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = marks(targets, F.col("split"), one, False, False).unionByName(
+        marks(valid.filter(F.col("utt_id").isNotNull()), nowhere, none, True, False)).unionByName(
+        marks(inventoried.filter(F.col("utt_id").isNotNull()), nowhere, none, False, True))
+    by_split = rows.groupBy("utt_id", "split").agg(F.sum("_n").alias("_n"), F.bool_or("_v").alias("_v"), F.bool_or("_i").alias("_i"))
+    # As many entries as an id has splits.
+    by_id = by_split.groupBy("utt_id").agg(F.bool_or("_v").alias("_v"), F.bool_or("_i").alias("_i"),
+                                           F.collect_list(F.struct("split", "_n")).alias("_s"))
+    flagged = by_id.select("_v", "_i", F.explode(F.filter("_s", lambda s: s["_n"] > 0)).alias("s"))
+    n = F.col("s._n")
+    return flagged.groupBy(F.col("s.split").alias("split")).agg(
+        F.sum(n).alias("targets"), F.sum(F.when(F.col("_v"), n).otherwise(0)).alias("valid"),
+        F.sum(F.when(F.col("_v"), 0).otherwise(n)).alias("outstanding"),
+        F.sum(F.when(F.col("_i"), 0).otherwise(n)).alias("never_inventoried"))
 
 
 def missing_preview(targets: DataFrame, inventoried: DataFrame, shown: int = 10) -> DataFrame:
@@ -195,14 +219,13 @@ def missing_preview(targets: DataFrame, inventoried: DataFrame, shown: int = 10)
 
 def key_overlap(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
     """Sizes of difference and intersection of two key sets per group."""
-    l = left.select(by, key).distinct().withColumn("_l", F.lit(True))
-    r = right.select(by, key).distinct().withColumn("_r", F.lit(True))
-    both = l.join(r, [by, key], "full_outer")
+    sides = left.select(by, key, F.lit(True).alias("_l")).union(right.select(by, key, F.lit(False)))
+    # One shuffle by key: whether a key has rows on either side; null groups and keys are values like others.
+    both = sides.groupBy(by, key).agg(F.bool_or("_l").alias("_l"), F.bool_or(~F.col("_l")).alias("_r"))
     return both.groupBy(by).agg(
-        F.count_if(F.col("_r").isNull()).alias("left_only"),
-        F.count_if(F.col("_l").isNull()).alias("right_only"),
+        F.count_if(~F.col("_r")).alias("left_only"), F.count_if(~F.col("_l")).alias("right_only"),
         F.count_if(F.col("_l") & F.col("_r")).alias("shared"),
-        (F.count_if(F.col("_l").isNull() | F.col("_r").isNull()) == 0).alias("equal"))
+        (F.count_if(~F.col("_l") | ~F.col("_r")) == 0).alias("equal"))
 
 
 def upsert(current: DataFrame, updates: DataFrame, key: str = "utt_id") -> DataFrame:

@@ -88,6 +88,23 @@ def outside_domain(df: DataFrame, column: str, allowed: Sequence[str], rule: str
                     F.col("count").cast("string").alias("detail")))
 
 
+def other_languages(df: DataFrame, profile: Profile, rule: str = "other_language") -> DataFrame:
+    """Languages besides the profile's, with their row count; nulls are one of them."""
+    return outside_domain(df, "language", [profile.language], rule)
+
+
+def protocol_rules(left: DataFrame, right: DataFrame, profile: Profile) -> DataFrame:
+    """What has to hold before two publishers are compared (I1): ids are unique within a split and well
+    formed on both sides, labels are known, and the left side holds one language."""
+    return union_all([
+        duplicate_keys(left, ["split", "utt_id"], "duplicate_left_id"), duplicate_keys(right, ["split", "utt_id"], "duplicate_right_id"),
+        malformed_ids(left, profile).withColumn("rule", F.lit("malformed_left_id")),
+        malformed_ids(right, profile).withColumn("rule", F.lit("malformed_right_id")),
+        outside_domain(left, "label", list(profile.label_equivalence), "unsupported_left_label"),
+        outside_domain(right, "key", list(profile.label_equivalence.values()), "unsupported_right_label"),
+        other_languages(left, profile)])
+
+
 def malformed_ids(df: DataFrame, profile: Profile, column: str = "utt_id") -> DataFrame:
     """Ids must be ``<split prefix>_`` and ten digits."""
     ok = F.lit(False)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions.keys import key_uniform, md5_key
-from corpuslens.operators.order import attach_row, hash_positions
+from corpuslens.operators.order import attach_row, hash_positions, join_groups
 
 
 def draw_key(seed: int, *key: str) -> Column:
@@ -71,7 +71,7 @@ def rare_first(df: DataFrame, label: str, quadrant: str, key: Sequence[str], per
     """Stratified selection with rare-first quotas."""
     quotas = rare_first_quotas(df, label, quadrant, per_class)
     placed = hash_positions(df, [label, quadrant], draw_key(seed, *key), "_pos", limit=per_class)
-    return placed.join(F.broadcast(quotas), [label, quadrant]).filter(
+    return join_groups(placed, quotas, [label, quadrant]).filter(
         F.col("_pos") <= F.col("quota")).drop("_pos", "quota")
 
 

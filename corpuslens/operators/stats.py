@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions import signal, tails
 from corpuslens.operators import bootstrap
-from corpuslens.operators.order import average_ranks, exact_quantiles, join_groups, with_average_rank
+from corpuslens.operators.order import average_ranks, exact_quantiles, join_groups, prefix_sums, with_average_rank
 
 CLASS_NAME = {0: "bonafide", 1: "spoof"}
 
@@ -25,26 +25,85 @@ def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: st
     return df.select(*keep, F.explode(cells).alias("_c")).select(*keep, f"_c.{name}", f"_c.{value}")
 
 
+def _known(x: Column) -> Column:
+    """Whether a value has a place in an order: infinities have, nulls and NaN have not."""
+    return x.isNotNull() & ~F.isnan(x)
+
+
+def _flat_correlations(sums: DataFrame, label: str, pairs: Sequence[tuple[str, str]], n: Sequence[Column], rho: Sequence[Column]) -> DataFrame:
+    # A constant column has no correlation.
+    cells = F.array(*[F.struct(F.lit(t).alias("detector"), F.lit(f).alias("feature"), F.nanvl(r, F.lit(None)).alias("rho"), k.alias("n"))
+                      for (t, f), k, r in zip(pairs, n, rho, strict=True)])
+    return sums.select(label, F.explode(cells).alias("c")).filter(F.col("c.n") >= 3).select(
+        "c.detector", "c.feature", class_name(F.col(label)).alias("class"), "c.rho", "c.n")
+
+
 def within_class_correlation(master: DataFrame, tags: Sequence[str], features: Sequence[str],
-                             label: str = "ground_truth", key: str = "sample_id") -> DataFrame:
+                             label: str = "ground_truth", key: str = "sample_id", missing: str = "propagate") -> DataFrame:
     """Spearman correlation of every feature with every score inside each class.
 
     Scores and features are ranked together in one pass over the long form; the ranks of a
     clip come back into one row, and every correlation is an aggregate of those rows.
     Classes with fewer than three rows give no row.
+
+    ``missing`` says what a null or NaN does.  ``propagate``: a class with one in either column has no
+    rho there, and n counts all its rows.  ``pairwise``: each correlation takes the rows that have both
+    values, ranked among themselves, n counts these, and pairs with fewer than three give no row.
     """
+    if missing == "pairwise":
+        return _pairwise_correlation(master, tags, features, label, key)
+    if missing != "propagate":
+        raise ValueError(f"unknown rule for missing values {missing!r}; use 'propagate' or 'pairwise'")
     scores = [f"p_spoof_{t}" for t in tags]
-    long = unpivot(master, [key, label], [*scores, *features])
+    columns = [*scores, *features]
+    long = unpivot(master, [key, label], columns)
     ranked = with_average_rank(long, [label, "feature"], "value", "_rank")
     rows = ranked.groupBy(key, label).agg(*[
-        F.max(F.when(F.col("feature") == c, F.col("_rank"))).alias(c) for c in [*scores, *features]])
+        F.max(F.when((F.col("feature") == c) & _known(F.col("value")), F.col("_rank"))).alias(f"_r{i}") for i, c in enumerate(columns)])
+    spot = {c: F.col(f"_r{i}") for i, c in enumerate(columns)}
     pairs = [(t, f) for t in tags for f in features]
-    sums = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[
-        F.corr(f, f"p_spoof_{t}").alias(f"_{i}") for i, (t, f) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(t).alias("detector"), F.lit(f).alias("feature"), F.col(f"_{i}").alias("rho"))
-                      for i, (t, f) in enumerate(pairs)])
-    return (sums.filter(F.col("n") >= 3).select(label, "n", F.explode(cells).alias("c"))
-            .select("c.detector", "c.feature", class_name(F.col(label)).alias("class"), "c.rho", "n"))
+    sums = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *[F.count(spot[c]).alias(f"_k{i}") for i, c in enumerate(columns)], *[
+        F.corr(spot[f], spot[f"p_spoof_{t}"]).alias(f"_{i}") for i, (t, f) in enumerate(pairs)])
+    full = {c: F.col(f"_k{i}") == F.col("_n") for i, c in enumerate(columns)}
+    rho = [F.when(full[f] & full[f"p_spoof_{t}"], F.col(f"_{i}")) for i, (t, f) in enumerate(pairs)]
+    return _flat_correlations(sums, label, pairs, [F.col("_n")] * len(pairs), rho)
+
+
+def _pairwise_correlation(master: DataFrame, tags: Sequence[str], features: Sequence[str], label: str, key: str) -> DataFrame:
+    """Correlations over the rows that have both values.
+
+    A value's rank among the rows that also have the other column is its place in one order of all
+    values of its column, counting only such rows.  So each column is ordered once, each distinct value
+    with the numbers of its rows that have each counterpart, and all ranks are prefix sums of these
+    numbers: no row is copied for a pair.
+    """
+    scores = [f"p_spoof_{t}" for t in tags]
+    columns, pairs = [*scores, *features], [(t, f) for t in tags for f in features]
+    # Counterparts of a score are the features, of a feature the scores; both lists share the slots.
+    width = max(len(scores), len(features))
+    has = F.array(*[F.array(*[_known(F.col(c).cast("double")) for c in side]) for side in (features, scores)])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
+                               F.get(F.col("_has"), F.lit(0 if c in scores else 1)).alias("other")) for c in columns])
+    long = master.withColumn("_has", has).select(key, label, F.explode(cells).alias("c")).select(key, label, "c.*").filter(
+        _known(F.col("value")))
+    group = [label, "feature"]
+    slots = [F.coalesce(F.get("other", F.lit(j)), F.lit(False)) for j in range(width)]
+    counts = long.groupBy(*group, "value").agg(*[F.count_if(s).alias(f"_c{j}") for j, s in enumerate(slots)])
+    placed = prefix_sums(counts, group, "value", {f"_b{j}": F.col(f"_c{j}") for j in range(width)})
+    ranks = placed.select(*group, "value", F.array(*[
+        F.col(f"_b{j}") + (F.col(f"_c{j}") + 1) / F.lit(2.0) for j in range(width)]).alias("_ranks"))
+    ranked = join_groups(long, ranks, [*group, "value"])
+    rows = ranked.groupBy(key, label).agg(*[
+        F.max(F.when(F.col("feature") == c, F.col("_ranks"))).alias(f"_r{i}") for i, c in enumerate(columns)])
+    place = {c: i for i, c in enumerate(columns)}
+    sides = []
+    for t, f in pairs:
+        of_score, of_feature = F.col(f"_r{place[f'p_spoof_{t}']}"), F.col(f"_r{place[f]}")
+        both = of_score.isNotNull() & of_feature.isNotNull()
+        sides.append((F.when(both, F.get(of_feature, F.lit(tags.index(t)))), F.when(both, F.get(of_score, F.lit(features.index(f))))))
+    sums = rows.groupBy(label).agg(*[F.count(x).alias(f"_n{i}") for i, (x, _) in enumerate(sides)],
+                                   *[F.corr(x, y).alias(f"_{i}") for i, (x, y) in enumerate(sides)])
+    return _flat_correlations(sums, label, pairs, [F.col(f"_n{i}") for i in range(len(pairs))], [F.col(f"_{i}") for i in range(len(pairs))])
 
 
 def rank_p_value(rho: Column, n: Column) -> Column:
@@ -58,20 +117,21 @@ def rank_p_value(rho: Column, n: Column) -> Column:
 def adjusted(df: DataFrame, family: Sequence[str], p: str = "p_value", out: str = "q_value_fdr") -> DataFrame:
     """Benjamini-Hochberg q-values per family.
 
-    A family holds one row per test, bounded by the number of columns of the tested table.
+    A family holds one row per test, bounded by the number of columns of the tested table.  Tests
+    without a p are no part of the family.
     """
-    order = Window.partitionBy(*family).orderBy(p)
+    order = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last())
     falling = (Window.partitionBy(*family).orderBy(F.col("_r").desc())
                .rowsBetween(Window.unboundedPreceding, 0))
     m = F.count(p).over(Window.partitionBy(*family))
     ranked = df.withColumn("_r", F.row_number().over(order)).withColumn("_m", m)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(
-        F.col(p) * F.col("_m") / F.col("_r")).over(falling))).drop("_r", "_m")
+    stepped = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(falling)
+    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), stepped))).drop("_r", "_m")
 
 
-def association(master: DataFrame, tags: Sequence[str], features: Sequence[str]) -> DataFrame:
+def association(master: DataFrame, tags: Sequence[str], features: Sequence[str], missing: str = "propagate") -> DataFrame:
     """Correlation, p and q per detector."""
-    rho = within_class_correlation(master, tags, features)
+    rho = within_class_correlation(master, tags, features, missing=missing)
     with_p = rho.withColumn("p_value", rank_p_value(F.col("rho"), F.col("n")))
     return adjusted(with_p, ["detector"])
 
@@ -173,7 +233,7 @@ def effect_sizes(values: DataFrame) -> DataFrame:
         *[F.col(c) for c in ("nl", "ml", "vl", "nr", "mr", "vr")]).alias("cohens_d"))
     spread = _two_groups(values, by, "quadrant", "TP", "FN", "value").select(*by, bootstrap.log2_spread_ratio(
         *[F.col(c) for c in ("nl", "ml", "vl", "nr", "mr", "vr")]).alias("log2_std_ratio"))
-    return mean.join(spread, by)
+    return join_groups(mean, spread, by)
 
 
 def energy_distribution(master: DataFrame, features: Sequence[str], label: str = "ground_truth") -> DataFrame:
@@ -183,7 +243,7 @@ def energy_distribution(master: DataFrame, features: Sequence[str], label: str =
     q = exact_quantiles(long, ["feature", label], "value", {"q25": 0.25, "q75": 0.75})
     d = _two_groups(long, ["feature"], label, 1, 0, "value").select("feature", bootstrap.pooled_effect(
         *[F.col(c) for c in ("nl", "ml", "vl", "nr", "mr", "vr")]).alias("cohens_d"))
-    return means.join(q, ["feature", label]).join(d, "feature").select(
+    return join_groups(join_groups(means, q, ["feature", label]), d, ["feature"]).select(
         "feature", class_name(F.col(label)).alias("class"), "n", "mean", "q25", "q75", "cohens_d")
 
 
@@ -201,7 +261,7 @@ def signed_rank(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
                                         F.count_if(F.col(diff) > 0).alias("_up"))
     ranks = average_ranks(sides, by, "_abs", weight="ties")
     t = F.col("ties")
-    sums = ranks.join(sides.drop("ties"), [*by, "_abs"]).groupBy(*by).agg(
+    sums = join_groups(ranks, sides.drop("ties"), [*by, "_abs"]).groupBy(*by).agg(
         F.sum(t).alias("_n"), F.sum(F.col("rank") * F.col("_up")).alias("w_plus"),
         F.sum(F.col("rank") * (t - F.col("_up"))).alias("w_minus"),
         F.sum(t.cast("double") * t * t - t).alias("_tie"))
@@ -209,7 +269,7 @@ def signed_rank(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     low = F.least("w_plus", "w_minus")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_tie") / 2) / 24)
     z = F.try_divide(low - n * (n + 1) / 4, se)
-    out = rows.join(sums, list(by), "left")
+    out = join_groups(rows, sums, by, "left")
     exact_ok = (F.col("_all") <= 50) & (F.col("_tie") == 0) & (F.col("_n") == F.col("_all"))
     return out.select(*by, "w_plus", "w_minus", F.col("_n").alias("n_nonzero"), F.coalesce(
         F.when(exact_ok, tails.signed_rank_exact(low, F.col("_n"))),
@@ -229,5 +289,5 @@ def paired_test(df: DataFrame, by: Sequence[str], top: str, bottom: str, key: Se
     wil = signed_rank(d, by, "_diff").select(*by, "wilcoxon_p")
     out = base
     for part in (median, ci, wil):
-        out = out.join(part, list(by), "left")
+        out = join_groups(out, part, by, "left")
     return out

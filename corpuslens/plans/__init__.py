@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-QUERY_MODULES = ("corpus_queries", "detector_queries", "signal_queries", "ledger_queries")
+QUERY_MODULES = ("corpus_queries", "detector_queries", "signal_queries", "ledger_queries", "file_queries")
 
 
 def load_queries():

@@ -11,7 +11,8 @@ from corpuslens.plans.corpus_queries import rounded
 from corpuslens.plans.registry import query
 
 TAGS, FEATS = V.DETECTORS, V.BAND_COLUMNS
-BOOT = 100
+#: Bootstrap replicates of every query.
+BOOT = 1000
 
 
 def _r(expr: str, name: str, digits: int = 6) -> str:
@@ -36,9 +37,11 @@ def _(spark, sf):
     return rounded(d.drop("fpr_deviate", "fnr_deviate"), "fpr", "fnr", digits=9)
 
 
-@query("det_deviates")
+@query("det_deviates", f"""
+SELECT detector, threshold, {_r(S.normal_quantile('fpr'),'fpr_deviate',7)}, {_r(S.normal_quantile('fnr'),'fnr_deviate',7)} FROM points WHERE fpr>0 AND fnr>0 AND fpr<1 AND fnr<1""", "points")
 def _(spark, sf):
-    return metrics.det_points(V.scored_long(spark, sf), ["detector"], "score", "ground_truth")
+    d = metrics.det_points(V.scored_long(spark, sf), ["detector"], "score", "ground_truth")
+    return rounded(d.filter((F.col("fpr") < 1) & (F.col("fnr") < 1)).drop("fpr", "fnr"), "fpr_deviate", "fnr_deviate", digits=7)
 
 
 @query("threshold_error_rates", f"""
@@ -47,7 +50,7 @@ SELECT detector, step::INTEGER AS step, {_r('avg((score >= t)::INTEGER) FILTER (
 FROM scores_long, (SELECT i AS step, ([{','.join(repr(t) for t in metrics.logit_grid(801))}]::DOUBLE[])[i+1] AS t FROM range(0,801) r(i)) GROUP BY detector, step""",
        "scores_long")
 def _(spark, sf):
-    d = metrics.threshold_rates(V.scored_long(spark, sf), ["detector"], "score", "ground_truth", metrics.logit_grid(801))
+    d = metrics.threshold_rates(V.scored_long(spark, sf), ["detector"], "score", "ground_truth", 801)
     return rounded(d.drop("threshold"), "fpr", "fnr", digits=9)
 
 

@@ -25,8 +25,15 @@ def normal_two_sided(z: str) -> str:
     return f"(1 - 2*{simpson('exp(-0.5*{x}*{x})/sqrt(2*pi())', f'abs({z})')})"
 
 
+def normal_quantile(p: str) -> str:
+    """Newton's method from zero on the integral of the density."""
+    density = "exp(-0.5*acc*acc)/sqrt(2*pi())"
+    step = f"acc - (0.5 + {simpson('exp(-0.5*{x}*{x})/sqrt(2*pi())', 'acc', 1000)} - ({p}))/({density})"
+    return f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(0,12), lambda k: k::DOUBLE)), lambda acc, k: {step})"
+
+
 def boot_weight(seed: int, key: str) -> str:
-    return poisson(f"(('0x'||substr(md5('{seed}:'||b||':'||{key}),1,8))::BIGINT/4294967296.0)")
+    return poisson(f"(('0x'||substr(md5('{seed}:'||(b//4)||':'||{key}),(1+8*(b%4))::INTEGER,8))::BIGINT/4294967296.0)")
 
 
 def adjusted(source: str, family: str, p: str = "p_value") -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpuslens.functions import dsp, signal
 from corpuslens.operators import (audit, compare, effects, metrics, models, profiling, reconcile, rules, sampling,
@@ -12,14 +12,17 @@ from corpuslens.operators import (audit, compare, effects, metrics, models, prof
 from corpuslens.operators.order import attach_row
 from corpuslens.profiles import Profile
 from corpuslens.schemas import MANIFEST_COLUMNS
-from corpuslens.session import freeze, spread
+from corpuslens.session import freeze
 from corpuslens.sources import sinks
 
 
 # --- corpus preparation -----------------------------------------------------------------------
 
 def validate_protocols(left: DataFrame, right: DataFrame, profile: Profile) -> dict[str, DataFrame]:
-    """Correspondence report with fingerprints, its problems, and expected counts."""
+    """Correspondence report with fingerprints, its problems, expected counts, and what either side breaks.
+
+    Copies of an id are compared once; that they exist is among the violations.
+    """
     reduced = reconcile.reduce_to(right, left)
     pairs = reconcile.paired(left, reduced, profile)
     report = reconcile.correspondence(pairs)
@@ -29,11 +32,12 @@ def validate_protocols(left: DataFrame, right: DataFrame, profile: Profile) -> d
         report = report.join(prints, "split", "left")
     matched = pairs.filter("label_matched").select("split", F.col("left_label").alias("label"))
     counts = rules.count_differences(matched, profile.expected(left.sparkSession), ["split", "label"])
-    return {"report": report, "problems": reconcile.correspondence_problems(pairs), "counts": counts}
+    return {"report": report, "problems": reconcile.correspondence_problems(pairs), "counts": counts,
+            "violations": rules.protocol_rules(left, right, profile)}
 
 
 def build_manifest(left: DataFrame, right: DataFrame, files: DataFrame, profile: Profile) -> dict[str, DataFrame]:
-    """Raw manifest with evidence, paths and file hashes, and its violations.
+    """Raw manifest with evidence, paths and file hashes, and its violations and those of its inputs.
 
     ``files`` holds ``path`` and ``sha256``; a source without a file is a violation.
     """
@@ -46,7 +50,8 @@ def build_manifest(left: DataFrame, right: DataFrame, files: DataFrame, profile:
     out = hashed.withColumn("sha256_source", F.coalesce("sha256_source", F.lit(""))).withColumn(
         "processed_path", F.lit("")).withColumn("sha256_processed", F.lit("")).withColumn(
         "metadata_source", F.lit(profile.metadata_source)).select(*MANIFEST_COLUMNS)
-    return {"manifest": out, "problems": rules.manifest_rules(out, profile)}
+    problems = rules.union_all([rules.manifest_rules(out, profile), rules.protocol_rules(left, right, profile)])
+    return {"manifest": out, "problems": problems}
 
 
 def enrich(manifest: DataFrame, signals: DataFrame, key: str, target_rate: int) -> DataFrame:
@@ -78,10 +83,17 @@ def verify_processed(declared: DataFrame, measured: DataFrame, key: str = "utt_i
 
 
 def audited(df: DataFrame, samples: str = "samples", rate: str = "sample_rate", prefix: str = "source") -> DataFrame:
-    """Silence ratio, level, noise proxy and their unavailable reasons."""
+    """Silence ratio, level, noise proxy and their unavailable reasons.
+
+    ``samples`` is one signal or frames of channel values: peak, level and silence then count every
+    channel's samples, and the noise proxy hears the average of the channels.
+    """
     x = F.col(samples)
+    heard = x
+    if isinstance(df.schema[samples].dataType.elementType, T.ArrayType):
+        x, heard = F.flatten(x), signal.mono(x)
     level = signal.rms(x)
-    snr, reason = signal.snr_parts(x, F.col(rate))
+    snr, reason = signal.snr_parts(heard, F.col(rate))
     return df.withColumn(f"{prefix}_peak", signal.peak(x)).withColumn(f"{prefix}_rms", level).withColumn(
         f"{prefix}_silence_ratio", signal.silence_ratio(x)).withColumn(
         f"{prefix}_rms_dbfs", signal.dbfs(F.col(f"{prefix}_rms"))).withColumn(
@@ -230,13 +242,17 @@ def faithfulness_rows(clips: DataFrame, scorer: effects.Scorer, rate: int, edges
     by_bin = F.aggregate(
         F.slice(F.col("_tf.r_tf"), F.lit(2), F.size(F.col("_tf.r_tf"))), F.get(F.col("_tf.r_tf"), F.lit(0)),
         lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
-    c = spread(clips, "sample_id").withColumn("_tf", tf).withColumn("_bins", by_bin)
+    c = clips.withColumn("_tf", tf).withColumn("_bins", by_bin)
     c = c.withColumn("predicted", F.col("logit") > 0).withColumn(
         "ranking", sampling.ranked_bands(effects.band_sums(F.col("_bins"), freqs, edges, "last_closed"), F.col("logit") > 0))
     p = scorer(F.col("samples"))
+    heard = F.col("samples")
+    if isinstance(scorer, effects.LinearScorer):
+        c = c.withColumn("shares", scorer.shares(heard, rate, edges, win, hop))
+        heard = F.col("shares")
     c = c.withColumn("p_orig", F.when(F.col("predicted"), p).otherwise(1.0 - p)).withColumn(
         "true_class", stats.class_name(F.col("ground_truth"))).select(
-        "sample_id", "true_class", "samples", "predicted", "ranking", "p_orig")
+        "sample_id", "true_class", heard, "predicted", "ranking", "p_orig")
     grid = effects.intervention_grid(c, ks, draws, n, "sample_id", seed=seed)
     return effects.intervention_scores(grid, scorer, rate, edges, win, hop,
                                        ["sample_id", "true_class", "p_orig"])

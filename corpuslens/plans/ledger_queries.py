@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens import schemas
-from corpuslens.operators import compare, models, profiling, reconcile, rules, stats, storage
+from corpuslens.operators import compare, models, profiling, reconcile, rules, sampling, stats, storage
 from corpuslens.plans import detector_sql as S, jobs, views as V
 from corpuslens.plans.corpus_queries import _SPOILED, rounded
 from corpuslens.plans.detector_queries import _r
@@ -238,7 +238,8 @@ VIEWS["valid"] = (("targets", "stored", "archives"), """
 
 
 def _work(spark, sf):
-    l = freeze(V.ledger(spark, sf))
+    # One shuffle of the ledger serves all four tables: equal exchanges are reused.
+    l = V.ledger(spark, sf)
     targets = l.select(F.when(V.draw("tg", "utt_id", 40) == 0, F.concat("utt_id", F.lit("-t"))).otherwise(F.col("utt_id")).alias("utt_id"), "split")
     stored = l.select("utt_id", F.when(V.draw("sf", "utt_id", 30) == 0, F.sha2(F.lit("broken"), 256)).otherwise(
         F.col("sha256_extracted")).alias("sha256"))
@@ -333,6 +334,26 @@ def _reports(spark, sf):
     return jobs.validate_protocols(V.protocol(spark, sf), V.counterpart(spark, sf), P)["report"]
 
 
+@query("protocol_rules", f"""
+WITH l AS (SELECT * REPLACE (CASE WHEN {h('lang','utt_id')}%40=0 THEN 'xx' ELSE language END AS language) FROM protocol
+    UNION ALL SELECT * FROM protocol WHERE {h('twice','utt_id')}%25=0),
+ r AS (SELECT split, utt_id, key FROM counterpart UNION ALL SELECT split, utt_id, key FROM counterpart WHERE {h('twice','utt_id')}%30=1),
+ p(split, prefix) AS (VALUES {", ".join(f"('{s}','{x}')" for s, x in P.prefixes.items())})
+SELECT 'duplicate_left_id' AS rule, split||'|'||utt_id AS key, count(*)::VARCHAR AS detail FROM l GROUP BY split, utt_id HAVING count(*)>1
+UNION ALL SELECT 'duplicate_right_id', split||'|'||utt_id, count(*)::VARCHAR FROM r GROUP BY split, utt_id HAVING count(*)>1
+UNION ALL SELECT 'malformed_left_id', utt_id, l.split FROM l LEFT JOIN p ON l.split=p.split WHERE NOT coalesce(regexp_full_match(utt_id, prefix||'_[0-9]{{10}}'), false)
+UNION ALL SELECT 'malformed_right_id', utt_id, r.split FROM r LEFT JOIN p ON r.split=p.split WHERE NOT coalesce(regexp_full_match(utt_id, prefix||'_[0-9]{{10}}'), false)
+UNION ALL SELECT 'unsupported_left_label', label, count(*)::VARCHAR FROM l WHERE label NOT IN ('pristine','generated') GROUP BY label
+UNION ALL SELECT 'unsupported_right_label', key, count(*)::VARCHAR FROM r WHERE key NOT IN ('bonafide','spoof') GROUP BY key
+UNION ALL SELECT 'other_language', language, count(*)::VARCHAR FROM l WHERE language<>'en' GROUP BY language""", "protocol", "counterpart")
+def _(spark, sf):
+    left, right = V.protocol(spark, sf), V.counterpart(spark, sf)
+    other = F.when(V.draw("lang", "utt_id", 40) == 0, "xx").otherwise(F.col("language"))
+    left = left.withColumn("language", other).unionByName(left.filter(V.draw("twice", "utt_id", 25) == 0))
+    right = right.unionByName(right.filter(V.draw("twice", "utt_id", 30) == 1))
+    return jobs.validate_protocols(left, right, P)["violations"]
+
+
 @query("rule_report_gate", f"""
 WITH l AS (SELECT * FROM protocol), p AS (SELECT l.split, l.label, r.key, l.spk_id<>r.spk_id OR l.gender<>r.gender AS d, r.utt_id IS NULL AS missing,
    coalesce((l.label='pristine' AND r.key='bonafide') OR (l.label='generated' AND r.key='spoof'), false) AS ok FROM l LEFT JOIN counterpart r ON l.utt_id=r.utt_id),
@@ -520,20 +541,40 @@ def _(spark, sf):
 
 @query("head_comparison")
 def _(spark, sf):
-    return models.compare_heads(_embeddings(spark, sf), "embedding", "ground_truth", "sample_id", k=2)
+    return models.compare_heads(_embeddings(spark, sf), "embedding", "ground_truth", "sample_id")
+
+
+@query("out_of_fold_optimum", """
+WITH f AS (SELECT ((row_number() OVER (PARTITION BY ground_truth ORDER BY md5('42:'||sample_id)) - 1) % 5)::INTEGER AS fold FROM signals)
+SELECT h.fold::INTEGER AS fold, c.place::INTEGER AS place, (SELECT count(*) FROM f WHERE f.fold <> h.fold) AS n_train, 0.0 AS gradient FROM range(0,5) h(fold), range(0,65) c(place)""", "signals")
+def _(spark, sf):
+    """The slope of each fold's objective at its solution, by plain aggregates over the rows: zero everywhere."""
+    folds = freeze(sampling.stratified_folds(_embeddings(spark, sf), "ground_truth", ["sample_id"], 5))
+    parts = []
+    for fold, head in models.fit_logistic(folds, "embedding", "ground_truth", "fold", 5).items():
+        rows = head.score(folds.filter(F.col("fold") != fold), "embedding").withColumn("_e", F.col("p_spoof") - F.col("ground_truth"))
+        cells = [(F.get("embedding", F.lit(i)) - float(m)) / float(s) for i, (m, s) in enumerate(zip(head.mean, head.spread, strict=True))]
+        sums = rows.agg(F.count(F.lit(1)).alias("n_train"), *[F.sum(F.col("_e") * c).alias(f"g{i}") for i, c in enumerate([*cells, F.lit(1.0)])])
+        own = [*(head.weights * head.spread), 0.0]
+        places = F.array(*[F.struct(F.lit(i).alias("place"), (F.col(f"g{i}") + float(w)).alias("gradient")) for i, w in enumerate(own)])
+        parts.append(sums.select(F.lit(fold).alias("fold"), "n_train", F.explode(places).alias("c")).select("fold", "c.place", "n_train", "c.gradient"))
+    return rounded(rules.union_all(parts), "gradient")
 
 
 @query("folded_head_scores")
 def _(spark, sf):
     e = _embeddings(spark, sf)
-    fitted = models.build_head("logistic").fit(e, "embedding", "ground_truth")
-    w, b = fitted.linear()
-    return fitted.score(e).withColumn("p_folded", models.linear_score(F.col("embedding"), w, b)).select("sample_id", "p_spoof", "p_folded")
+    head = models.fit_logistic(e, "embedding", "ground_truth")[0]
+    centred = F.zip_with("embedding", F.array(*[F.lit(float(v)) for v in head.mean]), lambda x, m: x - m)
+    unit = F.zip_with(centred, F.array(*[F.lit(float(v)) for v in head.spread]), lambda x, s: x / s)
+    bias = head.bias + float(head.weights @ head.mean)
+    return head.score(e, "embedding", "p_folded").withColumn("_u", unit).select(
+        "sample_id", models.linear_score(F.col("_u"), head.weights * head.spread, bias).alias("p_spoof"), "p_folded")
 
 
 def _surrogate(spark, sf):
     f = freeze(V.featured(spark, sf).drop("samples"))
-    return models.fit_surrogate(f, V.BAND_COLUMNS, "p_spoof_ad", "sample_id", trees=20)
+    return models.fit_surrogate(f, V.BAND_COLUMNS, "p_spoof_ad", "sample_id")
 
 
 @query("surrogate_fit")

@@ -239,6 +239,24 @@ def _(spark, sf):
                    "source_peak", "source_rms", "silence_ratio", "source_rms_dbfs", "source_estimated_snr_db")
 
 
+_STEREO = "list_concat(samples, list_transform(samples, lambda v: v*-0.25))"
+_MONO = "list_transform(samples, lambda v: v*0.375)"
+
+
+@query("stereo_signal_statistics", f"""
+WITH s AS (SELECT sample_id, {_STEREO} AS x, {_MONO} AS y FROM signals),
+ l AS (SELECT sample_id, sqrt(list_sum(list_transform(y[j*8+1:j*8+8], lambda v: v*v))/8) AS lv FROM s, range(0,8) r(j)),
+ q AS (SELECT sample_id, quantile_cont(lv,0.1) AS noise FROM l WHERE lv>0 GROUP BY ALL),
+ m AS (SELECT sample_id, sqrt(list_sum(list_transform(x, lambda v: v*v))/128) AS rms, sqrt(list_sum(list_transform(y, lambda v: v*v))/64) AS mono, x FROM s)
+SELECT m.sample_id, {_r('list_max(list_transform(x, lambda v: abs(v)))','source_peak')}, {_r('rms','source_rms')}, {_r("len(list_filter(x, lambda v: abs(v)<=0.0001))/128",'source_silence_ratio')},
+ {_r('20*log10(rms)','source_rms_dbfs')}, NULL::VARCHAR AS source_rms_dbfs_unavailable_reason, {_r('20*log10(mono/noise)','source_estimated_snr_db')}, NULL::VARCHAR AS source_estimated_snr_db_unavailable_reason
+FROM m JOIN q ON m.sample_id=q.sample_id""", "signals")
+def _(spark, sf):
+    s = V.signals(spark, sf).select("sample_id", F.lit(400).alias("rate"), F.transform(_x(), lambda v: F.array(v, v * -0.25)).alias("samples"))
+    a = jobs.audited(s, "samples", "rate").drop("samples", "rate")
+    return rounded(a, "source_peak", "source_rms", "source_silence_ratio", "source_rms_dbfs", "source_estimated_snr_db")
+
+
 @query("signal_resampled")
 def _(spark, sf):
     return _digest(V.signals(spark, sf).withColumn("y", dsp.resample(_x(), F.col("sample_rate"), 48)), "y")
@@ -331,8 +349,8 @@ SELECT detector, {_r('rho','rho_causal_vs_assoc')}, n AS n_bands FROM c"""
 def _(spark, sf):
     m = V.master(spark, sf)
     strength = freeze(stats.band_strength(stats.within_class_correlation(m, V.DETECTORS, V.BAND_COLUMNS), V.DETECTORS, NB))
-    occ = effects.occlusion_table(_drops(spark, sf, "zs"), "zs", EDGES, ["sample_id"], n_boot=2).unionByName(
-        effects.occlusion_table(_drops(spark, sf), "ad", EDGES, ["sample_id"], n_boot=2))
+    occ = effects.occlusion_table(_drops(spark, sf, "zs"), "zs", EDGES, ["sample_id"]).unionByName(
+        effects.occlusion_table(_drops(spark, sf), "ad", EDGES, ["sample_id"]))
     return rounded(effects.profile_agreement(occ, strength).drop("p_value"), "rho_causal_vs_assoc")
 
 
@@ -528,7 +546,7 @@ WITH t AS (SELECT metric, condition, true_class, round(avg(aopc),5) AS aopc FROM
 SELECT 'enc_a' AS run, metric, true_class, max(aopc) FILTER (WHERE suffix(condition,'top')) AS explained, max(aopc) FILTER (WHERE suffix(condition,'random')) AS random,
  {_r("max(aopc) FILTER (WHERE suffix(condition,'top')) - max(aopc) FILTER (WHERE suffix(condition,'random'))",'gain')} FROM t GROUP BY metric, true_class""", "areas")
 def _(spark, sf):
-    t = effects.area_table(effects.curve_areas(_faith(spark, sf), len(KS), "sample_id"), "sample_id", n_boot=2)
+    t = effects.area_table(effects.curve_areas(_faith(spark, sf), len(KS), "sample_id"), "sample_id")
     return rounded(effects.area_comparison(t.withColumn("run", F.lit("enc_a"))), "gain")
 
 

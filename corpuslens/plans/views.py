@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.functions import dsp, keys, signal
+from corpuslens.operators import effects
 from corpuslens.profiles import Profile
 
 # The profile of the derived tables.
@@ -191,11 +192,10 @@ def linear_logit(samples: Column, salt: int) -> Column:
     return F.aggregate(F.zip_with(samples, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def scorer(salt: int, gain: float = 1.0):
+def scorer(salt: int, gain: float = 1.0) -> effects.LinearScorer:
     """A detector as a column function: samples to probability of the positive class."""
-    def score(samples: Column) -> Column:
-        return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-linear_logit(samples, salt) * gain)), 9)
-    return score
+    return effects.LinearScorer(tuple(w * gain for w in weight_values(salt)),
+                                lambda z: F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 9))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:

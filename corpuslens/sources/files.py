@@ -1,16 +1,10 @@
-"""File inventories, hashes, headers and signals from ``binaryFile``."""
+"""File inventories, hashes, headers and signals."""
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from corpuslens.schemas import SIGNAL
+from corpuslens.sources import byte_files
 from corpuslens.sources.text_lines import file_name
 
 
@@ -25,7 +19,12 @@ def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """sha256 and md5 of whole files, each hashed where it is read."""
+    """sha256 and md5 of whole files of any size, each read in chunks by one task.
+
+    Where only Spark can open the path, the files go through ``binaryFile``, which ends at 2 GiB.
+    """
+    if byte_files.reachable(path):
+        return byte_files.load(spark, byte_files.FileDigests, path, glob)
     return binary_files(spark, path, glob).select(
         "path", file_name(F.col("path")).alias("name"), "length",
         F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
@@ -37,58 +36,14 @@ def input_evidence(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
         F.col("name").alias("key"), "path", "sha256", F.col("length").alias("size_bytes")).orderBy("key")
 
 
-def _little_endian(content: Column, offset: int, size: int) -> Column:
-    digits = F.hex(F.substring(content, offset + 1, size))
-    pairs = [F.substring(digits, 1 + 2 * i, 2) for i in reversed(range(size))]
-    return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
-
-
-def wav_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Channels, rate and frames from the canonical 44-byte header, nothing decoded."""
-    c = F.col("content")
-    ok = (F.hex(F.substring(c, 1, 4)) == "52494646") & (F.hex(F.substring(c, 37, 4)) == "64617461")
-    head = binary_files(spark, path, "*.wav").select(
-        "path", "length", ok.alias("canonical"), _little_endian(c, 22, 2).alias("channels"),
-        _little_endian(c, 24, 4).alias("sample_rate"), _little_endian(c, 32, 2).alias("_block"),
-        _little_endian(c, 40, 4).alias("_bytes"))
-    frames = F.call_function("div", F.col("_bytes"), F.col("_block"))
-    return head.select("path", "length", "canonical", *[
-        F.when(F.col("canonical"), v).alias(n) for n, v in (
-            ("channels", F.col("channels")), ("sample_rate", F.col("sample_rate")), ("frames", frames))])
-
-
-def _decode(content: bytes) -> tuple[int, int, int, list, str | None]:
-    """(rate, channels, frames, samples, reject reason) of one PCM file."""
-    try:
-        with wave.open(io.BytesIO(content)) as w:
-            rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-            raw = w.readframes(w.getnframes())
-    except (wave.Error, EOFError) as error:
-        return 0, 0, 0, [], f"unreadable: {error}"
-    if width == 2:
-        x = np.frombuffer(raw, dtype="<i2").astype(np.float64) / 32768.0
-    elif width == 1:
-        x = (np.frombuffer(raw, dtype=np.uint8).astype(np.float64) - 128.0) / 128.0
-    elif width == 4:
-        x = np.frombuffer(raw, dtype="<i4").astype(np.float64) / 2147483648.0
-    else:
-        return rate, channels, 0, [], f"sample width {width} not supported"
-    if rate <= 0:
-        return rate, channels, 0, [], "invalid sample rate"
-    if x.size == 0:
-        return rate, channels, 0, [], "empty"
-    x = x.reshape(-1, channels)
-    return rate, channels, len(x), x.tolist(), None
+def wav_headers(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
+    """Form, channels, rate, bits and frames of wave files; only their headers are read."""
+    return byte_files.load(spark, byte_files.WaveHeaders, path, glob)
 
 
 def read_signals(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
-    """Decoded PCM signals, frames x channels; unreadable files keep a reason."""
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, *_decode(c)) for p, c in zip(batch["path"], batch["content"])]
-            yield pd.DataFrame([(p, r, c, n, s, why) for p, r, c, n, s, why in rows],
-                               columns=[f.name for f in SIGNAL.fields])
-    return binary_files(spark, path, glob).select("path", "content").mapInPandas(decode, SIGNAL)
+    """Decoded signals, frames x channels; files that give none keep a reason."""
+    return byte_files.load(spark, byte_files.WaveSignals, path, glob)
 
 
 def shard_column(spark: SparkSession, glob: str, column: str, n: int) -> DataFrame:

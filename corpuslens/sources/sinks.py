@@ -18,17 +18,38 @@ class PublicationConflict(RuntimeError):
     """An existing artifact differs from the one to be published."""
 
 
+def _on_file_system(spark: SparkSession, path: str):
+    """(file system of the path's scheme, path) of the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whichever file system its scheme names."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    system, p = _on_file_system(spark, path)
+    return system.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it does not exist."""
+    system, p = _on_file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(p)] if system.exists(p) else []
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or parquet by suffix."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that it holds."""
+    system, p = _on_file_system(spark, path)
+    system.delete(p, True)
+
+
+def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True) -> DataFrame:
+    """CSV or parquet by suffix.
+
+    Without a schema a pass over a CSV file infers its types.  Quoted line breaks need ``multiline``, which
+    reads a file in one task; large files without them can switch it off.
+    """
     if path.rstrip("/").endswith(".csv"):
-        return spark.read.csv(path, header=True, inferSchema=True, escape='"', multiLine=True)
+        return spark.read.csv(path, schema=schema, header=True, inferSchema=schema is None, escape='"', multiLine=multiline)
     return spark.read.parquet(path)
 
 

@@ -126,3 +126,77 @@ def test_mu_law_and_zero_span(spark):
     got = values(df, signal.mu_law(F.col("x")))[0]
     assert got == pytest.approx([-1, 0, 0.5, 1], abs=0.03)
     assert values(df, signal.zero_span(F.col("x"), F.lit(1), 2))[0] == [-1.0, 0.0, 0.0, 1.0]
+
+
+def test_linear_and_made_signals_agree(spark):
+    n = 1200
+    df = spark.createDataFrame([(i, RNG.normal(size=n).tolist()) for i in range(5)] + [(9, None)], "sample_id long, samples array<double>")
+    scorer = effects.LinearScorer(tuple(RNG.normal(size=n) / 30), signal.sigmoid)
+    grid = (16000, EDGES, 256, 64)
+    fast = effects.band_drops(df, scorer, *grid).drop("samples").collect()
+    slow = {r.sample_id: r for r in effects.band_drops(df, lambda x: scorer(x), *grid).drop("samples").collect()}
+    assert fast[0].asDict().keys() == {"sample_id", *[f"drop_{b}" for b in range(8)]}
+    for r in fast:
+        for b in range(8):
+            other = slow[r.sample_id][f"drop_{b}"]
+            assert (r[f"drop_{b}"] is None) == (other is None) == (r.sample_id == 9) and (other is None or abs(r[f"drop_{b}"] - other) < 1e-9)
+    bands = F.array(F.lit(0), F.lit(3), F.lit(7))
+    a, b = (effects.group_drop(df, s, bands, *grid).where("samples is not null").select("sample_id", "group_drop").orderBy("sample_id").collect()
+            for s in (scorer, lambda x: scorer(x)))
+    assert [r.group_drop for r in a] == pytest.approx([r.group_drop for r in b], abs=1e-9)
+
+
+def test_one_transform_of_a_clip_whatever_the_bands(spark):
+    df = spark.createDataFrame([(1, RNG.normal(size=400).tolist())], "sample_id long, samples array<double>")
+    edges = signal.mel_edges(24)
+    plan = effects.band_drops(df, effects.LinearScorer(tuple([0.1] * 400), signal.sigmoid), 16000, edges, 128, 32)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    assert plan.count("run(") <= 2
+
+
+def test_parts_of_bands_add_up_and_short_signals_give_zeros(spark):
+    x = RNG.normal(size=1000)
+    df = frame(spark, [x, x[:3]])
+    parts = values(df, dsp.band_parts(F.col("x"), 16000, EDGES, 512, 128))
+    assert np.array(parts[0]).sum(axis=0) == pytest.approx(x, abs=1e-9) and len(parts[1]) == 8
+    one = values(df, dsp.keep_bands(F.col("x"), F.array(F.lit(2)), 16000, EDGES, 512, 128))[0]
+    assert parts[0][2] == pytest.approx(one, abs=1e-12)
+
+
+@pytest.mark.parametrize("n,win,hop", [(100, 16, 8), (101, 16, 5), (40, 64, 16), (5, 64, 16), (64, 16, 16)])
+def test_frames_by_the_definition(n, win, hop):
+    frames = dsp.Frames(n, win, hop)
+    side, window = win // 2, np.hanning(win)
+    starts = [s for s in range(0, n + 2 * side, hop) if s + win <= n + 2 * side]
+    cover = np.zeros(n + 2 * side)
+    for s in starts:
+        cover[s:s + win] += window
+    assert frames.starts.tolist() == starts
+    assert 1 / frames.share == pytest.approx(np.where(cover > 0, cover, 1), abs=1e-12)
+    x = RNG.normal(size=(3, n))
+    back = frames.joined(frames.spectra(x))
+    whole = np.where(cover > 0, 1, 0)[side:side + n]
+    assert back == pytest.approx(x * whole, abs=1e-9)
+
+
+def test_rates_and_lengths_in_one_batch(spark):
+    rows = [(RNG.normal(size=k).tolist(), r) for k in (50, 81) for r in (8000, 16000, 44100)] + [(None, 8000), ([1.0], None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, x array<double>, rate int").coalesce(1)
+    got = values(df, dsp.resample(F.col("x"), F.col("rate"), 16000))
+    for (x, rate), y in zip(rows, got, strict=True):
+        if x is None or rate is None:
+            assert y is None
+        else:
+            assert y == pytest.approx(dsp._to_rate(np.array([x]), rate, 16000)[0].tolist()) and len(y) == -(-len(x) * 16000 // rate)
+
+
+def test_channels_are_measured_together(spark):
+    from corpuslens.plans import jobs
+    left, right = np.r_[np.zeros(100), np.full(300, 0.5)], np.r_[np.full(100, 0.25), np.full(300, 0.5)]
+    df = spark.createDataFrame([(1, np.stack([left, right], axis=1).tolist(), 1000)], "id long, samples array<array<double>>, rate int")
+    r = jobs.audited(df, "samples", "rate").first()
+    assert r.source_silence_ratio == 100 / 800 and r.source_peak == 0.5
+    assert r.source_rms == pytest.approx(np.sqrt((np.r_[left, right] ** 2).mean()))
+    mono = (left + right) / 2
+    noise = np.quantile([np.sqrt((mono[i:i + 20] ** 2).mean()) for i in range(0, 400, 20)], 0.1)
+    assert r.source_estimated_snr_db == pytest.approx(20 * np.log10(np.sqrt((mono ** 2).mean()) / noise))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens import schemas
 from corpuslens.operators import rules
 from corpuslens.profiles import ENGLISH, MANDARIN, PORTUGUESE, Profile
-from corpuslens.sources import files, protocols, sinks
+from corpuslens.sources import byte_files, files, protocols, sinks
 from corpuslens.sources.text_lines import numbered_lines
 
 HEADER = ",".join(schemas.PROTOCOL_COLUMNS)
@@ -112,7 +112,7 @@ def test_signals_headers_inventory_and_hashes(spark, tmp_path):
     (tmp_path / "c.wav").write_bytes(b"not audio")
     got = {r["path"].rsplit("/", 1)[1]: r for r in files.read_signals(spark, str(tmp_path)).collect()}
     assert [s[0] for s in got["a.wav"]["samples"]] == [0.0, 0.5, -1.0, 0.0] and got["b.wav"]["channels"] == 2
-    assert got["b.wav"]["frames"] == 2 and got["c.wav"]["reject_reason"].startswith("unreadable")
+    assert got["b.wav"]["frames"] == 2 and got["c.wav"]["reject_reason"] == byte_files.NOT_WAVE
     heads = {r["path"].rsplit("/", 1)[1]: r for r in files.wav_headers(spark, str(tmp_path)).collect()}
     assert (heads["a.wav"]["frames"], heads["a.wav"]["sample_rate"]) == (4, 8000)
     assert (heads["b.wav"]["frames"], heads["b.wav"]["channels"]) == (2, 2) and heads["c.wav"]["frames"] is None
@@ -181,3 +181,77 @@ def test_processed_manifest_types_and_present_detectors(spark, tmp_path):
     back = protocols.read_manifest(spark, str(tmp_path / "m"), processed=True)
     assert back.schema.simpleString() == schemas.PROCESSED.simpleString() and back.first()["protocol_codec"] == ""
     assert rules.present_detectors(["p_spoof_ad", "x"]) == ["ad"]
+
+
+def test_a_file_over_two_gib_is_hashed_in_chunks(spark, tmp_path):
+    import hashlib
+    import subprocess
+    import sys
+    size = 2**31 + 12345
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size - 3)
+        f.seek(size - 3)
+        f.write(b"end")
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    want = hashlib.sha256()
+    block = bytes(1 << 24)
+    for start in range(0, size - 3, len(block)):
+        want.update(block[:min(len(block), size - 3 - start)])
+    want.update(b"end")
+    got = {r["name"]: r for r in files.file_hashes(spark, str(tmp_path), "*.bin").collect()}
+    assert got["large.bin"]["sha256"] == want.hexdigest() and got["large.bin"]["length"] == size
+    assert got["small.bin"]["md5"] == hashlib.md5(b"abc").hexdigest()
+    code = f"""
+import resource
+from corpuslens.sources.byte_files import FileDigests
+reader = FileDigests({{"path": {str(tmp_path)!r}}}).reader(None)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 2 and len(reader.partitions()) == 2
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_wave_chunks_widths_and_rejects(spark, tmp_path):
+    x = np.array([[0.5, -0.5], [-1.0, 0.25], [0.125, 0.0]])
+    for bits in (8, 16, 24, 32, -32):
+        (tmp_path / f"w{bits}.wav").write_bytes(byte_files.wave_bytes(x, 16000, bits, b"odd" if bits != 16 else b""))
+    whole = byte_files.wave_bytes(x, 16000, 16)
+    (tmp_path / "cut.wav").write_bytes(whole[:-2])
+    (tmp_path / "none.wav").write_bytes(byte_files.wave_bytes(np.zeros((0, 1)), 8000, 16))
+    (tmp_path / "nan.wav").write_bytes(byte_files.wave_bytes(np.array([[np.nan]]), 8000, -32))
+    (tmp_path / "rate.wav").write_bytes(byte_files.wave_bytes(x, 0, 16))
+    (tmp_path / "short.wav").write_bytes(b"RIFF")
+    (tmp_path / "law.wav").write_bytes(whole[:20] + struct.pack("<H", 7) + whole[22:])
+    heads = {r["path"].rsplit("/", 1)[1]: r for r in files.wav_headers(spark, str(tmp_path)).collect()}
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.read_signals(spark, str(tmp_path)).collect()}
+    for bits in (8, 16, 24, 32, -32):
+        r = heads[f"w{bits}.wav"]
+        assert (r["form"], r["channels"], r["sample_rate"], r["bits"], r["frames"]) == ("float" if bits < 0 else "pcm", 2, 16000, abs(bits), 3)
+        assert got[f"w{bits}.wav"]["samples"] == x.tolist()
+    why = {n: r["reject_reason"] for n, r in got.items() if r["reject_reason"]}
+    assert why == {"cut.wav": byte_files.TRUNCATED, "none.wav": byte_files.EMPTY, "nan.wav": byte_files.NOT_FINITE, "rate.wav": byte_files.BAD_RATE,
+                   "short.wav": byte_files.NOT_WAVE, "law.wav": "format 7 of 2 bytes a sample is not supported"}
+    assert {n: r["reject_reason"] for n, r in heads.items() if r["reject_reason"]} == {n: w for n, w in why.items() if n != "nan.wav"}
+    # Headers are found by seeking: bytes of other chunks and of samples are not read.
+    class Counted:
+        def __init__(self, data):
+            import io
+            self.f, self.n = io.BytesIO(data), 0
+
+        def read(self, k):
+            out = self.f.read(k)
+            self.n += len(out)
+            return out
+
+        def seek(self, at):
+            self.f.seek(at)
+    data = byte_files.wave_bytes(np.zeros((100_000, 1)), 8000, 16, b"x" * 50_000)
+    f = Counted(data)
+    assert byte_files.find_chunks(f, len(data)).frames == 100_000 and f.n == 12 + 3 * 8 + 16
+
+
+def test_parts_of_files_follow_their_bytes():
+    parts = byte_files.dealt([("a", 10), ("big", 10**9), ("c", 5), ("d", 0)], part_bytes=4 << 20)
+    assert sorted(f for p in parts for f in p.files) == [("a", 10), ("big", 10**9), ("c", 5), ("d", 0)]
+    assert [p.files for p in parts if len(p.files) == 1 and p.files[0][0] == "big"]

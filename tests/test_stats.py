@@ -116,3 +116,36 @@ def test_label_order_puts_unknown_runs_last(spark):
     from corpuslens.operators.compare import in_label_order
     df = spark.createDataFrame([("x",), ("b",), ("a",)], "run string")
     assert [r["run"] for r in in_label_order(df, "run", ["b", "a"]).collect()] == ["b", "a", "x"]
+
+
+def test_tails_at_large_degrees_of_freedom():
+    from corpuslens.functions import tails
+
+    def edge(x, v):
+        """Two-sided tail by the normal tail and two terms of the expansion in 1 / v."""
+        density = math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        return math.erfc(x / math.sqrt(2)) + density * ((x**3 + x) / (2 * v) + x * (3 * x**6 - 7 * x**4 - 5 * x * x - 3) / (48 * v * v))
+    for v in (1e7, 1e9, 1e11, 1e13):
+        for x in (0.1, 1.0, 3.0, 5.0):
+            assert tails.t_two_sided_value(x, v) == pytest.approx(edge(x, v), rel=1e-12)
+    # Both methods meet where one takes over, and the sum over the line of the density agrees.
+    nodes, weights = np.polynomial.legendre.leggauss(60)
+    for v in (5, 39.9, 40, 41, 75, 150, 199, 201, 1000):
+        for x in (0.01, 0.5, 2.0, 5.0, 9.0):
+            density = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi)
+            total, low, step = 0.0, x, 0.25
+            while step < 1e9:
+                at = low + step * (nodes + 1) / 2
+                total += density * step * (weights * np.exp(-(v + 1) / 2 * np.log1p(at * at / v))).sum()
+                low, step = low + step, step * 1.12
+            assert tails.t_two_sided_value(x, v) == pytest.approx(total, rel=2e-11)
+
+
+def test_native_probit(spark):
+    from statistics import NormalDist
+
+    from corpuslens.functions import tails
+    p = [1e-300, 1e-20, 1e-9, 0.01, 0.0749, 0.075, 0.3, 0.5, 0.9, 0.925, 0.9999, 1 - 1e-12]
+    got = spark.createDataFrame([(x,) for x in p] + [(0.0,), (1.0,), (None,)], "p double").select(tails.probit(F.col("p"))).collect()
+    assert [r[0] for r in got[:-3]] == pytest.approx([NormalDist().inv_cdf(x) for x in p], rel=1e-14, abs=1e-15)
+    assert all(r[0] is None for r in got[-3:])

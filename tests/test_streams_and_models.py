@@ -1,10 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens import schemas
-from corpuslens.operators import models, rules
+from corpuslens.operators import models, rules, sampling
 from corpuslens.operators.rules import RuleViolation
-from corpuslens.streaming.ledger_stream import apply_batch, read_ledger, upsert_stream
+from corpuslens.streaming.ledger_stream import apply_batch, compact, read_ledger, upsert_stream
 from corpuslens.streaming.quota import first_per_class
 
 
@@ -35,6 +36,35 @@ def test_ledger_replays_and_refuses(spark, tmp_path):
     assert state() == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_a_replayed_older_batch_does_not_overrule_a_later_one(spark, tmp_path):
+    root = str(tmp_path / "ledger")
+    size = lambda: {r["utt_id"]: r["member_size"] for r in read_ledger(spark, root).collect()}
+    apply_batch(ledger(spark, [("a", 1)]), 0, root, "A")
+    apply_batch(ledger(spark, [("a", 2)]), 0, root, "B")
+    apply_batch(ledger(spark, [("a", 1)]), 0, root, "A")
+    assert size() == {"a": 2}
+    compact(spark, root)
+    apply_batch(ledger(spark, [("a", 1)]), 0, root, "A")
+    assert size() == {"a": 2}
+    apply_batch(ledger(spark, [("a", 3)]), 1, root, "A")
+    assert size() == {"a": 3}
+
+
+def test_snapshots_cover_updates_and_old_ones_go(spark, tmp_path):
+    root = str(tmp_path / "ledger")
+    for k in range(7):
+        apply_batch(ledger(spark, [("a", k), (f"k{k}", k)]), k, root, "q", compact_every=3)
+    assert {r["utt_id"]: r["member_size"] for r in read_ledger(spark, root).collect()} == {"a": 6, **{f"k{k}": k for k in range(7)}}
+    # Two snapshots at most, and the updates since the one before the last.
+    assert len(list((tmp_path / "ledger" / "snapshots").iterdir())) == 2
+    assert sorted(int(p.name.split("-")[0]) for p in (tmp_path / "ledger" / "updates" / "q").iterdir()) == [3, 4, 5, 6]
+    # A late writer that took an early place does not overrule, yet its new ids count.
+    late = ledger(spark, [("a", -1), ("late", 9)]).withColumns({"applied": F.lit(0).cast("long"), "run": F.lit("z"), "batch": F.lit(0).cast("long")})
+    late.write.parquet(root + "/updates/z/0-0")
+    found = {r["utt_id"]: r["member_size"] for r in read_ledger(spark, root).collect()}
+    assert found["a"] == 6 and found["late"] == 9
+
+
 def test_ledger_keeps_rows_after_a_restart_with_a_fresh_checkpoint(spark, tmp_path):
     root = str(tmp_path / "ledger")
     for k, rows in enumerate([[("a", 1), ("b", 1)], [("b", 2), ("c", 2)], [("d", 3)]]):
@@ -57,11 +87,24 @@ def test_out_of_fold_scores_every_row_once(embedded):
     assert got.filter("p_spoof is null").count() == 0
 
 
-def test_folded_head_equals_the_model(embedded):
-    fitted = models.build_head("logistic").fit(embedded, "embedding", "y")
-    w, b = fitted.linear()
-    d = fitted.score(embedded).select(F.max(F.abs(F.col("p_spoof") - models.linear_score(F.col("embedding"), w, b)))).first()[0]
-    assert d < 1e-12
+def test_heads_of_all_folds_equal_heads_fitted_alone(embedded):
+    folds = sampling.stratified_folds(embedded, "y", ["sample_id"], 3).cache()
+    together = models.fit_logistic(folds, "embedding", "y", "fold", 3)
+    for f in range(3):
+        alone = models.fit_logistic(folds.filter(F.col("fold") != f), "embedding", "y")[0]
+        assert together[f].weights == pytest.approx(alone.weights, abs=1e-7) and together[f].bias == pytest.approx(alone.bias, abs=1e-7)
+        # The slope of the objective at the solution.
+        rows = np.array([(*r["embedding"], r["y"]) for r in folds.filter(F.col("fold") != f).collect()])
+        z, y = (rows[:, :-1] - together[f].mean) / together[f].spread, rows[:, -1]
+        w = together[f].weights * together[f].spread
+        p = 1 / (1 + np.exp(-(rows[:, :-1] @ together[f].weights + together[f].bias)))
+        assert np.abs(z.T @ (p - y) + w).max() < 1e-6 and abs((p - y).sum()) < 1e-6
+
+
+def test_a_separable_class_and_a_constant_column_are_fitted(spark):
+    rows = spark.createDataFrame([([float(i), 5.0], int(i >= 10)) for i in range(20)] + [(None, 1)], "e array<double>, y int")
+    head = models.fit_logistic(rows, "e", "y")[0]
+    assert head.weights[0] > 0 and head.weights[1] == 0 and np.isfinite(head.bias)
 
 
 def test_unknown_head_lists_choices():
