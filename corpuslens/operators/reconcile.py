@@ -179,22 +179,16 @@ def ledger_order(ledger: DataFrame) -> DataFrame:
 def outstanding(targets: DataFrame, valid: DataFrame, inventoried: DataFrame) -> DataFrame:
     """Per split: targets, valid, still to do, and never seen in any inventory.
 
-    The three tables are marks on ids: one aggregate by id and split, and one by id over the few rows that
-    are left, in place of joins.  Targets with a null id are never valid and never inventoried.
+    Copies of a target are counted first.  Then the ids of all three tables meet in one aggregate of two
+    marks, which is hashed and not sorted, and the counted targets look their marks up.  Targets with a null
+    id are never valid and never inventoried.
     """
-    def marks(df: DataFrame, split, n, v, i) -> DataFrame:
-        return df.select("utt_id", split.alias("split"), n.alias("_n"), F.lit(v).alias("_v"), F.lit(i).alias("_i"))
-    nowhere, one, none = F.lit(None).cast("string"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    rows = marks(targets, F.col("split"), one, False, False).unionByName(
-        marks(valid.filter(F.col("utt_id").isNotNull()), nowhere, none, True, False)).unionByName(
-        marks(inventoried.filter(F.col("utt_id").isNotNull()), nowhere, none, False, True))
-    by_split = rows.groupBy("utt_id", "split").agg(F.sum("_n").alias("_n"), F.bool_or("_v").alias("_v"), F.bool_or("_i").alias("_i"))
-    # As many entries as an id has splits.
-    by_id = by_split.groupBy("utt_id").agg(F.bool_or("_v").alias("_v"), F.bool_or("_i").alias("_i"),
-                                           F.collect_list(F.struct("split", "_n")).alias("_s"))
-    flagged = by_id.select("_v", "_i", F.explode(F.filter("_s", lambda s: s["_n"] > 0)).alias("s"))
-    n = F.col("s._n")
-    return flagged.groupBy(F.col("s.split").alias("split")).agg(
+    counted = targets.groupBy("utt_id", "split").agg(F.count(F.lit(1)).alias("_n"))
+    sides = valid.select("utt_id", F.lit(True).alias("_v")).unionByName(inventoried.select("utt_id", F.lit(False).alias("_v")))
+    marks = sides.groupBy("utt_id").agg(F.bool_or("_v").alias("_v"), F.bool_or(~F.col("_v")).alias("_i"))
+    flagged = counted.join(marks, "utt_id", "left").na.fill(False, ["_v", "_i"])
+    n = F.col("_n")
+    return flagged.groupBy("split").agg(
         F.sum(n).alias("targets"), F.sum(F.when(F.col("_v"), n).otherwise(0)).alias("valid"),
         F.sum(F.when(F.col("_v"), 0).otherwise(n)).alias("outstanding"),
         F.sum(F.when(F.col("_i"), 0).otherwise(n)).alias("never_inventoried"))

@@ -11,7 +11,7 @@ from corpuslens.plans.corpus_queries import _SPOILED, rounded
 from corpuslens.plans.detector_queries import _r
 from corpuslens.plans.oracle_views import VIEWS, h
 from corpuslens.plans.registry import query
-from corpuslens.session import freeze, scratch_path
+from corpuslens.session import freeze, scratch_path, stored
 from corpuslens.sources import files, protocols, sinks
 
 P = V.FIELD
@@ -238,12 +238,13 @@ VIEWS["valid"] = (("targets", "stored", "archives"), """
 
 
 def _work(spark, sf):
-    # One shuffle of the ledger serves all four tables: equal exchanges are reused.
-    l = V.ledger(spark, sf)
+    # The ledger's columns that four branches read, computed once.
+    l = stored(V.ledger(spark, sf).select("utt_id", "split", "archive_name", "archive_md5", "sha256_extracted", "member_size"), "ledger")
     targets = l.select(F.when(V.draw("tg", "utt_id", 40) == 0, F.concat("utt_id", F.lit("-t"))).otherwise(F.col("utt_id")).alias("utt_id"), "split")
-    stored = l.select("utt_id", F.when(V.draw("sf", "utt_id", 30) == 0, F.sha2(F.lit("broken"), 256)).otherwise(
+    inventory = l.select("utt_id", F.when(V.draw("sf", "utt_id", 30) == 0, F.sha2(F.lit("broken"), 256)).otherwise(
         F.col("sha256_extracted")).alias("sha256"))
-    return targets, stored, reconcile.valid_extractions(targets, l, V.archives(spark, sf), stored)
+    archives = l.groupBy("archive_name").agg(F.sum("member_size").alias("size")).withColumn("checksum", F.md5("archive_name"))
+    return targets, inventory, reconcile.valid_extractions(targets, l, archives, inventory)
 
 
 @query("valid_extractions", "SELECT utt_id, split FROM valid", "valid")

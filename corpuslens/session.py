@@ -58,6 +58,17 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    Like :func:`freeze` for tables that several branches read in part: each reads its own columns, and
+    the planner knows their size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Range buckets for distributed ranks: follows the cluster's shuffle width."""
     return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
