@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of :func:`written` whose last reader has been written itself."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """Add a key of each row: its file, the start of its split and its index in the file.
 
@@ -113,6 +121,27 @@ def shared_small(df: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else table
 
 
+#: Bytes of row bitmaps up to which they are broadcast: half a billion rows.
+MAX_BITMAP_BYTES = 64_000_000
+
+
+def only_rows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` joined with ``wanted`` by their row keys, most others left out before the shuffle.
+
+    The wanted rows of each file become bitmaps of 32,768 rows, a bit for each row, which are broadcast as long
+    as all of them, counted, are small; then only wanted rows are shuffled with their columns.
+    """
+    bits = written(wanted.groupBy(FILE, F.bitmap_bucket_number(ROW).alias("__cl_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(ROW)).alias("__cl_bits")), "bitmaps")
+    if bits.count() * 4096 <= MAX_BITMAP_BYTES:
+        place = F.bitmap_bit_position(ROW)
+        byte = F.conv(F.hex(F.substring("__cl_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        there = F.call_function("getbit", byte, (place % 8).cast("int")) == 1
+        keyed = keyed.withColumn("__cl_bucket", F.bitmap_bucket_number(ROW)).join(F.broadcast(bits), [FILE, "__cl_bucket"]).where(
+            there).drop("__cl_bucket", "__cl_bits")
+    return keyed.join(wanted, ROW_KEY)
+
+
 def whole_text(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

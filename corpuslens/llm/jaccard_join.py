@@ -10,7 +10,12 @@ brute force, large ones block against block in separate tasks.  The chance to mi
 threshold is below 1e-5 at every depth.
 
 Buckets with the same members are compared once; those still to be split stay one for each run,
-since their repeats find the pairs.  A pair that shares several buckets counts in the first of
+since their repeats find the pairs.  Before any text is touched, the members of a bucket are parted
+by their picks: two similar sets share 42 picks or more on average, so sets with fewer than
+``SHARED_PICKS`` in common, directly and through others of the bucket, are not compared, and members
+left alone go (a similar pair is parted with chance below 1e-7).  Then buckets whose members all lie
+in one larger bucket go.  So a set's tokens are sent about as often as it has groups of near copies,
+and large blocks are measured in sets and in bytes.  A pair that shares several buckets counts in the first of
 them only.  Brute force returns no pairs but, for each set, the weight of its links, and the links
 of a spanning forest, so that its output grows with the members and not with their square; classes
 are the connected components of the forests.  Similarities are exact, from whole sets of 64-bit
@@ -40,8 +45,14 @@ WORDS, THRESHOLD = 5, 0.8
 RUNS, DEPTH = 14, 3
 #: Runs whose picks split a large bucket, and the share of its sets that a part of it must not exceed.
 SPLITS, SHRUNK = 4, 0.5
-#: Sets of a bucket that is compared rather than split, and of a block of a large bucket.
-DIRECT, BLOCK = 4096, 1024
+#: Sets of a bucket that is compared rather than split; sets and bytes of tokens of a block of a large bucket.
+DIRECT, BLOCK, BLOCK_BYTES = 4096, 4096, 16 << 20
+#: The side of members that are compared among themselves; of two blocks they are 0 and 1.
+WITHIN = 2
+#: Picks that similar sets share; see :func:`parted_chance`.
+SHARED_PICKS = 11
+#: Rows of a matrix of pairs that are worked on at once.
+_STRIPE = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Seeds of the picks: one for each run and depth.
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (RUNS * DEPTH, 1), dtype=np.uint64)
@@ -113,12 +124,12 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tokens = shingler.set_of(r.text).tobytes()
                 keys = np.sort(np.array([b["key"] for b in r.buckets], np.int64)).tobytes()
                 for b in r.buckets:
-                    blocks = -(-b["count"] // BLOCK)
+                    blocks = b["blocks"]
                     own = xxhash.xxh64_intdigest(r.set_id, seed=b["key"] & (2**63 - 1)) % blocks
                     for other in range(blocks):
                         low, high = min(own, other), max(own, other)
                         part = b["key"] if blocks == 1 else xxhash.xxh64_intdigest(f"{b['key']}:{low}:{high}") - 2**63
-                        for c, v in zip(rows, (part, int(own != low), b["key"], r.set_id, r.weight, keys, tokens), strict=True):
+                        for c, v in zip(rows, (part, WITHIN if low == high else int(own != low), b["key"], r.set_id, r.weight, keys, tokens), strict=True):
                             rows[c].append(v)
             yield pd.DataFrame(rows)
 
@@ -156,6 +167,8 @@ def _shared_before(left: list[np.ndarray], right: list[np.ndarray], bucket: int)
     """Which pairs share a bucket whose key is less than this one's."""
     rows = [k[k < bucket] for k in left + right]
     names = np.unique(np.concatenate(rows))
+    if not len(names):
+        return np.zeros((len(left), len(right)), bool)
     has = np.zeros((len(rows), len(names)), np.float32)
     for i, k in enumerate(rows):
         has[i, np.searchsorted(names, k)] = 1
@@ -164,35 +177,50 @@ def _shared_before(left: list[np.ndarray], right: list[np.ndarray], bucket: int)
 
 def compare(bucket: int, sides: np.ndarray, weights: np.ndarray, keys: list[np.ndarray], sets: list[np.ndarray],
             threshold: float = THRESHOLD) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For each member the weight of its links that count here, and the links of a spanning forest."""
-    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    within = not len(right)
-    if not len(left) or within and len(left) < 2:
+    """For each member the weight of its links that count here, and the links of a spanning forest.
+
+    A block that met no member of the other one has nothing to compare.
+    """
+    within = bool((sides == WITHIN).any())
+    left, right = np.flatnonzero(sides == (WITHIN if within else 0)), np.flatnonzero(sides == 1)
+    if not len(left) or len(left) < 2 and within or not within and not len(right):
         return np.zeros(len(sides), np.int64), []
     if within:
         right = left
     pick = lambda what, which: [what[i] for i in which]
     both = overlaps(pick(sets, left), None if within else pick(sets, right))
     sizes = np.array([len(s) for s in sets])
-    linked = both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
+    linked = np.zeros(both.shape, bool)
+    for i in range(0, len(left), _STRIPE):
+        stripe = both[i:i + _STRIPE]
+        linked[i:i + _STRIPE] = stripe >= threshold * (sizes[left[i:i + _STRIPE]][:, None] + sizes[right][None, :] - stripe) - 1e-9
+    del both
     if within:
         np.fill_diagonal(linked, False)
     links, forest = np.zeros(len(sides), np.int64), []
     if not linked.any():
         return links, forest
     here = linked & ~_shared_before(pick(keys, left), pick(keys, right), bucket)
-    links[left] += here @ weights[right]
-    if not within:
-        links[right] += here.T @ weights[left]
-    # Least linked member, again and again, until nothing changes.
-    label = np.arange(len(sides))
+    for i in range(0, len(left), _STRIPE):
+        stripe = here[i:i + _STRIPE]
+        links[left[i:i + _STRIPE]] += stripe @ weights[right]
+        if not within:
+            links[right] += stripe.T @ weights[left[i:i + _STRIPE]]
+    label = least_linked(linked, left, right, len(sides))
+    return links, [(i, int(label[i])) for i in np.flatnonzero(label != np.arange(len(sides)))]
+
+
+def least_linked(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` members the least member that links reach, given which of ``left`` and ``right`` are linked."""
+    label = np.arange(n)
     while True:
         old = label.copy()
-        label[left] = np.minimum(label[left], np.where(linked, label[right][None, :], len(sides)).min(axis=1))
-        label[right] = np.minimum(label[right], np.where(linked, label[left][:, None], len(sides)).min(axis=0))
+        for i in range(0, len(left), _STRIPE):
+            stripe, rows = linked[i:i + _STRIPE], left[i:i + _STRIPE]
+            label[rows] = np.minimum(label[rows], np.where(stripe, label[right][None, :], n).min(axis=1))
+            np.minimum.at(label, right, np.where(stripe, label[rows][:, None], n).min(axis=0))
         if (label == old).all():
-            break
-    return links, [(i, int(label[i])) for i in np.flatnonzero(label != np.arange(len(sides)))]
+            return label
 
 
 def _compare_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,6 +293,60 @@ def buckets(classes: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [x.select("key", "count", "set_id") for x in out])
 
 
+def _part_by_picks(batches: Iterator[pd.DataFrame], shared: int) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by bucket; the parts of each bucket that common picks hold together, without lone members."""
+    held: list = []
+
+    def done() -> list[tuple]:
+        near = overlaps([np.unique(r.picks) for r in held]) >= shared
+        rows = np.arange(len(held))
+        label = least_linked(near, rows, rows, len(held))
+        sizes = np.bincount(label, minlength=len(held))
+        return [(xxhash.xxh64_intdigest(held[k].set_id, seed=held[k].key & (2**63 - 1)) - 2**63, int(sizes[k]), held[i].set_id)
+                for i, k in enumerate(label.tolist()) if sizes[k] > 1]
+
+    out: list[tuple] = []
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if held and held[0].key != row.key:
+                out += done()
+                held = []
+            held.append(row)
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=["key", "count", "set_id"])
+                out = []
+    if held:
+        out += done()
+    yield pd.DataFrame(out, columns=["key", "count", "set_id"])
+
+
+def _maximal(members: DataFrame) -> DataFrame:
+    """Without buckets whose members all lie in one larger bucket: that of all members' largest ones, if it is the same."""
+    top = members.groupBy("set_id").agg(F.max_by("key", F.struct("count", "key")).alias("top"))
+    inside = members.join(top, "set_id").groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).where(
+        (F.col("low") == F.col("high")) & (F.col("low") != F.col("key"))).select("key")
+    return common.written(members.join(inside, "key", "left_anti"), "members")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(key, count, set_id) of the buckets whose members are compared, parted by picks and without those inside others."""
+    found = _maximal(buckets(classes))
+    chosen = classes.select("set_id", F.transform(F.arrays_zip("slots", "tokens"), lambda x: F.hash(x["slots"], x["tokens"])).alias("picks"))
+    small = found.where(F.col("count") <= DIRECT).join(chosen, "set_id").select("key", "set_id", "picks")
+    parts = common.written(small.repartition("key").sortWithinPartitions("key").mapInPandas(
+        functools.partial(_part_by_picks, shared=SHARED_PICKS), "key long, count long, set_id binary"), "parts")
+    single = _single(_sizes(parts.withColumn("run", F.lit(0))), last=True).select("key")
+    return _maximal(parts.join(single, "key").unionByName(found.where(F.col("count") > DIRECT).select("key", "count", "set_id")))
+
+
+def parted_chance(shared: int = SHARED_PICKS) -> float:
+    """A bound of the chance that a pair at the threshold shares fewer picks: it shares RUNS * DEPTH or more on average,
+    a sum of independent draws (Chernoff)."""
+    mean = RUNS * DEPTH
+    r = (shared - 1) / mean
+    return math.exp(-mean * (1 - r + r * math.log(r)))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Every row's doc_id with ``class_id``, ``n_links`` (other rows at least as similar as the threshold) and row key."""
     return _classed(common.with_row_key(docs)).drop("root")
@@ -273,16 +355,23 @@ def join(docs: DataFrame) -> DataFrame:
 def _classed(docs: DataFrame) -> DataFrame:
     """:func:`join` of documents with row keys, with ``root``, one value for each class, null without shingles."""
     keyed = docs.select("doc_id", *common.ROW_KEY, common.whole_text().alias("__cl_text"))
-    rows = common.written(common.with_python(
+    drawn = common.written(common.with_python(
         keyed, "__cl_text", _describer, "set_id binary, n int, slots array<int>, tokens array<bigint>"), "sets")
-    said = rows.where("n > 0")
-    classes = common.written(said.groupBy("set_id").agg(
+    said = drawn.where("n > 0")
+    picked = common.written(said.groupBy("set_id").agg(
         F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min(F.struct(*common.ROW_KEY)).alias("at"),
-        F.first("slots").alias("slots"), F.first("tokens").alias("tokens")), "classes")
-    held = buckets(classes).groupBy("set_id").agg(F.collect_set(F.struct("key", "count")).alias("buckets"))
-    wanted = classes.join(held, "set_id").select(
-        "set_id", "weight", "buckets", *[F.col(f"at.{k}").alias(k) for k in common.ROW_KEY])
-    texts = keyed.join(wanted, common.ROW_KEY).select("set_id", "weight", "buckets", F.col("__cl_text").alias("text"))
+        F.first("n").alias("n"), F.first("slots").alias("slots"), F.first("tokens").alias("tokens")), "classes")
+    # Once the candidates are known, the picks of all sets are only in the way.
+    rows, classes = common.written(drawn.drop("slots", "tokens"), "rows"), common.written(picked.drop("slots", "tokens"), "narrow")
+    common.discard(drawn)
+    found_in = candidates(picked)
+    common.discard(picked)
+    sizes = found_in.join(classes.select("set_id", "n"), "set_id").groupBy("key").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    held = found_in.join(sizes, "key").groupBy("set_id").agg(F.collect_set(F.struct("key", "blocks")).alias("buckets"))
+    wanted = common.written(classes.join(held, "set_id").select(
+        "set_id", "weight", "buckets", *[F.col(f"at.{k}").alias(k) for k in common.ROW_KEY]), "wanted")
+    texts = common.only_rows(keyed, wanted).select("set_id", "weight", "buckets", F.col("__cl_text").alias("text"))
     members = texts.mapInPandas(_emit, "part long, side int, bucket long, set_id binary, weight long, keys binary, tokens binary")
     found = common.written(members.repartition("part").sortWithinPartitions("part").mapInPandas(
         _compare_parts, "a binary, b binary, links long"), "links")

@@ -54,6 +54,28 @@ def join_rows(spark, rows):
     return Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(documents(spark, rows).repartition(4)).collect())
 
 
+def test_parts_by_picks_lose_nothing(spark, monkeypatch):
+    assert jaccard_join.parted_chance() < 1e-7
+    rng = random.Random(9)
+    common_part = prose(77, 60)
+    rows = [(i, common_part + " " + prose(1000 + i // 3, 40 + i % 7) + f" end{rng.randrange(2)}") for i in range(120)]
+    assert join_rows(spark, rows) == brute_join(rows)
+    # Blocks by bytes: every bucket has several.
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+    assert join_rows(spark, rows) == brute_join(rows)
+
+
+def test_only_rows_with_and_without_bitmaps(spark, tmp_path, monkeypatch):
+    from corpuslens.llm import common
+    spark.range(100_000).withColumn("v", F.col("id") % 7).repartition(3).write.parquet(str(tmp_path / "t"))
+    keyed = common.with_row_key(spark.read.parquet(str(tmp_path / "t")))
+    wanted = keyed.where("id % 1000 = 5").select(*common.ROW_KEY, F.col("id").alias("mark"))
+    for most in (10**9, 0):
+        monkeypatch.setattr(common, "MAX_BITMAP_BYTES", most)
+        got = common.only_rows(keyed, wanted).select("id", "mark").collect()
+        assert sorted((r.id, r.mark) for r in got) == [(i, i) for i in range(5, 100_000, 1000)]
+
+
 def test_join_equals_brute_force(spark):
     assert join_rows(spark, near_copies()) == brute_join(near_copies())
 
