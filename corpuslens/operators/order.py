@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.functions.keys import key_number, md5_key
 from corpuslens.session import default_buckets, freeze
 
-MAX_BROADCAST_CUTS = 1_000_000
+MAX_BROADCAST_CUTS = 100_000
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:

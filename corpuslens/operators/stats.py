@@ -249,11 +249,11 @@ def energy_distribution(master: DataFrame, features: Sequence[str], label: str =
 
 # --- paired test ------------------------------------------------------------------------------
 
-def signed_rank(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
+def signed_rank(df: DataFrame, by: Sequence[str], diff: str, exact_up_to: int = 50) -> DataFrame:
     """Wilcoxon signed-rank sums with average ties, zeros left out.
 
-    p is exact up to fifty pairs without ties or zeros, else the normal form with the tie term;
-    null when every difference is zero.
+    p is exact up to ``exact_up_to`` pairs (fifty at most) without ties or zeros, else the normal form with
+    the tie term; null when every difference is zero.
     """
     rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
     nz = df.filter(F.col(diff) != 0).withColumn("_abs", F.abs(diff))
@@ -270,7 +270,7 @@ def signed_rank(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_tie") / 2) / 24)
     z = F.try_divide(low - n * (n + 1) / 4, se)
     out = join_groups(rows, sums, by, "left")
-    exact_ok = (F.col("_all") <= 50) & (F.col("_tie") == 0) & (F.col("_n") == F.col("_all"))
+    exact_ok = (F.col("_all") <= min(exact_up_to, 50)) & (F.col("_tie") == 0) & (F.col("_n") == F.col("_all"))
     return out.select(*by, "w_plus", "w_minus", F.col("_n").alias("n_nonzero"), F.coalesce(
         F.when(exact_ok, tails.signed_rank_exact(low, F.col("_n"))),
         tails.normal_two_sided(z)).alias("wilcoxon_p"), z.alias("wilcoxon_z"))

@@ -136,15 +136,21 @@ def acquisition_plan(catalog: DataFrame, files: DataFrame, receipts: DataFrame)
 
 
 RECEIPT_FIELDS = ("dataset_id", "version", "revision", "name", "remote_path", "url", "expected_size",
-                  "checksum_algorithm", "checksum", "observed_size", "license", "usage_policy", "origin")
+                  "checksum_algorithm", "checksum", "observed_size", "license", "usage_policy")
 
 
 def receipt_problems(catalog: DataFrame, receipts: DataFrame, key: str = "artifact",
-                     fields: tuple[str, ...] = RECEIPT_FIELDS) -> DataFrame:
-    """Per artifact the sorted fields on which its receipt differs, hash form included."""
-    r = receipts.select(key, "observed_sha256", *[F.col(f).alias(f"_r_{f}") for f in fields])
-    j = catalog.join(r, key)
+                     fields: tuple[str, ...] = RECEIPT_FIELDS, origins: tuple[str, ...] | None = None) -> DataFrame:
+    """Per artifact the sorted fields on which its receipt differs, hash form included.
+
+    ``origins`` are the ways by which an artifact may have come; a receipt with another one differs.
+    """
+    held = ["observed_sha256", *(["origin"] if origins else [])]
+    r = receipts.select(key, *[F.col(c).alias(f"_held_{c}") for c in held], *[F.col(f).alias(f"_r_{f}") for f in fields])
+    j = catalog.join(r, key).withColumnRenamed("_held_observed_sha256", "observed_sha256")
     tests = [F.when(~F.col(f).eqNullSafe(F.col(f"_r_{f}")), F.lit(f)) for f in fields]
+    if origins:
+        tests.append(F.when(~F.coalesce(F.col("_held_origin").isin(*origins), F.lit(False)), F.lit("origin")))
     bad_hash = ~F.coalesce(F.col("observed_sha256"), F.lit("")).rlike("^[0-9a-f]{64}$")
     official = ((F.col("checksum_algorithm") == "sha256") & F.col("checksum").isNotNull()
                 & (F.col("checksum") != F.col("observed_sha256")))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from corpuslens.operators import audit, reconcile, rules
 from corpuslens.plans import views as V
 from corpuslens.plans.oracle_views import h
 from corpuslens.plans.registry import query
-from corpuslens.session import freeze
+from corpuslens.session import freeze, stored
 
 P = V.FIELD
 
@@ -73,15 +73,15 @@ def _(spark, sf):
     return audit.missing_values(V.measured(spark, sf))
 
 
-def _distribution_sql() -> str:
+def _distribution_sql(measures=V.MEASURES, source: str = "measured") -> str:
     parts = []
-    for m in V.MEASURES:
+    for m in measures:
         v = f"({m})::DOUBLE"
         parts.append(
             f"SELECT '{m}' AS measure, split, label, count({m}) AS count, count(*)-count({m}) AS missing_or_nonfinite, "
             f"round(avg({v}),6)+0.0 AS mean, round(stddev_pop({v}),6)+0.0 AS std, round(min({v}),11)+0.0 AS min, "
             f"round(quantile_cont({v},0.25),11)+0.0 AS p25, round(quantile_cont({v},0.5),11)+0.0 AS median, "
-            f"round(quantile_cont({v},0.75),11)+0.0 AS p75, round(max({v}),11)+0.0 AS max FROM measured GROUP BY ALL")
+            f"round(quantile_cont({v},0.75),11)+0.0 AS p75, round(max({v}),11)+0.0 AS max FROM {source} GROUP BY ALL")
     return " UNION ALL ".join(parts)
 
 
@@ -100,6 +100,16 @@ def _(spark, sf):
     return rounded(rounded(d, "mean", "std"), "min", "p25", "median", "p75", "max", digits=11)
 
 
+_PROCESSED = ", ".join(f"{v} AS {k}" for k, v in V.PROCESSED_MEASURES.items())
+
+
+@query("audit_distributions_processed", _distribution_sql(list(V.PROCESSED_MEASURES), f"(SELECT split, label, {_PROCESSED} FROM measured)"), "measured")
+def _(spark, sf):
+    m = stored(V.measured(spark, sf).select("split", "label", *[F.expr(v).alias(k) for k, v in V.PROCESSED_MEASURES.items()]), "processed")
+    d = audit.distributions(m, list(V.PROCESSED_MEASURES))
+    return rounded(rounded(d, "mean", "std"), "min", "p25", "median", "p75", "max", digits=11)
+
+
 _SUMMARY_SQL = """
 SELECT 'samples' AS report, count(*) AS n FROM measured
 UNION ALL SELECT 'cross_split_speakers', count(*) FROM (SELECT DISTINCT a.spk_id, a.split, b.split FROM measured a JOIN measured b
@@ -139,13 +149,13 @@ def _(spark, sf):
 SELECT row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'dev' THEN 1 ELSE 2 END, label, utt_id) AS position,
   utt_id, split, label FROM manifest""", "manifest")
 def _(spark, sf):
-    from corpuslens.operators.order import prefix_sums
-    m = V.manifest(spark, sf, "doc_id").withColumn("_all", F.lit(0))
-    # Position in the canonical order without a global window: the sort key as one number.
-    block = P.split_order(F.col("split")) * 2 + F.when(F.col("label") == "generated", 0).otherwise(1)
-    m = m.withColumn("_order", block.cast("double") * F.lit(1e13) + F.col("doc_id"))
-    placed = prefix_sums(m, ["_all"], "_order", {"position": F.lit(1)})
-    return placed.select((F.col("position") + 1).alias("position"), "utt_id", "split", "label")
+    # Written in order, the files are ranges of the order: a row's place is its index and the rows of the files before.
+    rows = stored(audit.canonical_order(V.manifest(spark, sf), P).select("utt_id", "split", "label"), "ordered").select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("_file", before.alias("_o")), "_file").select(
+        (F.col("_o") + F.col("_at") + 1).alias("position"), "utt_id", "split", "label")
 
 
 # --- rules ------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from corpuslens.operators import (audit, compare, effects, metrics, models, prof
 from corpuslens.operators.order import attach_row
 from corpuslens.profiles import Profile
 from corpuslens.schemas import MANIFEST_COLUMNS
-from corpuslens.session import freeze
+from corpuslens.session import freeze, stored
 from corpuslens.sources import sinks
 
 
@@ -101,10 +101,19 @@ def audited(df: DataFrame, samples: str = "samples", rate: str = "sample_rate",
         f"{prefix}_estimated_snr_db", snr).withColumn(f"{prefix}_estimated_snr_db_unavailable_reason", reason)
 
 
+# The dimension tuples that an audit counts besides the cube.
+STRUCTURED = (("split", "label", "protocol_codec"), ("split", "label", "source_format", "source_subtype"),
+              ("split", "label", "output_format", "output_subtype"))
+
+
 def audit_and_publish(df: DataFrame, measures: Sequence[str], profile: Profile, root: str) -> dict[str, str]:
-    """Audit tables of one enriched frame, written once and published as one set."""
-    frame = freeze(df)
+    """Audit tables of one enriched frame, computed from one copy of it and published as one set."""
+    frame = stored(df, "audited")
     tables = {"audit_rows": frame, "counts": audit.grouping_counts(frame),
+              "structured_counts": audit.structured_counts(frame, STRUCTURED),
+              "source_groups": audit.group_counts(frame),
+              "duplicate_processed_hashes": audit.members_of_repeated(
+                  frame.filter(F.coalesce(F.col("sha256_processed"), F.lit("")) != ""), "sha256_processed", "utt_id", "split"),
               "cross_split_speakers": audit.cross_split_speakers(frame, profile),
               "duplicate_hashes": audit.members_of_repeated(frame, "sha256_source", "utt_id", "split"),
               "missing_values": audit.missing_values(frame),

@@ -8,7 +8,7 @@ from corpuslens import schemas
 from corpuslens.operators import compare, models, profiling, reconcile, rules, sampling, stats, storage
 from corpuslens.plans import detector_sql as S, jobs, views as V
 from corpuslens.plans.corpus_queries import _SPOILED, rounded
-from corpuslens.plans.detector_queries import _r
+from corpuslens.plans.detector_queries import _LEVENE, _WELCH, _r
 from corpuslens.plans.oracle_views import VIEWS, h
 from corpuslens.plans.registry import query
 from corpuslens.session import freeze, scratch_path, stored
@@ -335,6 +335,32 @@ def _reports(spark, sf):
     return jobs.validate_protocols(V.protocol(spark, sf), V.counterpart(spark, sf), P)["report"]
 
 
+# Receipts of which each field differs once in a while; the number of a field is the draw that spoils it.
+_FIELDS = [*storage.RECEIPT_FIELDS, "origin", "observed.sha256"]
+_ORIGINS = ("fetched", "resumed")
+
+
+@query("receipt_fields", f"""
+WITH c AS (SELECT 'a'||o_orderkey||'.tar' AS artifact, {h('rf','o_orderkey')}%40 AS d, {h('rg','o_orderkey')}%40 AS e FROM orders),
+ f(field, k) AS (VALUES {", ".join(f"('{f}',{i})" for i, f in enumerate(_FIELDS))})
+SELECT artifact, string_agg(field, ',' ORDER BY field) AS differing FROM c JOIN f ON k=d OR k=e GROUP BY artifact""")
+def _(spark, sf):
+    o = V.table(spark, sf, "orders")
+    art = F.concat(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit(".tar"))
+    spoiled = {f: (V.draw("rf", "o_orderkey", 40) == i) | (V.draw("rg", "o_orderkey", 40) == i) for i, f in enumerate(_FIELDS)}
+    text = {"dataset_id": F.lit("orders"), "version": F.lit("v1"), "revision": F.col("o_orderdate").cast("string"), "name": art,
+            "remote_path": F.concat(F.lit("data/"), art), "url": F.concat(F.lit("https://example.org/"), art), "checksum_algorithm": F.lit("md5"),
+            "checksum": F.md5(art), "license": F.col("o_orderstatus"), "usage_policy": F.lit(None).cast("string")}
+    size = F.floor(F.col("o_totalprice")).cast("bigint")
+    catalog = o.select(art.alias("artifact"), *[c.alias(n) for n, c in text.items()], size.alias("expected_size"), size.alias("observed_size"))
+    told = o.select(
+        art.alias("artifact"), *[F.when(spoiled[n], "other").otherwise(c).alias(n) for n, c in text.items()],
+        *[F.when(spoiled[n], size + 1).otherwise(size).alias(n) for n in ("expected_size", "observed_size")],
+        F.when(spoiled["origin"], "found").otherwise(F.when(F.col("o_orderkey") % 2 == 0, "fetched").otherwise("resumed")).alias("origin"),
+        F.when(spoiled["observed.sha256"], F.upper(F.sha2(art, 256))).otherwise(F.sha2(art, 256)).alias("observed_sha256"))
+    return storage.receipt_problems(catalog, told, origins=_ORIGINS)
+
+
 @query("protocol_rules", f"""
 WITH l AS (SELECT * REPLACE (CASE WHEN {h('lang','utt_id')}%40=0 THEN 'xx' ELSE language END AS language) FROM protocol
     UNION ALL SELECT * FROM protocol WHERE {h('twice','utt_id')}%25=0),
@@ -614,15 +640,13 @@ def _(spark, sf):
 @query("confirmatory_stage", f"""
 WITH top AS (SELECT feature FROM (SELECT feature, max(abs(rho)) AS s FROM correlations GROUP BY feature) ORDER BY s DESC, feature LIMIT 3),
  q AS (SELECT r.* FROM quadrant_rows r JOIN top USING (feature))
-SELECT detector, feature, {_r('(m1-m2)/sqrt(v1/n1+v2/n2)','statistic')} FROM (SELECT detector, feature,
- count(value) FILTER (WHERE quadrant='TN') n1, avg(value) FILTER (WHERE quadrant='TN') m1, var_samp(value) FILTER (WHERE quadrant='TN') v1,
- count(value) FILTER (WHERE quadrant='FP') n2, avg(value) FILTER (WHERE quadrant='FP') m2, var_samp(value) FILTER (WHERE quadrant='FP') v2 FROM q GROUP BY ALL)""",
+SELECT detector, feature, 'welch_TN_vs_FP' AS test, {_r('statistic','statistic')} FROM ({_WELCH.replace('quadrant_rows', 'q')})
+UNION ALL SELECT detector, feature, 'levene_TP_vs_FN', {_r('statistic','statistic')} FROM ({_LEVENE.replace('quadrant_rows', 'q')})""",
        "correlations", "quadrant_rows")
 def _(spark, sf):
     m = V.master(spark, sf)
     c = stats.within_class_correlation(m, rules.present_detectors(m.columns), V.BAND_COLUMNS)
-    t = jobs.confirmatory_stage(m, c, V.BAND_COLUMNS, 3).filter(F.col("test") == "welch_TN_vs_FP")
-    return rounded(t.select("detector", "feature", "statistic"), "statistic")
+    return rounded(jobs.confirmatory_stage(m, c, V.BAND_COLUMNS, 3).select("detector", "feature", "test", "statistic"), "statistic")
 
 
 @query("collected_samples", """

@@ -125,6 +125,14 @@ MEASURES = ["source_sample_rate", "source_channels", "source_frames", "source_du
             "source_estimated_snr_db"]
 
 
+# Measures of the processed side as expressions of those of the source, in the SQL that both engines read.
+PROCESSED_MEASURES = {
+    "processed_sample_rate": "CAST(16000 AS BIGINT)", "processed_channels": "CAST(1 AS BIGINT)",
+    "processed_duration_seconds": "source_duration_seconds", "processed_peak": "round(source_peak * 0.5, 9)",
+    "processed_rms": "round(source_rms * 0.5, 9)", "processed_silence_ratio": "source_silence_ratio",
+    "processed_rms_dbfs": "round(source_rms_dbfs - 6, 9)", "processed_estimated_snr_db": "round(source_estimated_snr_db + 1, 9)"}
+
+
 def measured(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest with measures of the whole text standing in for signal measures."""
     m = manifest(spark, sf, "doc_id", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -42,6 +43,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(p, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder on its file system."""
+    system, p = _on_file_system(spark, source)
+    if not system.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True) -> DataFrame:
     """CSV or parquet by suffix.
 
@@ -99,12 +107,15 @@ def publish_set(tables: Mapping[str, DataFrame], root: str) -> dict[str, str]:
     """Publish several tables together.
 
     Equal content is accepted, missing tables are completed, and a difference refuses the whole
-    set before anything is written.  Fingerprints, not bytes, are compared.
+    set before anything is published.  Fingerprints, not bytes, are compared.  Each table is computed
+    once, into a staging folder beside its destination; what is fingerprinted there is what moves in.
     """
     spark = next(iter(tables.values())).sparkSession
     state, prints = {}, {}
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        prints[name] = fingerprint(df)
+        df.write.parquet(f"{staged}/{name}")
+        prints[name] = fingerprint(spark.read.schema(df.schema).parquet(f"{staged}/{name}"))
         mark = f"{root}/_fingerprints/{name}"
         if exists(spark, f"{mark}/_SUCCESS"):
             stored = spark.read.text(mark).first()[0]
@@ -113,12 +124,16 @@ def publish_set(tables: Mapping[str, DataFrame], root: str) -> dict[str, str]:
             state[name] = "written"
     clash = sorted(n for n, s in state.items() if s == "conflict")
     if clash:
+        remove(spark, staged)
         raise PublicationConflict("Report-set conflict with existing content: " + ", ".join(clash))
-    for name, df in tables.items():
+    for name in tables:
         if state[name] == "written":
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            # Without its fingerprint a table is left over from a publication that broke off.
+            remove(spark, f"{root}/{name}")
+            move(spark, f"{staged}/{name}", f"{root}/{name}")
             spark.createDataFrame([(prints[name],)], "value string").coalesce(1).write.mode(
                 "overwrite").text(f"{root}/_fingerprints/{name}")
+    remove(spark, staged)
     return state
 
 

@@ -16,7 +16,9 @@ correspondence_report correspondence_problems table_fingerprints field_profiles
 ledger_upsert storage_state space_estimate outstanding_work acquisition_plan receipt_problems roc_points equal_error_rate
 detector_evaluation confusion_grid classification_metrics confirmatory_tests paired_test stratified_sample random_halves
 run_rank_agreement signal_layer_norm signal_noise frequency_relevance time_frequency_relevance clip_band_drops
-population_relevance clip_band_ranking protocol_csv_scan counterpart_line_scan""".split()
+population_relevance clip_band_ranking protocol_csv_scan counterpart_line_scan clip_file_digests clip_file_headers
+clip_file_signals small_csv_artifact receipt_fields protocol_rules det_deviates stereo_signal_statistics
+manifest_canonical_order""".split()
 
 
 @pytest.fixture(scope="session")
