@@ -151,8 +151,9 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) ->
     measured = common.written(common.with_python(
         texts, "__cl_text", lambda: lambda ts: [[statistics(t) for t in ts]], "x array<double>"), "statistics")
     known = labels.where("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    learnt = known.where(~held_out(F.col("doc_id"))).join(measured, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"))
-    sample = learnt.orderBy("h", "x").limit(most).select("x", "y").toPandas()
+    learnt = common.written(known.where(~held_out(F.col("doc_id"))).join(measured, "doc_id").select(
+        "x", "y", F.xxhash64("doc_id").alias("h")), "learnt")
+    sample = common.least_hashed(learnt, most).orderBy("h", "x").limit(most).select("x", "y").toPandas()
     model = fit(np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float))
     scored = common.with_python(measured, "x", functools.partial(_scorer, model), "score double", 4096)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",

@@ -172,8 +172,8 @@ def predict(docs: DataFrame, labels: DataFrame, chain: Mapping[str, Column] | No
         texts.join(common.shared_small(known), "doc_id"), "__cl_text",
         lambda: lambda ts: [[sorted(_words(t)) for t in ts]], "words array<string>"), "labelled", texts=True)
     words = vocabulary(rows, names)
-    chosen = common.with_python(rows.select(F.xxhash64("doc_id").alias("h"), *names, F.col("words").alias("__cl_words")),
-                                "__cl_words", functools.partial(_placer, words), "words array<int>")
+    hashed = common.least_hashed(rows.select(F.xxhash64("doc_id").alias("h"), *names, F.col("words").alias("__cl_words")), most)
+    chosen = common.with_python(hashed, "__cl_words", functools.partial(_placer, words), "words array<int>")
     sample = chosen.orderBy("h").limit(most).toPandas()
     found = sample["words"].tolist()
     models = fit_chain(np.repeat(np.arange(len(found)), list(map(len, found))).astype(np.int64),

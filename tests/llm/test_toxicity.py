@@ -41,8 +41,19 @@ def test_odd_rows(spark):
     assert toxicity.predict(docs.where("false"), labels(spark, [])).count() == 0
 
 
+def test_the_least_hashed_rows_are_all_there(spark):
+    from corpuslens.llm import common
+    table = spark.range(50_000).select(F.xxhash64("id").alias("h"), "id").cache()
+    few = common.least_hashed(table, 1000)
+    assert few.count() < 2000
+    assert [r.id for r in few.orderBy("h").limit(1000).collect()] == [r.id for r in table.orderBy("h").limit(1000).collect()]
+    assert common.least_hashed(table, 40_000) is table
+    same = spark.range(5000).select(F.lit(5).cast("long").alias("h"), "id")
+    assert common.least_hashed(same, 100).count() == 5000
+
+
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_recall_of_given_labels(spark):
