@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuslens import schemas
 from corpuslens.operators import rules
 from corpuslens.profiles import Profile
-from corpuslens.sources.text_lines import file_name, numbered_lines
+from corpuslens.sources.text_lines import file_name, numbered_lines, with_row_numbers
 
 # Python's split() knows more blanks than Java's \s; these are the ones Java's \s leaves out.
 _BLANKS = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -39,17 +39,9 @@ def strict_csv(spark: SparkSession, path: str | list[str], schema: T.StructType,
                            else F.col(f.name) for f in schema.fields])
 
 
-def with_row_number(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Logical record number plus two of a CSV record: the header is line one (trap of the filter)."""
-    here = Window.partitionBy("_file").orderBy("_at")
-    tagged = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")) \
-        .withColumn("_at", F.monotonically_increasing_id())
-    sizes = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    here = Window.partitionBy("_file", "_block").orderBy("_at")
-    return tagged.join(offsets, ["_file", "_block"]).withColumn(
-        "_row", F.col("_o") + F.row_number().over(here) + 1)
+def with_row_number(df: DataFrame) -> DataFrame:
+    """Add ``_file`` and ``_row``: the record's number plus two, as the header is line one (trap of the filter)."""
+    return with_row_numbers(df.withColumn("_file", F.col("_metadata.file_path")), "_row", first=2)
 
 
 def read_protocol(spark: SparkSession, path: str, split: str, profile: Profile, *,
@@ -89,7 +81,7 @@ def read_crowd(spark: SparkSession, paths: Mapping[str, str], *, multiline: bool
     """Crowd metadata of several splits with traceability columns."""
     parts = []
     for split, path in paths.items():
-        df = with_row_number(strict_csv(spark, path, schemas.CROWD, "crowd metadata", multiline=multiline), spark)
+        df = with_row_number(strict_csv(spark, path, schemas.CROWD, "crowd metadata", multiline=multiline))
         parts.append(df.select(*schemas.CROWD_COLUMNS, F.lit(split).alias("split"),
                                file_name(F.col("_file")).alias("metadata_source_file"),
                                F.col("_row").cast("string").alias("metadata_source_row")))
@@ -105,7 +97,7 @@ def read_generated(spark: SparkSession, path: str, split: str, profile: Profile,
 
     The row number is the one before the filter.
     """
-    whole = with_row_number(strict_csv(spark, path, schemas.PROTOCOL, "protocol", multiline=multiline), spark)
+    whole = with_row_number(strict_csv(spark, path, schemas.PROTOCOL, "protocol", multiline=multiline))
     picked = rules.generated_subset(whole, profile)
     out = picked.select(
         *schemas.PROTOCOL_COLUMNS, F.lit(split).alias("split"),
