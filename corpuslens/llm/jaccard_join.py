@@ -46,7 +46,7 @@ RUNS, DEPTH = 14, 3
 #: Runs whose picks split a large bucket, and the share of its sets that a part of it must not exceed.
 SPLITS, SHRUNK = 4, 0.5
 #: Sets of a bucket that is compared rather than split; sets and bytes of tokens of a block of a large bucket.
-DIRECT, BLOCK, BLOCK_BYTES = 4096, 4096, 16 << 20
+DIRECT, BLOCK, BLOCK_BYTES = 4096, 2048, 8 << 20
 #: The side of members that are compared among themselves; of two blocks they are 0 and 1.
 WITHIN = 2
 #: Picks that similar sets share; see :func:`parted_chance`.
@@ -160,7 +160,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> n
         out += has[:m] @ (has if right is None else has[m:]).T
     if right is None:
         np.fill_diagonal(out, [len(s) for s in left])
-    return np.rint(out).astype(np.int32)
+    np.rint(out, out=out)
+    return out.astype(np.int32)
 
 
 def _shared_before(left: list[np.ndarray], right: list[np.ndarray], bucket: int) -> np.ndarray:
@@ -169,10 +170,14 @@ def _shared_before(left: list[np.ndarray], right: list[np.ndarray], bucket: int)
     names = np.unique(np.concatenate(rows))
     if not len(names):
         return np.zeros((len(left), len(right)), bool)
-    has = np.zeros((len(rows), len(names)), np.float32)
-    for i, k in enumerate(rows):
-        has[i, np.searchsorted(names, k)] = 1
-    return has[:len(left)] @ has[len(left):].T > 0
+    shared = np.zeros((len(left), len(right)), bool)
+    for start in range(0, len(names), _STRIPE):
+        part = names[start:start + _STRIPE]
+        has = np.zeros((len(rows), len(part)), np.float32)
+        for i, k in enumerate(rows):
+            has[i, np.searchsorted(part, k[(k >= part[0]) & (k <= part[-1])])] = 1
+        shared |= has[:len(left)] @ has[len(left):].T > 0
+    return shared
 
 
 def compare(bucket: int, sides: np.ndarray, weights: np.ndarray, keys: list[np.ndarray], sets: list[np.ndarray],
