@@ -47,12 +47,12 @@ def _(spark, sf):
     return profiling.value_counts(V.crowd(spark, sf), ["variety", "dataset", "accent", "task"])
 
 
-_FIELDS = {"file_path": "length", "text": "length", "up_votes": "numeric", "down_votes": "numeric", "accent": "categorical", "variety": "categorical"}
+_PROFILED = {"file_path": "length", "text": "length", "up_votes": "numeric", "down_votes": "numeric", "accent": "categorical", "variety": "categorical"}
 
 
 def _profile_sql() -> str:
     parts = []
-    for f, k in _FIELDS.items():
+    for f, k in _PROFILED.items():
         ln = (f"min(length({f}))::INTEGER", f"max(length({f}))::INTEGER", _r(f"avg(length({f}))", "mean_length")) if k == "length" else (
             "NULL::INTEGER", "NULL::INTEGER", "NULL::DOUBLE AS mean_length")
         v = _NUM.format(c=f)
@@ -66,9 +66,9 @@ def _profile_sql() -> str:
 
 @query("field_profiles", _profile_sql(), "crowd")
 def _(spark, sf):
-    d = profiling.field_profiles(V.crowd(spark, sf), list(_FIELDS),
-                                 length_fields=[f for f, k in _FIELDS.items() if k == "length"],
-                                 vote_fields=[f for f, k in _FIELDS.items() if k == "numeric"])
+    d = profiling.field_profiles(V.crowd(spark, sf), list(_PROFILED),
+                                 length_fields=[f for f, k in _PROFILED.items() if k == "length"],
+                                 vote_fields=[f for f, k in _PROFILED.items() if k == "numeric"])
     return rounded(d, "mean_length", "mean")
 
 
@@ -336,18 +336,18 @@ def _reports(spark, sf):
 
 
 # Receipts of which each field differs once in a while; the number of a field is the draw that spoils it.
-_FIELDS = [*storage.RECEIPT_FIELDS, "origin", "observed.sha256"]
+_TOLD = [*storage.RECEIPT_FIELDS, "origin", "observed.sha256"]
 _ORIGINS = ("fetched", "resumed")
 
 
 @query("receipt_fields", f"""
 WITH c AS (SELECT 'a'||o_orderkey||'.tar' AS artifact, {h('rf','o_orderkey')}%40 AS d, {h('rg','o_orderkey')}%40 AS e FROM orders),
- f(field, k) AS (VALUES {", ".join(f"('{f}',{i})" for i, f in enumerate(_FIELDS))})
+ f(field, k) AS (VALUES {", ".join(f"('{f}',{i})" for i, f in enumerate(_TOLD))})
 SELECT artifact, string_agg(field, ',' ORDER BY field) AS differing FROM c JOIN f ON k=d OR k=e GROUP BY artifact""")
 def _(spark, sf):
     o = V.table(spark, sf, "orders")
     art = F.concat(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit(".tar"))
-    spoiled = {f: (V.draw("rf", "o_orderkey", 40) == i) | (V.draw("rg", "o_orderkey", 40) == i) for i, f in enumerate(_FIELDS)}
+    spoiled = {f: (V.draw("rf", "o_orderkey", 40) == i) | (V.draw("rg", "o_orderkey", 40) == i) for i, f in enumerate(_TOLD)}
     text = {"dataset_id": F.lit("orders"), "version": F.lit("v1"), "revision": F.col("o_orderdate").cast("string"), "name": art,
             "remote_path": F.concat(F.lit("data/"), art), "url": F.concat(F.lit("https://example.org/"), art), "checksum_algorithm": F.lit("md5"),
             "checksum": F.md5(art), "license": F.col("o_orderstatus"), "usage_policy": F.lit(None).cast("string")}
