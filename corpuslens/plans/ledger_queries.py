@@ -274,7 +274,7 @@ _INV = """inv AS (SELECT name, size, contains(name,chr(92)) OR starts_with(name,
 
 @query("archive_inventory", f"WITH {_INV} SELECT utt_id, count(*) AS copies, min(name) AS member_name, arg_min(size, name) AS member_size FROM inv WHERE NOT unsafe GROUP BY utt_id", "members")
 def _(spark, sf):
-    return storage.inventory_summary(storage.inventory(V.members(spark, sf).drop("page_id")))
+    return storage.inventory_summary(storage.inventory(V.members(spark, sf)), "page_id")
 
 
 @query("archive_selection", f"""

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import corpuslens.plans
+from corpuslens.operators import storage
 
 PLANS = sorted(Path(corpuslens.plans.__file__).parent.glob("*.py"))
 
@@ -17,3 +18,10 @@ def test_no_constant_is_named_twice(path):
     names = Counter(t.id for n in ast.parse(path.read_text()).body if isinstance(n, ast.Assign)
                     for t in n.targets if isinstance(t, ast.Name) and t.id != "_")
     assert not [n for n, count in names.items() if count > 1]
+
+
+def test_inventory_takes_the_first_member_of_a_name(spark):
+    # Equal names: the member that stands first in the archive tells the size, not the smallest one.
+    members = spark.createDataFrame([(3, "a/x.flac", 5, True), (1, "a/x.flac", 9, True), (2, "b/x.flac", 1, True), (0, "a/x.flac", None, True)],
+                                    "place int, name string, size long, is_regular boolean")
+    assert storage.inventory_summary(storage.inventory(members), "place").collect() == [("x", 4, "a/x.flac", 9)]
