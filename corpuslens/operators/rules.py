@@ -301,16 +301,20 @@ def member_parts(name: Column) -> list[Column]:
             for i, n in ((1, "split"), (2, "speaker"), (3, "utt_id"))]
 
 
-def member_rules(df: DataFrame, tracked: Sequence[str] = ()) -> DataFrame:
-    """Unsafe, irregular, repeated and misfiled members."""
+def misplaced_members(df: DataFrame, tracked: Sequence[str] = ()) -> DataFrame:
+    """Unsafe, irregular and misfiled members, each judged by its own row."""
     name = F.col("name")
     split, speaker, utt = member_parts(name)
     follows = split != ""
-    rows = check_rows(df, name, {
+    return check_rows(df, name, {
         "unsafe_member": (text.is_unsafe_member(name), name),
         "irregular_member": (~F.col("is_regular") & (follows | name.isin(*tracked)), name),
         "speaker_mismatch": (follows & (speaker != F.substring(utt, 1, 7)), utt)})
-    return union_all([rows, duplicate_keys(df, ["name"], "duplicate_member")])
+
+
+def member_rules(df: DataFrame, tracked: Sequence[str] = ()) -> DataFrame:
+    """Unsafe, irregular, repeated and misfiled members."""
+    return union_all([misplaced_members(df, tracked), duplicate_keys(df, ["name"], "duplicate_member")])
 
 
 def set_difference_rules(expected: DataFrame, actual: DataFrame, column: str) -> DataFrame:

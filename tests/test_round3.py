@@ -7,7 +7,8 @@ from pathlib import Path
 import pytest
 
 import corpuslens.plans
-from corpuslens.operators import storage
+from corpuslens.operators import rules, storage
+from corpuslens.plans import load_queries
 
 PLANS = sorted(Path(corpuslens.plans.__file__).parent.glob("*.py"))
 
@@ -25,3 +26,17 @@ def test_inventory_takes_the_first_member_of_a_name(spark):
     members = spark.createDataFrame([(3, "a/x.flac", 5, True), (1, "a/x.flac", 9, True), (2, "b/x.flac", 1, True), (0, "a/x.flac", None, True)],
                                     "place int, name string, size long, is_regular boolean")
     assert storage.inventory_summary(storage.inventory(members), "place").collect() == [("x", 4, "a/x.flac", 9)]
+
+
+def test_misplaced_members_leave_repeats_to_their_own_rule(spark):
+    name = "train/wav/SSB0001/SSB00010009.wav"
+    members = spark.createDataFrame([(name, True), (name, False)], "name string, is_regular boolean")
+    assert rules.misplaced_members(members).collect() == [("irregular_member", name, name)]
+    assert rules.member_rules(members).count() == 2
+
+
+def test_misfiled_members_of_pages_past_ten_thousand(spark, tmp_path):
+    # Four places hold only the first digits of 10800, which gives it the name of 1080.
+    spark.createDataFrame([(1080,), (10800,)], "page_id long").write.parquet(f"{tmp_path}/pages.parquet")
+    name = "test/wav/SSB0000/SSB00001080.wav"
+    assert load_queries()[0]["rule_misfiled_members"](spark, str(tmp_path)).collect() == [("irregular_member", name, name)]
