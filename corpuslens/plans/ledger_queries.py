@@ -687,8 +687,9 @@ QUOTA = 40
 def _(spark, sf):
     from corpuslens.streaming.quota import first_per_class
     still = V.table(spark, sf, "embeddings").select("vec_id", "label")
-    stream = (spark.readStream.schema(V.table(spark, sf, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet")
-              .parquet(sf).select(*still.columns))
+    # A pattern, as a stream takes no single file by its plain name; the table may be a file or a folder of files.
+    stream = spark.readStream.schema(V.table(spark, sf, "embeddings").schema).parquet(
+        f"{sf.rstrip('/')}/embeddings.parque[t]").select(*still.columns)
     out = scratch_path(spark, "quota")
     done = (first_per_class(stream, "label", QUOTA).writeStream.outputMode("append").format("parquet").option("path", out)
             .option("checkpointLocation", scratch_path(spark, "quota-state")).trigger(availableNow=True).start())

@@ -40,3 +40,10 @@ def test_misfiled_members_of_pages_past_ten_thousand(spark, tmp_path):
     spark.createDataFrame([(1080,), (10800,)], "page_id long").write.parquet(f"{tmp_path}/pages.parquet")
     name = "test/wav/SSB0000/SSB00001080.wav"
     assert load_queries()[0]["rule_misfiled_members"](spark, str(tmp_path)).collect() == [("irregular_member", name, name)]
+
+
+def test_quota_of_a_table_in_a_folder(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id as vec_id", "array(cast(1 as float)) as embedding", "if(id < 53, 0, 1) as label")
+    rows.repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = load_queries()[0]["stream_class_quota"](spark, str(tmp_path)).collect()
+    assert sorted(found) == [(0, 40), (1, 7)]
