@@ -1,8 +1,9 @@
 """Spectral columns: numpy kernels on Arrow batches.
 
 Spark reads, partitions and shuffles the signals; each function below is a
-scalar Pandas UDF that maps a batch of arrays to a batch of arrays.  Signals of
-equal length in a batch are stacked and transformed together.
+scalar Arrow UDF that maps a batch of arrays to a batch of arrays.  Signals of
+equal length in a batch are stacked and transformed together; values go from Arrow
+buffers to matrices and back, so a worker never holds an object for each number.
 """
 
 from __future__ import annotations
@@ -11,47 +12,84 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from corpuslens.functions import signal
 
 
 def kernel_udf(schema: str):
-    """Scalar Pandas UDF that the optimizer leaves in a projection of its own.
+    """Scalar Arrow UDF that the optimizer leaves in a projection of its own.
 
     A deterministic UDF would be inlined into every expression that reads its result; the mark
     keeps one evaluation per row.  The kernels themselves are pure.
     """
     def wrap(fn):
-        return F.pandas_udf(fn, schema).asNondeterministic()
+        return F.arrow_udf(fn, schema).asNondeterministic()
     return wrap
 
 
-CHUNK_VALUES = 1 << 21  # samples one matrix may hold, so that a batch of long signals stays small
+CHUNK_VALUES = 1 << 18  # samples one matrix may hold, so that what kernels make of them stays small
 
+#: Rows of a batch and the result of a kernel for them, one entry per row.
+Parts = list[tuple[np.ndarray, np.ndarray]]
 
-def by_length(series: pd.Series, kernel: Callable[..., np.ndarray], *aligned: np.ndarray) -> list:
-    """Apply a matrix kernel to rows of equal length, in bounded chunks, and restore the order.
 
-    ``aligned`` arrays have one entry per row and are cut like the rows.
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all rows end to end, where each row starts, and its length, -1 for a null row."""
+    offsets = column.offsets.to_numpy()
+    lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), -1)
+    return column.values.cast(pa.float64()).to_numpy(zero_copy_only=False), offsets[:-1], lengths
+
+
+def by_length(columns: Sequence[pa.Array], kernel: Callable[..., np.ndarray], *aligned: np.ndarray,
+              usable: np.ndarray | None = None, least: int = 0) -> Parts:
+    """Apply a matrix kernel to rows of equal length, in bounded chunks.
+
+    The kernel gets a matrix for each column.  ``aligned`` arrays have one entry per row and are cut like the
+    rows.  Rows that are not ``usable``, lack a column, are shorter than ``least`` or differ in length are left out.
     """
-    out: list = [None] * len(series)
-    values = series.tolist()
-    groups: dict[int, list[int]] = {}
-    for i, v in enumerate(values):
-        if v is not None:
-            groups.setdefault(len(v), []).append(i)
-    for length, rows in groups.items():
-        step = max(1, CHUNK_VALUES // max(1, length))
+    flat = [_flat(c) for c in columns]
+    length = flat[0][2]
+    taken = length >= least
+    for _, _, other in flat[1:]:
+        taken &= other == length
+    if usable is not None:
+        taken &= usable
+    out = []
+    for n in np.unique(length[taken]):
+        rows = np.flatnonzero(taken & (length == n))
+        step = max(1, CHUNK_VALUES // max(1, int(n)))
         for start in range(0, len(rows), step):
             part = rows[start:start + step]
-            matrix = np.array([values[i] for i in part], dtype=np.float64)
-            for i, r in zip(part, kernel(matrix, *[a[part] for a in aligned])):
-                out[i] = r.tolist()
+            matrices = [values[starts[part][:, None] + np.arange(n)] for values, starts, _ in flat]
+            out.append((part, kernel(*matrices, *[a[part] for a in aligned])))
     return out
 
 
+def _lists(values: np.ndarray) -> pa.Array:
+    """One list per row of a matrix, one list of lists per matrix of a stack."""
+    out = pa.array(np.ascontiguousarray(values, np.float64).reshape(-1))
+    for axis in range(values.ndim - 1, 0, -1):
+        ends = np.arange(math.prod(values.shape[:axis]) + 1, dtype=np.int32) * np.int32(values.shape[axis])
+        out = pa.ListArray.from_arrays(pa.array(ends), out)
+    return out
+
+
+def in_order(parts: Parts, n: int, depth: int = 1) -> pa.Array:
+    """Results of ``n`` rows in the order of the batch, as lists or as lists of lists; null for rows left out."""
+    kind = pa.float64()
+    for _ in range(depth):
+        kind = pa.list_(kind)
+    place = np.full(n, -1)
+    place[np.concatenate([rows for rows, _ in parts] or [np.zeros(0, int)])] = np.arange(sum(len(rows) for rows, _ in parts))
+    found = pa.concat_arrays([_lists(v) for _, v in parts] or [pa.nulls(0, kind)])
+    if n == len(found) and (place == np.arange(n)).all():
+        return found
+    return found.take(pa.array(place, mask=place < 0))
+
+
 def band_masks(freqs: np.ndarray, edges: Sequence[float], rule: str) -> np.ndarray:
     """(bands, bins) membership under one of the three edge rules.
 
@@ -80,8 +118,8 @@ def _framed_power(x: np.ndarray, frame: int, hop: int) -> np.ndarray:
 def power_spectrum(samples: Column, frame: int, hop: int) -> Column:
     """Frames x bins of power."""
     @kernel_udf("array<array<double>>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(by_length(x, lambda m: _framed_power(m, frame, hop)))
+    def run(x: pa.Array) -> pa.Array:
+        return in_order(by_length([x], lambda m: _framed_power(m, frame, hop)), len(x), 2)
     return run(samples)
 
 
@@ -91,11 +129,11 @@ def log_band_energy(samples: Column, rate: int, edges: Sequence[float], frame: i
     masks = band_masks(np.fft.rfftfreq(frame, 1.0 / rate), edges, "half_open").astype(np.float64)
 
     @kernel_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
+    def run(x: pa.Array) -> pa.Array:
         def kernel(m: np.ndarray) -> np.ndarray:
             logs = np.log(_framed_power(m, frame, hop) @ masks.T + eps)
             return np.concatenate([logs.mean(axis=1), logs.std(axis=1)], axis=1)
-        return pd.Series(by_length(x, kernel))
+        return in_order(by_length([x], kernel), len(x))
     return run(samples)
 
 
@@ -117,17 +155,11 @@ def _spectral_relevance(x: np.ndarray, relevance: np.ndarray, eps: float) -> np.
     return _real_product(np.fft.rfft(x), np.fft.rfft(unit)) * (_fold(n) / n)
 
 
-def _side_by_side(x: pd.Series, y: pd.Series, least: int = 0) -> pd.Series:
-    """Both signals of a row as one array; null where one lacks, is too short or their lengths differ."""
-    return pd.Series([None if a is None or b is None or len(a) != len(b) or len(a) < least else np.concatenate([a, b])
-                      for a, b in zip(x, y, strict=True)], dtype=object)
-
-
 def frequency_relevance(samples: Column, relevance: Column, eps: float = 1e-9) -> Column:
     """Relevance per frequency bin of whole signals."""
     @kernel_udf("array<double>")
-    def run(x: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series(by_length(_side_by_side(x, r), lambda m: _spectral_relevance(*np.hsplit(m, 2), eps)))
+    def run(x: pa.Array, r: pa.Array) -> pa.Array:
+        return in_order(by_length([x, r], lambda m, n: _spectral_relevance(m, n, eps)), len(x))
     return run(samples, relevance)
 
 
@@ -179,8 +211,7 @@ def time_frequency_relevance(samples: Column, relevance: Column, rate: int, win:
     schema = ("times array<double>, freqs array<double>, r_tf array<array<double>>, "
               "s_tf array<array<double>>")
 
-    def kernel(m: np.ndarray) -> np.ndarray:
-        x, r = np.hsplit(m, 2)
+    def kernel(x: np.ndarray, r: np.ndarray) -> np.ndarray:
         frames = Frames(x.shape[1], win, hop)
         heard = frames.cut(frames.padded(x)) * frames.window
         said = frames.cut(frames.padded(r) * frames.share) * frames.window
@@ -189,11 +220,18 @@ def time_frequency_relevance(samples: Column, relevance: Column, rate: int, win:
     freqs = np.fft.rfftfreq(win, 1.0 / rate)
 
     @kernel_udf(schema)
-    def run(x: pd.Series, r: pd.Series) -> pd.DataFrame:
-        maps = by_length(_side_by_side(x, r, win), kernel)
-        centres = [None if m is None else (np.arange(len(m[0])) * hop + (win / 2.0 - win // 2)) / rate for m in maps]
-        return pd.DataFrame({"times": centres, "freqs": [None if m is None else freqs for m in maps],
-                             "r_tf": [m and m[0] for m in maps], "s_tf": [m and m[1] for m in maps]})
+    def run(x: pa.Array, r: pa.Array) -> pa.Array:
+        maps = by_length([x, r], kernel, least=win)
+
+        def column(made: Callable[[np.ndarray], np.ndarray], depth: int = 1) -> pa.Array:
+            return in_order([(rows, made(m)) for rows, m in maps], len(x), depth)
+
+        def same(values: np.ndarray, count: int) -> np.ndarray:
+            return np.broadcast_to(values, (count, len(values)))
+
+        return pa.StructArray.from_arrays([
+            column(lambda m: same((np.arange(m.shape[2]) * hop + (win / 2.0 - win // 2)) / rate, len(m))), column(lambda m: same(freqs, len(m))),
+            column(lambda m: m[:, 0], 2), column(lambda m: m[:, 1], 2)], ["times", "freqs", "r_tf", "s_tf"])
     return run(samples, relevance)
 
 
@@ -212,8 +250,8 @@ def band_parts(samples: Column, rate: int, edges: Sequence[float], win: int, hop
         return np.stack([frames.joined(spectra * o) for o in owners], axis=1)
 
     @kernel_udf("array<array<double>>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(by_length(x, kernel))
+    def run(x: pa.Array) -> pa.Array:
+        return in_order(by_length([x], kernel), len(x), 2)
     return run(samples)
 
 
@@ -231,8 +269,8 @@ def band_projections(samples: Column, weights: Sequence[float], rate: int, edges
         return _real_product(frames.spectra(m), seen).sum(axis=1) * (_fold(win) / win) @ owners.T
 
     @kernel_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(by_length(pd.Series([a if a is not None and len(a) == len(w) else None for a in x], dtype=object), kernel))
+    def run(x: pa.Array) -> pa.Array:
+        return in_order(by_length([x], kernel, usable=_flat(x)[2] == len(w)), len(x))
     return run(samples)
 
 
@@ -249,10 +287,12 @@ def keep_bands(samples: Column, kept: Column, rate: int, edges: Sequence[float],
         return frames.joined(frames.spectra(m) * (chosen @ owners)[:, None, :])
 
     @kernel_udf("array<double>")
-    def run(x: pd.Series, bands: pd.Series) -> pd.Series:
-        chosen = np.array([np.isin(np.arange(len(owners)), [] if b is None else list(b)) for b in bands]).reshape(len(x), len(owners))
-        usable = pd.Series([a if b is not None else None for a, b in zip(x, bands, strict=True)], dtype=object)
-        return pd.Series(by_length(usable, kernel, chosen.astype(np.float64)))
+    def run(x: pa.Array, bands: pa.Array) -> pa.Array:
+        numbers, starts, lengths = _flat(bands)
+        chosen = np.zeros((len(x), len(owners)))
+        for row in np.flatnonzero(lengths > 0):
+            chosen[row] = np.isin(np.arange(len(owners)), numbers[starts[row]:starts[row] + lengths[row]])
+        return in_order(by_length([x], kernel, chosen, usable=lengths >= 0), len(x))
     return run(samples, kept)
 
 
@@ -290,14 +330,12 @@ def _to_rate(m: np.ndarray, source: int, target: int) -> np.ndarray:
 def _by_rate(samples: Column, source_rate: Column, kernel: Callable[[np.ndarray, int], np.ndarray]) -> Column:
     """Apply a kernel to rows of one rate and length together."""
     @kernel_udf("array<double>")
-    def run(x: pd.Series, rates: pd.Series) -> pd.Series:
-        out: list = [None] * len(x)
-        for rate in rates.dropna().unique():
-            rows = np.flatnonzero((rates == rate).to_numpy())
-            made = by_length(x.iloc[rows].reset_index(drop=True), lambda m, r=int(rate): kernel(m, r))
-            for i, y in zip(rows, made, strict=True):
-                out[i] = y
-        return pd.Series(out, dtype=object)
+    def run(x: pa.Array, rates: pa.Array) -> pa.Array:
+        parts = []
+        for rate in pc.unique(rates.drop_null()).to_pylist():
+            same = pc.equal(rates, rate).fill_null(False).to_numpy(zero_copy_only=False)
+            parts += by_length([x], lambda m, r=int(rate): kernel(m, r), usable=same)
+        return in_order(parts, len(x))
     return run(samples, source_rate)
 
 
