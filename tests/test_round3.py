@@ -11,8 +11,10 @@ import pytest
 
 import corpuslens.plans
 from corpuslens.functions import dsp
-from corpuslens.operators import rules, storage
+from corpuslens.operators import reconcile, rules, storage
 from corpuslens.plans import load_queries
+from corpuslens.schemas import LEDGER
+from corpuslens.streaming import ledger_stream
 
 PLANS = sorted(Path(corpuslens.plans.__file__).parent.glob("*.py"))
 
@@ -78,3 +80,20 @@ def test_rows_of_a_batch_keep_their_order():
     sums = dsp.in_order(dsp.by_length([x.slice(1), y.slice(1)], lambda a, b: a + b, usable=np.array([True, True, True, False])), 4).to_pylist()
     assert sums[:2] == [None, None] and sums[2][0] == 6.0 and sums[3] is None
     assert dsp.in_order([], 2, 2).to_pylist() == [None, None]
+
+
+def test_one_update_of_the_ledger_is_read_without_a_shuffle(spark, tmp_path):
+    row = ("u1", "train", "a.tar", "m", "f", 1, "s")
+    make = lambda rows: spark.createDataFrame(rows, LEDGER).select(*LEDGER.names)
+    ledger_stream.apply_batch(make([row, ("u2", *row[1:])]), 0, str(tmp_path), "run")
+    alone = ledger_stream.read_ledger(spark, str(tmp_path))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString() and alone.count() == 2
+    ledger_stream.apply_batch(make([("u1", "dev", *row[2:])]), 1, str(tmp_path), "run")
+    assert sorted((r.utt_id, r.split) for r in ledger_stream.read_ledger(spark, str(tmp_path)).collect()) == [("u1", "dev"), ("u2", "train")]
+
+
+def test_missing_keys_meet_the_inventory_once(spark):
+    targets = spark.createDataFrame([(f"u{i:02d}", "train") for i in range(30)], "utt_id string, split string")
+    found = reconcile.missing_preview(targets, spark.createDataFrame([("u00",), ("u00",), ("u02",)], "utt_id string"), 2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.collect() == [(28, "train:u01, train:u03", 26)]
