@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions import keys, text
 from corpuslens.profiles import Profile
+from corpuslens.session import freeze
 
 
 def one_per_key(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -196,8 +197,9 @@ def outstanding(targets: DataFrame, valid: DataFrame, inventoried: DataFrame) ->
 
 def missing_preview(targets: DataFrame, inventoried: DataFrame, shown: int = 10) -> DataFrame:
     """First missing keys and how many more there are (E13).  The preview itself is the feature."""
-    missing = targets.join(inventoried.select("utt_id").distinct(), "utt_id", "left_anti").select(
-        F.concat_ws(":", "split", "utt_id").alias("item"))
+    # Frozen, as the count and the head both read it: else both tables would meet twice.
+    missing = freeze(targets.join(inventoried.select("utt_id"), "utt_id", "left_anti").select(
+        F.concat_ws(":", "split", "utt_id").alias("item")))
     total = missing.agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("preview"),
                         F.lit(0).cast("bigint").alias("listed"))
     head = missing.orderBy("item").limit(shown).agg(
