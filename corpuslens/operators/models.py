@@ -8,13 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpuslens.functions import dsp
 from corpuslens.functions.keys import md5_key
 from corpuslens.functions.signal import sigmoid
 from corpuslens.operators import metrics, rules, sampling
@@ -95,28 +97,32 @@ class Linear:
         return df.withColumn(out, linear_score(F.col(embedding), self.weights, self.bias))
 
 
-def _task_sums(batches: Iterator[pd.DataFrame], make: Callable[[np.ndarray, np.ndarray, np.ndarray], dict]) -> Iterator[pd.DataFrame]:
-    """One row for each key that ``make(x, y, folds)`` gives, summed over a task's batches."""
-    held: dict = {}
+def _of_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         if len(batch):
-            x = np.stack(batch["x"].to_numpy()).astype(np.float64)
-            for key, values in make(x, batch["y"].to_numpy(np.float64), batch["fold"].to_numpy()).items():
-                held[key] = values if key not in held else held[key] + values
+            yield np.stack(batch["x"].to_numpy()).astype(np.float64), batch["y"].to_numpy(np.float64), batch["fold"].to_numpy()
+
+
+def _task_sums(batches: Iterator[pd.DataFrame], make: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], read: Callable) -> Iterator[pd.DataFrame]:
+    """One row for each key that ``make(x, y, folds)`` gives, summed over what a task reads."""
+    held: dict = {}
+    for x, y, folds in read(batches):
+        for key, values in make(x, y, folds).items():
+            held[key] = values if key not in held else held[key] + values
     for (model, part), values in held.items():
-        yield pd.DataFrame({"model": [model], "part": [part], "values": [values]})
+        yield pd.DataFrame({"model": [model], "part": [part], "values": [values.tobytes()]})
 
 
-def _added(rows: DataFrame, make) -> dict[tuple[int, int], np.ndarray]:
+def _added(rows: DataFrame, make, read: Callable = _of_rows) -> dict[tuple[int, int], np.ndarray]:
     """Sums over all rows: tasks add up their own, then the vectors of a key meet.
 
-    What reaches the driver grows with folds and dimensions, never with rows.
+    What reaches the driver grows with folds and weights, never with rows.
     """
-    schema = "model int, part int, values array<double>"
-    partial = rows.mapInPandas(functools.partial(_task_sums, make=make), schema)
+    schema = "model int, part int, values binary"
+    partial = rows.mapInPandas(functools.partial(_task_sums, make=make, read=read), schema)
     total = partial.groupBy("model", "part").applyInPandas(
-        lambda g: pd.DataFrame({"model": g["model"][:1], "part": g["part"][:1], "values": [np.sum(np.stack(g["values"].to_numpy()), axis=0)]}), schema)
-    return {(r["model"], r["part"]): np.array(r["values"]) for r in total.collect()}
+        lambda g: pd.DataFrame({"model": g["model"][:1], "part": g["part"][:1], "values": [np.sum([np.frombuffer(v) for v in g["values"]], axis=0).tobytes()]}), schema)
+    return {(r["model"], r["part"]): np.frombuffer(r["values"]) for r in total.collect()}
 
 
 def _moments(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> dict:
@@ -205,28 +211,245 @@ def fit_logistic(df: DataFrame, embedding: str, label: str, fold: str | None = N
     return out
 
 
-def _fit_layered(df: DataFrame, embedding: str, label: str, seed: int = 42):
-    """A head with one hidden layer of 256 units on standardised embeddings; a function that scores rows."""
-    rows = df.select(F.col(embedding).alias("x"), F.col(label).cast("double").alias("y"), F.lit(-1).alias("fold"))
-    v = next(iter(_added(rows, _moments).values()))
-    dim = (len(v) - 1) // 2
-    mean = v[1:dim + 1] / v[0]
-    spread = np.sqrt(np.maximum(0.0, v[dim + 1:] / v[0] - mean ** 2))
-    spread = np.where(spread > 0, spread, 1.0)
+#: Units of the hidden layer, rows that a pass works on at once, and earlier steps that shape the next one.
+HIDDEN, BLOCK, MEMORY = 256, 512, 10
+
+
+@dataclass(frozen=True)
+class Layered:
+    """A head with one hidden layer on standardised embeddings; the weights lie in the order of Spark ML."""
+
+    weights: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        dim = len(self.mean)
+        hidden = (len(self.weights) - 2) // (dim + 3)
+        inner, bias, outer, last = np.split(self.weights, np.cumsum([dim * hidden, hidden, 2 * hidden]))
+        return inner.reshape(dim, hidden), bias, outer.reshape(hidden, 2), last
+
+    def layers(self, x: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Standardised rows, outputs of the hidden layer, and the two sums behind the probabilities."""
+        inner, bias, outer, last = (v.astype(kind) for v in self.parts())
+        z = ((x - self.mean) / self.spread).astype(kind)
+        h = z @ -inner
+        h -= bias
+        with np.errstate(over="ignore"):
+            np.exp(h, out=h)
+        h += 1
+        np.reciprocal(h, out=h)
+        return z, h, (h @ outer).astype(np.float64) + last
+
+    def slope(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sum over rows of the slope of the cross entropy at each weight, and of the cross entropy itself.
+
+        The hidden layer of a block is worked out in single precision, as the vectors are stored; blocks
+        are added up in double precision.
+        """
+        z, h, out = self.layers(x, np.float32)
+        whole = np.logaddexp(out[:, 0], out[:, 1])
+        truth = np.arange(2) == y[:, None]
+        back = np.exp(out - whole[:, None]) - truth
+        single = back.astype(np.float32)
+        outer = h.T @ single
+        inner = single @ self.parts()[2].T.astype(np.float32)
+        inner *= h
+        np.subtract(1, h, out=h)
+        inner *= h
+        return np.concatenate([(z.T @ inner).ravel(), inner.sum(axis=0), outer.ravel(), back.sum(axis=0), [whole.sum() - out[truth].sum()]])
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with ``x`` as bytes: a pass over them touches no single numbers."""
+    for batch in batches:
+        if len(batch):
+            yield batch.assign(x=[v.tobytes() for v in np.stack(batch["x"].to_numpy()).astype(np.float64)])
+
+
+def _of_packed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if len(batch):
+            x = np.frombuffer(b"".join(batch["x"])).reshape(len(batch), -1)
+            y, folds = batch["y"].to_numpy(np.float64), batch["fold"].to_numpy()
+            for i in range(0, len(x), BLOCK):
+                yield x[i:i + BLOCK], y[i:i + BLOCK], folds[i:i + BLOCK]
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, folds: np.ndarray, heads: Mapping[int, Layered]) -> dict:
+    """For each head, over the rows outside its fold."""
+    return {(f, 0): head.slope(x[folds != f], y[folds != f]) for f, head in heads.items()}
+
+
+@dataclass(frozen=True)
+class _Step:
+    """A point on a line: how far along, the loss there, its rise along the line, and its slope."""
+
+    t: float
+    loss: float
+    rise: float
+    slope: np.ndarray
 
-    def features(df: DataFrame) -> DataFrame:
-        return df.withColumn("features", _standardised(embedding, mean, spread))
 
-    model = MultilayerPerceptronClassifier(featuresCol="features", labelCol="_y", layers=[dim, 256, 2], seed=seed, maxIter=400).fit(
-        features(df.withColumn("_y", F.col(label).cast("double"))))
-    return lambda df: model.transform(features(df)).withColumn("p_spoof", vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", "prediction")
+def _between(a: _Step, b: _Step) -> float:
+    """The lowest point of the cubic through two steps, kept off both."""
+    low, high = (a, b) if a.t < b.t else (b, a)
+    width = high.t - low.t
+    d1 = low.rise + high.rise + 3 * (low.loss - high.loss) / width
+    d2 = np.sqrt(np.maximum(0.0, d1 * d1 - low.rise * high.rise))
+    share = (high.rise + d2 - d1) / (high.rise - low.rise + 2 * d2 or 1.0)
+    return float(high.t - width * np.clip(share, 0.1, 0.9))
 
 
-def _standardised(embedding: str, mean: Sequence[float], spread: Sequence[float]) -> Column:
-    m, s = F.array(*[F.lit(float(v)) for v in mean]), F.array(*[F.lit(float(v)) for v in spread])
-    centred = F.zip_with(F.col(embedding), m, lambda e, a: e.cast("double") - a)
-    return array_to_vector(F.zip_with(centred, s, lambda e, b: e / b))
+def _along(w: np.ndarray, direction: np.ndarray, start: _Step, t: float):
+    """A step with enough fall and a flat enough end (strong Wolfe conditions), None if twenty looks find none.
+
+    Yields weights to look at and is sent the loss and its slope there.
+    """
+    def look(t: float):
+        loss, slope = yield w + t * direction
+        return _Step(t, loss, slope @ direction, slope)
+
+    def too_high(c: _Step) -> bool:
+        return c.loss > start.loss + 1e-4 * c.t * start.rise
+
+    low, far = start, None
+    for i in range(10):
+        c = yield from look(t)
+        if not np.isfinite(c.loss):
+            t /= 2
+            continue
+        if too_high(c) or (c.loss >= low.loss and i > 0):
+            far = c
+            break
+        if abs(c.rise) <= 0.9 * abs(start.rise):
+            return c
+        if c.rise >= 0:
+            low, far = c, low
+            break
+        low, t = c, t * 1.5
+    if far is None:
+        return None
+    for _ in range(10):
+        c = yield from look(_between(low, far))
+        if too_high(c) or c.loss >= low.loss:
+            far = c
+            continue
+        if abs(c.rise) <= 0.9 * abs(start.rise):
+            return c
+        if c.rise * (far.t - low.t) >= 0:
+            far = low
+        low = c
+    return None
+
+
+def _downhill(slope: np.ndarray, past: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The direction of limited-memory BFGS from the last steps and what they changed in the slope."""
+    q, shares = slope.copy(), []
+    for s, g in reversed(past):
+        shares.append((s @ q) / (s @ g))
+        q -= shares[-1] * g
+    if past:
+        s, g = past[-1]
+        q *= (s @ g) / (g @ g)
+    for (s, g), share in zip(past, reversed(shares), strict=True):
+        q += (share - (g @ q) / (s @ g)) * s
+    return -q
+
+
+def _descent(w: np.ndarray, max_steps: int, tolerance: float):
+    """Limited-memory BFGS as a generator: yields weights, is sent their loss and slope, returns the last weights.
+
+    The rules of steps and of their end are those of Spark ML's optimiser.
+    """
+    loss, slope = yield w
+    first, losses, past, failed = loss, [loss], [], False
+    for n in range(max_steps):
+        if np.linalg.norm(slope) <= max(tolerance * abs(loss), 1e-8):
+            break
+        direction = _downhill(slope, past)
+        start, step = _Step(0.0, loss, slope @ direction, slope), None
+        if start.rise < 0:
+            step = yield from _along(w, direction, start, 1.0 if n else 1.0 / np.linalg.norm(direction))
+        if step is None:
+            if failed:
+                break
+            past, failed = [], True
+            continue
+        failed = False
+        past = [*past, (step.t * direction, step.slope - slope)][-MEMORY:]
+        w, loss, slope = w + step.t * direction, step.loss, step.slope
+        losses = [*losses, loss][-20:]
+        if max(losses) - loss <= tolerance * abs(first):
+            break
+    return w
+
+
+def _first_weights(spark: SparkSession, layers: Sequence[int], seed: int) -> np.ndarray:
+    """Where Spark ML's own classifier starts: what it returns after no step."""
+    rows = spark.range(2).select(F.col("id").cast("double").alias("y"), array_to_vector(F.array_repeat(F.lit(0.0), layers[0])).alias("x"))
+    still = MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=list(layers), seed=seed, maxIter=0)
+    return still.fit(rows).weights.toArray()
+
+
+def fit_layered(df: DataFrame, embedding: str, label: str, fold: str | None = None, k: int = 1, *, seed: int = 42,
+                hidden: int = HIDDEN, max_steps: int = 400, tolerance: float = 1e-6) -> dict[int, Layered]:
+    """Heads with one hidden layer of all folds at once, each fitted on the rows outside its fold (H2, H3).
+
+    Loss, start, steps and their end are those of Spark ML's layered classifier, whose fit serves one head a
+    pass; here one pass over the rows serves a look of every head.  Without ``fold`` there is one head, number
+    0, on all rows.  Rows with a null embedding or label are left out.
+    """
+    spark = df.sparkSession
+    own = F.lit(-1) if fold is None else F.col(fold).cast("int")
+    rows = df.select(F.col(embedding).alias("x"), F.col(label).cast("double").alias("y"), own.alias("fold")).filter(
+        F.col("x").isNotNull() & F.col("y").isNotNull())
+    # As many even parts as tasks run at once: every pass is as long as its longest task.
+    rows = freeze(rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_packed, "x binary, y double, fold int"))
+    sums = {f: v for (f, _), v in _added(rows, _moments, _of_packed).items()}
+    if not sums:
+        raise ValueError("no rows to fit a head on")
+    whole = sum(sums.values())
+    dim = (len(whole) - 1) // 2
+    start = _first_weights(spark, [dim, hidden, 2], seed)
+    count, scale, ways, asked, fitted = {}, {}, {}, {}, {}
+    for f in range(k):
+        v = whole - sums.get(f, np.zeros_like(whole))
+        count[f], mean = v[0], v[1:dim + 1] / v[0]
+        spread = np.sqrt(np.maximum(0.0, v[dim + 1:] / v[0] - mean ** 2))
+        # Deviations below rounding are those of a constant, which scales by one.
+        scale[f] = mean, np.where(spread > 1e-9 * np.maximum(1.0, np.abs(mean)), spread, 1.0)
+        ways[f] = _descent(start, max_steps, tolerance)
+        asked[f] = Layered(next(ways[f]), *scale[f])
+    while asked:
+        found = _added(rows, functools.partial(_slopes, heads=asked), _of_packed)
+        for f in list(asked):
+            v = found[f, 0] / count[f]
+            try:
+                asked[f] = Layered(ways[f].send((float(v[-1]), v[:-1])), *scale[f])
+            except StopIteration as end:
+                fitted[f] = Layered(end.value, *scale[f])
+                del asked[f]
+    return fitted
+
+
+def layered_score(heads: Mapping[int, Layered], embedding: Column, fold: Column) -> Column:
+    """Probability of the positive class by the head of the row's fold; null for a null embedding."""
+    @dsp.kernel_udf("double")
+    def score(x: pa.Array, folds: pa.Array) -> pa.Array:
+        def kernel(m: np.ndarray, own: np.ndarray) -> np.ndarray:
+            p = np.full(len(m), np.nan)
+            for f in np.unique(own):
+                out = heads[int(f)].layers(m[own == f])[2]
+                p[own == f] = np.exp(out[:, 1] - np.logaddexp(out[:, 0], out[:, 1]))
+            return p
+        return dsp.in_order(dsp.by_length([x], kernel, folds.to_numpy(zero_copy_only=False)), len(x), 0)
+    return score(embedding, fold)
+
+
+def _fit_layered(df: DataFrame, embedding: str, label: str, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+    heads = fit_layered(df, embedding, label, seed=seed)
+    return lambda rows: rows.withColumn("p_spoof", layered_score(heads, F.col(embedding), F.lit(0)))
 
 
 def _logistic_by_fold(df: DataFrame, embedding: str, label: str, k: int, seed: int) -> DataFrame:
@@ -241,7 +464,8 @@ def _logistic_by_fold(df: DataFrame, embedding: str, label: str, k: int, seed: i
 
 
 def _layered_by_fold(df: DataFrame, embedding: str, label: str, k: int, seed: int) -> DataFrame:
-    return union_all([_fit_layered(df.filter(F.col("fold") != f), embedding, label, seed)(df.filter(F.col("fold") == f)) for f in range(k)])
+    heads = fit_layered(df, embedding, label, "fold", k, seed=seed)
+    return df.withColumn("p_spoof", layered_score(heads, F.col(embedding), F.col("fold")))
 
 
 # Name -> (fit on rows and return a function that scores rows, score rows by fold).
