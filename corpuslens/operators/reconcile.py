@@ -153,16 +153,15 @@ def archive_manifest(pairs: DataFrame, speakers: DataFrame, labels: DataFrame,
 def held_extractions(ledger: DataFrame, archives: DataFrame, inventory: DataFrame) -> DataFrame:
     """(utt_id, split) of ledger rows whose archive checksum holds and whose content hash is in the inventory.
 
-    Both tables meet by id and hash in one aggregate, whose map side collapses copies, so an id with very
-    many rows is neither multiplied nor gathered.
+    Copies in the inventory collapse in a hashed aggregate, so a ledger row meets one row at most; ids with very
+    many ledger rows are split by adaptive skew join.  No sets are collected: their aggregate would sort both
+    tables before and after the shuffle.
     """
     a = archives.select("archive_name", F.lower("checksum").alias("_md5"))
     fresh = ledger.withColumn("_md5", F.lower("archive_md5")).join(a, ["archive_name", "_md5"], "left_semi")
-    sides = fresh.select("utt_id", F.col("sha256_extracted").alias("_sha"), "split", F.lit(False).alias("_stored")).unionByName(
-        inventory.select("utt_id", F.col("sha256").alias("_sha"), F.lit(None).cast("string").alias("split"), F.lit(True).alias("_stored")))
-    met = sides.filter(F.col("utt_id").isNotNull() & F.col("_sha").isNotNull()).groupBy("utt_id", "_sha").agg(
-        F.bool_or("_stored").alias("_stored"), F.collect_set("split").alias("_splits"))
-    return met.filter("_stored").select("utt_id", F.explode("_splits").alias("split"))
+    held = inventory.select("utt_id", F.col("sha256").alias("_sha")).distinct()
+    return fresh.select("utt_id", F.col("sha256_extracted").alias("_sha"), "split").join(
+        held, ["utt_id", "_sha"], "left_semi").select("utt_id", "split")
 
 
 def valid_extractions(targets: DataFrame, ledger: DataFrame, archives: DataFrame,

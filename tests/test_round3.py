@@ -97,3 +97,14 @@ def test_missing_keys_meet_the_inventory_once(spark):
     found = reconcile.missing_preview(targets, spark.createDataFrame([("u00",), ("u00",), ("u02",)], "utt_id string"), 2)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.collect() == [(28, "train:u01, train:u03", 26)]
+
+
+def test_held_extractions_collect_no_sets(spark):
+    # Sets would be collected by an aggregate that sorts both tables before and after the shuffle.
+    ledger = spark.createDataFrame([("u1", "train", "a", "M", "s"), ("u1", "dev", "a", "m", "s"), ("u2", "train", "a", "m", "t"), ("u3", "train", "a", "x", "s"),
+                                    ("u1", "eval", "a", "m", None)], "utt_id string, split string, archive_name string, archive_md5 string, sha256_extracted string")
+    archives = spark.createDataFrame([("a", "m")], "archive_name string, checksum string")
+    inventory = spark.createDataFrame([("u1", "s"), ("u1", "s"), ("u2", "s"), ("u3", "s"), ("u1", None)], "utt_id string, sha256 string")
+    held = reconcile.held_extractions(ledger, archives, inventory)
+    assert "collect_set" not in held._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(held.distinct().collect()) == [("u1", "dev"), ("u1", "train")]
