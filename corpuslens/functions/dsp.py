@@ -201,6 +201,27 @@ class Frames:
         return (whole * self.share)[:, self.side:self.side + self.n]
 
 
+def _framed_relevance(frames: Frames, x: np.ndarray, r: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Windowed frames of signals and the relevance of their bins, rows x frames x bins."""
+    heard = frames.cut(frames.padded(x)) * frames.window
+    said = frames.cut(frames.padded(r) * frames.share) * frames.window
+    return heard, _spectral_relevance(heard, said, eps)
+
+
+def bin_relevance(samples: Column, relevance: Column, win: int, hop: int, eps: float = 1e-9) -> Column:
+    """Relevance of each bin over all frames: :func:`time_frequency_relevance` summed over time, without its maps.
+
+    Signals shorter than the window give null.
+    """
+    def kernel(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return _framed_relevance(Frames(x.shape[1], win, hop), x, r, eps)[1].sum(axis=1)
+
+    @kernel_udf("array<double>")
+    def run(x: pa.Array, r: pa.Array) -> pa.Array:
+        return in_order(by_length([x, r], kernel, least=win), len(x))
+    return run(samples, relevance)
+
+
 def time_frequency_relevance(samples: Column, relevance: Column, rate: int, win: int, hop: int,
                              eps: float = 1e-9) -> Column:
     """Struct of times, freqs, relevance map and magnitude map, frames x bins.
@@ -212,10 +233,8 @@ def time_frequency_relevance(samples: Column, relevance: Column, rate: int, win:
               "s_tf array<array<double>>")
 
     def kernel(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-        frames = Frames(x.shape[1], win, hop)
-        heard = frames.cut(frames.padded(x)) * frames.window
-        said = frames.cut(frames.padded(r) * frames.share) * frames.window
-        return np.stack([_spectral_relevance(heard, said, eps), np.abs(np.fft.rfft(heard))], axis=1)
+        heard, shared = _framed_relevance(Frames(x.shape[1], win, hop), x, r, eps)
+        return np.stack([shared, np.abs(np.fft.rfft(heard))], axis=1)
 
     freqs = np.fft.rfftfreq(win, 1.0 / rate)
 

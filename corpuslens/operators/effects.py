@@ -325,6 +325,11 @@ def curve_areas(rows: DataFrame, n_ks: int, key: str, original: str = "p_orig")
             .filter(F.col("_ks") == n_ks).drop("_ks"))
 
 
+def area_means(areas: DataFrame) -> DataFrame:
+    """Means of :func:`area_table` alone, for readers that need no interval: no replicate is drawn."""
+    return areas.groupBy("metric", "condition", "true_class").agg(F.round(F.avg("aopc"), 5).alias("aopc"), F.count(F.lit(1)).alias("n_clips"))
+
+
 def area_table(areas: DataFrame, key: str, *, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     by = ["metric", "condition", "true_class"]
     ci = bootstrap.mean_ci(areas, by, ["aopc"], [key], n_boot=n_boot, seed=seed)

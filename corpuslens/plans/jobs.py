@@ -247,18 +247,16 @@ def faithfulness_rows(clips: DataFrame, scorer: effects.Scorer, rate: int, edges
     """
     n = len(edges) - 1
     freqs = _rfft(win, rate)
-    tf = dsp.time_frequency_relevance(F.col("samples"), F.col("relevance"), rate, win, hop)
-    by_bin = F.aggregate(
-        F.slice(F.col("_tf.r_tf"), F.lit(2), F.size(F.col("_tf.r_tf"))), F.get(F.col("_tf.r_tf"), F.lit(0)),
-        lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
-    c = clips.withColumn("_tf", tf).withColumn("_bins", by_bin)
-    c = c.withColumn("predicted", F.col("logit") > 0).withColumn(
-        "ranking", sampling.ranked_bands(effects.band_sums(F.col("_bins"), freqs, edges, "last_closed"), F.col("logit") > 0))
-    p = scorer(F.col("samples"))
     heard = F.col("samples")
+    # Kernels of one projection share a Python worker; only sums over time come back from it.
+    made = [dsp.bin_relevance(heard, F.col("relevance"), win, hop).alias("_bins")]
     if isinstance(scorer, effects.LinearScorer):
-        c = c.withColumn("shares", scorer.shares(heard, rate, edges, win, hop))
+        made.append(scorer.shares(heard, rate, edges, win, hop).alias("shares"))
         heard = F.col("shares")
+    c = clips.select("sample_id", "ground_truth", "samples", "logit", *made)
+    c = c.withColumn("predicted", F.col("logit") > 0).withColumn(
+        "ranking", sampling.ranked_bands(effects.band_sums(F.col("_bins"), freqs, edges, "last_closed"), F.col("logit") > 0))
+    p = scorer(F.col("samples"))
     c = c.withColumn("p_orig", F.when(F.col("predicted"), p).otherwise(1.0 - p)).withColumn(
         "true_class", stats.class_name(F.col("ground_truth"))).select(
         "sample_id", "true_class", heard, "predicted", "ranking", "p_orig")

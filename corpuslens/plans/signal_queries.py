@@ -546,7 +546,7 @@ WITH t AS (SELECT metric, condition, true_class, round(avg(aopc),5) AS aopc FROM
 SELECT 'enc_a' AS run, metric, true_class, max(aopc) FILTER (WHERE suffix(condition,'top')) AS explained, max(aopc) FILTER (WHERE suffix(condition,'random')) AS random,
  {_r("max(aopc) FILTER (WHERE suffix(condition,'top')) - max(aopc) FILTER (WHERE suffix(condition,'random'))",'gain')} FROM t GROUP BY metric, true_class""", "areas")
 def _(spark, sf):
-    t = effects.area_table(effects.curve_areas(_faith(spark, sf), len(KS), "sample_id"), "sample_id")
+    t = effects.area_means(effects.curve_areas(_faith(spark, sf), len(KS), "sample_id"))
     return rounded(effects.area_comparison(t.withColumn("run", F.lit("enc_a"))), "gain")
 
 

@@ -8,11 +8,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpuslens.plans
 from corpuslens.functions import dsp
 from corpuslens.operators import reconcile, rules, storage
-from corpuslens.plans import load_queries
+from corpuslens.plans import jobs, load_queries, views
 from corpuslens.schemas import LEDGER
 from corpuslens.streaming import ledger_stream
 
@@ -108,3 +109,27 @@ def test_held_extractions_collect_no_sets(spark):
     held = reconcile.held_extractions(ledger, archives, inventory)
     assert "collect_set" not in held._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(held.distinct().collect()) == [("u1", "dev"), ("u1", "train")]
+
+
+def test_faithfulness_rows_run_their_kernels_in_one_worker(spark):
+    # Both kernels in one Python step, which returns sums over time and no maps.
+    clips = views.relevance(spark, "/root/testdata/sf0.001")
+    make = lambda df: jobs.faithfulness_rows(df, views.scorer(2), views.SIGNAL_RATE, views.BAND_EDGES, views.FRAME, views.HOP, (1, 2), 2)
+    plan = make(clips)._jdf.queryExecution().executedPlan().toString().split("\n\n")[0]
+    assert plan.count("ArrowEvalPython") == 1 and "r_tf" not in plan
+    # Clips shorter than a window have no probability.
+    short = make(clips.withColumn("samples", F.slice("samples", 1, 8)).withColumn("relevance", F.slice("relevance", 1, 8)))
+    assert short.count() > 0 and short.filter("p_pred is not null").count() == 0
+
+
+def test_bins_are_the_map_summed_over_time(spark):
+    clips = views.relevance(spark, "/root/testdata/sf0.001").limit(50)
+    rows = clips.select(dsp.bin_relevance(F.col("samples"), F.col("relevance"), 16, 8).alias("bins"),
+                        dsp.time_frequency_relevance(F.col("samples"), F.col("relevance"), 64, 16, 8).alias("tf")).collect()
+    for r in rows:
+        assert r["bins"] == pytest.approx(np.sum(r["tf"]["r_tf"], axis=0), abs=1e-12)
+
+
+def test_area_comparison_draws_no_replicates(spark):
+    plan = load_queries()[0]["faithfulness_comparison"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan
