@@ -59,6 +59,19 @@ def poisson_weight(uniform: Column) -> Column:
     return weight.otherwise(len(steps))
 
 
+def poisson_of_digits(digits: Column) -> Column:
+    """:func:`poisson_weight` of the share that eight hex digits have of their range.
+
+    Lower-case digits of one length are ordered as text like the numbers they write, so none is converted.
+    """
+    weight = None
+    for k, p in enumerate(poisson_cdf()):
+        first = math.ceil(p * _SPAN)
+        below = digits < F.lit(f"{first:08x}") if first < _SPAN else F.lit(True)
+        weight = F.when(below, k) if weight is None else weight.when(below, k)
+    return weight.otherwise(len(poisson_cdf()))
+
+
 def row_digest(columns: list[str]) -> Column:
     """sha256 of a row: every value with its length, so that no two rows collide by joining."""
     parts = []

@@ -1,18 +1,18 @@
 """Bootstrap intervals (D35, D36) with Poisson weights.
 
 Each row enters replicate ``b`` as often as a Poisson(1) draw from its hash: one md5 of
-(seed, b div 4, row key) gives the draws of four replicates.  Replicates are expanded inside the row
-and summed map-side, so only ``groups x replicates`` rows are shuffled, for medians times a few
-dozen value ranges; no row is ever looked up by index.
+(seed, b div 4, row key) gives the draws of four replicates.  A row is repeated once for each four
+replicates, which are summed side by side map-side, so only ``groups x replicates`` sums are shuffled,
+for medians times a few dozen value ranges; no row is ever looked up by index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslens.functions.keys import hex_number, md5_key, poisson_weight
+from corpuslens.functions.keys import hex_number, md5_key, poisson_of_digits, poisson_weight
 from corpuslens.operators.order import join_groups
 from corpuslens.session import freeze, spread
 
@@ -50,22 +50,54 @@ def replicates(df: DataFrame, key: Sequence[str], n_boot: int, seed: int) -> Dat
     return rows.filter(F.col("_w") > 0)
 
 
+def replicate_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, Column], key: Sequence[str], n_boot: int, seed: int, *,
+                   shared: bool = False) -> DataFrame:
+    """Per group and replicate ``_b`` the sum of weights ``_m`` and of weighted values, the same as sums over
+    :func:`replicates`.
+
+    ``shared``: a few rows of different groups have one key; they are gathered first, so that a key is drawn
+    once for all of them.
+    """
+    names = list(sums)
+    rows = df.select(*by, *key, *[value.alias(f"_v{j}") for j, value in enumerate(sums.values())])
+    rest = [c for c in rows.columns if c not in key]
+    rows = spread(rows, *key)
+    if shared:
+        rows = rows.groupBy(*key).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+        rest = ["_rows"]
+    rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS)))).select(
+        *rest, "_q", md5_key(F.lit(str(seed)), "_q", *key).alias("_h"))
+    rows = rows.select(*rest, "_q", *[F.substring("_h", 1 + 8 * i, 8).alias(f"_d{i}") for i in range(DRAWS)])
+    drawn = [f"_w{i}" for i in range(DRAWS)]
+    rows = rows.select(*rest, "_q", *[poisson_of_digits(F.col(f"_d{i}")).alias(w) for i, w in enumerate(drawn)])
+    if shared:
+        rows = rows.select("_q", *drawn, F.explode("_rows").alias("_row")).select("_q", *drawn, "_row.*")
+    own = [F.sum(w).alias(f"_m{w}") for w in drawn]
+    # A row that is not drawn adds nothing, whatever its value.
+    own += [F.sum(F.when(F.col(w) > 0, F.col(f"_v{j}") * F.col(w))).alias(f"_s{w}_{j}") for w in drawn for j in range(len(names))]
+    blocks = rows.groupBy(*by, "_q").agg(*own)
+    cells = F.array(*[F.struct(
+        (F.col("_q") * DRAWS + i).alias("_b"), F.col(f"_m{w}").alias("_m"),
+        *[F.col(f"_s{w}_{j}").alias(name) for j, name in enumerate(names)]) for i, w in enumerate(drawn)])
+    return blocks.select(*by, F.explode(cells).alias("_c")).select(*by, "_c.*").filter((F.col("_b") < n_boot) & (F.col("_m") > 0))
+
+
 def _bounds(alpha: float) -> Column:
     return F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
 
 
 def mean_ci(df: DataFrame, by: Sequence[str], values: Sequence[str], key: Sequence[str], *,
             n_boot: int = 1000, alpha: float = 0.05, seed: int = 42,
-            name: str = "column") -> DataFrame:
+            name: str = "column", shared: bool = False) -> DataFrame:
     """Mean and percentile interval of several columns at once.
 
     All columns of a row share its weights.  Groups with fewer than two rows get the mean
-    as both bounds.
+    as both bounds.  ``shared`` tells that a key has a few rows in different groups.
     """
     base = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
         F.avg(v).alias(f"_m_{i}") for i, v in enumerate(values)])
-    reps = replicates(df.select(*by, *key, *values), key, n_boot, seed).groupBy(*by, "_b").agg(
-        *[(F.sum(F.col(v) * F.col("_w")) / F.sum("_w")).alias(f"_r_{i}") for i, v in enumerate(values)])
+    reps = replicate_sums(df, by, {f"_r_{i}": F.col(v) for i, v in enumerate(values)}, key, n_boot, seed, shared=shared)
+    reps = reps.select(*by, *[(F.col(f"_r_{i}") / F.col("_m")).alias(f"_r_{i}") for i in range(len(values))])
     bounds = reps.groupBy(*by).agg(*[
         F.percentile(f"_r_{i}", _bounds(alpha)).alias(f"_q_{i}") for i in range(len(values))])
     joined = join_groups(base, bounds, by, "left")
@@ -99,7 +131,7 @@ def median_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str],
         "_v", F.array(*[F.lit(q) for q in RANGES]), ACCURACY))).alias("_cuts"))
     # Frozen: a second run of the approximation must not move the cut points between the two passes.
     ranged = rows.join(freeze(cuts), "_g").withColumn("_at", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
-    masses = replicates(ranged.select("_g", "_at", *key), key, n_boot, seed).groupBy("_g", "_b", "_at").agg(F.sum("_w").alias("_m"))
+    masses = replicate_sums(ranged, ["_g", "_at"], {}, key, n_boot, seed)
     upto = Window.partitionBy("_g", "_b").orderBy("_at")
     masses = masses.select("_g", "_b", "_at", (F.sum("_m").over(upto) - F.col("_m")).alias("_before"), F.col("_m"),
                            F.sum("_m").over(Window.partitionBy("_g", "_b")).alias("_all"))

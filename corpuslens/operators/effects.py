@@ -309,7 +309,7 @@ def intervention_scores(grid: DataFrame, scorer: Scorer, rate: int, edges: Seque
 def faithfulness_curves(rows: DataFrame, key: Sequence[str], *, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and interval per (class, condition, k)."""
     by = ["true_class", "condition", "k"]
-    ci = bootstrap.mean_ci(rows, by, ["p_pred"], key, n_boot=n_boot, seed=seed)
+    ci = bootstrap.mean_ci(rows, by, ["p_pred"], key, n_boot=n_boot, seed=seed, shared=True)
     return ci.select(*by, *[F.round(c, 5).alias(o) for c, o in (
         ("mean", "p_pred_mean"), ("ci_low", "ci_low"), ("ci_high", "ci_high"))],
         F.col("n").alias("n_clips"))
@@ -332,7 +332,7 @@ def area_means(areas: DataFrame) -> DataFrame:
 
 def area_table(areas: DataFrame, key: str, *, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     by = ["metric", "condition", "true_class"]
-    ci = bootstrap.mean_ci(areas, by, ["aopc"], [key], n_boot=n_boot, seed=seed)
+    ci = bootstrap.mean_ci(areas, by, ["aopc"], [key], n_boot=n_boot, seed=seed, shared=True)
     return ci.select(*by, *[F.round(c, 5).alias(o) for c, o in (
         ("mean", "aopc"), ("ci_low", "ci_low"), ("ci_high", "ci_high"))], F.col("n").alias("n_clips"))
 
