@@ -117,21 +117,21 @@ ACCURACY = 100_000
 
 
 def median_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], *,
-              n_boot: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+              n_boot: int = 1000, alpha: float = 0.05, seed: int = 42, shared: bool = False) -> DataFrame:
     """Percentile interval of the median: exact weighted medians per replicate.
 
     First the weights of each replicate are summed per value range, map-side, which tells the range
     that holds its median.  Only the rows of such ranges are drawn again, for those replicates alone,
     and sorted within range and replicate.  The ranges narrow towards the median, so for n rows these
     are about the square root of n rows for each replicate; where the cut points lie changes no result.
-    Null values are left out.
+    Null values are left out.  ``shared`` tells that a key has a few rows in different groups.
     """
     rows = df.filter(F.col(value).isNotNull()).select(F.struct(*by).alias("_g") if by else F.lit(0).alias("_g"), *key, F.col(value).alias("_v"))
     cuts = rows.groupBy("_g").agg(F.array_sort(F.array_distinct(F.percentile_approx(
         "_v", F.array(*[F.lit(q) for q in RANGES]), ACCURACY))).alias("_cuts"))
     # Frozen: a second run of the approximation must not move the cut points between the two passes.
     ranged = rows.join(freeze(cuts), "_g").withColumn("_at", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
-    masses = replicate_sums(ranged, ["_g", "_at"], {}, key, n_boot, seed)
+    masses = replicate_sums(ranged, ["_g", "_at"], {}, key, n_boot, seed, shared=shared)
     upto = Window.partitionBy("_g", "_b").orderBy("_at")
     masses = masses.select("_g", "_b", "_at", (F.sum("_m").over(upto) - F.col("_m")).alias("_before"), F.col("_m"),
                            F.sum("_m").over(Window.partitionBy("_g", "_b")).alias("_all"))
@@ -140,11 +140,12 @@ def median_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str],
     wanted = masses.select("_g", "_b", "_at", "_before", "_m", sides.alias("_place")).filter(
         (F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_m")))
     asked = freeze(wanted.groupBy("_g", "_at").agg(F.collect_set(F.struct("_b", (F.col("_place") - F.col("_before")).alias("place"))).alias("_asked")))
-    drawn = ranged.join(asked, ["_g", "_at"]).select("_g", "_at", *key, "_v", F.explode("_asked").alias("_a"))
+    # Few rows, each asked for by many replicates: they are dealt over all slots before they are drawn.
+    drawn = spread(ranged.join(asked, ["_g", "_at"]), *key).select("_g", "_at", *key, "_v", F.explode("_asked").alias("_a"))
     drawn = drawn.select("_g", "_at", "_v", F.col("_a._b").alias("_b"), F.col("_a.place").alias("_place"), *key)
     digest = md5_key(F.lit(str(seed)), F.floor(F.col("_b") / DRAWS), *key)
-    drawn = drawn.withColumn("_h", digest).withColumn("_u", F.get(F.array(*_draws(F.col("_h"))), F.col("_b") % DRAWS))
-    counted = drawn.withColumn("_w", poisson_weight(F.col("_u"))).filter(F.col("_w") > 0).groupBy(
+    drawn = drawn.withColumn("_h", digest).withColumn("_d", F.substring("_h", 1 + 8 * (F.col("_b") % DRAWS), F.lit(8)))
+    counted = drawn.withColumn("_w", poisson_of_digits(F.col("_d"))).filter(F.col("_w") > 0).groupBy(
         "_g", "_b", "_at", "_place", "_v").agg(F.sum("_w").alias("_w"))
     inside = Window.partitionBy("_g", "_b", "_at", "_place").orderBy("_v")
     found = counted.withColumn("_end", F.sum("_w").over(inside)).filter(

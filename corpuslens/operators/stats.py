@@ -285,7 +285,7 @@ def paired_test(df: DataFrame, by: Sequence[str], top: str, bottom: str, key: Se
         F.count(F.lit(1)).alias("n_pairs"), F.when(sd > 0, F.avg("_diff") / sd).alias("cohen_dz"),
         F.avg(top).alias("mean_drop_top"), F.avg(bottom).alias("mean_drop_bottom"))
     median = exact_quantiles(d, by, "_diff", {"median_diff": 0.5})
-    ci = bootstrap.median_ci(d, by, "_diff", key, n_boot=n_boot, seed=seed)
+    ci = bootstrap.median_ci(d, by, "_diff", key, n_boot=n_boot, seed=seed, shared=bool(by))
     wil = signed_rank(d, by, "_diff").select(*by, "wilcoxon_p")
     out = base
     for part in (median, ci, wil):

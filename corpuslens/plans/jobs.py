@@ -189,6 +189,11 @@ def confirmatory_stage(master: DataFrame, correlations: DataFrame, features: Seq
     return stats.confirmatory(values)
 
 
+def _drawn(rows: DataFrame, quad: str, per_quadrant: int | None, seed: int) -> DataFrame:
+    rows = rows.filter(F.col(quad).isNotNull())
+    return rows if per_quadrant is None else sampling.up_to(rows, [quad], ["sample_id"], per_quadrant, seed)
+
+
 def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str, effects.Scorer],
                     features: Sequence[str], rate: int, edges: Sequence[float], win: int, hop: int, *,
                     per_quadrant: int | None = None, n_boot: int = 1000, k: int | None = None,
@@ -199,34 +204,52 @@ def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str,
     ``per_quadrant`` draws a sample instead.
     """
     n = len(edges) - 1
-    k = k or max(1, n // 3)
-
-    def chosen(rows: DataFrame, quad: str) -> DataFrame:
-        rows = rows.filter(F.col(quad).isNotNull())
-        drawn = rows if per_quadrant is None else sampling.up_to(rows, [quad], ["sample_id"], per_quadrant, seed)
-        return drawn.select("sample_id")
-
     tags = list(scorers)
-    split = freeze(sampling.halves(master, ["sample_id"], seed))
-    rank_half, test_half = split.filter(F.col("half") == 0), split.filter(F.col("half") == 1)
-    # Small tables that several branches read: the ranking behind them runs once.
+    # A small table that several branches read: the ranking behind it runs once.
     whole = freeze(stats.band_strength(stats.within_class_correlation(master, tags, features), tags, n))
-    half = freeze(stats.band_strength(stats.within_class_correlation(rank_half, tags, features), tags, n))
-    tables, found = [], []
+    tables = []
     for tag, scorer in scorers.items():
-        quad = f"quadrant_{tag}"
-        picked = chosen(master, quad)
+        picked = _drawn(master, f"quadrant_{tag}", per_quadrant, seed).select("sample_id")
         clips = signals.join(picked, "sample_id").select("sample_id", "samples")
         drops = freeze(effects.band_drops(clips, scorer, rate, edges, win, hop).drop("samples"))
         tables.append(effects.occlusion_table(drops, tag, edges, ["sample_id"], n_boot=n_boot, seed=seed))
-        held = chosen(test_half, quad)
-        test_clips = signals.join(held, "sample_id").select("sample_id", "samples")
-        test_drops = effects.band_drops(test_clips, scorer, rate, edges, win, hop).drop("samples")
-        found.append(effects.oriented_effects(test_drops, half, tag, k, n).select(
-            F.lit(tag).alias("detector"), "sample_id", "top_effect", "bottom_effect"))
+    occlusion = rules.union_all(tables)
+    return {"occlusion": occlusion, "agreement": effects.profile_agreement(occlusion, whole),
+            "convergence": convergence_test(master, signals, scorers, features, rate, edges, win, hop, per_quadrant=per_quadrant,
+                                            n_boot=n_boot, k=k, seed=seed)}
+
+
+def convergence_test(master: DataFrame, signals: DataFrame, scorers: Mapping[str, effects.Scorer],
+                     features: Sequence[str], rate: int, edges: Sequence[float], win: int, hop: int, *,
+                     per_quadrant: int | None = None, n_boot: int = 1000, k: int | None = None,
+                     seed: int = 42) -> DataFrame:
+    """Bands ranked on one half of the clips, their effects tested on the other half.
+
+    The clips of the other half meet their samples once, for all detectors.
+    """
+    n, tags = len(edges) - 1, list(scorers)
+    k = k or max(1, n // 3)
+    narrow = master.select("sample_id", "ground_truth", *[f"p_spoof_{t}" for t in tags], *features, *[f"quadrant_{t}" for t in tags])
+    split = freeze(sampling.halves(narrow, ["sample_id"], seed))
+    half = freeze(stats.band_strength(stats.within_class_correlation(split.filter(F.col("half") == 0), tags, features), tags, n))
+    held = split.filter(F.col("half") == 1)
+    ids = held.select("sample_id", *[F.col(f"quadrant_{t}").isNotNull().alias(f"_has_{t}") for t in tags])
+    if per_quadrant is not None:
+        marked = [_drawn(held, f"quadrant_{t}", per_quadrant, seed).select(
+            "sample_id", *[F.lit(o == t).alias(f"_has_{o}") for o in tags]) for t in tags]
+        ids = rules.union_all(marked).groupBy("sample_id").agg(*[F.max(f"_has_{t}").alias(f"_has_{t}") for t in tags])
+    rows = signals.join(ids, "sample_id").select("sample_id", "samples", *[f"_has_{t}" for t in tags])
+    cells = []
+    for tag, scorer in scorers.items():
+        drops = effects.band_drops(rows, scorer, rate, edges, win, hop)
+        rows = drops.select(*rows.columns, F.struct(*[f"drop_{b}" for b in range(n)]).alias(f"_drops_{tag}"))
+        cells.append(F.when(F.col(f"_has_{tag}"), F.struct(F.lit(tag).alias("detector"), F.col(f"_drops_{tag}").alias("d"))))
+    long = rows.select("sample_id", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.detector", "sample_id", "c.d.*")
+    long = freeze(long)
+    found = [effects.oriented_effects(long.filter(F.col("detector") == tag), half, tag, k, n).select(
+        "detector", "sample_id", "top_effect", "bottom_effect") for tag in tags]
     tested = stats.paired_test(freeze(rules.union_all(found)), ["detector"], "top_effect", "bottom_effect",
                                ["sample_id"], n_boot=n_boot, seed=seed)
-    occlusion = rules.union_all(tables)
     named = sampling.top_and_bottom(half, k)
 
     def listed(rank: str) -> Column:
@@ -234,9 +257,7 @@ def occlusion_stage(master: DataFrame, signals: DataFrame, scorers: Mapping[str,
         return F.array_join(F.transform(F.array_sort(F.array_compact(F.collect_list(hit))), lambda s: s["b"]), ";")
 
     bands = named.groupBy("detector").agg(listed("top_rank").alias("top_bands"), listed("bottom_rank").alias("bottom_bands"))
-    convergence = tested.join(bands, "detector").withColumn("k_bands", F.lit(k))
-    return {"occlusion": occlusion, "agreement": effects.profile_agreement(occlusion, whole),
-            "convergence": convergence}
+    return tested.join(bands, "detector").withColumn("k_bands", F.lit(k))
 
 
 def faithfulness_rows(clips: DataFrame, scorer: effects.Scorer, rate: int, edges: Sequence[float], win: int,

@@ -364,12 +364,6 @@ def _(spark, sf):
     return rounded(e.select("sample_id", "top_effect", "bottom_effect"), "top_effect", "bottom_effect")
 
 
-def _stage(spark, sf):
-    m = V.master(spark, sf)
-    return jobs.occlusion_stage(m, V.signals(spark, sf).select("sample_id", "samples"), {"zs": V.scorer(1), "ad": V.scorer(2)},
-                                V.BAND_COLUMNS, RATE, EDGES, WIN, HOP, n_boot=BOOT)
-
-
 VIEWS["halved"] = (("master",), """
   SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:'||sample_id)) <= (SELECT count(*)//2 FROM master) THEN 0 ELSE 1 END AS half FROM master""")
 VIEWS["half_strengths"] = (("halved",), f"""
@@ -397,7 +391,9 @@ SELECT detector, 1 AS k_bands, any_value(top_band)::VARCHAR AS top_bands, any_va
  {_r('any_value(hi)','ci_high')}, {_r('avg(diff)/stddev_samp(diff)','cohen_dz')}, {_r(S.normal_two_sided('any_value(z)'),'wilcoxon_p')}, {_r('avg(top)','mean_drop_top')}, {_r('avg(bottom)','mean_drop_bottom')}
 FROM x JOIN c USING (detector) JOIN z USING (detector) GROUP BY detector""", "effects")
 def _(spark, sf):
-    return rounded(_stage(spark, sf)["convergence"], "median_diff", "ci_low", "ci_high", "cohen_dz", "wilcoxon_p",
+    test = jobs.convergence_test(V.master(spark, sf), V.signals(spark, sf).select("sample_id", "samples"), {"zs": V.scorer(1), "ad": V.scorer(2)},
+                                 V.BAND_COLUMNS, RATE, EDGES, WIN, HOP, n_boot=BOOT)
+    return rounded(test, "median_diff", "ci_low", "ci_high", "cohen_dz", "wilcoxon_p",
                    "mean_drop_top", "mean_drop_bottom")
 
 
